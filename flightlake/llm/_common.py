@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that Spark hands to Python at once: texts can be long, and a worker holds a few batches.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from any store that Spark can open."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,7 +71,7 @@ def _forest(batches):
             a, b = find(u), find(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 1_000_000:  # memory stays bounded; what was joined so far is passed on
+        if len(parent) > 300_000:  # memory stays bounded; what was joined so far is passed on
             yield stars()
             parent.clear()
     yield stars()
@@ -80,7 +86,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     in equi-joins, which Spark can split.  Nodes without an edge do not appear.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e, seen = materialize(e.mapInPandas(_forest, "u long, v long").distinct(), "cc"), None
+    e, seen = materialize(e.distinct(), "cc"), None
+    e = materialize(e.mapInPandas(_forest, "u long, v long"), "cc")
     for _ in range(max_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from ._common import table
 
 #: Words a worker remembers; at the bound the memo is emptied, which changes no result.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: Longer words are encoded anew each time, so that the memo's size in bytes is bounded too.
 MEMO_BYTES = 64
 #: Largest vocabulary file that is sent to the executors.
@@ -30,7 +30,7 @@ SIDE_BY_SIDE = 20_000
 #: Stands for no merge; above every rank.
 NO_RANK = 1 << 30
 #: Characters of texts that are cut into words before their new words are encoded.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 # The pre-tokenizer pattern of the public byte-level vocabulary, in \p classes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

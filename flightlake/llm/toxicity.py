@@ -35,7 +35,7 @@ MAX_TRAINING_ROWS = 50_000
 TOKEN = re.compile(r"\w+")
 #: A passage is significant if chance gives fewer than this many per text.
 SIGNIFICANT_E = 0.05
-_MEMO = 300_000
+_MEMO = 100_000
 
 
 def _bucket(kind: str, token: str) -> int:
