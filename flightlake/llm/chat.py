@@ -47,23 +47,27 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     m = m.select("id", (-F.col("x.p")).alias("parent"), F.col("x.score").cast("double").alias("score"))
     known = m.select(F.col("id").alias("parent"), F.lit(True).alias("_k"))
     m = m.join(known, "parent", "left").select("id", F.when(F.col("_k"), F.col("parent")).alias("parent"), "score")
-    # up: the ancestor 2^k levels up (null: above the root), levels walked and the scores of the walked messages
-    up = materialize(m.select("id", "parent", F.lit(1).cast("long").alias("levels"), F.col("score").alias("total"), F.when(F.col("parent").isNull(), F.col("id")).alias("root")), "paths")
-    steps, most = [up], m.count()
-    while (1 << len(steps)) <= 2 * max(1, most) and up.where("root IS NULL").limit(1).count():
-        a, b = up.alias("a"), up.alias("b")
-        up = materialize(
-            a.join(b, F.col("a.parent") == F.col("b.id"), "left").select(
+    # up: the ancestor 2^k levels up (null: above the root), levels walked and the scores of the walked messages;
+    # a message that has reached its root takes no part in later rounds
+    first = m.select("id", "parent", F.lit(1).cast("long").alias("levels"), F.col("score").alias("total"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"))
+    first = materialize(first, "paths")
+    steps, most = [first], first.count()
+    done, climbing = first.where("parent IS NULL"), first.where("parent IS NOT NULL")
+    while (1 << len(steps)) <= 2 * max(1, most) and climbing.limit(1).count():
+        a, b = climbing.alias("a"), done.unionByName(climbing).alias("b")
+        moved = materialize(
+            a.join(b, F.col("a.parent") == F.col("b.id")).select(
                 "a.id",
                 F.col("b.parent").alias("parent"),
-                (F.col("a.levels") + F.coalesce("b.levels", F.lit(0))).alias("levels"),
-                (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
-                F.coalesce("a.root", "b.root").alias("root"),
+                (F.col("a.levels") + F.col("b.levels")).alias("levels"),
+                (F.col("a.total") + F.col("b.total")).alias("total"),
+                F.col("b.root").alias("root"),
             ),
             "paths",
         )
-        steps.append(up)
-    leaves = up.where("root IS NOT NULL").join(m.select(F.col("parent").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_anti")
+        steps.append(moved)
+        done, climbing = done.unionByName(moved.where("parent IS NULL")), moved.where("parent IS NOT NULL")
+    leaves = done.join(m.select(F.col("parent").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_anti")
     ranked = leaves.select("root", F.struct((-F.col("total")).alias("worse"), F.col("id").alias("leaf"), "levels").alias("x"))
     if per_tree == 1:
         best = ranked.groupBy("root").agg(F.min("x").alias("x")).withColumn("rank", F.lit(1))
