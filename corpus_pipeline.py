@@ -32,11 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = docs.select(*COLUMNS)
     groups = simhash.near_duplicate_groups(keyed, "doc_id", "text", **simhash.WIDE)
     # the group's smallest id is the one that stays; all others are named and taken away
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = keyed.join(gone, "doc_id", "left_anti")
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(*COLUMNS)).select(*COLUMNS)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")  # never a broadcast: it grows with the documents
+    kept = keyed.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    # one row of a repeated id: texts are dealt by doc_id once, for the join and for this
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    kept = kept.withColumn("_n", first).where("_n = 1").select(*COLUMNS)
+    return kept.unionByName(keyed.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

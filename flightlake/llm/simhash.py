@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ._common import components, materialize, table
 
 SEED = 42
-#: Rows of a bucket that are compared with one another in one step (bounds memory, not the bucket).
-STRIPE = 2048
 #: Buckets above this many different fingerprints are first cut by further blocks (exact, see _split).
 SPLIT_AT = 4096
 #: Fixed odd multipliers that spread one 64-bit shingle hash into further words (wide fingerprints).
@@ -105,30 +103,29 @@ def fingerprints(df: DataFrame, doc_id: str, text: str, shingle: int = 3, bits:
     return cols.mapInPandas(run, "doc_id long, " + ", ".join(f"{w} long" for w in names))
 
 
-def _tree(fp, distance: int, join) -> None:
-    """Join the members of one bucket that are linked; fp: (m, words) unsigned."""
+def _forest(fp, distance: int) -> list[tuple[int, int]]:
+    """Links of a minimum spanning forest of one bucket, grown member by member (Prim); fp: (m, words) unsigned.
+
+    Its links at any smaller distance join the same members as all links at that distance do.
+    Memory is a few numbers for each member.
+    """
     import numpy as np
 
-    m = len(fp)
-    label = np.arange(m)
-    for a in range(0, m, STRIPE):
-        x = fp[a : a + STRIPE]
-        for b in range(0, a + 1, STRIPE):
-            y = fp[b : b + STRIPE]
-            d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.int16)
-            for k in range(1, fp.shape[1]):
-                d += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-            near = d <= distance
-            if a == b:
-                near &= np.tri(len(x), k=-1, dtype=bool)
-            for p in np.flatnonzero(near.any(1)).tolist():
-                q = np.flatnonzero(near[p]) + b
-                # a member's links to one component need only one of them
-                for at in np.unique(label[q], return_index=True)[1].tolist():
-                    mine, theirs = label[a + p], label[q[at]]
-                    if mine != theirs:
-                        join(a + p, int(q[at]))
-                        label[label == theirs] = mine
+    apart = lambda k, rest: np.bitwise_count(fp[rest] ^ fp[k]).sum(1, dtype=np.int64)
+    rest = np.arange(1, len(fp))
+    best, near, links = apart(0, rest), np.zeros(len(rest), np.int64), []
+    for n in range(len(rest), 0, -1):
+        k = int(np.argmin(best[:n]))
+        new = int(rest[k])
+        if best[k] <= distance:
+            links.append((int(near[k]), new))
+        for x in (rest, best, near):
+            x[k] = x[n - 1]
+        d = apart(new, rest[: n - 1])
+        closer = d < best[: n - 1]
+        best[: n - 1][closer] = d[closer]
+        near[: n - 1][closer] = new
+    return links
 
 
 def _split(fp, rows, distance: int):
@@ -150,7 +147,7 @@ def _split(fp, rows, distance: int):
         edges = np.flatnonzero(np.diff(group.ravel()[order])) + 1
         for sub in np.split(rows[order], edges):
             if len(sub) == len(rows) or len(sub) <= SPLIT_AT:
-                yield sub  # (a part without bits leaves all together: they are compared in stripes)
+                yield sub  # (a part without bits leaves all together)
             elif len(sub) > 1:
                 yield from _split(fp, sub, distance)
 
@@ -177,7 +174,8 @@ def bucket_links(keyed: DataFrame, words: int, distance: int) -> DataFrame:
 
         for rows in _split(fp, np.arange(len(node)), distance):
             sub = rows.tolist()
-            _tree(fp[rows], distance, lambda p, q: join(sub[p], sub[q]))
+            for p, q in _forest(fp[rows], distance):
+                join(sub[p], sub[q])
 
     def run(batches):
         import numpy as np
@@ -216,10 +214,11 @@ def bucket_links(keyed: DataFrame, words: int, distance: int) -> DataFrame:
     return keyed.mapInPandas(run, "u long, v long")
 
 
-def near_groups(prints: DataFrame, masks: list[int], distance: int) -> DataFrame:
+def near_groups(prints: DataFrame, masks: list[int], distance: int, check=None) -> DataFrame:
     """(doc_id, w0, ..., component_id) for every row of ``prints`` (doc_id, w0, ...).
 
-    Equal fingerprints are one node from the start, so copies cost nothing further.
+    Equal fingerprints are one node from the start, so copies cost nothing further.  ``check`` may
+    thin out the links (u, v) between the nodes' smallest doc_ids.
     """
     names = [c for c in prints.columns if c != "doc_id"]
     prints = materialize(prints, "simhash")
@@ -234,11 +233,32 @@ def near_groups(prints: DataFrame, masks: list[int], distance: int) -> DataFrame
     keys = F.explode(F.array(*(key(t, m) for t, m in enumerate(masks))))
     keyed = nodes.where("node IS NOT NULL").select(keys.alias("key"), "node", *names)
     keyed = keyed.repartition("key").sortWithinPartitions("key")
-    found = components(bucket_links(keyed, len(names), distance))
+    links = bucket_links(keyed, len(names), distance)
+    found = components(check(links) if check else links)
     named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names)
 
 
+def similar(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The links (u, v) whose documents' sets of word shingles have a Jaccard similarity of at least ``least``."""
+    links = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    used = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id"))).distinct()
+    text = docs.join(used.hint("merge"), "doc_id", "left_semi").hint("merge")  # never a broadcast: these sides grow with the documents
+    both = links.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+    both = both.join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["a"], pdf["b"]):
+                x, y = set(_hashes(a, shingle).tolist()), set(_hashes(b, shingle).tolist())
+                shared = len(x & y)
+                keep.append(shared >= least * (len(x) + len(y) - shared))
+            yield pdf.loc[keep, ["u", "v"]]
+
+    return both.mapInPandas(run, "u long, v long")
+
+
 def simhash_groups(df: DataFrame, doc_id: str, text: str, shingle: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id): 64-bit SimHash classes at ``distance`` or fewer differing bits.
 
@@ -253,20 +273,24 @@ def simhash_groups(df: DataFrame, doc_id: str, text: str, shingle: int = 3, dist
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The wide form, for pairs at a Jaccard similarity of 0.8 or more on five-word shingles: such pairs
-#: differ on average in acos(2 J / (1 + J)) / pi = 15.1 % of the bits, 39 of 256.
-WIDE = {"shingle": 5, "bits": 256, "distance": 39, "blocks": 10, "permutations": 6}
+#: The wide form, for pairs at a Jaccard similarity J of 0.8 or more on five-word shingles.  Such pairs differ on
+#: average in acos(2 J / (1 + J)) / pi = 15.1 % of the bits, 39 of 256, with a standard deviation of about 6.
+WIDE = {"shingle": 5, "least": 0.8, "bits": 256, "distance": 50, "blocks": 12, "permutations": 6}
 
 
-def near_duplicate_groups(df: DataFrame, doc_id: str, text: str, shingle: int, bits: int, distance: int, blocks: int, permutations: int) -> DataFrame:
-    """(doc_id, component_id) by wide fingerprints, whose distance estimates the similarity of shingle sets.
+def near_duplicate_groups(df: DataFrame, doc_id: str, text: str, shingle: int, least: float, bits: int, distance: int, blocks: int, permutations: int) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked at a similarity of ``least`` on word shingles.
 
-    Blocks of bits / blocks bits under several permutations: pairs within blocks - 1 bits are always
-    found; at a distance d one block agrees with probability about (1 - d / bits) ** (bits / blocks),
-    and blocks * permutations of them are tried.  Edge cases as for ``simhash_groups``.
+    Wide fingerprints propose the links: blocks of bits / blocks bits under several permutations hold every pair
+    within blocks - 1 bits; at a distance d one block agrees with probability about (1 - d / bits) ** (bits /
+    blocks), and blocks * permutations of them are tried.  The links of a minimum spanning forest of
+    each bucket, by Hamming distance, are then checked exactly on the whole texts.  Edge cases as for
+    ``simhash_groups``.
     """
+    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     masks = permuted_masks(bits, blocks, permutations)
-    return near_groups(fingerprints(df, doc_id, text, shingle, bits), masks, distance).select("doc_id", "component_id")
+    found = near_groups(fingerprints(docs, "doc_id", "text", shingle, bits), masks, distance, lambda links: similar(links, docs, shingle, least))
+    return found.select("doc_id", "component_id")
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:

@@ -128,13 +128,9 @@ def test_dense_bucket_is_whole(spark, split_at, monkeypatch):
         return x
 
     for rows in simhash._split(fp, np.arange(len(fp)), 3):
-        sub = rows.tolist()
-
-        def join(p, q, sub=sub):
-            a, b = find(sub[p]), find(sub[q])
+        for p, q in simhash._forest(fp[rows], 3):
+            a, b = find(int(rows[p])), find(int(rows[q]))
             parent[max(a, b)] = min(a, b)
-
-        simhash._tree(fp[rows], 3, join)
     assert {i: find(i) for i in prints} == want
 
 
@@ -175,6 +171,13 @@ def test_near_duplicates_by_wide_prints(spark):
     assert all(got[3 * i + 2] == 3 * i + 2 for i in range(60))
 
 
+def test_links_are_checked_exactly(spark):
+    texts = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, " ".join(map(str, range(5, 105)))), (3, " ".join(map(str, range(20, 120))))], "doc_id long, text string")
+    links = spark.createDataFrame([(2, 1), (1, 2), (3, 1), (2, 3)], "u long, v long")
+    # 91 of 101 five-word runs are shared by 1 and 2, 81 of 111 by 2 and 3, 76 of 116 by 1 and 3
+    assert [tuple(r) for r in simhash.similar(links, texts, 5, 0.8).collect()] == [(1, 2)]
+
+
 # ---- decontamination -------------------------------------------------------------------------------
 
 
