@@ -46,7 +46,7 @@ def out_of_order(bounds: DataFrame, keys: list[str]) -> DataFrame:
 def unbacked_touchdown(rows: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
     """Touchdowns that the next N samples of both main wheels do not back."""
     need = steps(cfg["touchdown_s"], F.first("_dt"))
-    span = F.count_if((F.col("idx") >= F.col("touchdown_idx")) & (F.col("idx") < F.col("touchdown_idx") + F.lit(1000)) & F.col("_both") & F.col("_lead"))
+    span = F.count_if((F.col("idx") >= F.col("touchdown_idx")) & F.col("_both") & F.col("_lead"))
     w = Window.partitionBy(*keys).orderBy("idx")
     after = F.col("idx") >= F.col("touchdown_idx")
     broken = F.sum(F.when(after & ~F.col("_both"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -121,6 +121,24 @@ def fit(rows: DataFrame, network: str, features: list[str], labels: list[str], e
     return rows.select("fold_id", "role", *features, *labels).groupBy("fold_id").applyInPandas(run, f"fold_id int, network string, best_epoch int, best_val_loss double, {WEIGHTS}")
 
 
+def manifest(epochs: dict[str, int], features: dict[str, list[str]], labels: dict[str, list[str]]) -> str:
+    """A JSON document of the networks: layers, activations, column orders and training settings."""
+    import json
+
+    nets = {
+        n: {
+            "layers": [inputs, HIDDEN, HIDDEN, len(act)],
+            "hidden_activation": "silu",
+            "output_activation": list(act),
+            "features": features[n],
+            "labels": labels[n],
+            "epochs": epochs.get(n),
+        }
+        for n, (inputs, act) in NETWORKS.items()
+    }
+    return json.dumps({"networks": nets, "training": TRAINING}, indent=2, sort_keys=True)
+
+
 def load_weights(weights: DataFrame, network: str, features: list[str]) -> list:
     """[(weight, bias), ...] of one network, its shape checked."""
     import numpy as np

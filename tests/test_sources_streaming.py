@@ -32,6 +32,19 @@ def test_inventory_and_scan(spark, files):
     assert got.count() == 5 and "observa_o" in got.columns
 
 
+def test_report_and_manifest(spark, files):
+    from flightlake.operators import profile
+
+    inv = recordings.inventory(spark, files)
+    rows = recordings.scan(spark, inv)
+    cols = ["frame", "sim_time", "lat_deg"]
+    prof = profile.assign_roles(profile.column_profile(rows, cols))
+    text = recordings.qa_report(inv, prof, profile.timing_audit(rows, ["source_file"], ["input_pos"], "sim_time").where("n_rows > 1"))
+    assert "- files: 2" in text and "| a.csv | 2 | 10.00 | 0 | 0.100 |" in text and "voo_Inicio-TESTE.csv" in text
+    doc = json.loads(model.manifest({"lateral": 15}, {"lateral": schema.LATERAL_FEATURES, "longitudinal": schema.LONGITUDINAL_FEATURES}, {"lateral": schema.LATERAL_LABELS, "longitudinal": schema.LONGITUDINAL_LABELS}))
+    assert doc["networks"]["longitudinal"]["layers"] == [12, 64, 64, 2] and doc["networks"]["lateral"]["epochs"] == 15
+
+
 def test_scaler_document(spark):
     df = spark.createDataFrame([(0, "a", 1.0, 2.0, False), (0, "b", 3.0, 1.0, True)], "fold_id int, variable string, mean double, std double, degenerate boolean")
     doc = json.loads(recordings.scaler_json(df).first().json)
