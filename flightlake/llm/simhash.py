@@ -9,6 +9,7 @@ never turns into all its pairs.  Components over the forests are those over all
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 from pyspark.sql import DataFrame
@@ -152,6 +153,42 @@ def _split(fp, rows, distance: int):
                 yield from _split(fp, sub, distance)
 
 
+def _whole_buckets(batches, names: list[str]):
+    """(starts, ends, column, ...) of whole buckets, from batches of rows sorted by ``key``."""
+    import numpy as np
+
+    held = None
+    for pdf in itertools.chain(batches, [None]):
+        if pdf is not None and not len(pdf):
+            continue
+        if pdf is not None:
+            now = [pdf[c].to_numpy(np.int64) for c in ["key", *names]]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        if held is None:
+            continue
+        cut = np.flatnonzero(np.diff(held[0])) + 1
+        last = len(held[0]) if pdf is None else (cut[-1] if len(cut) else 0)
+        if pdf is not None and last == 0:
+            continue  # the bucket goes on
+        starts = np.concatenate([[0], cut]).astype(np.int64)
+        ends = np.concatenate([cut, [len(held[0])]]).astype(np.int64)
+        whole = ends <= last
+        yield starts[whole], ends[whole], *held[1:]
+        held = None if pdf is None else [x[last:] for x in held]
+
+
+def dealt(keyed: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """The rows of the ``large`` (key, m) buckets under new keys, one for each two parts of a bucket, parts of about ``most`` rows.
+
+    Every two rows of a bucket meet under one of its new keys, and no task holds more than two parts.
+    """
+    parts = F.ceil(F.col("m") / F.lit(most))
+    mine, other = F.pmod(F.xxhash64(F.lit("part"), F.col("node")), F.col("_parts")), F.col("_other")
+    rows = keyed.join(large.select("key", "m"), "key").withColumn("_parts", parts)
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    return rows.select(F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("key"), *[c for c in keyed.columns if c != "key"])
+
+
 def bucket_links(keyed: DataFrame, words: int, distance: int) -> DataFrame:
     """Spanning forests (u, v) of the links inside each bucket; keyed: (key, node, w0, ...), sorted by key in a partition."""
     names = [f"w{k}" for k in range(words)]
@@ -181,24 +218,8 @@ def bucket_links(keyed: DataFrame, words: int, distance: int) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        held = None
-        for pdf in itertools.chain(batches, [None]):
-            if pdf is not None and not len(pdf):
-                continue
-            if pdf is not None:
-                now = (pdf["key"].to_numpy(), pdf["node"].to_numpy(), pdf[names].to_numpy(np.int64).view(np.uint64))
-                held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            if held is None:
-                continue
-            key, node, fp = held
-            cut = np.flatnonzero(np.diff(key)) + 1
-            last = len(key) if pdf is None else (cut[-1] if len(cut) else 0)
-            if pdf is not None and last == 0:
-                continue  # the bucket goes on
-            starts = np.concatenate([[0], cut])
-            ends = np.concatenate([cut, [len(key)]])
-            whole = ends <= last
-            starts, ends = starts[whole], ends[whole]
+        for starts, ends, node, *w in _whole_buckets(batches, ["node", *names]):
+            fp = np.stack(w, 1).view(np.uint64)
             edges: list = []
             two = starts[ends - starts == 2]
             near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= distance
@@ -209,16 +230,14 @@ def bucket_links(keyed: DataFrame, words: int, distance: int) -> DataFrame:
             out.append(np.array(edges, np.int64).reshape(-1, 2))
             found = np.concatenate(out)
             yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
-            held = None if pdf is None else (key[last:], node[last:], fp[last:])
 
     return keyed.mapInPandas(run, "u long, v long")
 
 
-def near_groups(prints: DataFrame, masks: list[int], distance: int, check=None) -> DataFrame:
+def near_groups(prints: DataFrame, masks: list[int], distance: int) -> DataFrame:
     """(doc_id, w0, ..., component_id) for every row of ``prints`` (doc_id, w0, ...).
 
-    Equal fingerprints are one node from the start, so copies cost nothing further.  ``check`` may
-    thin out the links (u, v) between the nodes' smallest doc_ids.
+    Equal fingerprints are one node from the start, so copies cost nothing further.
     """
     names = [c for c in prints.columns if c != "doc_id"]
     prints = materialize(prints, "simhash")
@@ -234,7 +253,7 @@ def near_groups(prints: DataFrame, masks: list[int], distance: int, check=None)
     keyed = nodes.where("node IS NOT NULL").select(keys.alias("key"), "node", *names)
     keyed = keyed.repartition("key").sortWithinPartitions("key")
     links = bucket_links(keyed, len(names), distance)
-    found = components(check(links) if check else links)
+    found = components(links)
     named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names)
 
@@ -273,24 +292,191 @@ def simhash_groups(df: DataFrame, doc_id: str, text: str, shingle: int = 3, dist
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The wide form, for pairs at a Jaccard similarity J of 0.8 or more on five-word shingles.  Such pairs differ on
-#: average in acos(2 J / (1 + J)) / pi = 15.1 % of the bits, 39 of 256, with a standard deviation of about 6.
-WIDE = {"shingle": 5, "least": 0.8, "bits": 256, "distance": 50, "blocks": 12, "permutations": 6}
+#: The form of the pipeline: pairs at a Jaccard similarity of 0.8 or more on five-word shingles.
+WIDE = {"shingle": 5, "least": 0.8}
+#: Words of the parity sketch of a set, documents that the order of shingles is taken from, shingles that it names.
+SKETCH, ORDER_SAMPLE, ORDER_NAMED = 4, 10_000, 1 << 17
+#: Buckets above this many sets are not compared in one task.
+BUCKET = 2048
+
+
+def shingle_sets(docs: DataFrame, shingle: int, least: float, last=None) -> DataFrame:
+    """(doc_id, d0, d1, n, w0, ..., prefix): digest, size, parity sketch and prefix of each text's set of word shingles.
+
+    Shingles are ordered by their hash, those in ``last`` (sorted hashes, ranks) behind all others.  Sets of which one
+    holds at least the share ``least`` of the other's members have a shingle in common among the first
+    n - ceil(least n) + 1 of each: the prefix.  Bit b of the sketch is the parity of the members that hash to b.
+    """
+    names = [f"w{k}" for k in range(SKETCH)]
+    named, rank = last if last is not None else ([], [])
+
+    def run(batches):
+        import math
+
+        import numpy as np
+        import pandas as pd
+
+        known, place = np.array(named, np.uint64), np.array(rank, np.int64)
+        for pdf in batches:
+            rows = []
+            for t in pdf["text"]:
+                h = np.unique(_hashes(t, shingle))
+                n = len(h)
+                d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
+                parity = np.packbits(np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
+                order = h
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    order = h[np.argsort(np.where(known[at] == h, place[at], 0), kind="stable")]
+                first = order[: n - math.ceil(least * n - 1e-9) + 1] if n else order
+                rows.append((*d.tolist(), n, *parity.tolist(), first.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["d0", "d1", "n", *names, "prefix"])
+            out.insert(0, "doc_id", pdf["doc_id"].array)
+            yield out
+
+    kinds = "doc_id long, d0 long, d1 long, n long, " + ", ".join(f"{w} long" for w in names) + ", prefix array<long>"
+    return docs.select("doc_id", "text").mapInPandas(run, kinds)
+
+
+def common_shingles(docs: DataFrame, shingle: int):
+    """(sorted hashes, ranks) of the shingles that most documents of a bounded sample hold.
+
+    They only set the order of shingles, so which ones are named changes the work and never a result.
+    """
+    import numpy as np
+
+    share = max(1, docs.count() // ORDER_SAMPLE)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                yield pd.DataFrame({"h": np.unique(_hashes(t, shingle)).view(np.int64)})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInPandas(run, "h long")
+    rows = some.groupBy("h").count().where("count > 3").orderBy(F.desc("count"), "h").limit(ORDER_NAMED).collect()
+    h, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], count[order]
+
+
+def _may_match(n, m, apart, least: float):
+    """Whether sets of n and m members whose sketches differ in ``apart`` bits can be similar (a sketch differs in no more bits than the sets in members)."""
+    import numpy as np
+
+    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (apart * (1 + least) <= (1 - least) * (n + m) + 1e-9)
+
+
+def bucket_pairs(keyed: DataFrame, least: float) -> DataFrame:
+    """(u, v, key): pairs of nodes of one bucket that may match; keyed: (key, node, n, w0, ...), sorted by key in a partition.
+
+    A bucket with more than a few such pairs for each member gives stars only and one row (null, null, key).
+    """
+    names = [f"w{k}" for k in range(SKETCH)]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for starts, ends, key, node, n, *w in _whole_buckets(batches, ["key", "node", "n", *names]):
+            fp = np.stack(w, 1).view(np.uint64)
+
+            def passing(a, b):
+                ok = _may_match(n[a], n[b], np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64), least) & (node[a] != node[b])
+                a, b = np.broadcast_arrays(a, b)
+                return a[ok], b[ok]
+
+            sizes = ends - starts
+            found, left = [], []
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= 9)]):
+                i, j = np.triu_indices(size, 1)
+                at = starts[sizes == size][:, None]
+                for part in np.array_split(at, len(at) * len(i) // 500_000 + 1):
+                    found.append(passing((part + i).ravel(), (part + j).ravel()))
+            for a, b in zip(starts[sizes > 9].tolist(), ends[sizes > 9].tolist()):
+                mine, total = [], 0
+                for x in range(a, b - 1):
+                    mine.append(passing(np.full(b - x - 1, x), np.arange(x + 1, b)))
+                    total += len(mine[-1][0])
+                    if total > 4 * (b - a):
+                        break
+                else:
+                    found += mine
+                    continue
+                left.append(key[a])
+                rest = np.arange(a, b)
+                while len(rest) > 1:
+                    x, y = passing(np.full(len(rest) - 1, rest[0]), rest[1:])
+                    found.append((x, y))
+                    rest = np.setdiff1d(rest[1:], y, assume_unique=True)
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+            out = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]}, dtype="Int64")
+            out["key"] = pd.array([None] * len(out), "Int64")
+            yield out
+            yield pd.DataFrame({"u": pd.array([None] * len(left), "Int64"), "v": pd.array([None] * len(left), "Int64"), "key": pd.array(left, "Int64")})
+
+    return keyed.mapInPandas(run, "u long, v long, key long")
+
+
+def pairs_between(keyed: DataFrame, least: float) -> DataFrame:
+    """(u, v): all pairs of one bucket that may match and are of different components c; keyed as above with c."""
+    names = [f"w{k}" for k in range(SKETCH)]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for starts, ends, node, n, c, *w in _whole_buckets(batches, ["node", "n", "c", *names]):
+            fp, found, held = np.stack(w, 1).view(np.uint64), [], 0
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                group = np.argsort(c[a:b], kind="stable") + a
+                first = np.searchsorted(c[group], c[group], side="right")
+                for x, f in zip(group.tolist(), first.tolist()):
+                    y = group[f:]
+                    y = y[_may_match(n[x], n[y], np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64), least)]
+                    if len(y):
+                        found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+                        held += len(y)
+                    if held > 200_000:
+                        yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+                        found, held = [], 0
+            if found:
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
+
+    return keyed.mapInPandas(run, "u long, v long")
 
 
-def near_duplicate_groups(df: DataFrame, doc_id: str, text: str, shingle: int, least: float, bits: int, distance: int, blocks: int, permutations: int) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked at a similarity of ``least`` on word shingles.
+def near_duplicate_groups(df: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked at a Jaccard similarity of ``least`` on sets of word shingles.
 
-    Wide fingerprints propose the links: blocks of bits / blocks bits under several permutations hold every pair
-    within blocks - 1 bits; at a distance d one block agrees with probability about (1 - d / bits) ** (bits /
-    blocks), and blocks * permutations of them are tried.  The links of a minimum spanning forest of
-    each bucket, by Hamming distance, are then checked exactly on the whole texts.  Edge cases as for
-    ``simhash_groups``.
+    Exact: sets that similar share a shingle of their prefixes (``shingle_sets``), and every pair that does is checked on
+    the whole texts unless sizes or sketches rule it out or its members are linked already.  Equal sets are one node.  A
+    bucket with many pairs is first linked by stars; once those are checked, its pairs between different
+    components are all checked.  Edge cases as for ``simhash_groups``, with equal sets for equal fingerprints.
     """
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    masks = permuted_masks(bits, blocks, permutations)
-    found = near_groups(fingerprints(docs, "doc_id", "text", shingle, bits), masks, distance, lambda links: similar(links, docs, shingle, least))
-    return found.select("doc_id", "component_id")
+    names = ["n", *(f"w{k}" for k in range(SKETCH))]
+    prints = materialize(shingle_sets(docs, shingle, least, common_shingles(docs, shingle)), "sets")
+    # copies meet first, so each set's prefix is dealt once
+    nodes = prints.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first(F.struct(*names, "prefix")).alias("x"))
+    nodes = materialize(nodes.select("d0", "d1", "node", "x.*"), "nodes")
+    keyed = nodes.where("node IS NOT NULL").select(F.explode("prefix").alias("key"), "node", *names)
+    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where(F.col("m") > BUCKET), "hot")
+    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    found = materialize(bucket_pairs(cold, least), "pairs")
+    stars = keyed.join(hot, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    links = materialize(similar(found.where("key IS NULL").select("u", "v").unionByName(stars), docs, shingle, least), "similar")
+    left = materialize(found.where("key IS NOT NULL").select("key").distinct().unionByName(hot.select("key")), "left")
+    if left.limit(1).count():
+        rows = keyed.join(left, "key", "left_semi").join(components(links), "node", "left")
+        rows = materialize(rows.select("key", "node", *names, F.coalesce("component", "node").alias("c")), "left")
+        mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+        rows = dealt(rows, mixed, BUCKET).repartition("key").sortWithinPartitions("key")
+        links = links.unionByName(similar(pairs_between(rows, least), docs, shingle, least))
+    groups = nodes.join(components(links), "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "d0", "d1").join(groups, ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:

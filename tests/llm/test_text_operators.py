@@ -178,6 +178,39 @@ def test_links_are_checked_exactly(spark):
     assert [tuple(r) for r in simhash.similar(links, texts, 5, 0.8).collect()] == [(1, 2)]
 
 
+def jaccard_classes(texts: dict) -> dict:
+    sets = {i: set(simhash._hashes(t, 5).tolist()) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            shared = len(sets[i] & sets[j])
+            if i < j and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def exact_groups(spark, texts: dict) -> dict:
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, "doc_id", "text", **simhash.WIDE).collect()}
+
+
+def test_a_repeated_line_makes_no_near_duplicates(spark):
+    """Texts of equal fingerprints (a line of seven words, repeated) that share next to nothing else stay apart."""
+    rng = random.Random(12)
+    line = "one very common line of seven words " * 150
+    texts = {i: line + " ".join(f"w{rng.randrange(10**9)}" for _ in range(1000)) for i in range(4)}
+    texts[9] = texts[0] + " " + line  # the same set but for the seam
+    got = exact_groups(spark, texts)
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
+
+
 # ---- decontamination -------------------------------------------------------------------------------
 
 
