@@ -211,6 +211,22 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
 
 
+@pytest.mark.parametrize("bucket", [5, 2048])
+def test_families_equal_all_pairs(spark, bucket, monkeypatch):
+    """Templates whose copies lie on both sides of the threshold: no failed link hides a true one."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng, texts = random.Random(13), {}
+    for family in range(3):
+        base = [f"f{family}x{k}" for k in range(120)]
+        for _ in range(40):
+            other = list(base)
+            for _ in range(rng.randint(1, 6)):
+                other[rng.randrange(120)] = f"y{rng.randrange(40)}"
+            texts[len(texts)] = " ".join(other)
+    want = jaccard_classes(texts)
+    assert 6 < len(set(want.values())) < 110 and exact_groups(spark, texts) == want
+
+
 # ---- decontamination -------------------------------------------------------------------------------
 
 
