@@ -227,6 +227,20 @@ def test_families_equal_all_pairs(spark, bucket, monkeypatch):
     assert 6 < len(set(want.values())) < 110 and exact_groups(spark, texts) == want
 
 
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Isolated pairs of 100 shingles a text with 0.8 to 0.85 of their union shared, each found."""
+    texts = {}
+    for i in range(80):
+        words = [f"p{i}w{k}" for k in range(120)]
+        shift = 11 if i % 2 else 9  # of 104 shingles 93 or 95 are shared: 93 / 115 = 0.809 and 95 / 113 = 0.841
+        texts[2 * i], texts[2 * i + 1] = " ".join(words[:108]), " ".join(words[shift : 108 + shift])
+    texts[1000], texts[1001] = "a b c d e f g h", "b c d e f g h"  # 3 of 4
+    texts[1002], texts[1003] = "q b c d e f g h i", "b c d e f g h i"  # 4 of 5: exactly 0.8
+    got = exact_groups(spark, texts)
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(80))
+    assert got[1001] == 1001 and got[1003] == 1002
+
+
 # ---- decontamination -------------------------------------------------------------------------------
 
 
