@@ -95,12 +95,11 @@ class Scanner:
                     break
         self.marks = re.compile("|".join(sorted({re.escape(max(g, key=len)) for g in self.owners}, key=len, reverse=True)) or r"(?!)")
 
-    def best_window(self, grams: list[tuple[str, str]], k: int, around: list[int]):
-        """(dice, start, end) of the best window near the marked places: within the size bounds, the highest Dice, then the first and shortest."""
+    def windows(self, grams: list[tuple[str, str]], k: int, around: list[int]):
+        """(dice, start, end) of every window near the marked places that is within the size bounds and reaches the threshold."""
         from collections import Counter
 
         _, _, want, m, low, high = self.templates[k]
-        best = None
         done = 0
         for at in around:
             for a in range(max(done, at - high + 1, 0), at + 1):
@@ -111,10 +110,9 @@ class Scanner:
                     have[g] += 1
                     shared += have[g] <= want.get(g, 0)
                     n = b - a + 1
-                    if n >= low and (dice := 2 * shared / (m + n)) >= self.t and (best is None or dice > best[0]):
-                        best = (dice, a, b + 1)
+                    if n >= low and (dice := 2 * shared / (m + n)) >= self.t:
+                        yield dice, a, b + 1
             done = max(done, at + 1)
-        return best
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
         """(license, notice, dice, first word, words) of every occurrence: windows that overlap no better one."""
@@ -128,20 +126,14 @@ class Scanner:
                 near.setdefault(k, []).append(i)
         hits = []
         for k, around in near.items():
-            name, number, _, _, _, high = self.templates[k]
-            part = [around[0]]
-            for i in [*around[1:], None]:
-                if i is not None and i - part[-1] <= high:
-                    part.append(i)
-                    continue
-                hit = self.best_window(grams, k, part)
-                if hit:
-                    hits.append((-hit[0], hit[1], name, number, hit[2] + 1))
-                part = [i]
-        # of windows that overlap, the one with the highest coefficient stays
+            name, number = self.templates[k][:2]
+            hits += ((-dice, first, name, number, last + 1) for dice, first, last in self.windows(grams, k, around))
+        # of windows that overlap, the one with the highest coefficient stays; what it leaves free may hold others
         taken: list[tuple] = []
+        free = bytearray(b"\1" * len(ws))
         for hit in sorted(hits):
-            if all(hit[4] <= x[1] or x[4] <= hit[1] for x in taken):
+            if 0 not in free[hit[1] : hit[4]]:
+                free[hit[1] : hit[4]] = bytes(hit[4] - hit[1])
                 taken.append(hit)
         return sorted((name, number, -dice, first, last - first) for dice, first, name, number, last in taken)
 

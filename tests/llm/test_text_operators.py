@@ -321,6 +321,14 @@ def test_licence_rows(spark, odd, nothing):
     assert licenses.scan(odd, "doc_id", "text").count() == licenses.scan(nothing, "doc_id", "text").count() == 0
 
 
+def test_repeated_notices_are_all_found():
+    s, notice = licenses.Scanner(), "Licensed under the Apache License, Version 2.0. "
+    assert s.scan(notice * 1000) == [("Apache-2.0", 0, 1.0, 7 * i, 7) for i in range(1000)]
+    # the whole GPL notice wins over the shorter one that overlaps it; the copies on both sides of it stay
+    short, long = "Licensed under the GNU General Public License version 3. ", "This work is licensed under the GNU General Public License, version 3. "
+    assert [(x[1], x[3]) for x in sorted(s.scan(short + long + short), key=lambda x: x[3])] == [(1, 0), (0, 9), (1, 21)]
+
+
 # ---- toxicity --------------------------------------------------------------------------------------
 
 
