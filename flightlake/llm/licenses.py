@@ -8,7 +8,9 @@ m (2 - t) / t: these size bounds prune templates and windows.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 
@@ -72,6 +74,7 @@ class Scanner:
         from collections import Counter
 
         self.t = threshold
+        exact = Fraction(str(threshold))  # floats would cut off windows that just reach the threshold
         self.templates = []
         self.owners: dict[tuple[str, str], list[int]] = {}
         for name, notices in templates.items():
@@ -80,8 +83,8 @@ class Scanner:
                 m = sum(grams.values())
                 if not m:
                     continue
-                low, high = -(-m * threshold // (2 - threshold)), m * (2 - threshold) // threshold
-                self.templates.append((name, number, grams, m, int(low), int(high)))
+                low, high = math.ceil(m * exact / (2 - exact)), math.floor(m * (2 - exact) / exact)
+                self.templates.append((name, number, grams, m, low, high))
         # A window that reaches the threshold shares at least t (m + n) / 2 >= t m / (2 - t) bigrams, so it has one
         # of any set of template bigrams whose occurrences number more than m - t m / (2 - t); the
         # bigrams that the fewest templates have make that set.

@@ -329,6 +329,21 @@ def test_repeated_notices_are_all_found():
     assert [(x[1], x[3]) for x in sorted(s.scan(short + long + short), key=lambda x: x[3])] == [(1, 0), (0, 9), (1, 21)]
 
 
+def test_licences_at_exactly_the_threshold():
+    s = licenses.Scanner()
+    assert s.scan("Licensed under the Apache License") == [("Apache-2.0", 0, 0.8, 0, 5)]  # 4 bigrams of 6: the lower bound
+    for m in range(1, 60):
+        notice = [f"w{i}" for i in range(m + 1)]
+        one = licenses.Scanner({"X": [" ".join(notice)]})
+        low, high = -(-2 * m // 3), 3 * m // 2  # 4/5 m / (6/5) and m (6/5) / (4/5)
+        assert one.templates[0][4:] == (low, high)
+        if m % 3 == 0:
+            assert one.scan(" ".join(notice[: low + 1])) == [("X", 0, 0.8, 0, low + 1)]
+    # 4 bigrams of the notice in a window of 6, the upper bound
+    wide = licenses.Scanner({"X": ["a b c d e"]})
+    assert [x[2:] for x in wide.scan("a b c q c d e")] == [(0.8, 0, 7)]
+
+
 # ---- toxicity --------------------------------------------------------------------------------------
 
 
