@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._common import components, materialize, table
 
 SEED = 42
-#: Buckets above this many different fingerprints are first cut by further blocks (exact, see _split).
+#: Buckets above this many different fingerprints are dealt part against part.
 SPLIT_AT = 4096
 #: Fixed odd multipliers that spread one 64-bit shingle hash into further words (wide fingerprints).
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -31,23 +31,6 @@ def pigeonhole_masks(bits: int, blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(block, blocks - distance)]
 
 
-def permuted_masks(bits: int, blocks: int, permutations: int, seed: int = 7) -> list[int]:
-    """Disjoint blocks under several fixed permutations of the bit positions.
-
-    Each permutation alone holds every pair within (blocks - 1) bits; the further ones raise the
-    share of found pairs at greater distances.
-    """
-    import random
-
-    out, rng = [], random.Random(seed)
-    for _ in range(permutations):
-        order = list(range(bits))
-        rng.shuffle(order)
-        edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-        out += [sum(1 << p for p in order[a:b]) for a, b in zip(edges, edges[1:])]
-    return out
-
-
 def _hashes(text: str | None, shingle: int):
     """XXH64 (seed 42) of every word shingle, repeats included, as unsigned 64-bit numbers."""
     import numpy as np
@@ -129,52 +112,33 @@ def _forest(fp, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def _split(fp, rows, distance: int):
-    """Exact sub-buckets of a large bucket: the bits that vary in it, in (distance + 1) parts, one of which a linked pair shares."""
+def _whole_buckets(batches, names: list[str], blobs: tuple[str, ...] = ()):
+    """(starts, ends, column, ...) of whole buckets, from batches of rows sorted by ``key``; blobs: binary columns of even length, as rows of 64-bit words."""
     import numpy as np
 
-    if len(rows) <= SPLIT_AT or distance > 8:
-        yield rows
-        return
-    mine = fp[rows]
-    varies = [k * 64 + b for k in range(fp.shape[1]) for b in range(64) if 0 < ((mine[:, k] >> np.uint64(b)) & np.uint64(1)).sum() < len(rows)]
-    for part in range(distance + 1):
-        at = varies[part :: distance + 1]
-        mask = np.zeros(fp.shape[1], np.uint64)
-        for p in at:
-            mask[p // 64] |= np.uint64(1 << (p % 64))
-        _, group = np.unique(mine & mask, axis=0, return_inverse=True)
-        order = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.diff(group.ravel()[order])) + 1
-        for sub in np.split(rows[order], edges):
-            if len(sub) == len(rows) or len(sub) <= SPLIT_AT:
-                yield sub  # (a part without bits leaves all together)
-            elif len(sub) > 1:
-                yield from _split(fp, sub, distance)
-
-
-def _whole_buckets(batches, names: list[str]):
-    """(starts, ends, column, ...) of whole buckets, from batches of rows sorted by ``key``."""
-    import numpy as np
+    def columns(pdf):
+        words = [np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1) for c in blobs]
+        return [pdf["key"].to_numpy(np.int64), *(pdf[c].to_numpy(np.int64) for c in names), *words]
 
-    held = None
+    held: list = []  # the parts of one bucket, the last one so far
     for pdf in itertools.chain(batches, [None]):
-        if pdf is not None and not len(pdf):
-            continue
+        done = held
         if pdf is not None:
-            now = [pdf[c].to_numpy(np.int64) for c in ["key", *names]]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        if held is None:
-            continue
-        cut = np.flatnonzero(np.diff(held[0])) + 1
-        last = len(held[0]) if pdf is None else (cut[-1] if len(cut) else 0)
-        if pdf is not None and last == 0:
-            continue  # the bucket goes on
-        starts = np.concatenate([[0], cut]).astype(np.int64)
-        ends = np.concatenate([cut, [len(held[0])]]).astype(np.int64)
-        whole = ends <= last
-        yield starts[whole], ends[whole], *held[1:]
-        held = None if pdf is None else [x[last:] for x in held]
+            if not len(pdf):
+                continue
+            now = columns(pdf)
+            cut = np.flatnonzero(np.diff(now[0])) + 1
+            last = int(cut[-1]) if len(cut) else 0
+            if not last and held and held[0][0][0] == now[0][0]:
+                held.append(now)
+                continue
+            if last:
+                done = [*held, [x[:last] for x in now]]
+            held = [[x[last:] for x in now]]
+        if done:
+            key, *rest = (np.concatenate(x) for x in zip(*done))
+            edges = np.flatnonzero(np.diff(key)) + 1
+            yield np.concatenate([[0], edges]).astype(np.int64), np.concatenate([edges, [len(key)]]).astype(np.int64), key, *rest
 
 
 def dealt(keyed: DataFrame, large: DataFrame, most: int) -> DataFrame:
@@ -189,59 +153,43 @@ def dealt(keyed: DataFrame, large: DataFrame, most: int) -> DataFrame:
     return rows.select(F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("key"), *[c for c in keyed.columns if c != "key"])
 
 
-def bucket_links(keyed: DataFrame, words: int, distance: int) -> DataFrame:
-    """Spanning forests (u, v) of the links inside each bucket; keyed: (key, node, w0, ...), sorted by key in a partition."""
-    names = [f"w{k}" for k in range(words)]
-
-    def links(node, fp, edges):
-        import numpy as np
-
-        parent = list(range(len(node)))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
+def bucket_links(keyed: DataFrame, words: int, distance: int, most: int | None) -> DataFrame:
+    """(key, u, v): spanning forests (u, v) of the links inside each bucket; keyed: (key, node, w0, ...), sorted by key in a partition.
 
-        def join(p, q):
-            a, b = find(p), find(q)
-            if a != b:
-                parent[a] = b
-                edges.append((node[p], node[q]))
-
-        for rows in _split(fp, np.arange(len(node)), distance):
-            sub = rows.tolist()
-            for p, q in _forest(fp[rows], distance):
-                join(sub[p], sub[q])
+    A bucket of more than ``most`` rows gives one row (key, its number of rows, null) instead.
+    """
+    names = [f"w{k}" for k in range(words)]
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        for starts, ends, node, *w in _whole_buckets(batches, ["node", *names]):
-            fp = np.stack(w, 1).view(np.uint64)
-            edges: list = []
+        for starts, ends, key, node, *w in _whole_buckets(batches, ["node", *names]):
+            fp, edges, large = np.stack(w, 1).view(np.uint64), [], []
             two = starts[ends - starts == 2]
             near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= distance
             out = [np.stack([node[two[near]], node[two[near] + 1]], 1)]
             for a, b in zip(starts.tolist(), ends.tolist()):
-                if b - a > 2:
-                    links(node[a:b].tolist(), fp[a:b], edges)
+                if most and b - a > most:
+                    large.append((int(key[a]), b - a))
+                elif b - a > 2:
+                    edges += [(int(node[a + p]), int(node[a + q])) for p, q in _forest(fp[a:b], distance)]
             out.append(np.array(edges, np.int64).reshape(-1, 2))
-            found = np.concatenate(out)
-            yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+            found = np.unique(np.concatenate(out), axis=0)
+            out = pd.DataFrame({"key": pd.array([None] * len(found), "Int64"), "u": found[:, 0], "v": pd.array(found[:, 1], "Int64")})
+            more = pd.DataFrame(large, columns=["key", "u"], dtype="int64")
+            more["v"] = pd.array([None] * len(more), "Int64")
+            yield out
+            yield more
 
-    return keyed.mapInPandas(run, "u long, v long")
+    return keyed.mapInPandas(run, "key long, u long, v long")
 
 
-def near_groups(prints: DataFrame, masks: list[int], distance: int) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for every row of ``prints`` (doc_id, w0, ...).
+def fingerprint_links(nodes: DataFrame, names: list[str], masks: list[int], distance: int) -> DataFrame:
+    """Links (u, v) that join all ``nodes`` (node, names...) whose fingerprints are within ``distance``, through others or not.
 
-    Equal fingerprints are one node from the start, so copies cost nothing further.
+    Nodes share a bucket for each mask on which they agree.  Buckets above SPLIT_AT are dealt part against part.
     """
-    names = [c for c in prints.columns if c != "doc_id"]
-    prints = materialize(prints, "simhash")
-    nodes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
     full = (1 << 64) - 1
 
     def key(t: int, mask: int):
@@ -250,32 +198,14 @@ def near_groups(prints: DataFrame, masks: list[int], distance: int) -> DataFrame
         return F.xxhash64(F.lit(t), *(F.col(w).bitwiseAND(F.lit(p).cast("long")) for w, p in zip(names, signed) if p))
 
     keys = F.explode(F.array(*(key(t, m) for t, m in enumerate(masks))))
-    keyed = nodes.where("node IS NOT NULL").select(keys.alias("key"), "node", *names)
-    keyed = keyed.repartition("key").sortWithinPartitions("key")
-    links = bucket_links(keyed, len(names), distance)
-    found = components(links)
-    named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names)
-
-
-def similar(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links (u, v) whose documents' sets of word shingles have a Jaccard similarity of at least ``least``."""
-    links = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    used = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id"))).distinct()
-    text = docs.join(used.hint("merge"), "doc_id", "left_semi").hint("merge")  # never a broadcast: these sides grow with the documents
-    both = links.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    both = both.join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-
-    def run(batches):
-        for pdf in batches:
-            keep = []
-            for a, b in zip(pdf["a"], pdf["b"]):
-                x, y = set(_hashes(a, shingle).tolist()), set(_hashes(b, shingle).tolist())
-                shared = len(x & y)
-                keep.append(shared >= least * (len(x) + len(y) - shared))
-            yield pdf.loc[keep, ["u", "v"]]
-
-    return both.mapInPandas(run, "u long, v long")
+    keyed = nodes.select(keys.alias("key"), "node", *[F.col(c).alias(f"w{k}") for k, c in enumerate(names)])
+    found = materialize(bucket_links(keyed.repartition("key").sortWithinPartitions("key"), len(names), distance, SPLIT_AT), "links")
+    links = found.where("key IS NULL").select("u", "v")
+    large = found.where("key IS NOT NULL").select("key", F.col("u").alias("m"))
+    if large.limit(1).count():
+        again = dealt(keyed, large, SPLIT_AT // 2).repartition("key").sortWithinPartitions("key")
+        links = links.unionByName(bucket_links(again, len(names), distance, None).select("u", "v"))
+    return links
 
 
 def simhash_groups(df: DataFrame, doc_id: str, text: str, shingle: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -286,29 +216,58 @@ def simhash_groups(df: DataFrame, doc_id: str, text: str, shingle: int = 3, dist
     than a shingle is one shingle.  component_id is the smallest doc_id reachable.  Repeated rows come out
     repeated; rows whose doc_id is null make no links of their own but get the class of an equal
     fingerprint, else null.  Other columns are not read; an empty table gives an empty result.
+    Equal fingerprints are one node from the start, so copies cost nothing further.
     """
-    masks = pigeonhole_masks(64, blocks, distance)
-    out = near_groups(fingerprints(df, doc_id, text, shingle, 64), masks, distance)
+    prints = materialize(fingerprints(df, doc_id, text, shingle, 64), "simhash")
+    nodes = materialize(prints.groupBy("w0").agg(F.min("doc_id").alias("node")), "nodes")
+    links = fingerprint_links(nodes.where("node IS NOT NULL"), ["w0"], pigeonhole_masks(64, blocks, distance), distance)
+    named = nodes.join(components(links), "node", "left").select("w0", F.coalesce("component", "node").alias("component_id"))
+    out = prints.join(named, "w0")
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The form of the pipeline: pairs at a Jaccard similarity of 0.8 or more on five-word shingles.
-WIDE = {"shingle": 5, "least": 0.8}
-#: Words of the parity sketch of a set, documents that the order of shingles is taken from, shingles that it names.
-SKETCH, ORDER_SAMPLE, ORDER_NAMED = 4, 10_000, 1 << 17
-#: Buckets above this many sets are not compared in one task.
-BUCKET = 2048
+# ---- documents that share most of their word shingles --------------------------------------------------
+
+#: The form of the pipeline: pairs at a Jaccard similarity of 0.8 or more on sets of five-word shingles.
+NEAR = {"shingle": 5, "least": 0.8}
+#: Documents that the order of shingles is taken from, and shingles that it names: they set the work, never the result.
+ORDER_SAMPLE, ORDER_NAMED = 10_000, 1 << 17
+#: Buckets of up to SMALL sets are compared by sizes and places alone, larger ones by sketches, those above BUCKET part against part.
+SMALL, BUCKET = 12, 2048
+#: Bits of the least parity sketch, and bits of a sketch for each member of a set.
+SKETCH, SPREAD_BITS = 1024, 4
+
+
+def common_shingles(docs: DataFrame, shingle: int, hot: int):
+    """(sorted hashes, ranks, whether more than ``hot`` documents are likely to hold it) of the shingles that most documents of a bounded sample hold."""
+    import numpy as np
+
+    share = max(1, docs.count() // ORDER_SAMPLE)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            h = [np.unique(_hashes(t, shingle)) for t in pdf["text"]]
+            yield pd.DataFrame({"h": (np.concatenate(h) if h else np.zeros(0, np.uint64)).view(np.int64)})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(share)) == 0).select("text").mapInPandas(run, "h long")
+    rows = some.groupBy("h").count().where("count > 3").orderBy(F.desc("count"), "h").limit(ORDER_NAMED).collect()
+    h, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], count[order], count[order] * share > hot
 
 
-def shingle_sets(docs: DataFrame, shingle: int, least: float, last=None) -> DataFrame:
-    """(doc_id, d0, d1, n, w0, ..., prefix): digest, size, parity sketch and prefix of each text's set of word shingles.
+def shingle_sets(docs: DataFrame, shingle: int, least: float, last) -> DataFrame:
+    """(doc_id, text_hash, d0, d1, n, f, small, sketch, prefix, cold) of every text's set of word shingles.
 
-    Shingles are ordered by their hash, those in ``last`` (sorted hashes, ranks) behind all others.  Sets of which one
-    holds at least the share ``least`` of the other's members have a shingle in common among the first
-    n - ceil(least n) + 1 of each: the prefix.  Bit b of the sketch is the parity of the members that hash to b.
+    d0, d1: digest; n: size; f: 64-bit SimHash of the set; sketch: bit b is the parity of the members that hash to b, of
+    a power of two of bits (small: folded to SKETCH bits; sketch is null if that is all).  prefix: the first
+    n - ceil(least n) + 1 members in an order by frequency in a sample, rarest first; sets of which one holds at
+    least the share ``least`` of the other's members have one of them in common.  cold: members of the prefix
+    that are not known to be in very many sets.
     """
-    names = [f"w{k}" for k in range(SKETCH)]
-    named, rank = last if last is not None else ([], [])
+    named, rank, hot = last
 
     def run(batches):
         import math
@@ -316,49 +275,41 @@ def shingle_sets(docs: DataFrame, shingle: int, least: float, last=None) -> Data
         import numpy as np
         import pandas as pd
 
-        known, place = np.array(named, np.uint64), np.array(rank, np.int64)
+        known, place, very = np.array(named, np.uint64), np.array(rank, np.int64), np.array(hot, bool)
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
                 h = np.unique(_hashes(t, shingle))
                 n = len(h)
                 d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-                parity = np.packbits(np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
-                order = h
+                bits = max(SKETCH, 1 << (SPREAD_BITS * n - 1).bit_length()) if n else SKETCH
+                odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                whole = np.packbits(odd.astype(np.uint8), bitorder="little")
+                small = _fold(whole.view(np.uint64), SKETCH // 64)
+                order, cold = h, n
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    order = h[np.argsort(np.where(known[at] == h, place[at], 0), kind="stable")]
-                first = order[: n - math.ceil(least * n - 1e-9) + 1] if n else order
-                rows.append((*d.tolist(), n, *parity.tolist(), first.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["d0", "d1", "n", *names, "prefix"])
+                    hit = known[at] == h
+                    by = np.argsort(np.where(hit, place[at], 0), kind="stable")
+                    order, cold = h[by], int(n - (hit & very[at]).sum())
+                k = n - math.ceil(least * n - 1e-9) + 1 if n else 0
+                first = order[:k].view(np.int64)
+                rows.append((*d.tolist(), n, _votes(h, 1)[0], small.tobytes(), whole.tobytes() if bits > SKETCH else None, first, min(cold, k)))
+            out = pd.DataFrame(rows, columns=["d0", "d1", "n", "f", "small", "sketch", "prefix", "cold"])
             out.insert(0, "doc_id", pdf["doc_id"].array)
+            out.insert(1, "text_hash", pdf["text_hash"].array)
             yield out
 
-    kinds = "doc_id long, d0 long, d1 long, n long, " + ", ".join(f"{w} long" for w in names) + ", prefix array<long>"
-    return docs.select("doc_id", "text").mapInPandas(run, kinds)
-
-
-def common_shingles(docs: DataFrame, shingle: int):
-    """(sorted hashes, ranks) of the shingles that most documents of a bounded sample hold.
-
-    They only set the order of shingles, so which ones are named changes the work and never a result.
-    """
-    import numpy as np
-
-    share = max(1, docs.count() // ORDER_SAMPLE)
-
-    def run(batches):
-        import pandas as pd
+    kinds = "doc_id long, text_hash long, d0 long, d1 long, n long, f long, small binary, sketch binary, prefix array<long>, cold int"
+    return docs.mapInPandas(run, kinds)
 
-        for pdf in batches:
-            for t in pdf["text"]:
-                yield pd.DataFrame({"h": np.unique(_hashes(t, shingle)).view(np.int64)})
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInPandas(run, "h long")
-    rows = some.groupBy("h").count().where("count > 3").orderBy(F.desc("count"), "h").limit(ORDER_NAMED).collect()
-    h, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], count[order]
+def _fold(words, length: int):
+    """A sketch of fewer bits: position modulo the smaller length, parities added."""
+    while len(words) > length:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
 
 
 def _may_match(n, m, apart, least: float):
@@ -369,76 +320,67 @@ def _may_match(n, m, apart, least: float):
 
 
 def bucket_pairs(keyed: DataFrame, least: float) -> DataFrame:
-    """(u, v, key): pairs of nodes of one bucket that may match; keyed: (key, node, n, w0, ...), sorted by key in a partition.
+    """(key, u, v, at): pairs (u, v) of nodes of small buckets that may match, and the rows (key, node, null, at) of larger ones.
 
-    A bucket with more than a few such pairs for each member gives stars only and one row (null, null, key).
+    keyed: (key, node, c, n, at), sorted by key in a partition.  A pair of one component c is left out, and so is one
+    that has too few members behind its places in the order: similar sets pass in the bucket of their first common member.
     """
-    names = [f"w{k}" for k in range(SKETCH)]
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        for starts, ends, key, node, n, *w in _whole_buckets(batches, ["key", "node", "n", *names]):
-            fp = np.stack(w, 1).view(np.uint64)
+        for starts, ends, key, node, c, n, at in _whole_buckets(batches, ["node", "c", "n", "at"]):
+            sizes, found, rest = ends - starts, [], n - at
 
-            def passing(a, b):
-                ok = _may_match(n[a], n[b], np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64), least) & (node[a] != node[b])
-                a, b = np.broadcast_arrays(a, b)
-                return a[ok], b[ok]
-
-            sizes = ends - starts
-            found, left = [], []
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= 9)]):
+            for size in range(2, SMALL + 1):
                 i, j = np.triu_indices(size, 1)
-                at = starts[sizes == size][:, None]
-                for part in np.array_split(at, len(at) * len(i) // 500_000 + 1):
-                    found.append(passing((part + i).ravel(), (part + j).ravel()))
-            for a, b in zip(starts[sizes > 9].tolist(), ends[sizes > 9].tolist()):
-                mine, total = [], 0
-                for x in range(a, b - 1):
-                    mine.append(passing(np.full(b - x - 1, x), np.arange(x + 1, b)))
-                    total += len(mine[-1][0])
-                    if total > 4 * (b - a):
-                        break
-                else:
-                    found += mine
-                    continue
-                left.append(key[a])
-                rest = np.arange(a, b)
-                while len(rest) > 1:
-                    x, y = passing(np.full(len(rest) - 1, rest[0]), rest[1:])
-                    found.append((x, y))
-                    rest = np.setdiff1d(rest[1:], y, assume_unique=True)
-            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-            pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
-            out = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]}, dtype="Int64")
-            out["key"] = pd.array([None] * len(out), "Int64")
-            yield out
-            yield pd.DataFrame({"u": pd.array([None] * len(left), "Int64"), "v": pd.array([None] * len(left), "Int64"), "key": pd.array(left, "Int64")})
-
-    return keyed.mapInPandas(run, "u long, v long, key long")
-
-
-def pairs_between(keyed: DataFrame, least: float) -> DataFrame:
-    """(u, v): all pairs of one bucket that may match and are of different components c; keyed as above with c."""
-    names = [f"w{k}" for k in range(SKETCH)]
+                first = starts[sizes == size][:, None]
+                for part in np.array_split(first, len(first) * len(i) // 500_000 + 1):
+                    a, b = (part + i).ravel(), (part + j).ravel()
+                    ok = (c[a] != c[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
+                    ok &= np.minimum(rest[a], rest[b]) * (1 + least) >= least * (n[a] + n[b]) - 1e-9
+                    found.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = lambda k: pd.array([None] * k, "Int64")
+            yield pd.DataFrame({"key": none(len(pairs)), "u": pairs[:, 0], "v": pairs[:, 1], "at": none(len(pairs))})
+            for a, b in zip(starts[sizes > SMALL].tolist(), ends[sizes > SMALL].tolist()):
+                for x in range(a, b, 10_000):
+                    y = min(b, x + 10_000)
+                    yield pd.DataFrame({"key": key[x:y], "u": node[x:y], "v": none(y - x), "at": at[x:y]})
+
+    return keyed.mapInPandas(run, "key long, u long, v long, at long")
+
+
+def pairs_between(keyed: DataFrame, least: float, stars: bool) -> DataFrame:
+    """(u, v): pairs of one bucket that may match and are of different components c; keyed: (key, node, c, n, at, small), sorted by key.
+
+    All of them, or with ``stars`` only those of a greedy cover: a member and all that may match it, then the same among the others.
+    """
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        for starts, ends, node, n, c, *w in _whole_buckets(batches, ["node", "n", "c", *names]):
-            fp, found, held = np.stack(w, 1).view(np.uint64), [], 0
+        for starts, ends, _, node, c, n, at, sketch in _whole_buckets(batches, ["node", "c", "n", "at"], ("small",)):
+            found, held, left = [], 0, n - at
+
+            def matches(x, y):
+                y = y[c[y] != c[x]]
+                y = y[(np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9) & (np.minimum(left[x], left[y]) * (1 + least) >= least * (n[x] + n[y]) - 1e-9)]
+                return y[_may_match(n[x], n[y], np.bitwise_count(sketch[y] ^ sketch[x]).sum(1, dtype=np.int64), least)]
+
             for a, b in zip(starts.tolist(), ends.tolist()):
-                group = np.argsort(c[a:b], kind="stable") + a
-                first = np.searchsorted(c[group], c[group], side="right")
-                for x, f in zip(group.tolist(), first.tolist()):
-                    y = group[f:]
-                    y = y[_may_match(n[x], n[y], np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64), least)]
+                # members of small components first: what is left in the end is one component
+                _, which, count = np.unique(c[a:b], return_inverse=True, return_counts=True)
+                rest = a + np.lexsort((which, count[which]))
+                while len(rest) > 1 and c[rest[0]] != c[rest[-1]]:
+                    y = matches(rest[0], rest[1:])
                     if len(y):
-                        found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+                        found.append(np.stack([np.minimum(node[rest[0]], node[y]), np.maximum(node[rest[0]], node[y])], 1))
                         held += len(y)
+                    # with stars the leader's whole component is covered too: its members are joined already
+                    rest = rest[1:][~np.isin(rest[1:], y) & (c[rest[1:]] != c[rest[0]])] if stars else rest[1:]
                     if held > 200_000:
                         yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["u", "v"])
                         found, held = [], 0
@@ -448,35 +390,109 @@ def pairs_between(keyed: DataFrame, least: float) -> DataFrame:
     return keyed.mapInPandas(run, "u long, v long")
 
 
-def near_duplicate_groups(df: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked at a Jaccard similarity of ``least`` on sets of word shingles.
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The distinct pairs (u, v) of nodes whose sets have a Jaccard similarity of at least ``least``: by sizes and whole sketches, then on the texts."""
+
+    def likely(batches):
+        import numpy as np
+
+        for pdf in batches:
+            apart = []
+            for *small, a, b in zip(pdf["au"], pdf["av"], pdf["bu"], pdf["bv"]):
+                a, b = np.frombuffer(a or small[0], np.uint64), np.frombuffer(b or small[1], np.uint64)
+                length = min(len(a), len(b))
+                apart.append(int(np.bitwise_count(_fold(a, length) ^ _fold(b, length)).sum()))
+            yield pdf.loc[_may_match(pdf["nu"].to_numpy(), pdf["nv"].to_numpy(), np.array(apart, np.int64), least), ["u", "v"]]
+
+    def exact(batches):
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["a"], pdf["b"]):
+                x, y = set(_hashes(a, shingle).tolist()), set(_hashes(b, shingle).tolist())
+                shared = len(x & y)
+                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            yield pdf.loc[keep, ["u", "v"]]
 
-    Exact: sets that similar share a shingle of their prefixes (``shingle_sets``), and every pair that does is checked on
-    the whole texts unless sizes or sketches rule it out or its members are linked already.  Equal sets are one node.  A
-    bucket with many pairs is first linked by stars; once those are checked, its pairs between different
-    components are all checked.  Edge cases as for ``simhash_groups``, with equal sets for equal fingerprints.
+    ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("small").alias(f"a{x}"), F.col("sketch").alias(f"b{x}"))
+    both = ordered.join(side("u"), "u").join(side("v"), "v")
+    links = materialize(both.mapInPandas(likely, "u long, v long"), "likely")
+    used = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
+    used = used.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("text_hash"))
+    same = docs["doc_id"].eqNullSafe(used["_id"]) & (docs["text_hash"] == used["text_hash"])
+    text = docs.join(used, same).groupBy("node").agg(F.first("text").alias("text"))  # repeated rows are one
+    both = links.join(text.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    both = both.join(text.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    return materialize(both.mapInPandas(exact, "u long, v long"), "similar")
+
+
+def near_duplicate_classes(df: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): the digest of every row's set of word shingles, and the class of every distinct set.
+
+    rows: (doc_id, text_hash, d0, d1), one for each row.  sets: (d0, d1, first, class): first (no_id, doc_id, text_hash) is the row with the
+    smallest doc_id (null last), class a number without further meaning, the same for sets linked at a Jaccard similarity of ``least``.
+    1. SimHash: sets whose 64-bit fingerprints share three of six blocks and differ in at most three bits are proposed, and
+       linked if their texts are similar.  That joins most copies.
+    2. Three bits are too few for a similarity of 0.8 (about ten bits), so the rest is found exactly: similar sets share a
+       member of their prefixes (``shingle_sets``), and every pair of different components that does is checked, unless
+       sizes, places or sketches rule it out.  Buckets with many sets are linked by stars first, then searched whole.
     """
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    names = ["n", *(f"w{k}" for k in range(SKETCH))]
-    prints = materialize(shingle_sets(docs, shingle, least, common_shingles(docs, shingle)), "sets")
+    docs = df.select(df[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("text_hash"), df[text].alias("text"))
+    rows = materialize(shingle_sets(docs, shingle, least, common_shingles(docs, shingle, BUCKET)), "sets")
     # copies meet first, so each set's prefix is dealt once
-    nodes = prints.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first(F.struct(*names, "prefix")).alias("x"))
-    nodes = materialize(nodes.select("d0", "d1", "node", "x.*"), "nodes")
-    keyed = nodes.where("node IS NOT NULL").select(F.explode("prefix").alias("key"), "node", *names)
-    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where(F.col("m") > BUCKET), "hot")
-    cold = keyed.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    found = materialize(bucket_pairs(cold, least), "pairs")
-    stars = keyed.join(hot, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
-    links = materialize(similar(found.where("key IS NULL").select("u", "v").unionByName(stars), docs, shingle, least), "similar")
-    left = materialize(found.where("key IS NOT NULL").select("key").distinct().unionByName(hot.select("key")), "left")
-    if left.limit(1).count():
-        rows = keyed.join(left, "key", "left_semi").join(components(links), "node", "left")
-        rows = materialize(rows.select("key", "node", *names, F.coalesce("component", "node").alias("c")), "left")
-        mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-        rows = dealt(rows, mixed, BUCKET).repartition("key").sortWithinPartitions("key")
-        links = links.unionByName(similar(pairs_between(rows, least), docs, shingle, least))
-    groups = nodes.join(components(links), "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "d0", "d1").join(groups, ["d0", "d1"]).select("doc_id", "component_id")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = ["n", "f", "small", "sketch", "prefix", "cold"]
+    nodes = rows.groupBy("d0", "d1").agg(F.min(one).alias("first"), F.first(F.struct(*kept)).alias("x"))
+    # numbers are given out once: they are written before they are used
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "first", "x.*"), "nodes")
+    # 1.
+    same = nodes.groupBy("f").agg(F.min("node").alias("lead"))
+    links = fingerprint_links(same.withColumnRenamed("lead", "node"), ["f"], pigeonhole_masks(64, 6, 3), 3)
+    links = links.unionByName(nodes.join(same, "f").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")))
+    links = verified(links, nodes, docs, shingle, least)
+    found = components(links)
+    # 2.
+    cold, all_of = F.slice("prefix", F.lit(1), F.col("cold")), F.col("prefix")
+    listed = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "n", "cold", "prefix")
+    keyed = listed.select("node", "c", "n", F.posexplode(cold).alias("at", "key")).select("key", "node", "c", "n", F.col("at").cast("long").alias("at"))
+    pairs = materialize(bucket_pairs(keyed.repartition("key").sortWithinPartitions("key"), least), "pairs")
+    hot = nodes.where(F.size("prefix") > F.col("cold")).select("node", "cold", F.posexplode(all_of).alias("at", "key")).where("at >= cold")
+    large = pairs.where("v IS NULL").select("key", F.col("u").alias("node"), "at").unionByName(hot.select("key", "node", F.col("at").cast("long").alias("at")))
+    pairs = pairs.where("v IS NOT NULL").select("u", "v")
+    for stars in (True, False):
+        mine = large.join(found, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("c"))
+        mixed = mine.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+        mixed = materialize(mixed.select("key", "m"), "mixed")
+        some = mixed.limit(1).count()
+        if some:
+            info = mine.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", "n", "small"), "node")
+            more = pairs_between(dealt(info, mixed, BUCKET).repartition("key").sortWithinPartitions("key"), least, stars)
+            pairs = pairs.unionByName(more) if stars else more
+        if some or stars:
+            links = links.unionByName(verified(pairs, nodes, docs, shingle, least))
+            found = components(links)
+        if not some:
+            break
+    sets = nodes.join(found, "node", "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("class"))
+    return rows.select("doc_id", "text_hash", "d0", "d1"), sets
+
+
+def near_duplicate_groups(df: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """(doc_id, text_hash, component_id) for every row: classes of ``near_duplicate_classes``, by their smallest doc_id.
+
+    Null and empty texts and texts without words have the empty set and are copies of one another; shorter texts
+    than a shingle are one shingle.  A class without any doc_id has a null component_id.  Repeated rows
+    come out repeated; other columns are not read; an empty table gives an empty result.
+    """
+    rows, sets = near_duplicate_classes(df, doc_id, text, shingle, least)
+    ids = sets.groupBy("class").agg(F.min("first").alias("x")).select("class", F.col("x.doc_id").alias("component_id"))
+    return rows.join(sets.join(ids, "class").select("d0", "d1", "component_id"), ["d0", "d1"]).select("doc_id", "text_hash", "component_id")
+
+
+def near_duplicate_leaders(df: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """(doc_id, text_hash): of each class the row with the smallest doc_id (null last; of equal ids the smallest text_hash)."""
+    _, sets = near_duplicate_classes(df, doc_id, text, shingle, least)
+    return sets.groupBy("class").agg(F.min("first").alias("x")).select("x.doc_id", "x.text_hash")
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from flightlake.llm import bpe, decontamination, licenses, simhash, toxicity
+from flightlake.llm._common import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,9 +108,9 @@ def test_simhash_equals_all_pairs(spark):
 
 @pytest.mark.parametrize("split_at", [8, 10_000])
 def test_dense_bucket_is_whole(spark, split_at, monkeypatch):
+    """All fingerprints share 40 bits, so they meet in large buckets, which are dealt part against part."""
     rng = random.Random(5)
-    center = rng.getrandbits(64)
-    prints = {i: center for i in range(1)}
+    prints = {0: rng.getrandbits(64)}
     for i in range(1, 300):
         p = prints[rng.randrange(len(prints))]
         for _ in range(rng.randint(1, 4)):
@@ -117,21 +118,14 @@ def test_dense_bucket_is_whole(spark, split_at, monkeypatch):
         prints[i] = p
     want = classes(prints, 3)
     monkeypatch.setattr(simhash, "SPLIT_AT", split_at)
-    import numpy as np
-
-    fp = np.array(list(prints.values()), np.uint64).reshape(-1, 1)
-    parent = list(range(len(fp)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for rows in simhash._split(fp, np.arange(len(fp)), 3):
-        for p, q in simhash._forest(fp[rows], 3):
-            a, b = find(int(rows[p])), find(int(rows[q]))
-            parent[max(a, b)] = min(a, b)
-    assert {i: find(i) for i in prints} == want
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    nodes = spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "node long, w0 long")
+    nodes = nodes.dropDuplicates(["w0"])
+    links = simhash.fingerprint_links(nodes, ["w0"], simhash.pigeonhole_masks(64, 6, 3), 3)
+    found = {r.node: r.component for r in components(links).collect()}
+    ids = sorted(r.node for r in nodes.collect())
+    label = {i: found.get(i, i) for i in ids}
+    assert all((label[i] == label[j]) == (want[i] == want[j]) for i in ids for j in ids)
 
 
 def test_masks_hold_every_close_pair():
@@ -143,8 +137,6 @@ def test_masks_hold_every_close_pair():
         for _ in range(3):
             b ^= 1 << rng.randrange(64)
         assert any(a & m == b & m for m in masks)
-    wide = simhash.permuted_masks(256, 10, 2)
-    assert len(wide) == 20 and sum(wide[:10]) == (1 << 256) - 1
 
 
 def test_simhash_edge_cases(spark, odd, nothing):
@@ -166,16 +158,20 @@ def test_near_duplicates_by_wide_prints(spark):
         far = base[:150] + [rng.choice(words) for _ in range(150)]
         texts += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(other)), (3 * i + 2, " ".join(far))]
         pairs.append((3 * i, 3 * i + 1))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", **simhash.WIDE).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", **simhash.NEAR).collect()}
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
     assert all(got[3 * i + 2] == 3 * i + 2 for i in range(60))
 
 
 def test_links_are_checked_exactly(spark):
-    texts = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, " ".join(map(str, range(5, 105)))), (3, " ".join(map(str, range(20, 120))))], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(k, " ".join(map(str, range(a, a + 100)))) for k, a in ((1, 0), (2, 5), (3, 20), (3, 20))], "doc_id long, text string")
+    texts = texts.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
+    nodes = simhash.shingle_sets(texts.distinct(), 5, 0.8, ([], [], [])).withColumn("node", F.col("doc_id")).withColumn("first", F.struct("doc_id", "text_hash"))
     links = spark.createDataFrame([(2, 1), (1, 2), (3, 1), (2, 3)], "u long, v long")
     # 91 of 101 five-word runs are shared by 1 and 2, 81 of 111 by 2 and 3, 76 of 116 by 1 and 3
-    assert [tuple(r) for r in simhash.similar(links, texts, 5, 0.8).collect()] == [(1, 2)]
+    assert [tuple(r) for r in simhash.verified(links, nodes, texts, 5, 0.8).collect()] == [(1, 2)]
 
 
 def jaccard_classes(texts: dict) -> dict:
@@ -198,7 +194,7 @@ def jaccard_classes(texts: dict) -> dict:
 
 def exact_groups(spark, texts: dict) -> dict:
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, "doc_id", "text", **simhash.WIDE).collect()}
+    return {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(df, "doc_id", "text", **simhash.NEAR).collect()}
 
 
 def test_a_repeated_line_makes_no_near_duplicates(spark):
@@ -211,10 +207,11 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
 
 
-@pytest.mark.parametrize("bucket", [5, 2048])
-def test_families_equal_all_pairs(spark, bucket, monkeypatch):
+@pytest.mark.parametrize("small, bucket", [(12, 2048), (4, 2048), (4, 8)])
+def test_families_equal_all_pairs(spark, small, bucket, monkeypatch):
     """Templates whose copies lie on both sides of the threshold: no failed link hides a true one."""
-    monkeypatch.setattr(simhash, "BUCKET", bucket, raising=False)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng, texts = random.Random(13), {}
     for family in range(3):
         base = [f"f{family}x{k}" for k in range(120)]
