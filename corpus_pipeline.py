@@ -1,13 +1,13 @@
 """The corpus pipeline: four stages over ``documents``, each written as Parquet and read back by the next.
 
 toxicity         documents whose score reaches 0.5 go
-near_duplicates  one document of each group of exact and near copies stays, the one with the smallest doc_id
+near_duplicates  one document of each group of exact and near copies stays, the one with the smallest doc_id (null last)
 decontamination  documents that hold a benchmark item within its edit budget go
 bpe              the last stage: token counts and digests of what was kept, for a null doc_id too
 
-Rows with a null doc_id are decided by their own text in every stage but near_duplicates, which keeps
-them.  Of repeated doc_ids near_duplicates keeps one row, the other stages decide row by row.  Null and empty
-texts are scored as clean, and are copies of one another.
+Every row is decided by its own text, whether its doc_id is null or occurs again: rows that share an id but not the text are
+different documents.  Null and empty texts are scored as clean, and are copies of one another; rows that
+are equal in all columns are copies too.  Columns beyond those of documents are dropped.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(*COLUMNS)
-    groups = simhash.near_duplicate_groups(keyed, "doc_id", "text", **simhash.WIDE)
-    # the group's smallest id is the one that stays; all others are named and taken away
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")  # never a broadcast: it grows with the documents
-    kept = keyed.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    # one row of a repeated id: texts are dealt by doc_id once, for the join and for this
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    kept = kept.withColumn("_n", first).where("_n = 1").select(*COLUMNS)
-    return kept.unionByName(keyed.where("doc_id IS NULL"))
+    stay = simhash.near_duplicate_leaders(keyed, "doc_id", "text", **simhash.NEAR)
+    # rows are known by id and text; a null id counts as the least number, as equal texts are of one class anyway
+    number = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
+    stay = stay.select(number, F.col("text_hash").alias("_hash"))
+    rows = keyed.select("*", number, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")).join(stay, ["_id", "_hash"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("text", "lang", "source", "n_chars"))
+    return rows.withColumn("_n", first).where("_n = 1").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
