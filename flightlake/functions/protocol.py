@@ -57,15 +57,15 @@ COMMANDS = list(COMMAND_NODES)
 
 
 def decode(df: DataFrame, line: str = "value", fields: list[str] = TELEMETRY, whole: set[str] = WHOLE) -> DataFrame:
-    """The typed fields of every well-formed line; lines with another number of fields, or one that is no number, give no row."""
-    parts = F.split(F.trim(F.col(line)), ",")
+    """The typed fields of every well-formed line; lines with another number of fields, or one that is no number, give no row.
+
+    A line is split and cast once, to an array that is generated into a row if it is complete, so no later step repeats the split.
+    """
     rest = [c for c in df.columns if c != line]
-    df = df.select(*rest, parts.alias("_p")).where(F.size("_p") == len(fields))
-    value = {f: F.expr(f"try_cast(trim(_p[{i}]) as double)") for i, f in enumerate(fields)}
-    df = df.select(*rest, *(v.alias(f) for f, v in value.items()))
-    for f in fields:
-        df = df.where(F.col(f).isNotNull())
-    return df.select(*rest, *(F.col(f).cast("int").alias(f) if f in whole else F.col(f) for f in fields))
+    numbers = F.transform(F.split(F.trim(F.col(line)), ","), lambda x: F.trim(x).try_cast("double"))
+    complete = F.filter(F.array(numbers), lambda a: (F.size(a) == len(fields)) & F.forall(a, lambda x: x.isNotNull()))
+    got = df.select(*rest, F.explode(complete).alias("_p"))
+    return got.select(*rest, *(F.col("_p")[i].cast("int" if f in whole else "double").alias(f) for i, f in enumerate(fields)))
 
 
 def encode(values: dict[str, Column], fields: list[str] = COMMANDS) -> Column:

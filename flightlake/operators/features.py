@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Runway, runway_features
-from ..schema import LATERAL_FEATURES, LONGITUDINAL_FEATURES
-from .ordered import hold_where
+from ..functions.geometry import FPM_PER_FPS, Runway, runway_features
+from ..schema import FINAL_APPROACH, LATERAL_FEATURES, LONGITUDINAL_FEATURES, MANEUVERING, TRANSIENT
+from .ordered import hold_where, rolling_std
 from .phases import paint, variant_masks
+from .runs import first_run_by_time, islands, numbered
 
 META = ["episode_id", "session_id", "source_file", "scenario_id", "runway_id", "sim_time"]
 # Columns that only change their name.
@@ -16,11 +17,8 @@ RENAMED = {"agl_ft": "alt_agl_ft", "lateral_body_speed_fps": "vbody_fps", "flaps
 
 
 def geometry(df: DataFrame, runways: dict[str, Runway], floor_m: float = 50.0, episode: str = "episode_id") -> DataFrame:
-    """Runway features for the runway of each row; the glideslope error is held inside ``floor_m`` of the threshold."""
-    parts = [runway_features(df.where(F.col("runway_id") == k), r) for k, r in runways.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Runway features for the runway of each row, in one pass; the glideslope error is held inside ``floor_m`` of the threshold."""
+    out = runway_features(df, runways)
     return hold_where(out, [episode], ["sim_time"], "glideslope_error_deg", -F.col("along_track_m") >= floor_m, "glideslope_error_deg")
 
 
@@ -56,19 +54,80 @@ def dataset_summary(episodes: DataFrame, *tables: DataFrame, key: str = "episode
     return episodes
 
 
-def transient_end(df: DataFrame, keys: list[str], rate_hz: float, touchdown_t: str, band_kt=(55.0, 75.0), flaps_min=0.05, flaps_std=0.01, least_s=1.0, remaining_s=20.0, search_s=30.0) -> DataFrame:
-    """(keys, transient_end_t): start of the first lasting run of settled flight in the first ``search_s`` seconds.
+def transients(df: DataFrame, keys: list[str], order: list[str], rate_hz: float, touchdown: str, cfg: dict = TRANSIENT) -> DataFrame:
+    """One row per episode on the transient at its start: where settled flight begins, and what was before and after.
 
-    Settled: airspeed in the band, flaps out and unchanged over the last second, before the threshold and with time left to the touchdown.
+    df: keys, order (the time first), airspeed, flaps, along, agl and a column with the touchdown's time (null: none).
+    Settled: airspeed in the band, flaps out and unchanged over the last second, before the threshold and with time left to the
+    touchdown.  The first run of settled rows that lasts is taken; rows are searched up to the first one past ``search_s``
+    seconds, or to the touchdown if that is earlier.
     """
-    from pyspark.sql import Window
+    time = order[0]
+    w, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
+    d = numbered(df.withColumn("t", F.col(time)), keys, *order)
+    d = rolling_std(d, keys, order, "flaps", max(1, round(rate_hz)), "_sd")
+    d = d.withColumns({"_t0": F.min("t").over(whole), "_td": F.coalesce(F.min(F.when(F.col("t") >= F.col(touchdown), F.col("t"))).over(whole), F.max("t").over(whole)), "_lag": F.lag("t").over(w)})
+    ok = F.col("airspeed").between(*cfg["band_kt"]) & (F.col("flaps") > cfg["flaps_min"]) & (F.col("_sd") < cfg["flaps_std"]) & (F.col("along") < 0) & (F.col("_td") - F.col("t") >= cfg["remaining_s"])
+    searched = F.col("_lag").isNull() | ((F.col("_lag") <= F.col("_t0") + cfg["search_s"]) & (F.col("_lag") < F.col("_td")))
+    d = d.withColumn("_ok", F.coalesce(ok & searched, F.lit(False)))
+    found = first_run_by_time(islands(d, keys, "t", F.col("_ok")), keys, cfg["least_s"]).select(*keys, F.col("start_t").alias("_end"), F.col("start_idx").alias("_at"))
+    here = lambda c: F.max(F.when(F.col("idx") == F.col("_at"), F.col(c)))
+    first = lambda c: F.min_by(c, "idx")
+    got = d.join(found, keys, "left").groupBy(*keys).agg(
+        F.coalesce(F.bool_or(F.col("_at").isNotNull()), F.lit(False)).alias("detected"),
+        F.min("t").alias("t_start_s"), F.max("_end").alias("t_transient_end_s"), (F.max("_end") - F.min("t")).alias("duration_removed_s"),
+        F.count_if(F.col("t") < F.col("_end")).alias("n_samples_removed_from_baseline_core"), F.count("*").alias("n_samples_total"),
+        first("airspeed").alias("airspeed_kt_before"), here("airspeed").alias("airspeed_kt_after"), first("flaps").alias("flaps_before"), here("flaps").alias("flaps_after"),
+        (-here("along")).alias("distance_to_threshold_m_at_end"), here("agl").alias("agl_ft_at_end"),
+    )
+    why = F.when(F.col("detected"), "auto_detected").otherwise("not_detected_within_max_search_window_keep_full_episode_REVIEW_NEEDED")
+    return got.withColumn("reason", why)
+
+
+def _first_lasting(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, condition, least_s: float) -> DataFrame:
+    """(keys, idx, t): where the first run begins that lasts, among rows low..high."""
+    d = numbered(df.withColumn("t", F.col(order[0])), keys, *order)
+    flag = condition(d.withColumn("_low", F.max(F.when(F.col("idx") == F.col(low), F.struct("flaps"))).over(Window.partitionBy(*keys))))
+    inside = flag.where(F.col("idx").between(F.col(low), F.col(high)))
+    return first_run_by_time(islands(inside, keys, "t", F.col("_ok")), keys, least_s).select(*keys, F.col("start_idx").alias("idx"), F.col("start_t").alias("t"))
+
+
+def final_approach(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, cfg: dict = FINAL_APPROACH) -> DataFrame:
+    """(keys, idx, t): where the final approach is established among the rows low..high (columns): aligned, near the line, before the threshold, descending.
+
+    df: keys, order (the time first), heading_error_deg, cross_track_error_m, along_track_m, vertical_speed_fps, flaps.
+    """
+
+    def condition(d: DataFrame) -> DataFrame:
+        ok = (F.abs("heading_error_deg") <= cfg["heading_deg"]) & (F.abs("cross_track_error_m") <= cfg["cross_m"]) & (F.col("along_track_m") <= cfg["along_m"])
+        return d.withColumn("_ok", F.coalesce(ok & (F.col("vertical_speed_fps") * FPM_PER_FPS <= cfg["sink_fpm"]), F.lit(False)))
 
-    from .ordered import rolling_std
-    from .runs import first_run_by_time, islands, numbered
+    return _first_lasting(df, keys, order, low, high, condition, cfg["least_s"])
 
-    d = numbered(df, keys, "t")
-    d = rolling_std(d, keys, ["t"], "flaps", max(1, round(rate_hz)), "_sd")
-    d = d.withColumn("_t0", F.min("t").over(Window.partitionBy(*keys)))
-    ok = F.col("airspeed").between(*band_kt) & (F.col("flaps") > flaps_min) & (F.col("_sd") < flaps_std) & (F.col("along") < 0) & (F.col(touchdown_t) - F.col("t") >= remaining_s)
-    d = d.where((F.col("t") <= F.col("_t0") + search_s) & (F.col("t") <= F.col(touchdown_t)))
-    return first_run_by_time(islands(d, keys, "t", ok), keys, least_s).select(*keys, F.col("start_t").alias("transient_end_t"))
+
+def approach_maneuvering(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, cfg: dict = MANEUVERING) -> DataFrame:
+    """(keys, idx, t): where the preparation of the approach begins: turned to the runway, and sinking or with more flaps than on row ``low``."""
+
+    def condition(d: DataFrame) -> DataFrame:
+        ok = (F.abs("heading_error_deg") <= cfg["heading_deg"]) & ((F.col("vertical_speed_fps") < cfg["sink_fps"]) | (F.col("flaps") > F.col("_low.flaps") + cfg["flaps_more"]))
+        return d.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+
+    return _first_lasting(df, keys, order, low, high, condition, cfg["least_s"])
+
+
+def approach_starts(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, preparing: dict = MANEUVERING, established: dict = FINAL_APPROACH) -> DataFrame:
+    """(keys, approach_maneuvering_s, final_approach_established_s, ..._detection): both starts with the published fallbacks.
+
+    Without a detected preparation it begins on row ``low``; without a detected final approach that begins with the preparation.
+    """
+    both = [f(df, keys, order, low, high, cfg).select(*keys, F.col("t").alias(n)) for f, cfg, n in ((approach_maneuvering, preparing, "_am"), (final_approach, established, "_fa"))]
+    d = numbered(df.withColumn("t", F.col(order[0])), keys, *order)
+    base = d.groupBy(*keys).agg(F.max(F.when(F.col("idx") == F.col(low), F.col("t"))).alias("_low"))
+    for b in both:
+        base = base.join(b, keys, "left")
+    am = F.coalesce("_am", "_low")
+    how = lambda c, other: F.when(F.col(c).isNotNull(), "auto_detected").otherwise(f"not_detected_automatically_defaulted_to_{other}_REVIEW_NEEDED")
+    return base.select(
+        *keys, am.alias("approach_maneuvering_s"), how("_am", "end_of_airborne_gap").alias("approach_maneuvering_detection"),
+        F.coalesce(F.col("_fa"), am).alias("final_approach_established_s"), how("_fa", "approach_maneuvering_start").alias("final_approach_established_detection"),
+    )

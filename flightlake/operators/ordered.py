@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import carried, schema_with
+
 
 def _w(keys, order):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -64,24 +66,27 @@ def is_increasing(df: DataFrame, keys: list[str], position: list[str], time: str
 def rate_limited(df: DataFrame, keys: list[str], order: list[str], limits: dict[str, tuple[float, float | None]]) -> DataFrame:
     """Adds <column>_out: each step moves from the last output towards the target by at most the limit.
 
-    limits: column -> (most per step, first output's predecessor; None: the first output is the first target).
-    The recursion is a fold over an episode's rows, which are one group; numbers only, a few per row.
+    limits: column -> (most per step, first output's predecessor; None: the first output is the first target).  A row
+    without a target holds the last output.  One pass, with the last outputs carried along.
     """
-    cols = list(limits)
-    one = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).cast("double").alias(c) for c in cols])
-    rows = df.withColumn("_row", F.struct(*df.columns)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(one.alias("o"), F.col("_row").alias("row")))).alias("a"))
-    start = F.struct(
-        F.array().cast("array<struct<" + ", ".join(f"{c}:double" for c in cols) + ">>").alias("out"),
-        *[F.lit(limits[c][1]).cast("double").alias(c) for c in cols],
-    )
-
-    def step(s, r):
-        new = {c: F.coalesce(s[c] + F.greatest(F.lit(-limits[c][0]), F.least(F.lit(limits[c][0]), r["o"][c] - s[c])), r["o"][c]) for c in cols}
-        return F.struct(F.concat(s["out"], F.array(F.struct(*[v.alias(c) for c, v in new.items()]))).alias("out"), *[v.alias(c) for c, v in new.items()])
-
-    rows = rows.withColumn("out", F.aggregate("a", start, step)["out"])
-    rows = rows.select(F.explode(F.arrays_zip("a", "out")).alias("z"))
-    return rows.select("z.a.row.*", *[F.col(f"z.out.{c}").alias(f"{c}_out") for c in cols])
+
+    def start():
+        last = {c: first for c, (_, first) in limits.items()}
+
+        def step(pdf):
+            out = {}
+            for c, (most, _) in limits.items():
+                y, got = last[c], []
+                for x in pdf[c].astype("float64").tolist():
+                    if x == x:  # a missing target is NaN here
+                        y = x if y is None else y + max(-most, min(most, x - y))
+                    got.append(y)
+                last[c], out[f"{c}_out"] = y, got
+            return pdf.assign(**out)
+
+        return step
+
+    return carried(df, keys, order, start, schema_with(df, {f"{c}_out": "double" for c in limits}))
 
 
 def latest_only(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

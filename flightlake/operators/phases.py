@@ -1,8 +1,9 @@
 """Flight phases: painting by boundaries, and the landing state machine from runs of contact.
 
 Touchdown is the first run of both main wheels that is long enough, rollout the first run of any
-wheel from there on that is; both are picked among islands.  Only the end of the rollout depends on
-runs that exclude one another and is folded over the rows after the rollout's start.
+wheel from there on that is.  The end of the rollout depends on runs that exclude one another: slow rows,
+and rows without contact.  Which of the two a row belongs to is told by the last row that can be
+only one of them, so these are islands too.  All windows share one partitioning and one order.
 """
 
 from __future__ import annotations
@@ -37,90 +38,70 @@ def variant_masks(phase: Column, time: Column, transient_end: Column) -> dict[st
     }
 
 
+def _on(c: str) -> Column:
+    return F.coalesce(F.col(c) == 1, F.lit(False))
+
+
 def landing_rows(df: DataFrame, keys: list[str], post_rollout_gap: str = "flare", cfg: dict = LANDING) -> DataFrame:
     """Adds the landing phase and the indexes it rests on to rows at or after the flare.
 
-    df: keys, idx, t, agl, gs, thr, left, right, nose (0/1 or null), already cut to the window.  Adds
-    candidate_idx, touchdown_idx, rollout_idx, complete_idx, complete_reason and phase (null: still in the flare).
+    df: keys, idx (without gaps), t, agl, gs, thr, left, right, nose (0/1 or null), already cut to the window; further
+    columns are kept.  Adds candidate_idx, touchdown_idx, rollout_idx, complete_idx, complete_reason and phase (null: still in the flare).
     post_rollout_gap: rows between the rollout's first run and its end that belong to neither stay null
     with "flare" (as the published tables have them) and are ROLLOUT with "rollout".
     """
-    on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     w, whole = Window.partitionBy(*keys).orderBy("idx"), Window.partitionBy(*keys)
-    d = df.withColumns({"_main": on("left") | on("right"), "_both": on("left") & on("right"), "_any": on("left") | on("right") | on("nose")})
-    d = d.withColumn("_lag", F.lag("t").over(w))
-    d = d.withColumn("_dt", F.coalesce(F.percentile(F.col("t") - F.col("_lag"), F.lit(0.5)).over(whole), F.lit(0.1)))
-    d = mark_runs(d, keys, ["idx"], F.col("_both"), "_br")
-    run = Window.partitionBy(*keys, "_br")
-    long_both = F.col("_br").isNotNull() & (F.count("*").over(run) >= steps(cfg["touchdown_s"], F.col("_dt")))
-    d = d.withColumn("_tb", long_both)
-    d = d.withColumns({"candidate_idx": F.min(F.when(F.col("_main"), F.col("idx"))).over(whole), "touchdown_idx": F.min(F.when(F.col("_tb"), F.col("idx"))).over(whole)})
-    # contact after the touchdown; a run that began before it is cut there
-    d = mark_runs(d, keys, ["idx"], F.col("_any") & (F.col("idx") >= F.col("touchdown_idx")), "_ar")
-    run = Window.partitionBy(*keys, "_ar")
-    d = d.withColumn("_ra", F.col("_ar").isNotNull() & (F.count("*").over(run) >= steps(cfg["rollout_s"], F.col("_dt"))))
-    d = d.withColumn("rollout_idx", F.min(F.when(F.col("_ra"), F.col("idx"))).over(whole))
-    d = d.withColumn("_rr", F.min(F.when(F.col("_ra"), F.col("_ar"))).over(whole))
-    ends = rollout_end(d, keys, cfg)
-    d = d.join(ends, keys, "left")
-    i = F.col("idx")
+    so_far, i = w.rowsBetween(Window.unboundedPreceding, 0), F.col("idx")
+    begins = lambda flag: F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))
+    ends = lambda flag: F.col(flag) & ~F.coalesce(F.lead(flag).over(w), F.lit(False))
+    first_of = lambda ok, x: F.min(F.when(ok, x)).over(whole)
+
+    d = df.withColumns({"_main": _on("left") | _on("right"), "_both": _on("left") & _on("right"), "_any": _on("left") | _on("right") | _on("nose")})
+    d = d.withColumns({"_step": F.col("t") - F.lag("t").over(w), "_bf": begins("_both"), "_af": begins("_any"), "_be": ends("_both"), "_ae": ends("_any")})
+    d = d.withColumns({"_bs": F.last(F.when(F.col("_bf"), i), ignorenulls=True).over(so_far), "_as": F.last(F.when(F.col("_af"), i), ignorenulls=True).over(so_far)})
+    d = d.withColumns({"_dt": F.coalesce(F.percentile("_step", F.lit(0.5)).over(whole), F.lit(0.1)), "candidate_idx": first_of(F.col("_main"), i)})
+    long_both = F.col("_be") & (i - F.col("_bs") + 1 >= steps(cfg["touchdown_s"], F.col("_dt")))
+    d = d.withColumn("touchdown_idx", first_of(long_both, F.col("_bs")))
+    # contact from the touchdown on; a run that began before it is cut there
+    cut = F.greatest("_as", "touchdown_idx")
+    long_any = F.col("_ae") & (i >= F.col("touchdown_idx")) & (i - cut + 1 >= steps(cfg["rollout_s"], F.col("_dt")))
+    d = d.withColumn("_ro", first_of(long_any, F.struct(cut.alias("start"), i.alias("end")))).withColumn("rollout_idx", F.col("_ro.start"))
+    d = _rollout_end(d, w, whole, cfg)
     gap = F.lit("ROLLOUT") if post_rollout_gap == "rollout" else F.lit(None).cast("string")
     phase = (
         F.when(i >= F.col("complete_idx"), "COMPLETE")
-        .when(F.col("_ar") == F.col("_rr"), "ROLLOUT")
+        .when((i >= F.col("rollout_idx")) & (i <= F.col("_ro.end")), "ROLLOUT")
         .when(i >= F.col("rollout_idx"), gap)
         .when((i >= F.col("touchdown_idx")) & F.col("_any"), "TOUCHDOWN_CONFIRMED")
         .when(i >= F.col("touchdown_idx"), "BOUNCE")
         .when(F.col("_main"), "CONTACT_CANDIDATE")
     )
-    return d.withColumn("phase", phase).drop("_lag", "_br", "_tb", "_ar", "_ra", "_rr")
+    return d.withColumn("phase", phase).drop("_step", "_bf", "_af", "_be", "_ae", "_bs", "_as", "_ro")
 
 
-def rollout_end(d: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
-    """(keys, complete_idx, complete_reason) for episodes with a rollout: a fold over the rows from its start.
+def _rollout_end(d: DataFrame, w, whole, cfg: dict) -> DataFrame:
+    """Adds complete_idx and complete_reason to rows of episodes with a rollout.
 
-    A run opens on a slow row or, failing that, on one without contact, and goes on while its own
-    condition holds.  A slow run that lasts ends the rollout at its start; so does one without contact that
-    climbs with more speed or throttle.
+    From the rollout's start a run opens on a slow row or, failing that, on one without contact, and goes on while its own
+    condition holds.  The first slow run that lasts ends the rollout at its start; so does one without contact that climbs with
+    more speed or throttle.
     """
     slow, air = F.coalesce(F.col("gs") < cfg["complete_kt"], F.lit(False)), ~F.col("_any")
-    row = F.struct("idx", "gs", "agl", "thr", slow.alias("slow"), air.alias("air"))
-    per = d.where(F.col("idx") >= F.col("rollout_idx")).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("_dt").alias("_dt"), F.max("idx").alias("last"))
-    num = lambda k: F.lit(None).cast(k)
-    start = F.struct(
-        F.lit("").alias("mode"), num("long").alias("from"), F.lit(0).cast("long").alias("n"), num("double").alias("gs0"), num("double").alias("agl0"),
-        num("double").alias("gs1"), num("double").alias("agl1"), num("double").alias("thr1"), num("long").alias("idx"), F.lit("").alias("reason"),
-    )
-    few, many = steps(cfg["complete_s"], F.col("_dt")), steps(cfg["liftoff_s"], F.col("_dt"))
-
-    def verdict(s):
-        lifted = (s["n"] >= many) & (s["agl1"] > s["agl0"]) & ((s["gs1"] > s["gs0"] + cfg["liftoff_gain_kt"]) | (s["thr1"] >= cfg["liftoff_throttle"]))
-        return F.when((s["mode"] == "slow") & (s["n"] >= few), "groundspeed_below_threshold").when((s["mode"] == "air") & lifted, "liftoff_after_rollout_touch_and_go").otherwise("")
-
-    def step(s, r):
-        goes_on = ((s["mode"] == "slow") & r["slow"]) | ((s["mode"] == "air") & r["air"])
-        ended = F.when(goes_on, "").otherwise(verdict(s))
-        mode = F.when(goes_on, s["mode"]).when(r["slow"], "slow").when(r["air"], "air").otherwise("")
-        fresh = ~goes_on
-        new = F.struct(
-            mode.alias("mode"),
-            F.when(fresh, r["idx"]).otherwise(s["from"]).cast("long").alias("from"),
-            F.when(fresh, F.lit(1)).otherwise(s["n"] + 1).cast("long").alias("n"),
-            F.when(fresh, r["gs"]).otherwise(s["gs0"]).cast("double").alias("gs0"),
-            F.when(fresh, r["agl"]).otherwise(s["agl0"]).cast("double").alias("agl0"),
-            r["gs"].cast("double").alias("gs1"),
-            r["agl"].cast("double").alias("agl1"),
-            r["thr"].cast("double").alias("thr1"),
-            F.when(ended != "", s["from"]).cast("long").alias("idx"),
-            ended.alias("reason"),
-        )
-        return F.when(s["reason"] != "", s).otherwise(new)
-
-    done = F.aggregate("rows", start, step)
-    per = per.withColumn("s", done)
-    tail = F.when(F.col("s.reason") != "", F.col("s.reason")).otherwise(verdict(F.col("s")))
-    at = F.when(F.col("s.reason") != "", F.col("s.idx")).otherwise(F.col("s.from"))
-    return per.select(*keys, F.when(tail != "", at).otherwise(F.col("last")).alias("complete_idx"), F.when(tail != "", tail).otherwise("end_of_recording_window").alias("complete_reason"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.when(slow & ~air, "slow").when(air & ~slow, "air").when(~slow & ~air, "none")
+    d = d.withColumn("_k", F.when(F.col("idx") >= F.col("rollout_idx"), kind))
+    # a row that could be of either run goes on with the run before it, and opens a slow one if there is none
+    last = F.last("_k", ignorenulls=True).over(so_far)
+    d = d.withColumn("_m", F.when(F.col("idx") >= F.col("rollout_idx"), F.when(last == "air", F.when(air, "air")).when(slow, "slow")))
+    d = d.withColumns({"_opens": F.col("_m").isNotNull() & ~F.col("_m").eqNullSafe(F.lag("_m").over(w)), "_closes": F.col("_m").isNotNull() & ~F.col("_m").eqNullSafe(F.lead("_m").over(w))})
+    d = d.withColumn("_s", F.last(F.when(F.col("_opens"), F.struct("idx", "gs", "agl")), ignorenulls=True).over(so_far))
+    n, dt = F.col("idx") - F.col("_s.idx") + 1, F.col("_dt")
+    lifted = (n >= steps(cfg["liftoff_s"], dt)) & (F.col("agl") > F.col("_s.agl")) & ((F.col("gs") > F.col("_s.gs") + cfg["liftoff_gain_kt"]) | (F.col("thr") >= cfg["liftoff_throttle"]))
+    reason = F.when((F.col("_m") == "slow") & (n >= steps(cfg["complete_s"], dt)), "groundspeed_below_threshold").when((F.col("_m") == "air") & lifted, "liftoff_after_rollout_touch_and_go")
+    found = F.min(F.when(F.col("_closes") & reason.isNotNull(), F.struct(F.col("_s.idx").alias("idx"), reason.alias("reason")))).over(whole)
+    d = d.withColumns({"_e": found, "_z": F.max("idx").over(whole)})
+    rolled = F.col("rollout_idx").isNotNull()
+    return d.withColumns({"complete_idx": F.when(rolled, F.coalesce("_e.idx", "_z")), "complete_reason": F.when(rolled, F.coalesce("_e.reason", F.lit("end_of_recording_window")))}).drop("_k", "_m", "_opens", "_closes", "_s", "_e", "_z")
 
 
 def boundaries(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,65 +139,81 @@ def contact_records(rows: DataFrame, keys: list[str]) -> DataFrame:
     return loose.unionByName(b.select(*keys, F.lit("bounce").alias("kind"), "start_s", "end_s", "duration_s", "max_agl_ft_during_gap"))
 
 
-def review_flags(rows: DataFrame, records: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
-    """(keys, flag) for people to look at: long loose contacts, no contact, no touchdown, no rollout."""
-    long = records.where((F.col("kind") == "unconfirmed_intermittent_contact") & (F.col("duration_s") >= cfg["long_candidate_s"])).select(*keys, F.lit("long_unconfirmed_CONTACT_CANDIDATE_interval").alias("flag"))
+def review_flags(rows: DataFrame, records: DataFrame, keys: list[str], cfg: dict = LANDING, flare: DataFrame | None = None) -> DataFrame:
+    """(keys, flag) for people to look at: long loose contacts (one flag each), no contact, no touchdown, no rollout, no flare.
+
+    flare: (keys, found) tells whether the height of the flare was reached.
+    """
+    loose = records.where((F.col("kind") == "unconfirmed_intermittent_contact") & (F.col("duration_s") >= cfg["long_candidate_s"]))
+    long = loose.select(
+        *keys,
+        F.format_string(f"long_unconfirmed_CONTACT_CANDIDATE_interval: t=[%.2f,%.2f]s duration=%.2fs (>= diagnostic threshold {cfg['long_candidate_s']}s)", "start_s", "end_s", "duration_s").alias("flag"),
+    )
     per = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("candidate_idx", "touchdown_idx", "rollout_idx")])
     flag = (
         F.when(F.col("candidate_idx").isNull(), "no_main_gear_contact_found_in_window")
         .when(F.col("touchdown_idx").isNull(), "touchdown_never_confirmed")
         .when(F.col("rollout_idx").isNull(), "window_ended_before_rollout_confirmed_after_touchdown")
     )
-    return long.unionByName(per.select(*keys, flag.alias("flag")).where("flag IS NOT NULL"))
+    out = long.unionByName(per.select(*keys, flag.alias("flag")).where("flag IS NOT NULL"))
+    if flare is not None:
+        out = out.unionByName(flare.where("NOT found").select(*keys, F.lit("flare_not_detected_via_agl_threshold_REVIEW_NEEDED").alias("flag")))
+    return out
 
 
-def transitions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, previous_state, new_state, idx, t, reason) for every change of state, at the row where it shows.
+def transitions(rows: DataFrame, keys: list[str], cfg: dict = LANDING, values: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, previous_state, new_state, idx, t, values..., reason) for every change of state, at the row where it shows.
 
-    A loose contact and a bounce end on their own last row, back in the flare.
+    A loose contact and a bounce end on their own last row, back in the flare.  values: columns of that row to carry along,
+    such as height, speeds, wheels and compressions.
     """
     w = Window.partitionBy(*keys).orderBy("idx")
     p = F.coalesce("phase", F.lit("FLARE"))
     d = rows.withColumn("_p", p).withColumns({"_before": F.lag(p).over(w), "_after": F.lead(p).over(w)})
-    i, new = F.col("idx"), lambda a, b, why, ok: F.when(ok, F.struct(F.lit(a).alias("previous_state"), F.lit(b).alias("new_state"), why.alias("reason")))
+    i, new = F.col("idx"), lambda n, a, b, why, ok: F.when(ok, F.struct(F.lit(n).alias("place"), F.lit(a).alias("previous_state"), F.lit(b).alias("new_state"), why.alias("reason")))
     changed = ~F.col("_p").eqNullSafe(F.col("_before"))
     first = F.when(i == F.col("candidate_idx"), "first_main_gear_contact").otherwise("renewed_main_gear_contact_after_unconfirmed_loss")
     cand = (F.col("_p") == "CONTACT_CANDIDATE") & changed
     straight = (i == F.col("touchdown_idx")) & ~F.coalesce(F.col("_before") == "CONTACT_CANDIDATE", F.lit(False))
     lost = (F.col("_p") == "CONTACT_CANDIDATE") & F.coalesce(F.col("_after") == "FLARE", F.lit(True))
+    lasted = lambda what, s: F.format_string(f"{what}_in_contact_for_%d_consecutive_samples(>={cfg[s]}s_at_dt=%.4fs)", steps(cfg[s], F.col("_dt")), F.col("_dt"))
     found = F.array_compact(
         F.array(
-            new("FLARE", "CONTACT_CANDIDATE", first, cand | straight),
-            new("CONTACT_CANDIDATE", "FLARE", F.lit("contact_lost_before_touchdown_confirmation_unconfirmed_intermittent_contact"), lost),
-            new("CONTACT_CANDIDATE", "TOUCHDOWN_CONFIRMED", F.lit("both_main_gear_in_contact"), i == F.col("touchdown_idx")),
-            new("TOUCHDOWN_CONFIRMED", "BOUNCE", F.lit("confirmed_main_gear_contact_lost"), (F.col("_p") == "BOUNCE") & changed),
-            new("BOUNCE", "FLARE", F.lit("bounce_recoverable_return_to_flare"), (F.col("_p") == "BOUNCE") & F.coalesce(F.col("_after") != "BOUNCE", F.lit(True))),
-            new("TOUCHDOWN_CONFIRMED", "ROLLOUT", F.lit("any_gear_in_contact"), i == F.col("rollout_idx")),
-            new("ROLLOUT", "COMPLETE", F.col("complete_reason"), i == F.col("complete_idx")),
+            new(0, "FLARE", "CONTACT_CANDIDATE", first, cand | straight),
+            new(1, "CONTACT_CANDIDATE", "FLARE", F.lit("contact_lost_before_touchdown_confirmation_unconfirmed_intermittent_contact"), lost),
+            new(2, "CONTACT_CANDIDATE", "TOUCHDOWN_CONFIRMED", lasted("both_main_gear", "touchdown_s"), i == F.col("touchdown_idx")),
+            new(3, "TOUCHDOWN_CONFIRMED", "BOUNCE", F.lit("confirmed_main_gear_contact_lost"), (F.col("_p") == "BOUNCE") & changed),
+            new(4, "BOUNCE", "FLARE", F.lit("bounce_recoverable_return_to_flare"), (F.col("_p") == "BOUNCE") & F.coalesce(F.col("_after") != "BOUNCE", F.lit(True))),
+            new(5, "TOUCHDOWN_CONFIRMED", "ROLLOUT", lasted("any_gear", "rollout_s"), i == F.col("rollout_idx")),
+            new(6, "ROLLOUT", "COMPLETE", F.col("complete_reason"), i == F.col("complete_idx")),
         )
     )
-    return d.select(*keys, "idx", "t", F.explode(found).alias("x")).select(*keys, "x.previous_state", "x.new_state", "idx", "t", "x.reason")
+    return d.select(*keys, "idx", "t", *values, F.explode(found).alias("x")).select(*keys, "x.previous_state", "x.new_state", "idx", "t", *values, "x.reason")
 
 
 def circuit_landing(df: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
     """The older segmenter, by times: (keys, candidate_idx, touchdown_idx, tier, rollout_idx).
 
     Touchdown is the first run that lasts of both main wheels, else of one of them, else of any wheel (as long
-    as a rollout); the rollout is the first lasting run of any wheel from there, else the touchdown.
+    as a rollout); the rollout is the first lasting run of any wheel from there, else the touchdown.  Runs that began before the
+    first contact of a main wheel, or for the rollout before the touchdown, are cut there.
     """
-    from .runs import first_run_by_time, islands
-
-    on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
-    both, main, any_wheel = on("left") & on("right"), on("left") | on("right"), on("left") | on("right") | on("nose")
-    cand = df.where(main).groupBy(*keys).agg(F.min("idx").alias("candidate_idx"))
-    d = df.join(cand, keys).where(F.col("idx") >= F.col("candidate_idx"))
-    picks = cand
-    for n, (flag, least) in enumerate(((both, cfg["touchdown_s"]), (main, cfg["touchdown_s"]), (any_wheel, cfg["rollout_s"]))):
-        got = first_run_by_time(islands(d, keys, "t", flag), keys, least).select(*keys, F.col("start_idx").alias(f"_t{n}"))
-        picks = picks.join(got, keys, "left")
-    picks = picks.withColumn("touchdown_idx", F.coalesce("_t0", "_t1", "_t2"))
+    w, whole = Window.partitionBy(*keys).orderBy("idx"), Window.partitionBy(*keys)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    flags = {"both": _on("left") & _on("right"), "main": _on("left") | _on("right"), "any": _on("left") | _on("right") | _on("nose")}
+    here = F.struct("idx", "t")
+    d = df.withColumns({f"_{k}": c for k, c in flags.items()})
+    edge = lambda k, other: F.col(f"_{k}") & ~F.coalesce(other(f"_{k}").over(w), F.lit(False))
+    d = d.withColumns({f"_{k}1": edge(k, F.lag) for k in flags} | {f"_{k}2": edge(k, F.lead) for k in flags})
+    d = d.withColumns({f"_{k}s": F.last(F.when(F.col(f"_{k}1"), here), ignorenulls=True).over(so_far) for k in flags} | {"_c": F.min(F.when(F.col("_main"), here)).over(whole)})
+
+    def lasting(k: str, least: float, cut: str) -> Column:
+        """The start of a run that ends on this row, cut at ``cut``, if it lasts."""
+        start = F.greatest(f"_{k}s", cut)
+        return F.when(F.col(f"_{k}2") & (F.col("idx") >= F.col(f"{cut}.idx")) & (F.col("t") - start["t"] >= least), start)
+
+    d = d.withColumns({f"_t{n}": F.min(lasting(k, cfg[least], "_c")).over(whole) for n, (k, least) in enumerate((("both", "touchdown_s"), ("main", "touchdown_s"), ("any", "rollout_s")))})
     tier = F.when(F.col("_t0").isNotNull(), "tier1_both_main_gear").when(F.col("_t1").isNotNull(), "tier2_either_main_gear").when(F.col("_t2").isNotNull(), "tier3_rollout_proxy_bouncy_landing")
-    picks = picks.withColumn("tier", tier).select(*keys, "candidate_idx", "touchdown_idx", "tier")
-    d = df.join(picks.where("touchdown_idx IS NOT NULL"), keys).where(F.col("idx") >= F.col("touchdown_idx"))
-    roll = first_run_by_time(islands(d, keys, "t", any_wheel), keys, cfg["rollout_s"]).select(*keys, F.col("start_idx").alias("_r"))
-    return picks.join(roll, keys, "left").select(*keys, "candidate_idx", "touchdown_idx", "tier", F.coalesce("_r", "touchdown_idx").alias("rollout_idx"))
+    d = d.where("_c IS NOT NULL").withColumns({"_td": F.coalesce("_t0", "_t1", "_t2"), "tier": tier})
+    got = d.groupBy(*keys).agg(F.min("_c.idx").alias("candidate_idx"), F.min("_td.idx").alias("touchdown_idx"), F.min("tier").alias("tier"), F.min(lasting("any", cfg["rollout_s"], "_td")).alias("_r"))
+    return got.select(*keys, "candidate_idx", "touchdown_idx", "tier", F.coalesce("_r.idx", "touchdown_idx").alias("rollout_idx"))

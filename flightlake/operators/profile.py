@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import is_finite
-from ..schema import CONTROL_RANGES, FORBIDDEN_PARTS, ROLES, UNIT_PARTS
+from ..schema import CONTROL_RANGES, FORBIDDEN_PARTS, KEPT_ROLES, METADATA, ROLES, UNIT_PARTS
 
 NEARLY = 1e-6
 
@@ -157,6 +157,24 @@ def apply_duplicates(catalog: DataFrame, confirmed: DataFrame) -> DataFrame:
     ).drop("d")
 
 
+def carried_columns(catalog: DataFrame) -> list[str]:
+    """The columns that go on to the regular grid, by their role; the time and the frame are made anew there."""
+    rows = catalog.where(F.col("role").isin(*KEPT_ROLES) & ~F.col("column_name").isin(*METADATA)).select("column_name").orderBy("column_name")
+    return [r.column_name for r in rows.collect()]  # one short row per column
+
+
+def scenario_signals(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, column_name, mean, std, max): what tells scenarios apart, such as wind and turbulence; sample deviation."""
+    v = F.when(is_finite(F.col("value")), F.col("value"))
+    return values_of(df, by, columns).groupBy(*by, "column_name").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(v).alias("max"))
+
+
+def most_frequent(df: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """(by, n) by falling count, ties by value; the first ``n`` if that is given."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
+    return out.limit(n) if n else out
+
+
 def required_columns(df: DataFrame, required: list[str]) -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:

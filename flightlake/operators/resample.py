@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import carried, schema_with
+
 TAPS = 121
 HIGHEST = 0.99  # of half the sampling rate
 
@@ -45,49 +47,60 @@ def coefficients(fs: Column, cutoff_hz: float) -> Column:
     )
 
 
-def impulse_response(c: Column, taps: int = TAPS) -> Column:
-    """The first ``taps`` values of the filter's answer to a single 1, as an array."""
-    start = F.struct(F.array().cast("array<double>").alias("h"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("y2"))
+def impulse_values(cutoff_hz: float, fs_hz: float, taps: int = TAPS) -> list[float]:
+    """The first ``taps`` values of the filter's answer to a single 1."""
+    b, a = butterworth2(cutoff_hz, fs_hz)
+    out, y1, y2 = [], 0.0, 0.0
+    for x in (*b, *[0.0] * max(0, taps - 3)):
+        out.append(x - a[0] * y1 - a[1] * y2)
+        y1, y2 = out[-1], y1
+    return out[:taps]
 
-    def step(s, i):
-        x = F.when(i == 0, c["b0"]).when(i == 1, c["b1"]).when(i == 2, c["b2"]).otherwise(0.0)
-        y = x - c["a1"] * s["y1"] - c["a2"] * s["y2"]
-        return F.struct(F.concat(s["h"], F.array(y)).alias("h"), y.alias("y1"), s["y1"].alias("y2"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(taps - 1)), start, step)["h"]
+def impulse_response(c: Column, taps: int = TAPS) -> Column:
+    """The same as an array, for coefficients that are columns: the answer's closed form from the poles' modulus and angle.
+
+    With d = -a1 / 2, r = sqrt(a2) and angle w = acos(d / r), a pole pair answers s(n) = r^n sin((n + 1) w) / sin(w), and
+    the filter answers b0 s(n) + b1 s(n - 1) + b2 s(n - 2).  The poles of this filter are always a complex pair.
+    """
+    r = F.sqrt(c["a2"])
+    w = F.acos(-c["a1"] / 2 / r)
+    s = lambda n: F.when(n < 0, F.lit(0.0)).otherwise(F.pow(r, n) * F.sin((n + 1) * w) / F.sin(w))
+    return F.transform(F.sequence(F.lit(0), F.lit(taps - 1)), lambda n: c["b0"] * s(n) + c["b1"] * s(n - 1) + c["b2"] * s(n - 2))
 
 
-def episode_rate(df: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """(keys, fs): one over the exact median step."""
-    w = Window.partitionBy(*keys).orderBy(time)
+def episode_rate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, fs): one over the exact median step; the first column of ``order`` is the time."""
+    time = order[0]
+    w = Window.partitionBy(*keys).orderBy(*order)
     dt = df.withColumn("_dt", F.col(time) - F.lag(time).over(w)).groupBy(*keys)
     return dt.agg((1 / F.nullif(F.percentile("_dt", F.lit(0.5)), F.lit(0.0))).alias("fs"))
 
 
-def lowpass(df: DataFrame, keys: list[str], time: str, columns: list[str], cutoff_hz: float, taps: int = TAPS, init: str = "zero", fs: float | None = None) -> DataFrame:
+def lowpass(df: DataFrame, keys: list[str], order: list[str], columns: list[str], cutoff_hz: float, taps: int = TAPS, init: str = "zero", fs: float | None = None) -> DataFrame:
     """Filters ``columns`` in place, each by a dot product with the last ``taps`` values.
 
-    init="zero" starts from rest, so the first rows of an episode are drawn to 0; "steady" starts as if the
-    first value had always been there.  One window collects a struct of all columns.  Suited to a few columns; for many,
-    ``lowpass_many`` runs the recursion itself.
+    order: the time, then what tells rows of equal time apart.  init="zero" starts from rest, so the first rows of an
+    episode are drawn to 0; "steady" starts as if the first value had always been there.  One window collects a struct of all
+    columns.  Without ``fs`` the response is made once for each episode.  Suited to a few columns; for many, ``lowpass_many``
+    runs the recursion itself.
     """
-    if fs is None:
-        rate = episode_rate(df, keys, time)
-        df = df.join(rate, keys, "left").withColumn("_h", impulse_response(coefficients(F.coalesce("fs", F.lit(2 * cutoff_hz / HIGHEST)), cutoff_hz), taps)).drop("fs")
-    else:
-        df = df.withColumn("_h", impulse_response(coefficients(F.lit(fs), cutoff_hz), taps))
-    order = Window.partitionBy(*keys).orderBy(time)
+    w = Window.partitionBy(*keys).orderBy(*order)
     if init == "steady":
         for c in columns:
-            df = df.withColumn(f"_0{c}", F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = order.rowsBetween(-(taps - 1), 0)
-    df = df.withColumn("_past", F.reverse(F.collect_list(F.struct(*columns)).over(last)))
+            df = df.withColumn(f"_0{c}", F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = df.withColumn("_past", F.reverse(F.collect_list(F.struct(*columns)).over(w.rowsBetween(-(taps - 1), 0))))
+    if fs is None:
+        rate = coefficients(F.coalesce("fs", F.lit(2 * cutoff_hz / HIGHEST)), cutoff_hz)
+        d = d.join(episode_rate(df, keys, order).select(*keys, impulse_response(rate, taps).alias("_h")), keys, "left")
+        response = F.col("_h")
+    else:
+        response = F.array(*map(F.lit, impulse_values(cutoff_hz, fs, taps)))
     for c in columns:
         base = F.col(f"_0{c}") if init == "steady" else F.lit(0.0)
-        terms = F.zip_with(F.col("_past"), F.col("_h"), _weighted(c, base))
-        df = df.withColumn(f"_f{c}", base + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
-    keep = [F.col(f"_f{c}").alias(c) if c in columns else F.col(c) for c in df.columns if not c.startswith("_")]
-    return df.select(*keep)
+        terms = F.zip_with(F.col("_past"), response, _weighted(c, base))
+        d = d.withColumn(f"_f{c}", base + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+    return d.select(*[F.col(f"_f{c}").alias(c) if c in columns else F.col(c) for c in df.columns if not c.startswith("_0")])
 
 
 def _weighted(column: str, base: Column):
@@ -97,33 +110,63 @@ def _weighted(column: str, base: Column):
     return term
 
 
-def lowpass_many(df: DataFrame, keys: list[str], time: str, columns: list[str], cutoff_hz: float) -> DataFrame:
-    """The same recursion for many columns at once, one Arrow group per episode."""
+#: Rows that the recursion of ``lowpass_many`` answers at once.
+BLOCK = 64
 
-    def run(pdf):
-        import numpy as np
 
-        pdf = pdf.sort_values(time, kind="stable")
-        t, x = pdf[time].to_numpy(float), pdf[columns].to_numpy(float)
-        step = float(np.median(np.diff(t))) if len(t) > 1 else 0.0
-        (b0, b1, b2), (a1, a2) = butterworth2(cutoff_hz, 1 / step if step > 0 else 2 * cutoff_hz / HIGHEST)
-        y = np.empty_like(x)
-        x1 = x2 = y1 = y2 = np.zeros(x.shape[1])
-        for i in range(len(x)):
-            y[i] = b0 * x[i] + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-            x1, x2, y1, y2 = x[i], x1, y[i], y1
-        return pdf.assign(**{c: y[:, k] for k, c in enumerate(columns)})
+def lowpass_many(df: DataFrame, keys: list[str], order: list[str], columns: list[str], cutoff_hz: float, init: str = "zero") -> DataFrame:
+    """The same recursion for many columns at once, with its last two inputs and outputs carried along an episode's rows.
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
-
-
-def hold_on_grid(df: DataFrame, keys: list[str], time: str, step: float, grid: str = "t_grid", frame: str = "grid_idx") -> DataFrame:
+    Blocks of rows are answered by one product with the response and one with the state, so no row is a step of its own.
+    """
+    rated = df.join(episode_rate(df, keys, order), keys, "left")
+
+    def start():
+        state = None
+
+        def step(pdf):
+            nonlocal state
+            import numpy as np
+
+            x = pdf[columns].to_numpy(np.float64)
+            fs = pdf["fs"].iloc[0]
+            if state is None:
+                b, a = butterworth2(cutoff_hz, float(fs) if fs == fs and fs is not None else 2 * cutoff_hz / HIGHEST)
+                h = np.array(impulse_values(cutoff_hz, float(fs) if fs == fs and fs is not None else 2 * cutoff_hz / HIGHEST, BLOCK))
+                at = np.arange(BLOCK)
+                whole = np.where(at[:, None] >= at[None, :], h[at[:, None] - at[None, :]], 0.0)
+                carry = np.zeros((BLOCK, 4))  # answers to x1, x2, y1 and y2 alone
+                for k, (x1, x2, y1, y2) in enumerate(np.eye(4)):
+                    for n in range(BLOCK):
+                        y = b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
+                        carry[n, k] = y
+                        x1, x2, y1, y2 = 0.0, x1, y, y1
+                past = np.zeros((4, x.shape[1])) if init == "zero" else np.repeat(x[:1], 4, 0)
+                state = whole, carry, past
+            whole, carry, past = state
+            y = np.empty_like(x)
+            for at in range(0, len(x), BLOCK):
+                part = x[at : at + BLOCK]
+                m = len(part)
+                y[at : at + m] = whole[:m, :m] @ part + carry[:m] @ past
+                xs, ys = np.vstack([past[1::-1], part]), np.vstack([past[:1:-1], y[at : at + m]])
+                past = np.vstack([xs[:-3:-1], ys[:-3:-1]])
+            state = whole, carry, past
+            return pdf.drop(columns="fs").assign(**{c: y[:, k] for k, c in enumerate(columns)})
+
+        return step
+
+    return carried(rated, keys, order, start, schema_with(df, {c: "double" for c in columns})).select(*df.columns)
+
+
+def hold_on_grid(df: DataFrame, keys: list[str], order: list[str], step: float, grid: str = "t_grid", frame: str = "grid_idx") -> DataFrame:
     """Every grid time t0 + k * step up to the last time, with the newest row at or before it.
 
-    No join: each row covers the grid times from its own time to the next row's, so it is exploded into
+    order: the time, then what tells rows of equal time apart; of those the last one holds.  No join: each row covers the grid times from its own time to the next row's, so it is exploded into
     them.  Grid times come from one multiplication each, never from adding up.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
+    time = order[0]
+    w = Window.partitionBy(*keys).orderBy(*order)
     whole = Window.partitionBy(*keys)
     df = df.withColumns({"_next": F.lead(time).over(w), "_t0": F.min(time).over(whole), "_t1": F.max(time).over(whole)})
     last = F.floor((F.col("_t1") - F.col("_t0")) / F.lit(step))
@@ -136,9 +179,9 @@ def hold_on_grid(df: DataFrame, keys: list[str], time: str, step: float, grid: s
     return df.drop("_next", "_t0", "_t1")
 
 
-def to_rate(df: DataFrame, keys: list[str], time: str, smooth: list[str], cutoff_hz: float, step: float, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def to_rate(df: DataFrame, keys: list[str], order: list[str], smooth: list[str], cutoff_hz: float, step: float, bounds: dict[str, tuple[float, float]] | None = None, init: str = "zero") -> DataFrame:
     """Low-pass the continuous columns, hold everything on the grid (other columns unfiltered), and clip controls to their bounds."""
     from ..functions.guards import clip
 
-    out = hold_on_grid(lowpass_many(df, keys, time, smooth, cutoff_hz), keys, time, step)
+    out = hold_on_grid(lowpass_many(df, keys, order, smooth, cutoff_hz, init), keys, order, step)
     return out.withColumns({c: clip(F.col(c), *b) for c, b in (bounds or {}).items()}) if bounds else out

@@ -29,15 +29,18 @@ def validated(recordings: DataFrame, episodes: DataFrame) -> DataFrame:
     Rows are ordered by time with the place in the file as tie-break, the first of equal times is kept, and the slice is taken after that.
     """
     one = ordered.first_of_time(recordings, ["source_file"], "sim_time", "input_pos")
-    joined = one.join(F.broadcast(episodes), "source_file")  # one row per episode of a manifest
+    joined = one.join(episodes, "source_file")
     sliced = ordered.row_slice(joined, ["episode_id"], ["sim_time"], F.col("raw_row_start"), F.col("raw_row_end"))
     return sliced.drop("raw_row_start", "raw_row_end")
 
 
 def on_grid(rows: DataFrame, init: str = "zero") -> DataFrame:
-    """Ten rows a second: continuous columns low-passed, wheels and flaps held, controls clipped."""
-    del init  # the zero state is the published one; ``resample.lowpass`` has the steady start
-    out = resample.to_rate(rows, ["episode_id"], "sim_time", SMOOTHED, CUTOFF_HZ, 1 / RATE_HZ, BOUNDS)
+    """Ten rows a second: continuous columns low-passed, wheels and flaps held, controls clipped.
+
+    init: the filter's start, "zero" as published or "steady".
+    """
+    order = [c for c in ("sim_time", "input_pos") if c in rows.columns]
+    out = resample.to_rate(rows, ["episode_id"], order, SMOOTHED, CUTOFF_HZ, 1 / RATE_HZ, BOUNDS, init)
     return out.withColumn("sim_time", F.col("t_grid")).withColumnRenamed("grid_idx", "frame_10hz").drop("t_grid")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import guards, protocol, text
-from ..operators import features, metrics, model, ordered, phases, profile, resample, runs, splits
+from .. import schema
+from ..operators import checks, features, metrics, model, ordered, phases, profile, resample, runs, splits
 from ..schema import LANDING
 
 DAY = 86400.0
@@ -69,7 +70,7 @@ SELECT user_id, count(*) AS n, round(avg(h), 6) AS mean_held, max(h) AS max_held
 )
 def grid_summary(spark, d):
     one = ordered.first_of_time(telemetry(spark, d), ["user_id"], "t", "event_id")
-    g = resample.hold_on_grid(one, ["user_id"], "t", GRID_S)
+    g = resample.hold_on_grid(one, ["user_id"], ["t", "event_id"], GRID_S)
     h = ordered.hold_where(g, ["user_id"], ["grid_idx"], "value", F.col("k") >= 20, "h")
     return h.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg("h")).alias("mean_held"), F.max("h").alias("max_held"))
 
@@ -97,29 +98,76 @@ def timing_audit(spark, d):
     )
 
 
-NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "infinite", "nearly", "fixed"]
+_ODD = "odd AS (SELECT *, CASE WHEN l_tax = 0 THEN 'infinity'::DOUBLE WHEN l_tax < 0.02 THEN NULL ELSE l_tax END AS infinite, 5.0::DOUBLE + l_linenumber * 1e-8::DOUBLE AS nearly, 1.0::DOUBLE AS fixed FROM lineitem)"
+
+
+def odd_columns(spark, d) -> DataFrame:
+    """``lineitem`` with a column of infinite and missing values, one that is nearly constant and one that is."""
+    tax = F.col("l_tax")
+    infinite = F.when(tax == 0, float("inf")).when(tax >= 0.02, tax)
+    return table(spark, d, "lineitem").withColumns({"infinite": infinite, "nearly": F.lit(5.0) + F.col("l_linenumber") * F.lit(1e-8), "fixed": F.lit(1.0)})
 
 
 @query(
     "column_profile",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing_count, 0::BIGINT AS inf_count, count(DISTINCT {c}) AS n_unique, min({c})::DOUBLE AS min,
-  max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, count(DISTINCT {c}) <= 1 AS is_constant, false AS is_near_constant FROM lineitem"""
+    f"WITH {_ODD} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing_count, count(*) FILTER (isinf({c}::DOUBLE)) AS inf_count, count(DISTINCT {c}) AS n_unique, (min({c}) FILTER (isfinite({c}::DOUBLE)))::DOUBLE AS min,
+  (max({c}) FILTER (isfinite({c}::DOUBLE)))::DOUBLE AS max, round(avg({c}) FILTER (isfinite({c}::DOUBLE)), 4) AS mean, round(stddev_samp({c}) FILTER (isfinite({c}::DOUBLE)), 4) AS std, count(DISTINCT {c}) <= 1 AS is_constant,
+  count(DISTINCT {c}) > 1 AND (stddev_samp({c}) FILTER (isfinite({c}::DOUBLE)) < 1e-6 OR max({c}) FILTER (isfinite({c}::DOUBLE)) - min({c}) FILTER (isfinite({c}::DOUBLE)) < 1e-6) AS is_near_constant FROM odd"""
         for c in NUMERIC
     ),
 )
 def column_profile(spark, d):
-    p = profile.column_profile(table(spark, d, "lineitem"), NUMERIC)
+    p = profile.column_profile(odd_columns(spark, d), NUMERIC)
     return p.select("column_name", "missing_count", "inf_count", "n_unique", "min", "max", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"), "is_constant", "is_near_constant")
 
 
+#: Names of every role, family, unit and reason, dealt over the parts.
+NAMES = sorted({*(m for _, members in schema.ROLES for m in members), *(f"/a[0]/{x}-b[0]" for x in schema.FORBIDDEN_PARTS), *(f"/c[0]/d{x}" for x, _, _ in schema.UNIT_PARTS), "/gear[0]/wheel-m[0]", "/plain[0]/name[0]"})
+_quoted = lambda xs: ", ".join("'" + x + "'" for x in xs)
+_UNIT_SQL = " ".join(f"WHEN contains(name, '{part}')" + (f" AND NOT contains(name, '{but}')" if but else "") + f" THEN '{unit}'" for part, unit, but in schema.UNIT_PARTS)
+_ROLE_SQL = " ".join(f"WHEN name IN ({_quoted(sorted(members))}) THEN '{role}'" for role, members in schema.ROLES)
+_NAMED = f"""named AS (SELECT DISTINCT name, length(name) % 2 = 0 AS still FROM (SELECT [{_quoted(NAMES)}][(p_partkey % {len(NAMES)})::INTEGER + 1] AS name FROM part)),
+roles AS (SELECT name, still, CASE {_UNIT_SQL} WHEN name = 'frame' THEN 'count' WHEN name = 'sim_time' THEN 's' ELSE '' END AS unit, CASE {_ROLE_SQL} ELSE 'excluded' END AS role FROM named)"""
+
+
+def catalog(spark, d) -> DataFrame:
+    names = F.array(*map(F.lit, NAMES))
+    named = table(spark, d, "part").select(F.get(names, F.pmod("p_partkey", F.lit(len(NAMES))).cast("int")).alias("column_name")).distinct()
+    return profile.assign_roles(named.withColumn("is_constant", F.length("column_name") % 2 == 0))
+
+
 @query(
     "column_roles",
-    " UNION ALL ".join(f"SELECT '{c}' AS column_name, '' AS unit, 'excluded' AS role, false AS selected_for_baseline, CASE WHEN count(DISTINCT {c}) <= 1 THEN 'constant_or_not_applicable_to_c172p' ELSE 'not_in_v1_feature_schema_sections14_15' END AS exclusion_reason FROM lineitem" for c in NUMERIC),
+    f"""WITH {_NAMED} SELECT name AS column_name, unit, role, role IN ('neural_input', 'label') AS selected_for_baseline,
+  CASE WHEN role <> 'excluded' THEN '' WHEN still THEN 'constant_or_not_applicable_to_c172p' WHEN list_has_any([{_quoted(schema.FORBIDDEN_PARTS)}], list_filter([{_quoted(schema.FORBIDDEN_PARTS)}], lambda x: contains(name, x))) THEN 'forbidden_input_family_section10'
+  ELSE 'not_in_v1_feature_schema_sections14_15' END AS exclusion_reason FROM roles""",
 )
 def column_roles(spark, d):
-    got = profile.assign_roles(profile.column_profile(table(spark, d, "lineitem"), NUMERIC))
-    return got.select("column_name", "unit", "role", "selected_for_baseline", "exclusion_reason")
+    return catalog(spark, d).select("column_name", "unit", "role", "selected_for_baseline", "exclusion_reason")
+
+
+@query("role_pruning", f"WITH {_NAMED} SELECT name AS column_name FROM roles WHERE role <> 'excluded' AND name NOT IN ('frame', 'sim_time')")
+def role_pruning(spark, d):
+    """The columns of a frame that carries one of each, after pruning to the kept roles."""
+    cat = catalog(spark, d)
+    wide = table(spark, d, "part").select(*[F.lit(0.0).alias(n) for n in NAMES]).select(*[f"`{c}`" for c in profile.carried_columns(cat)])
+    return spark.createDataFrame([(c,) for c in wide.columns], "column_name string")
+
+
+@query(
+    "duplicate_catalogue",
+    f"""WITH {_NAMED}, d AS (SELECT name, arg_max(keep, seq) AS keep FROM (SELECT [{_quoted(NAMES)}][(p_partkey % {len(NAMES)})::INTEGER + 1] AS name, [{_quoted(NAMES)}][((p_partkey * 7 + 3) % {len(NAMES)})::INTEGER + 1] AS keep, p_partkey AS seq FROM part WHERE p_size < 10) GROUP BY name)
+SELECT name AS column_name, CASE WHEN keep IS NOT NULL AND role <> 'label' THEN 'excluded' ELSE role END AS role, coalesce(keep, '') AS duplicate_of FROM roles LEFT JOIN d USING (name)""",
+)
+def duplicate_catalogue(spark, d):
+    names, n = F.array(*map(F.lit, NAMES)), len(NAMES)
+    pick = lambda k: F.get(names, F.pmod(k, F.lit(n)).cast("int"))
+    key = F.col("p_partkey")
+    confirmed = table(spark, d, "part").where("p_size < 10").select(pick(key).alias("drop_column"), pick(key * 7 + 3).alias("keep_column"), F.lit("x").alias("formula"), key.alias("seq"))
+    return profile.apply_duplicates(catalog(spark, d), confirmed).select("column_name", "role", "duplicate_of")
 
 
 RANGES = {"l_discount": (0.0, 0.08), "l_tax": (0.02, 0.08), "l_quantity": (1.0, 45.0)}
@@ -219,7 +267,7 @@ one AS (SELECT * FROM tel QUALIFY row_number() OVER (PARTITION BY user_id, t ORD
 SELECT g.user_id, g.grid_idx, round(g.t_grid, 6) AS t_grid, o.event_id, o.value, o.k FROM grid g ASOF JOIN one o ON g.user_id = o.user_id AND g.t_grid >= o.t""",
 )
 def asof_grid_hold(spark, d):
-    g = resample.hold_on_grid(telemetry(spark, d), ["user_id"], "t", GRID_S)
+    g = resample.hold_on_grid(telemetry(spark, d), ["user_id"], ["t", "event_id"], GRID_S)
     return g.select("user_id", "grid_idx", r6("t_grid").alias("t_grid"), "event_id", "value", "k")
 
 
@@ -234,7 +282,7 @@ def asof_grid_hold(spark, d):
 SELECT user_id, event_id, round(y1, 6) AS filtered FROM f""",
 )
 def lowpass_fir(spark, d):
-    f = resample.lowpass(telemetry(spark, d), ["user_id"], "t", ["value"], 4.0, fs=60.0)
+    f = resample.lowpass(telemetry(spark, d), ["user_id"], ["t", "event_id"], ["value"], 4.0, fs=60.0)
     return f.select("user_id", "event_id", r6("value").alias("filtered"))
 
 
@@ -416,15 +464,17 @@ SLOW = {**LANDING, "touchdown_s": 0.6 * DAY, "rollout_s": 1.6 * DAY, "complete_s
 
 
 def landing_input(spark, d) -> DataFrame:
-    """Wheels from k, height from k, speed and throttle from value."""
+    """Wheels, height, sink and compressions from k, speed and throttle from value."""
     e = indexed(spark, d)
     k = F.col("k")
     return e.select(
         "user_id", "event_id", "idx", "t", k.cast("double").alias("agl"), F.col("value").alias("gs"), (F.col("value") / F.lit(100.0)).alias("thr"),
         (k % 10 < 5).cast("int").alias("left"), (k % 10).between(2, 6).cast("int").alias("right"), (k % 7 == 0).cast("int").alias("nose"),
+        ((k - 50) / F.lit(4.0)).alias("vertical_speed_fps"), *[(k % m / F.lit(float(m))).alias(f"compression_{n}") for n, m in COMPRESSION.items()],
     )
 
 
+COMPRESSION = {"left": 10, "right": 9, "nose": 7}
 _FLAGS = f"""{TEL}, fl AS (SELECT *, k % 10 < 5 AS l, k % 10 BETWEEN 2 AND 6 AS r, k % 7 = 0 AS n, t - lag(t) OVER (PARTITION BY user_id ORDER BY idx) AS d FROM tel),
 dt AS (SELECT user_id, quantile_cont(d, 0.5) AS dt FROM fl GROUP BY user_id),
 steps AS (SELECT user_id, greatest(1, ceil(round_even({SLOW["touchdown_s"]}::DOUBLE / dt, 6))) AS nt, greatest(1, ceil(round_even({SLOW["rollout_s"]}::DOUBLE / dt, 6))) AS nr FROM dt),
@@ -480,15 +530,72 @@ def landing_bounces(spark, d):
     return rec.where("kind = 'bounce'").select("user_id", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"), "max_agl_ft_during_gap")
 
 
-@query("landing_transitions")
+_CARRIED = ("agl", "gs", "vertical_speed_fps", "left", "right", "nose", "compression_left", "compression_right", "compression_nose")
+_EVENTS = """p AS (SELECT lab.*, f.l, f.r, f.n, f.value, ca, td, ro, e.done, e.why, coalesce(phase, 'FLARE') AS p, lag(coalesce(phase, 'FLARE')) OVER w AS b, lead(coalesce(phase, 'FLARE')) OVER w AS a
+  FROM lab JOIN fl f USING (user_id, event_id) LEFT JOIN ca ON ca.user_id = lab.user_id LEFT JOIN td ON td.user_id = lab.user_id LEFT JOIN ro ON ro.user_id = lab.user_id LEFT JOIN e ON e.user_id = lab.user_id WINDOW w AS (PARTITION BY lab.user_id ORDER BY lab.idx)),
+ev AS (SELECT *, 'FLARE' AS previous_state, 'CONTACT_CANDIDATE' AS new_state, CASE WHEN idx = ca THEN 'first_main_gear_contact' ELSE 'renewed_main_gear_contact_after_unconfirmed_loss' END AS reason FROM p WHERE (p = 'CONTACT_CANDIDATE' AND b IS DISTINCT FROM p) OR (idx = td AND b IS DISTINCT FROM 'CONTACT_CANDIDATE')
+ UNION ALL SELECT *, 'CONTACT_CANDIDATE', 'FLARE', 'contact_lost_before_touchdown_confirmation_unconfirmed_intermittent_contact' FROM p WHERE p = 'CONTACT_CANDIDATE' AND coalesce(a = 'FLARE', true)
+ UNION ALL SELECT *, 'CONTACT_CANDIDATE', 'TOUCHDOWN_CONFIRMED', 'both_main_gear_in_contact_for_' || (SELECT nt FROM steps s WHERE s.user_id = p.user_id)::INTEGER || '_consecutive_samples' FROM p WHERE idx = td
+ UNION ALL SELECT *, 'TOUCHDOWN_CONFIRMED', 'BOUNCE', 'confirmed_main_gear_contact_lost' FROM p WHERE p = 'BOUNCE' AND b IS DISTINCT FROM p
+ UNION ALL SELECT *, 'BOUNCE', 'FLARE', 'bounce_recoverable_return_to_flare' FROM p WHERE p = 'BOUNCE' AND a IS DISTINCT FROM p
+ UNION ALL SELECT *, 'TOUCHDOWN_CONFIRMED', 'ROLLOUT', 'any_gear_in_contact_for_' || (SELECT nr FROM steps s WHERE s.user_id = p.user_id)::INTEGER || '_consecutive_samples' FROM p WHERE idx = ro
+ UNION ALL SELECT *, 'ROLLOUT', 'COMPLETE', why FROM p WHERE idx = done)"""
+
+
+@query(
+    "landing_transitions",
+    f"""{_WALK}, {_LABELS}, {_EVENTS} SELECT user_id, previous_state, new_state, idx::BIGINT AS idx, round(t, 6) AS t, k::DOUBLE AS agl, value AS gs, round((k - 50) / 4.0, 6) AS vertical_speed_fps, l::INTEGER AS "left", r::INTEGER AS "right", n::INTEGER AS nose,
+  {", ".join(f"round(k % {m} / {m}.0, 6) AS compression_{n}" for n, m in COMPRESSION.items())}, reason FROM ev""",
+)
 def landing_transitions(spark, d):
-    return phases.transitions(phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW), ["user_id"])
+    rows = phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW)
+    got = phases.transitions(rows, ["user_id"], SLOW, _CARRIED)
+    doubles = [r6(c).alias(c) if c.startswith(("vertical", "compression")) else F.col(c) for c in _CARRIED]
+    # the step in the reason is left out: its four digits are rounded by other rules elsewhere
+    return got.select("user_id", "previous_state", "new_state", F.col("idx").cast("long").alias("idx"), r6("t").alias("t"), *doubles, F.substring_index("reason", "(", 1).alias("reason"))
 
 
-@query("landing_review_flags")
+@query(
+    "landing_review_flags",
+    f"""{_WALK}, {_LABELS}, mr AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM lab WHERE main), loose AS (SELECT user_id, g, count(*) AS n, bool_or(idx = td.td) AS held, min(idx) AS s FROM mr LEFT JOIN td USING (user_id) GROUP BY user_id, g),
+u AS (SELECT DISTINCT user_id FROM tel)
+SELECT user_id, 'long_unconfirmed_CONTACT_CANDIDATE_interval' AS flag, count(*) AS n FROM loose LEFT JOIN td USING (user_id) JOIN dt USING (user_id) WHERE n * dt >= {SLOW["long_candidate_s"]} AND NOT coalesce(held, false) AND coalesce(s < td.td, true) GROUP BY user_id
+UNION ALL SELECT user_id, CASE WHEN ca IS NULL THEN 'no_main_gear_contact_found_in_window' WHEN td IS NULL THEN 'touchdown_never_confirmed' ELSE 'window_ended_before_rollout_confirmed_after_touchdown' END, 1 FROM u LEFT JOIN ca USING (user_id) LEFT JOIN td USING (user_id) LEFT JOIN ro USING (user_id) WHERE ro IS NULL
+UNION ALL SELECT user_id, 'flare_not_detected_via_agl_threshold_REVIEW_NEEDED', 1 FROM tel GROUP BY user_id HAVING min(k) > 1""",
+)
 def landing_review_flags(spark, d):
+    e = landing_input(spark, d)
+    rows = phases.landing_rows(e, ["user_id"], cfg=SLOW)
+    flare = ordered.first_crossing(e, ["user_id"], "idx", F.col("agl") <= 1, "t")
+    got = phases.review_flags(rows, phases.contact_records(rows, ["user_id"]), ["user_id"], SLOW, flare)
+    return got.groupBy("user_id", F.substring_index("flag", ":", 1).alias("flag")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "boundary_rows",
+    f"""{_WALK} SELECT u.user_id, td IS NOT NULL AS touchdown_confirmed, round(t0, 6) AS t_start_s, round(t1, 6) AS t_end_s, {", ".join(f"round((SELECT t FROM tel x WHERE x.user_id = u.user_id AND x.idx = {i}), 6) AS {n}" for i, n in (("ca", "contact_candidate_s"), ("td", "touchdown_confirmed_s"), ("ro", "rollout_s"), ("e.done", "complete_s")))}, e.why AS complete_reason
+FROM (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM tel GROUP BY user_id) u LEFT JOIN ca USING (user_id) LEFT JOIN td USING (user_id) LEFT JOIN ro USING (user_id) LEFT JOIN e USING (user_id)""",
+)
+def boundary_rows(spark, d):
+    b = phases.boundaries(phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW), ["user_id"])
+    return b.select("user_id", "touchdown_confirmed", *[r6(c).alias(c) for c in ("t_start_s", "t_end_s", "contact_candidate_s", "touchdown_confirmed_s", "rollout_s", "complete_s")], "complete_reason")
+
+
+@query("landing_checks", "SELECT 'x' AS rule, 0 AS user_id WHERE false")
+def landing_checks(spark, d):
+    """The keys that break a rule of the state machine's result: none may."""
     rows = phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW)
-    return phases.review_flags(rows, phases.contact_records(rows, ["user_id"]), ["user_id"], SLOW)
+    keys, records = ["user_id"], phases.contact_records(rows, ["user_id"])
+    flags = phases.review_flags(rows, records, keys, SLOW)
+    found = {
+        "rising": checks.not_rising(rows, keys, ["idx"], "t"), "order": checks.out_of_order(phases.boundaries(rows, keys), keys), "touchdown": checks.unbacked_touchdown(rows, keys, SLOW),
+        "nose": checks.nose_only_candidate(rows, keys), "long": checks.unflagged_long_contact(records, flags, keys, SLOW), "bounce": checks.bounce_without_rollout(rows, keys, flags),
+    }
+    parts = [df.select(F.lit(name).alias("rule"), F.col("user_id").cast("int").alias("user_id")) for name, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(
@@ -507,30 +614,89 @@ def circuit_segments(spark, d):
     return s.select("user_id", F.col("candidate_idx").cast("long").alias("candidate_idx"), F.col("touchdown_idx").cast("long").alias("touchdown_idx"), "tier", F.col("rollout_idx").cast("long").alias("rollout_idx"))
 
 
-@query("transient_end")
-def transient_end(spark, d):
+#: The transient's and the detectors' limits in the time scale and the values of ``events``.
+SETTLED = {"band_kt": (0.0, 90.0), "flaps_min": -1.0, "flaps_std": 0.08, "least_s": 0.2 * DAY, "remaining_s": DAY, "search_s": 20 * DAY}
+ESTABLISHED = {"heading_deg": 40.0, "cross_m": 90.0, "along_m": -2.0, "sink_fpm": 1500.0, "least_s": 0.4 * DAY}
+PREPARING = {"heading_deg": 45.0, "sink_fps": 10.0, "flaps_more": 0.2, "least_s": 0.3 * DAY}
+
+
+@query(
+    "transient_diagnostics",
+    f"""WITH {TEL}, s AS (SELECT user_id, idx, t, value AS airspeed, floor(k / 40) / 10.0 AS flaps, k * 1.0 AS agl, (k - 97)::DOUBLE AS along, lag(t) OVER w AS lt, min(t) OVER (PARTITION BY user_id) AS t0, max(t) OVER (PARTITION BY user_id) AS td,
+  CASE WHEN count(*) OVER (w ROWS 1 PRECEDING) = 2 THEN stddev_samp(floor(k / 40) / 10.0) OVER (w ROWS 1 PRECEDING) END AS sd FROM tel WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+f AS (SELECT *, coalesce(airspeed BETWEEN 0 AND 90 AND flaps > -1 AND sd < 0.08 AND along < 0 AND td - t >= {DAY}, false) AND (lt IS NULL OR (lt <= t0 + {20 * DAY} AND lt < td)) AS ok FROM s),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f WHERE ok), r AS (SELECT user_id, min(idx) AS i, min(t) AS t FROM g GROUP BY user_id, g HAVING max(t) - min(t) >= {0.2 * DAY}), e AS (SELECT user_id, min(i) AS i, arg_min(t, i) AS t FROM r GROUP BY user_id)
+SELECT s.user_id, bool_or(e.i IS NOT NULL) AS detected, CASE WHEN bool_or(e.i IS NOT NULL) THEN 'auto_detected' ELSE 'not_detected_within_max_search_window_keep_full_episode_REVIEW_NEEDED' END AS reason, round(any_value(e.t), 6) AS t_transient_end_s, round(any_value(e.t) - min(s.t), 6) AS duration_removed_s,
+  count(*) FILTER (s.t < e.t) AS n_samples_removed_from_baseline_core, count(*) AS n_samples_total, arg_min(airspeed, s.idx) AS airspeed_kt_before, max(airspeed) FILTER (s.idx = e.i) AS airspeed_kt_after, arg_min(flaps, s.idx) AS flaps_before, max(flaps) FILTER (s.idx = e.i) AS flaps_after,
+  -max(along) FILTER (s.idx = e.i) AS distance_to_threshold_m_at_end, (max(agl) FILTER (s.idx = e.i))::DOUBLE AS agl_ft_at_end FROM s LEFT JOIN e USING (user_id) GROUP BY s.user_id""",
+)
+def transient_diagnostics(spark, d):
+    e = telemetry(spark, d)
+    k = F.col("k")
+    e = e.select("user_id", "event_id", "t", F.col("value").alias("airspeed"), (F.floor(k / 40) / F.lit(10.0)).alias("flaps"), (k - 97).cast("double").alias("along"), k.cast("double").alias("agl"), F.lit(None).cast("double").alias("td"))
+    got = features.transients(e, ["user_id"], ["t", "event_id"], 2.0, "td", SETTLED)
+    return got.select(*[r6(c).alias(c) if c.endswith("_s") else F.col(c) for c in got.columns if c != "t_start_s"])
+
+
+_APPROACH = f"""{TEL}, b AS (SELECT user_id, 3 AS lo, max(idx) - 2 AS hi FROM tel GROUP BY user_id), s AS (SELECT tel.user_id, idx, t, k * 1.8 - 90 AS err, value * 2 - 100 AS across, k - 60.0 AS along, (value - 40) / 3 AS vs, floor(k / 25) / 5.0 AS flaps, lo, hi FROM tel JOIN b USING (user_id)),
+z AS (SELECT user_id, max(flaps) AS f0, max(t) AS t0 FROM s WHERE idx = lo GROUP BY user_id),
+am AS (SELECT user_id, min(t) AS t FROM (SELECT user_id, min(t) AS t, max(t) - min(t) AS d FROM (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM s JOIN z USING (user_id) WHERE idx BETWEEN lo AND hi AND abs(err) <= 45 AND (vs < 10 OR flaps > f0 + 0.2)) GROUP BY user_id, g) WHERE d >= {0.3 * DAY} GROUP BY user_id),
+fa AS (SELECT user_id, min(t) AS t FROM (SELECT user_id, min(t) AS t, max(t) - min(t) AS d FROM (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM s WHERE idx BETWEEN lo AND hi AND abs(err) <= 40 AND abs(across) <= 90 AND along <= -2 AND vs * 60 <= 1500) GROUP BY user_id, g) WHERE d >= {0.4 * DAY} GROUP BY user_id)"""
+
+
+def _approach_input(spark, d):
     e = indexed(spark, d)
-    e = e.select("user_id", "t", F.col("value").alias("airspeed"), (F.floor(F.col("k") / 40) / 10.0).alias("flaps"), F.lit(-1.0).alias("along"))
-    e = e.withColumn("td", F.max("t").over(Window.partitionBy("user_id")))
-    return features.transient_end(e, ["user_id"], 2.0, "td", (0.0, 200.0), -1.0, 0.2, 0.2 * DAY, DAY, 20 * DAY)
+    k, v = F.col("k"), F.col("value")
+    bounds = e.groupBy("user_id").agg(F.lit(3).alias("low"), (F.max("idx") - 2).alias("high"))
+    e = e.select("user_id", "event_id", "t", (k * 1.8 - 90).alias("heading_error_deg"), (v * 2 - 100).alias("cross_track_error_m"), (k - 60.0).alias("along_track_m"), ((v - 40) / 3).alias("vertical_speed_fps"), (F.floor(k / 25) / F.lit(5.0)).alias("flaps"))
+    return e.join(bounds, "user_id")
+
+
+@query("final_approach", f"WITH {_APPROACH} SELECT user_id, round(t, 6) AS t FROM fa")
+def final_approach(spark, d):
+    return features.final_approach(_approach_input(spark, d), ["user_id"], ["t", "event_id"], "low", "high", ESTABLISHED).select("user_id", r6("t").alias("t"))
+
+
+@query("approach_maneuvering", f"WITH {_APPROACH} SELECT user_id, round(t, 6) AS t FROM am")
+def approach_maneuvering(spark, d):
+    return features.approach_maneuvering(_approach_input(spark, d), ["user_id"], ["t", "event_id"], "low", "high", PREPARING).select("user_id", r6("t").alias("t"))
+
+
+@query(
+    "approach_starts",
+    f"""WITH {_APPROACH} SELECT user_id, round(coalesce(am.t, t0), 6) AS approach_maneuvering_s, CASE WHEN am.t IS NOT NULL THEN 'auto_detected' ELSE 'not_detected_automatically_defaulted_to_end_of_airborne_gap_REVIEW_NEEDED' END AS approach_maneuvering_detection,
+  round(coalesce(fa.t, am.t, t0), 6) AS final_approach_established_s, CASE WHEN fa.t IS NOT NULL THEN 'auto_detected' ELSE 'not_detected_automatically_defaulted_to_approach_maneuvering_start_REVIEW_NEEDED' END AS final_approach_established_detection FROM b LEFT JOIN z USING (user_id) LEFT JOIN am USING (user_id) LEFT JOIN fa USING (user_id)""",
+)
+def approach_starts(spark, d):
+    got = features.approach_starts(_approach_input(spark, d), ["user_id"], ["t", "event_id"], "low", "high", PREPARING, ESTABLISHED)
+    return got.select("user_id", r6("approach_maneuvering_s").alias("approach_maneuvering_s"), "approach_maneuvering_detection", r6("final_approach_established_s").alias("final_approach_established_s"), "final_approach_established_detection")
 
 
 @query(
     "envelope_abort",
-    f"""WITH {TEL} SELECT event_id, CASE WHEN abs(value * 2 - 100) > 150 THEN 'cross_track_exceeded' WHEN abs(k - 50) > 45 THEN 'heading_error_exceeded' WHEN value < 40 THEN 'airspeed_too_low' WHEN value > 120 THEN 'airspeed_too_high' ELSE '' END AS abort_reason FROM tel""",
+    f"""WITH {TEL}, x AS (SELECT *, value * 2 - 100 AS across, k - 50 AS err, k * 0.7 - value AS roll, value / 3 - 2 AS pitch, k * 40.0 AS agl, value > 60 AS f FROM tel), g AS (SELECT *, sum((NOT f)::INTEGER) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS grp FROM x),
+c AS (SELECT *, CASE WHEN f THEN sum(f::INTEGER) OVER (PARTITION BY user_id, grp ORDER BY idx ROWS UNBOUNDED PRECEDING) ELSE 0 END AS n FROM g)
+SELECT event_id, CASE WHEN k = 77 THEN 'flightgear_reported_crashed' WHEN abs(across) > 150 THEN 'cross_track_exceeded' WHEN abs(err) > 45 THEN 'heading_error_exceeded' WHEN abs(roll) > 45 THEN 'bank_angle_exceeded' WHEN abs(pitch) > 25 THEN 'pitch_angle_exceeded' WHEN agl > 3000 THEN 'agl_exceeded' WHEN value < 10 THEN 'airspeed_too_low'
+  WHEN value > 70 THEN 'airspeed_too_high' WHEN n >= 2 THEN 'rudder_saturated' ELSE '' END AS abort_reason FROM c""",
 )
 def envelope_abort(spark, d):
-    from ..streaming.live import ENVELOPE
+    from ..operators import safety
 
     e = telemetry(spark, d)
-    have = {"cross_track_m": F.col("value") * 2 - 100, "heading_error_deg": F.col("k") - 50, "airspeed_kt": F.col("value")}
-    out = None
-    for name, column, kind, limit in ENVELOPE:
-        if column in have:
-            v = have[column]
-            hit = F.abs(v) > limit if kind == "abs" else v > limit if kind == "above" else v < limit
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-    return e.select("event_id", out.otherwise("").alias("abort_reason"))
+    k, v = F.col("k"), F.col("value")
+    e = e.withColumns({"cross_track_m": v * 2 - 100, "heading_error_deg": k - 50, "roll_deg": k * 0.7 - v, "pitch_deg": v / 3 - 2, "alt_agl_ft": k * 40.0, "airspeed_kt": v, "rudder": v / 60, "crashed": k == 77})
+    limits = [(n, c, kind, {"airspeed_too_low": 10.0, "airspeed_too_high": 70.0}.get(n, x)) for n, c, kind, x in safety.ENVELOPE]
+    got = safety.abort_reasons(e, ["user_id"], ["t", "event_id"], {"rudder": (-1.0, 1.0)}, limits, 2)
+    return got.select("event_id", "abort_reason")
+
+
+@query("elevator_split", "SELECT vec_id, round(greatest(-1, least(1, embedding[1]::DOUBLE * 3 - 0.031)), 6) AS elevator, embedding[1]::DOUBLE * 3 - 0.031 NOT BETWEEN -1 AND 1 AS saturated FROM embeddings")
+def elevator_split(spark, d):
+    from ..operators import safety
+
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 3).alias("effective"))
+    got = guards.saturate(F.col("effective") - F.lit(safety.TRIM), -1.0, 1.0)
+    return e.select("vec_id", r6(safety.elevator_command(F.col("effective"))).alias("elevator"), got["saturated"].alias("saturated"))
 
 
 @query("flight_manager_batch")
@@ -664,20 +830,34 @@ def metric_flatten(spark, d):
     return metrics.flatten(m, ["fold"], "m")
 
 
-@query("scenario_signals", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, max(value) AS max FROM events GROUP BY event_type")
+@query("most_frequent", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def most_frequent(spark, d):
+    return profile.most_frequent(table(spark, d, "events"), ["event_type"], 3)
+
+
+@query("scenario_signals", f"WITH {TEL} SELECT event_type, column_name, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, max(v) AS max FROM (SELECT event_type, unnest(['value', 'k']) AS column_name, unnest([value, k::DOUBLE]) AS v FROM tel0) GROUP BY ALL")
 def scenario_signals(spark, d):
-    e = table(spark, d, "events").groupBy("event_type")
-    return e.agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), F.max("value").alias("max"))
+    got = profile.scenario_signals(telemetry(spark, d), ["event_type"], ["value", "k"])
+    return got.select("event_type", "column_name", r6("mean").alias("mean"), r6("std").alias("std"), "max")
+
 
+#: Spellings of the known recordings and of others, dealt over the parts.
+FILES = [x for k in sorted(text.SCENARIOS) for x in (f"/data/{k[:3]}_{k[3:6]}-{k[6:].upper()}.csv", f"{k.title()}.CSV")] + ["voo_Inicio-TESTE.csv", "other.csv"]
 
-@query("scenario_of_name", "SELECT p_partkey, regexp_replace(lower(regexp_replace(p_name, '\\.[^.]*$', '')), '[_\\- ]', '', 'g') AS name, 'unknown' AS scenario FROM part")
+
+@query(
+    "scenario_of_name",
+    f"""WITH f AS (SELECT p_partkey, [{_quoted(FILES)}][(p_partkey % {len(FILES)})::INTEGER + 1] AS path FROM part), n AS (SELECT p_partkey, regexp_replace(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')), '[_\\- ]', '', 'g') AS name FROM f)
+SELECT p_partkey, name, coalesce(m.scenario, 'unknown') AS scenario FROM n LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in text.SCENARIOS.items())}) m(key, scenario) ON m.key = n.name""",
+)
 def scenario_of_name(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.normalised_name(F.col("p_name")).alias("name"), text.scenario_of(F.col("p_name")).alias("scenario"))
+    path = F.get(F.array(*map(F.lit, FILES)), F.pmod("p_partkey", F.lit(len(FILES))).cast("int"))
+    return table(spark, d, "part").select("p_partkey", text.normalised_name(path).alias("name"), text.scenario_of(path).alias("scenario"))
 
 
 @query(
     "report_join",
-    """SELECT n_name, r_name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers, round(o, 1) AS order_value FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1) a ON a.k = n_nationkey
+    """SELECT n_name, r_name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers, round_even(o / 1000, 1) AS order_value FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1) a ON a.k = n_nationkey
 LEFT JOIN (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY 1) b ON b.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, sum(o_totalprice) AS o FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) v ON v.k = n_nationkey""",
 )
 def report_join(spark, d):
@@ -687,7 +867,7 @@ def report_join(spark, d):
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("s"))
     o = table(spark, d, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("o_totalprice").alias("o"))
     out = features.dataset_summary(n, c, s, o, key="k")
-    return out.select("n_name", "r_name", F.coalesce("c", F.lit(0)).alias("customers"), F.coalesce("s", F.lit(0)).alias("suppliers"), r6("o", 1).alias("order_value"))
+    return out.select("n_name", "r_name", F.coalesce("c", F.lit(0)).alias("customers"), F.coalesce("s", F.lit(0)).alias("suppliers"), F.bround(F.col("o") / 1000, 1).alias("order_value"))
 
 
 @query(

@@ -143,10 +143,6 @@ LONGITUDINAL_LABELS = ["elevator_effective", "throttle_command"]
 PASS_THROUGH = ["heading_error_sin", "heading_error_cos", "flaps_state_norm", "flare_flag"]
 SCALED = [c for c in dict.fromkeys(LATERAL_FEATURES + LONGITUDINAL_FEATURES) if c not in PASS_THROUGH]
 
-PHASES = [
-    "PRE_APPROACH_CIRCUIT", "INITIALIZATION_TRANSIENT", "APPROACH_MANEUVERING", "FINAL_APPROACH_ESTABLISHED", "FLARE",
-    "CONTACT_CANDIDATE", "TOUCHDOWN_CONFIRMED", "BOUNCE", "ROLLOUT", "COMPLETE", "UNSEGMENTED",
-]
 CORE_PHASES = ["FINAL_APPROACH_ESTABLISHED", "FLARE", "CONTACT_CANDIDATE"]
 FULL_APPROACH_PHASES = [*CORE_PHASES, "APPROACH_MANEUVERING"]
 RECOVERY_PHASES = [*CORE_PHASES, "INITIALIZATION_TRANSIENT"]
@@ -157,6 +153,11 @@ LANDING = {
     "liftoff_gain_kt": 2.0, "liftoff_throttle": 0.6,
 }
 
+# Limits of the transient at the start, and of the detectors of the approach.
+TRANSIENT = {"band_kt": (55.0, 75.0), "flaps_min": 0.05, "flaps_std": 0.01, "least_s": 2.0, "remaining_s": 5.0, "search_s": 30.0}
+FINAL_APPROACH = {"heading_deg": 30.0, "cross_m": 150.0, "along_m": -200.0, "sink_fpm": -100.0, "least_s": 3.0}
+MANEUVERING = {"heading_deg": 90.0, "sink_fps": -0.5, "flaps_more": 0.02, "least_s": 2.0}
+
 
 def column_name(path: str) -> str:
     """A column name without the signs that need quoting; known paths have short names."""

@@ -73,7 +73,7 @@ def test_long_loose_contact_is_flagged(spark):
     rows = run(spark, frame(60, left=range(5, 30)))
     rec = phases.contact_records(rows, ["ep"])
     flags = {f.flag for f in phases.review_flags(rows, rec, ["ep"], CFG).collect()}
-    assert "long_unconfirmed_CONTACT_CANDIDATE_interval" in flags and "touchdown_never_confirmed" in flags
+    assert flags == {"long_unconfirmed_CONTACT_CANDIDATE_interval: t=[0.50,2.90]s duration=2.50s (>= diagnostic threshold 2.0s)", "touchdown_never_confirmed"}
     assert not checks.unflagged_long_contact(rec, phases.review_flags(rows, rec, ["ep"], CFG), ["ep"], CFG).count()
 
 
