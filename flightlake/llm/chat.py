@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import drop_written, materialize, table
 
 # Fixed values of the template.
 START, STOP = "<|im_start|>", "<|im_end|>"
+#: Stands for a line feed inside a role: a role ends at the first line feed.
+FEED = "<|lf|>"
 #: Inserted behind "<" wherever a text has "<" followed by any number of these and "|": reversible by taking one away.
 GUARD = "\\"
 
@@ -26,6 +28,10 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit(FEED))
+
+
 def unescape_text(text: str) -> str:
     import re
 
@@ -35,18 +41,19 @@ def unescape_text(text: str) -> str:
 def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(tree, leaf, rank, path_score, id, place) for every message on the chosen root-to-leaf paths.
 
-    messages: (id long, parent long, score double); a parent that does not exist counts as none; of repeated ids one
-    row is taken (largest score, then smallest parent); a null score counts as 0; a null id is left out.  tree is the
-    root's id.  Leaves are ranked within a tree by the sum of scores on their path, ties by smaller id, and the first
-    ``per_tree`` are chosen (pre-aggregated, so a tree of any size is no single task's).
-    Messages on a cycle reach no root and are left out.
+    messages: (id, parent, score double); ids of any type that has an order, such as numbers or structs.  A parent that
+    does not exist counts as none; of repeated ids one row is taken (largest score, then one with a parent, the smallest);
+    a null score counts as 0; a null id is left out.  tree is the root's id.  Leaves are ranked within a tree by the sum
+    of scores on their path, ties by smaller id, and the first ``per_tree`` are chosen (pre-aggregated, so a tree of any
+    size is no single task's).  Messages on a cycle reach no root and are left out.  An empty table gives an empty result.
     """
-    m = messages.where("id IS NOT NULL").groupBy("id").agg(
-        F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), (-F.col("parent")).alias("p"))).alias("x")
-    )
-    m = m.select("id", (-F.col("x.p")).alias("parent"), F.col("x.score").cast("double").alias("score"))
+    score = F.coalesce("score", F.lit(0.0)).cast("double")
+    m = messages.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct((-score).alias("worse"), F.col("parent").isNull().alias("none"), "parent")).alias("x"))
+    m = m.select("id", F.col("x.parent").alias("parent"), (-F.col("x.worse")).alias("score"))
+    # roots have no parent to look up: they pass the join by
     known = m.select(F.col("id").alias("parent"), F.lit(True).alias("_k"))
-    m = m.join(known, "parent", "left").select("id", F.when(F.col("_k"), F.col("parent")).alias("parent"), "score")
+    replies = m.where("parent IS NOT NULL").join(known, "parent", "left").select("id", F.when(F.col("_k"), F.col("parent")).alias("parent"), "score")
+    m = m.where("parent IS NULL").select("id", "parent", "score").unionByName(replies)
     # up: the ancestor 2^k levels up (null: above the root), levels walked and the scores of the walked messages;
     # a message that has reached its root takes no part in later rounds
     first = m.select("id", "parent", F.lit(1).cast("long").alias("levels"), F.col("score").alias("total"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"))
@@ -67,13 +74,11 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         )
         steps.append(moved)
         done, climbing = done.unionByName(moved.where("parent IS NULL")), moved.where("parent IS NOT NULL")
-    leaves = done.join(m.select(F.col("parent").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_anti")
+    leaves = done.join(first.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     ranked = leaves.select("root", F.struct((-F.col("total")).alias("worse"), F.col("id").alias("leaf"), "levels").alias("x"))
     if per_tree == 1:
         best = ranked.groupBy("root").agg(F.min("x").alias("x")).withColumn("rank", F.lit(1))
     else:
-        from pyspark.sql import Window
-
         best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("x"))).where(F.col("rank") <= per_tree)
     path = best.select(F.col("root").alias("tree"), F.col("x.leaf").alias("leaf"), "rank", (-F.col("x.worse")).alias("path_score"), F.col("x.leaf").alias("id"), F.col("x.levels").alias("left"))
     # down again: a step of 2^k levels from all messages so far doubles the part of each path that is known
@@ -89,40 +94,21 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """(tree, leaf, rank, formatted, spans): each path as one conversation.
 
-    messages: (id, role, text).  A turn is START role newline text STOP newline; roles and texts are escaped,
-    null ones count as empty.  spans: (start, end) in characters of every assistant text in ``formatted``, the loss mask.
+    messages: (id, parent, score, role, text).  A turn is START role newline text STOP newline; roles and texts are escaped
+    (a role's line feeds too), null ones count as empty.  spans: (start, end) in characters of every assistant text in ``formatted``, the loss mask.
     One conversation is put together in one task, whatever the number of its turns: the output is one string.
     """
-    # one row for an id, as reply_paths takes one: the largest (score, -parent)
-    of = messages.where("id IS NOT NULL").groupBy("id").agg(
-        F.max_by(F.struct("role", "text"), F.struct(F.coalesce("score", F.lit(0.0)), (-F.col("parent")), "role", "text")).alias("x")
-    )
+    # one row for an id, as reply_paths takes one; of equal ones the smallest role and text
+    score = F.coalesce("score", F.lit(0.0)).cast("double")
+    chosen = F.struct((-score).alias("worse"), F.col("parent").isNull().alias("none"), "parent", "role", "text")
+    of = messages.where("id IS NOT NULL").groupBy("id").agg(F.min(chosen).alias("x"))
     turns = paths.join(of, "id").select("tree", "leaf", "rank", "place", F.coalesce("x.role", F.lit("")).alias("role"), escape(F.coalesce("x.text", F.lit(""))).alias("text"))
-    one = F.struct("place", escape(F.col("role")).alias("name"), "text", (F.col("role") == "assistant").alias("loss"))
-    got = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    part = F.transform("turns", lambda t: F.concat(F.lit(START), t["name"], F.lit("\n"), t["text"], F.lit(STOP + "\n")))
-    marks = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda s, t: F.struct(
-            (s["at"] + len(START) + F.length(t["name"]) + 1 + F.length(t["text"]) + len(STOP) + 1).alias("at"),
-            F.when(
-                t["loss"],
-                F.concat(
-                    s["spans"],
-                    F.array(
-                        F.struct(
-                            (s["at"] + len(START) + F.length(t["name"]) + 1).alias("start"),
-                            (s["at"] + len(START) + F.length(t["name"]) + 1 + F.length(t["text"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-    )
-    return got.select("tree", "leaf", "rank", F.array_join(part, "").alias("formatted"), marks["spans"].alias("spans"))
+    one = ["tree", "leaf", "rank"]
+    turns = turns.withColumn("piece", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), "text", F.lit(STOP + "\n")))
+    end = F.sum(F.length("piece")).over(Window.partitionBy(*one).orderBy("place")) - len(STOP) - 1
+    span = F.when(F.col("role") == "assistant", F.struct((end - F.length("text")).cast("int").alias("start"), end.cast("int").alias("end")))
+    got = turns.select(*one, "place", "piece", span.alias("span")).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("place", "piece", "span"))).alias("turns"))
+    return got.select(*one, F.array_join(F.col("turns.piece"), "").alias("formatted"), F.filter(F.col("turns.span"), lambda x: x.isNotNull()).alias("spans"))
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -133,7 +119,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
             raise ValueError("no turn starts here")
         line = formatted.index("\n", at)
         end = formatted.index(STOP + "\n", line)
-        out.append((unescape_text(formatted[at + len(START) : line]), unescape_text(formatted[line + 1 : end])))
+        out.append((unescape_text(formatted[at + len(START) : line].replace(FEED, "\n")), unescape_text(formatted[line + 1 : end])))
         at = end + len(STOP) + 1
     return out
 
@@ -151,30 +137,35 @@ def digests(conversations: DataFrame) -> DataFrame:
                 loss = "".join(unescape_text(text[s["start"] : s["end"]]) for s in spans)
                 rows.append((len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
             out = pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out.insert(0, "tree", pdf["tree"].array)
-            yield out
+            yield pd.concat([pdf[["tree"]].reset_index(drop=True), out], axis=1)
 
-    kinds = "tree long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    tree = conversations.schema["tree"].dataType.simpleString()
+    kinds = f"tree {tree}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return conversations.select("tree", "formatted", "spans").mapInPandas(run, kinds)
 
 
+def thread_messages(conversations: DataFrame) -> DataFrame:
+    """(id, parent, score, role, text): every turn of (added, conv_id, turn, role, text) replies to the one before it.
+
+    Turns are numbered by (turn, role, text); an id is (added, conv_id, number), so that a null conv_id is a conversation too and
+    no two conversations can meet, whatever their ids and lengths.
+    """
+    n = F.row_number().over(Window.partitionBy("added", "conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = conversations.select("*", n.alias("n"))
+    at = lambda k: F.struct("added", "conv_id", k.alias("n"))
+    return rows.select(at(F.col("n")).alias("id"), F.when(F.col("n") > 1, at(F.col("n") - 1)).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
+
+
 def op5_chat_format(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
+    """One row for each conversation of the table, and one for the added conversation -1.
 
+    Rows whose conv_id is null are one conversation with a null conv_id; a conv_id of -1 in the table gives a row of its own beside
+    the added one; repeated rows and equal turns are all formatted, in the order of (turn, role, text); null texts
+    and roles are empty; an empty table gives the added conversation alone; other columns are not read.
+    """
     said = STOP + START + "assistant ok"
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    # every turn replies to the one before it; messages get numbers by conversation and turn
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(by))
-    number = lambda c, n: c * F.lit(1 << 24) + n
-    messages = rows.select(
-        number(F.col("conv_id"), F.col("n")).alias("id"),
-        F.when(F.col("n") > 1, number(F.col("conv_id"), F.col("n") - 1)).alias("parent"),
-        F.lit(1.0).alias("score"),
-        "role",
-        "text",
-    )
-    messages = materialize(messages, "messages")
-    out = digests(format_paths(reply_paths(messages), messages))
-    return out.select(F.floor((F.col("tree") - 1) / F.lit(1 << 24)).cast("long").alias("conv_id"), *out.columns[1:])
+    rows = table(spark, sf_dir, "conversations").select(F.lit(False).alias("added"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    more = spark.createDataFrame([(True, -1, 0, "user", said), (True, -1, 1, "assistant", said)], "added boolean, conv_id long, turn long, role string, text string")
+    messages = materialize(thread_messages(rows.unionByName(more)), "messages")
+    out = digests(format_paths(reply_paths(messages.select("id", "parent", "score")), messages))
+    return out.select(F.col("tree.conv_id").alias("conv_id"), *out.columns[1:])

@@ -8,6 +8,7 @@ for each format then checks its structure and gives its exact length.  That corr
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -128,63 +129,193 @@ def _jpeg(b: bytes, at: int):
     return None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5, at, end + 5) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+#: How many documents may lie open inside one another when a cross-reference is given to the one it belongs to.
+NESTED = 8
+_CROSS_REFERENCE = re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
+_SECTION = re.compile(rb"\s*(?:xref|\d+ \d+ obj)")
 
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, start = struct.unpack("<II", b[end + 12 : end + 20])
-    stop = end + 22 + int.from_bytes(b[end + 20 : end + 22], "little")
-    return ("application/zip", stop, at, stop) if at + start + size == end and stop <= len(b) else None
-
+def _pdfs(b: bytes) -> dict[int, int]:
+    """{start: end} of all PDF documents: the last cross-reference that points back into a document, counted from its header, ends it.
 
-def _gzip(b: bytes, at: int):
-    if len(b) < at + 18 or b[at + 3] & 0xE0:
+    An update appended to a document follows its end mark with objects or a cross-reference table, and ends in a further one.
+    """
+    marks = [(m.start(), None) for m in re.finditer(rb"%PDF-", b)]
+    if not marks:
+        return {}
+    marks += [(m.start(), m) for m in _CROSS_REFERENCE.finditer(b)]
+    ends: dict[int, int] = {}
+    heads: list[int] = []
+    for at, m in sorted(marks, key=lambda x: x[0]):
+        if m is None:
+            heads.append(at)
+            continue
+        offset = int(m[1])
+        for k in range(len(heads) - 1, max(-1, len(heads) - 1 - NESTED), -1):
+            head = heads[k]
+            # a first part of a linearised document gives 0
+            if (not offset or head + offset < at and _SECTION.match(b, head + offset)) and (head not in ends or _SECTION.match(b, ends[head])):
+                ends[head] = m.end()
+                del heads[k + 1 :]
+                break
+    return ends
+
+
+def _zips(b: bytes) -> dict[int, int]:
+    """{start: end} of all ZIP archives: the end record tells where its directory, and so the archive, begins."""
+    found: dict[int, int] = {}
+    p = b.find(b"PK\x05\x06")
+    while 0 <= p <= len(b) - 22:
+        entries, size, start, comment = struct.unpack("<HIIH", b[p + 10 : p + 22])
+        at, stop = p - size - start, p + 22 + comment
+        if at >= 0 and stop <= len(b) and (b[p - size : p - size + 4] == b"PK\x01\x02" if entries else not size):
+            found.setdefault(at, stop)
+        p = b.find(b"PK\x05\x06", p + 4)
+    return found
+
+
+class _Zeros:
+    """The first zero byte from a place on, for places that never fall: bytes are passed over once."""
+
+    def __init__(self, b: bytes):
+        self.b, self.at = b, -1
+
+    def __getitem__(self, p: int) -> int:
+        if self.at < p:
+            at = self.b.find(0, p)
+            self.at = at if at >= 0 else len(self.b)
+        return self.at
+
+
+def _gzip(b: bytes, at: int, zeros: _Zeros):
+    """Header fields, deflated data, then the checksum and length of what they hold."""
+    if len(b) < at + 18 or (flags := b[at + 3]) & 0xE0:
         return None
-    d = zlib.decompressobj(31)
+    p = at + 10
+    if flags & 4:
+        p += 2 + int.from_bytes(b[p : p + 2], "little")
+    for text in (8, 16):  # name, comment
+        if flags & text:
+            p = zeros[p] + 1
+    p += 2 if flags & 2 else 0
+    d, crc, size, whole = zlib.decompressobj(-15), 0, 0, memoryview(b)
     try:
-        rest = b[at:]
-        while rest and not d.eof:  # in pieces: only the length is wanted
-            d.decompress(rest, 1 << 20)
-            rest = d.unconsumed_tail
+        while p < len(b) and not d.eof:  # in pieces: only length and checksum are wanted
+            out, left = d.decompress(whole[p : p + 65536], 1 << 20), d.unconsumed_tail
+            p += 65536
+            while out or left:
+                crc, size = zlib.crc32(out, crc), size + len(out)
+                if d.eof or not left:
+                    break
+                out, left = d.decompress(left, 1 << 20), d.unconsumed_tail
     except zlib.error:
         return None
-    end = len(b) - len(d.unused_data)
-    return ("application/gzip", end, at, end) if d.eof else None
+    if not d.eof:
+        return None
+    end = min(p, len(b)) - len(d.unused_data)
+    good = b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF)
+    return ("application/gzip", end + 8, at, end + 8) if good else None
 
 
 def _ogg(b: bytes, at: int):
-    p, pages = at, 0
+    """Pages follow one another; the first begins a stream, and the last page of the last open stream ends the medium."""
+    p, open_streams = at, set()
     while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
-        n = b[p + 26]
+        n, kind, stream = b[p + 26], b[p + 5], b[p + 14 : p + 18]
         stop = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if stop > len(b):
+        if stop > len(b) or (p == at and not kind & 2):
             return None
-        pages, last, p = pages + 1, b[p + 5] & 4, stop
-        if last:
-            break
-    return ("audio/ogg", p, at, p) if pages else None
+        open_streams.add(stream) if kind & 2 else None
+        p = stop
+        if kind & 4:
+            open_streams.discard(stream)
+            if not open_streams:
+                break
+    return ("audio/ogg", p, at, p) if p > at and not open_streams else None
+
+
+def _crc_table(bits: int, polynomial: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1) ^ (polynomial if x >> (bits - 1) else 0)
+            x &= (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def _flac_frame(b: bytes, p: int):
+    """(length of the header, samples) of a FLAC frame that begins here, its header's checksum confirmed."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1:
+        return None
+    size, rate = b[p + 2] >> 4, b[p + 2] & 15
+    lead = b[p + 4]
+    n = 1 if lead < 0x80 else next((k for k in range(2, 8) if lead >> (7 - k) & 1 == 0), 0)
+    if not size or rate == 15 or not n or 0x80 <= lead < 0xC0:
+        return None
+    q = p + 4 + n
+    more = {6: 1, 7: 2}.get(size, 0)
+    samples = int.from_bytes(b[q : q + more], "big") + 1 if more else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    q += more + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in b[p:q]:
+        crc = _CRC8[crc ^ x]
+    return (q + 1 - p, samples) if q < len(b) and b[q] == crc else None
 
 
 def _flac(b: bytes, at: int):
-    p = at + 4
-    while p + 4 <= len(b):
+    """Metadata blocks, then frames: each ends where its checksum holds and the next one begins, or the announced samples are complete."""
+    p, last = at + 4, False
+    info = b[at + 8 : at + 42]
+    while not last:
+        if p + 4 > len(b):
+            return None
         last, n = b[p] >> 7, int.from_bytes(b[p + 1 : p + 4], "big")
         p += 4 + n
         if p > len(b):
             return None
-        if last:
-            return "audio/flac", len(b), at, len(b)
-    return None
+    if len(info) < 34:
+        return None
+    least, most, total = int.from_bytes(info[4:7], "big"), int.from_bytes(info[7:10], "big"), int.from_bytes(info[13:18], "big") & 0xFFFFFFFFF
+    done, ended = 0, False
+    while not ended and (frame := _flac_frame(b, p)):
+        done += frame[1]
+        crc, q, likely = 0, p, 0
+        first, stop = p + max(least, frame[0] + 2), min(len(b), p + most if most else len(b))
+        while q < stop:
+            crc = ((crc << 8) & 0xFFFF) ^ _CRC16[(crc >> 8) ^ b[q]]
+            q += 1
+            if not crc and q >= first:
+                ended = bool(total) and done >= total
+                if ended or _flac_frame(b, q):
+                    break
+                likely = likely or q
+        else:  # without a next frame only a stream of unknown length can be complete
+            if total or not likely:
+                return None
+            q, ended = likely, True
+        p = q
+    return ("audio/flac", p, at, p) if done and done >= total else None
+
 
+def _listed(kind: str):
+    """A validator that looks a start up in a table made once for all of the bytes."""
 
+    def check(b: bytes, at: int, ends: dict[int, int]):
+        return (kind, ends[at], at, ends[at]) if at in ends else None
+
+    return check
+
+
+#: Formats whose end marks are searched once for all starts, so that many false starts cost no more than the bytes.
+TABLES = {"application/pdf": _pdfs, "application/zip": _zips, "application/gzip": _Zeros}
 VALIDATORS = {
-    "riff": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _pdf,
-    "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac,
+    "riff": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _listed("application/pdf"),
+    "application/zip": _listed("application/zip"), "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac,
 }
 
 
@@ -205,11 +336,17 @@ class Sniffer:
         A medium inside another one's bytes is part of that one; the search goes on behind it.
         """
         found, rejected, free = [], 0, 0
+        tables: dict = {}
         for last, (length, offset, kind) in self.automaton.iter(b.decode("latin-1")):
             at = last + 1 - length - offset
             if at < free:
                 continue
-            hit = VALIDATORS[kind](b, at)
+            if kind in TABLES:
+                if kind not in tables:
+                    tables[kind] = TABLES[kind](b)
+                hit = VALIDATORS[kind](b, at, tables[kind])
+            else:
+                hit = VALIDATORS[kind](b, at)
             if hit:
                 found.append((hit[0], at, *hit[1:]))
                 free = hit[1]
@@ -272,8 +409,9 @@ def read_back(stored: DataFrame) -> DataFrame:
     """Sniff the stored bytes of (doc_id, n_bytes, media) and read payload and features from the carved medium.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
-    The feature gives the sniffed type, payload bounds, rejected signatures inside, and the mean (in
-    thousandths) and peak of the samples.  Null text counts as empty (a payload of 64 zero bytes);
+    The feature gives the sniffed type and payload bounds, what the same search finds inside the payload (types of
+    carved media with their bounds, and the number of rejected signatures), and the mean (in thousandths) and peak of
+    the samples.  Null text counts as empty (a payload of 64 zero bytes);
     equal texts give equal rows; repeated rows come out repeated; a null doc_id stays null.  A stored
     medium that is not carved whole is an error.
     """
@@ -288,13 +426,15 @@ def read_back(stored: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for b in pdf["media"]:
-                media, rejected = s.carve(b)
+                media, _ = s.carve(b)
                 kind, start, end, first, last = media[0]
                 if (start, end) != (0, len(b)):
                     raise ValueError("a stored medium was not carved whole")
                 payload = b[first:last]
+                inside, rejected = s.carve(payload)
+                held = ",".join(f"{m[0]}:{m[1]}+{m[2] - m[1]}" for m in inside)
                 x = np.frombuffer(payload, np.uint8)
-                feature = f"{kind}:{first}+{last - first};rejected={rejected};mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};peak={int(x.max())}"
+                feature = f"{kind}:{first}+{last - first};inside={held};rejected={rejected};mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};peak={int(x.max())}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature))
             out = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             out.insert(0, "doc_id", pdf["doc_id"].array)

@@ -1,15 +1,16 @@
 """WARC archives and an external merge of their capture indexes.
 
-Records are written as WARC files by Spark's writer and read back by Spark's reader.  Each archive
-gives a locally sorted run of captures; the runs are cut at keys chosen by regular sampling, and each
-key range merges its slices of all runs with a loser tree.  The ranges follow one another, so the
-whole is one globally ordered history of (URL key, timestamp).
+Records are written as WARC/1.1 files, one gzip member for each record, and read back by Spark's
+reader of binary files.  What one task reads of them gives one locally sorted run of captures; runs are
+cut at the same keys into ranges, and each range merges its slices of all runs with a loser tree.  The
+ranges follow one another, so the whole is one globally ordered history of (URL key, timestamp).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,14 @@ from ._common import materialize, scratch, table
 
 #: Payloads from this many bytes on are stored once; equal ones become revisit records.
 LEAST_REVISIT = 0
-#: Bytes of records that one archive holds on average.
+#: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
-#: Captures that one range of the merge holds on average; regular sampling bounds the largest at about twice this.
+#: Captures that one range of the merge holds on average.
 RANGE_ROWS = 50_000
-#: Samples taken for each range of captures.
-SAMPLES = 32
 
 END = "\r\n\r\n"
+#: A gzip member without content: it stands between records, so that readers of many members pass over it.
+NOTHING = bytes.fromhex("1f8b08000000000000030300" + "00" * 8)
 
 
 def url_key(url: Column) -> Column:
@@ -44,93 +45,132 @@ def url_key(url: Column) -> Column:
 def mark_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages (page_id, url, html, ...) with (payload, digest_hex, refers_to): null for the first page of equal payloads.
 
-    The first is the one with the smallest page_id; payloads below ``least`` bytes never refer.  The
-    minimum is aggregated before the shuffle, and only digests of more than one page are joined.
+    The first is the one with the smallest page_id; payloads below ``least`` bytes never refer.  A page without
+    page_id refers to the first one with an id.  The minimum is aggregated before the shuffle, and only
+    digests of more than one page are joined.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("digest_hex", F.sha1(F.col("payload").cast("binary")))
     first = p.where(F.octet_length("payload") >= least).groupBy("digest_hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").select("digest_hex", "first")
-    return p.join(first, "digest_hex", "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    later = F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))
+    return p.join(first, "digest_hex", "left").withColumn("refers_to", F.when(later, F.col("first"))).drop("first")
+
+
+def record_bytes(page_id, url: str, key: str, stamp: str, digest_hex: str, refers_to, payload: bytes) -> bytes:
+    """A WARC/1.1 record of an HTTP answer; a revisit carries the HTTP header and no payload."""
+    urn = lambda x: f"<urn:page:{'' if x is None else x}>"
+    again = refers_to is not None
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}{END}".encode() + (b"" if again else payload)
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if again else 'response'}",
+        f"WARC-Record-ID: {urn(page_id)}",
+        f"WARC-Date: {stamp}",
+        f"WARC-Target-URI: {url}",
+        f"X-URL-Key: {key}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest_hex)).decode()}",
+    ]
+    if again:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + END.encode() + block + END.encode()
 
 
 def write_archives(marked: DataFrame, path: str, captured: Column, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """One WARC/1.1 record per row, in gzip files under ``path``; revisits carry HTTP headers and no payload."""
-    length = F.octet_length("payload")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit(END))
-    block = F.when(F.col("refers_to").isNull(), F.concat(http, "payload")).otherwise(http)
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    refers = F.when(
-        F.col("refers_to").isNotNull(),
-        F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(F.col("refers_to"))),
-    ).otherwise("")
-    target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
-    record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind,
-        F.lit("\r\nWARC-Record-ID: "), urn(F.col("page_id")),
-        F.lit("\r\nWARC-Date: "), F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        F.lit("\r\nWARC-Target-URI: "), target,
-        F.lit("\r\nX-URL-Key: "), F.regexp_replace(url_key(F.col("url")), r"[\r\n]", ""),
-        F.lit("\r\nWARC-Payload-Digest: sha1-hex:"), "digest_hex", refers,
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
-        F.lit(END), block,
-    )
-    rows = marked.select(record.alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, archive_bytes >> 14)).text(path)
-
+    """One record per row, each a gzip member of its own, in files under ``path`` that are closed at ``archive_bytes``.
 
-def _records(b: bytes):
-    """(offset, length, headers, block) of every record of an uncompressed archive."""
-    at = 0
-    while at < len(b):
-        end = b.index(b"\r\n\r\n", at)
-        lines = b[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("no WARC record here")
-        head = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        stop = end + 4 + int(head["Content-Length"])
-        yield at, stop - at, head, b[end + 4 : stop]
-        at = stop + 4
+    Members are made in the tasks, which count their bytes; Spark's text writer puts them into files byte for byte, with
+    an empty member in the place of a line feed.
+    """
+    import pyarrow as pa
 
+    plain = lambda c: F.regexp_replace(c, r"[\r\n]", "")
+    rows = marked.select(
+        "page_id", plain(F.coalesce("url", F.lit(""))).alias("url"), plain(url_key(F.col("url"))).alias("key"), F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"),
+        "digest_hex", "refers_to", F.col("payload").cast("binary").alias("payload"),
+    )
 
-RUN = "archive string, pos int, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_offset long, record_length long"
+    def pack(batches):
+        number = held = 0
+        for batch in batches:
+            members, numbers = [], []
+            for fields in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                members.append(z.compress(record_bytes(*fields)) + z.flush())
+                numbers.append(number)
+                held += len(members[-1]) + len(NOTHING)
+                if held >= archive_bytes:
+                    number, held = number + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(numbers, pa.int32())], ["member", "number"])
+
+    packed = rows.mapInArrow(pack, "member binary, number int").select(F.col("member").cast("string").alias("value"), "number")
+    packed.write.partitionBy("number").option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)
+
+
+def members(content: bytes):
+    """(offset, length, data) of every gzip member that holds something."""
+    at, whole = 0, memoryview(content)
+    while at < len(content):
+        d, p, data = zlib.decompressobj(31), at, []
+        while not d.eof:
+            if p >= len(content):
+                raise ValueError(f"a member is cut off at {at}")
+            data.append(d.decompress(whole[p : p + 16384]))
+            p += 16384
+        stop = min(p, len(content)) - len(d.unused_data)
+        if any(data):
+            yield at, stop - at, b"".join(data)
+        at = stop
+
+
+def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one record."""
+    end = data.index(b"\r\n\r\n")
+    lines = data[:end].decode("utf-8", "surrogatepass").split("\r\n")
+    head = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    block = data[end + 4 : end + 4 + int(head["Content-Length"])]
+    if not lines[0].startswith("WARC/") or data[end + 4 + len(block) :] != b"\r\n\r\n":
+        raise ValueError("no WARC record here")
+    return head, block
+
+
+RUN = "run string, pos int, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_length long"
 
 
 def read_runs(spark, path: str) -> DataFrame:
-    """Locally sorted capture runs, one for each archive; digests of responses are taken from the payload read back."""
+    """Locally sorted runs of captures, one for all the archives that a task reads; digests of responses are taken from the payload read back."""
     import pandas as pd
 
+    columns = [c.split()[0] for c in RUN.split(", ")]
+
     def number(urn: str | None):
         x = (urn or "")[10:-1]
         return int(x) if x else None
 
     def run(batches):
-        import gzip
-
+        rows, name = [], ""
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                for at, length, head, block in _records(gzip.decompress(content)):
+            for where, content in zip(pdf["path"], pdf["content"]):
+                archive = "/".join(where.rsplit("/", 2)[-2:])
+                name = name or archive
+                for at, length, data in members(content):
+                    head, block = parsed(data)
                     cut = block.index(b"\r\n\r\n") + 4
                     size = int(block[:cut].lower().split(b"content-length: ")[1].split(b"\r\n")[0])
                     digest = head["WARC-Payload-Digest"].split(":")[1]
                     if head["WARC-Type"] == "response":
                         body = block[cut:]
-                        if len(body) != size or hashlib.sha1(body).hexdigest() != digest:
-                            raise ValueError(f"{name}: damaged record at {at}")
-                    b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-                    rows.append((head.get("X-URL-Key", ""), head["WARC-Date"], number(head["WARC-Record-ID"]), size, b32, head["WARC-Type"], number(head.get("WARC-Refers-To")), at, length))
-                rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
-                out = pd.DataFrame(rows, columns=["url_key", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_offset", "record_length"])
-                out = out.astype({"page_id": "Int64", "refers_to": "Int64"})
-                out.insert(0, "archive", name.rsplit("/", 1)[-1])
-                out.insert(1, "pos", range(len(out)))
-                yield out
+                        if len(body) != size or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+                            raise ValueError(f"{archive}: damaged record at {at}")
+                    rows.append((head.get("X-URL-Key", ""), head["WARC-Date"], number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], number(head.get("WARC-Refers-To")), archive, at, length))
+        rows.sort(key=lambda r: (r[0].encode("utf-8", "surrogatepass"), r[1], r[2] is not None, r[2] or 0, r[7], r[8]))
+        for a in range(0, len(rows), 10_000):
+            out = pd.DataFrame([(name, a + i, *r) for i, r in enumerate(rows[a : a + 10_000])], columns=columns)
+            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    spread = files.mapInPandas(run, RUN)
-    return materialize(spread, "runs")
+    return materialize(files.mapInPandas(run, RUN), "runs")
 
 
 class LoserTree:
@@ -168,45 +208,33 @@ class LoserTree:
 
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The captures of all runs with (range, place): ordered by both, they are ordered by URL key, timestamp and page_id.
+    """The captures of all runs with (range, place): ordered by both, they are ordered by URL key, timestamp and page_id (null first).
 
-    Range bounds are every SAMPLES-th of samples taken at even distances in each sorted run; a bound holds
-    timestamp and page_id too, so that one URL with very many captures is spread over ranges.
+    Spark's range partitioning samples the bounds (at most a million keys, whatever the number of captures); they hold
+    timestamp, page_id and place of the record too, so that one URL with very many captures is spread over ranges.
     """
     import pandas as pd
 
-    spark = runs.sparkSession
-    every = max(1, range_rows // SAMPLES)
-    order = ["url_key", "captured", F.coalesce("page_id", F.lit(-(1 << 63)))]
-    # a run shorter than the distance gives a sample with the matching chance, by a hash of its place
-    sampled = runs.where(F.pmod(F.col("pos") + F.pmod(F.xxhash64("archive"), F.lit(every)), F.lit(every)) == 0)
-    rows = sampled.select(*order).collect()  # one in range_rows / SAMPLES captures, keys only
-    keys = sorted(tuple(r) for r in rows)
-    bounds = [keys[i] for i in range(SAMPLES, len(keys), SAMPLES)]
-    sent = spark.sparkContext.broadcast(bounds)
-    data = [f.name for f in runs.schema if f.name != "pos"]
-
-    def cut(batches):
-        import bisect
-
-        for pdf in batches:
-            page = pdf["page_id"].fillna(-(1 << 63)).astype("int64")
-            pdf["range"] = [bisect.bisect_right(sent.value, k) for k in zip(pdf["url_key"], pdf["captured"], page)]
-            yield pdf
+    order = ["url_key", "captured", "page_id", "archive", "record_offset"]
+    ranges = max(1, -(-runs.count() // range_rows))
+    data = [f.name for f in runs.schema if f.name not in ("run", "pos")]
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["archive", "pos"], kind="stable").reset_index(drop=True)  # slices as they came; ordering inside each is the run's
+    def merge(batches):
+        # slices as they came: the order inside each is the run's
+        pdf = pd.concat([*batches] or [pd.DataFrame(columns=[*runs_columns, "range"])], ignore_index=True)
         page = pdf["page_id"].fillna(-(1 << 63)).astype("int64")
-        keys = list(zip(pdf["url_key"], pdf["captured"], page))
-        starts = [0, *(i for i in range(1, len(pdf)) if pdf["archive"].iat[i] != pdf["archive"].iat[i - 1]), len(pdf)] if len(pdf) else [0]
+        keys = list(zip((k.encode("utf-8", "surrogatepass") for k in pdf["url_key"]), pdf["captured"], page, pdf["archive"], pdf["record_offset"]))
+        run = pdf["run"].tolist()
+        starts = [0, *(i for i in range(1, len(run)) if run[i] != run[i - 1]), len(run)] if run else [0]
         slices = [[(keys[i], i) for i in range(a, b)] for a, b in zip(starts, starts[1:])]
         out = pdf.iloc[list(LoserTree(slices))].reset_index(drop=True)
         out["place"] = range(len(out))
-        return out[[*data, "range", "place"]]
+        yield out[[*data, "range", "place"]]
 
+    runs_columns = runs.columns
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
-    with_range = runs.mapInPandas(cut, RUN + ", range int")
-    return with_range.groupBy("range").applyInPandas(merge, ", ".join(f"{c} {kinds[c]}" for c in data) + ", range int, place int")
+    dealt = runs.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).sortWithinPartitions("run", "pos")
+    return dealt.mapInPandas(merge, ", ".join(f"{c} {kinds[c]}" for c in data) + ", range int, place int")
 
 
 def capture_history(pages: DataFrame, captured: Column, least: int = LEAST_REVISIT) -> DataFrame:
@@ -214,9 +242,9 @@ def capture_history(pages: DataFrame, captured: Column, least: int = LEAST_REVIS
 
     One row per page: page_id, payload_bytes, payload_digest (base32 SHA-1), record_type, refers_to, url_key,
     captured, archive, record_offset, record_length, range, place.  Null html counts as empty, a
-    null url has an empty key; a page without page_id is a response unless another page has its payload, and
-    never the one referred to while one with an id exists; repeated rows come out repeated (equal
-    page_ids do not refer to themselves); an empty table gives an empty result; other columns are not read.
+    null url has an empty key; a page without page_id refers to the page with its payload that has the smallest one, and is a
+    response if there is none; repeated rows come out repeated (equal page_ids do not refer to one
+    another); an empty table gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
