@@ -713,6 +713,7 @@ def manager_input(spark, d) -> DataFrame:
     return e.select(
         F.col("user_id").cast("string").alias("run_id"), F.col("t").alias("sim_time"), *[F.lit(v).alias(n) for n, v in fixed.items()], F.col("agl").alias("alt_agl_ft"), F.lit(65.0).alias("airspeed_kt"), (F.col("gs") / 5).alias("groundspeed_kt"),
         F.col("nose").alias("gear_wow_nose"), F.col("left").alias("gear_wow_left"), F.col("right").alias("gear_wow_right"), F.lit(0).alias("crashed"), F.lit(0).alias("frozen"),
+        ((F.col("gs") - 50) / 40).alias("aileron_pred"), ((F.col("agl") - 50) / 40).alias("rudder_pred"), (F.col("gs") / 80).alias("elevator_effective_pred"), (F.col("thr") * 1.2).alias("throttle_pred"),
     )
 
 

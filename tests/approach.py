@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import FPS_PER_KT, MPS_PER_KT, RUNWAYS, Runway, metres_per_degree
+from flightlake.functions.geometry import FPS_PER_KT, MPS_PER_KT, RUNWAYS, Runway, metres_per_degree
 
 
 def approaches(spark: SparkSession, runs: int = 1, hz: float = 10.0, seconds: float = 150.0, runway: Runway = RUNWAYS["02"], knots: float = 65.0, start_m: float = -3000.0, start_ft: float = 800.0) -> DataFrame:

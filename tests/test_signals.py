@@ -189,7 +189,7 @@ def test_failed_check_raises(spark):
 
 def test_feature_table(spark):
     from flightlake.plans.batch import features_of
-    from flightlake.sources.mock import approaches
+    from approach import approaches
 
     out = features_of(approaches(spark, runs=2, hz=60.0, seconds=140.0)).persist()
     assert out.select("episode_id").distinct().count() == 2

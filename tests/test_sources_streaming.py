@@ -1,12 +1,15 @@
 import json
+import math
+import random
 
+import approach as mock
 import pytest
 from pyspark.sql import functions as F
 
 from flightlake import schema
 from flightlake.functions import geometry as G
 from flightlake.operators import model
-from flightlake.sources import mock, recordings
+from flightlake.sources import recordings
 from flightlake.streaming import live
 
 
@@ -79,8 +82,121 @@ def test_envelope(change, reason):
     assert live.abort_reason(base, {"rudder": 30}) == "rudder_saturated"
 
 
+def test_the_envelope_holds_only_in_the_air():
+    slow = {"cross_track_m": 0, "heading_error_deg": 0, "roll_deg": 0, "pitch_deg": 0, "alt_agl_ft": 0, "airspeed_kt": 5, "crashed": 0}
+    assert live.abort_reason(slow, {}) == "airspeed_too_low" and live.abort_reason(slow, {}, neural=False) == ""
+
+
 def test_rollout_law():
-    assert live.rollout_commands(2.0, 10.0, 30.0) == (0.3, 0.35) and live.rollout_commands(0.0, -90.0, 1.0) == (-0.6, 0.7)
+    got = live.rollout_commands(2.0, 10.0, 30.0)
+    assert (got["rudder"], got["brake"], got["throttle"], got["aileron"]) == (0.3, 0.35, 0.0, 0.0)
+    got = live.rollout_commands(0.0, -90.0, 1.0)
+    assert (got["rudder"], got["brake"]) == (-0.6, 0.7)
+
+
+SAMPLE = {
+    "lat_deg": 63.95, "lon_deg": -22.605, "alt_msl_ft": 300.0, "alt_agl_ft": 165.0, "heading_deg": 0.0, "roll_deg": 0.0, "pitch_deg": 3.0, "airspeed_kt": 65.0, "groundspeed_kt": 60.0,
+    "gear_wow_nose": 0, "gear_wow_left": 0, "gear_wow_right": 0, "crashed": 0, "frozen": 0,
+}
+
+
+def cycles(*changes, dt=0.1):
+    r = live.Replay(None, dt, G.RUNWAYS["02"])
+    return [r.handle({"sim_time": 1 + i * dt, **SAMPLE, **c}) for i, c in enumerate(changes)]
+
+
+def test_all_four_commands_are_limited():
+    wanted = {"aileron_pred": 0.5, "rudder_pred": -2.0, "elevator_effective_pred": 0.331, "throttle_pred": 0.8}
+    got = cycles(wanted, wanted, {**wanted, "throttle_pred": 0.1, "aileron_pred": -1.0})
+    take = lambda c: [round(x[c], 6) for x in got]
+    assert take("aileron") == [0.2, 0.4, 0.2] and take("rudder") == [-0.2, -0.4, -0.6]  # saturated at -1 first
+    assert take("elevator") == [0.2, 0.3, 0.3] and take("throttle") == [0.8, 0.8, 0.7]  # trim taken off once; the first throttle is its target
+
+
+def test_saturation_lasts_thirty_cycles():
+    got = cycles(*[{"rudder_pred": 1.5}] * 31)
+    assert [x["abort_reason"] for x in got] == [""] * 29 + ["rudder_saturated"] * 2
+
+
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf")])
+def test_broken_telemetry_ends_a_run(value):
+    got = cycles({}, {"airspeed_kt": value}, {})
+    assert [x["abort_reason"] for x in got] == ["", *["telemetry_contains_nan_or_inf"] * 2] and got[1]["along_track_m"] is None
+
+
+def test_broken_outputs_end_a_run():
+    assert cycles({"throttle_pred": float("nan")})[0]["abort_reason"] == "longitudinal_model_output_non_finite"
+    assert cycles({"aileron_pred": float("inf")})[0]["abort_reason"] == "lateral_model_output_non_finite"
+
+
+def test_readiness_takes_five_sane_samples():
+    got = cycles({}, {}, {}, {}, {}, {"frozen": 1}, {}, {}, {}, {}, {})
+    assert [x["ready"] for x in got] == [False] * 4 + [True] + [False] * 5 + [True]
+    r = live.Replay(None, 0.1, G.RUNWAYS["02"])
+    rows = [r.handle({"sim_time": t, **SAMPLE}) for t in (1, 2, 3, 3, 4, 5, 6, 7, 8)]
+    assert rows[3] is None and [x["ready"] for x in rows if x] == [False] * 7 + [True]  # the repeated sample starts the count again
+
+
+def test_completion_after_three_seconds_at_rest():
+    down = {"gear_wow_left": 1, "gear_wow_right": 1, "alt_agl_ft": 0.0}
+    got = cycles(*[{"alt_agl_ft": 10.0}] * 2, *[down] * 12, *[{**down, "groundspeed_kt": 1.0, "airspeed_kt": 0.0}] * 70)
+    at = next(i for i, x in enumerate(got) if x["phase"] == "COMPLETE")
+    first = next(i for i, x in enumerate(got) if x["finished"])
+    assert got[first]["sim_time"] - got[at]["sim_time"] > 3 and not got[first]["abort_reason"] and first - at == 31
+    assert [x["reason"] for x in got if x["reason"]] == ["first_main_gear_contact", "both_main_gear_contact", "any_gear_contact", "groundspeed_below_threshold"] or got[0]["reason"] == "flare_height_reached"
+
+
+def test_snapshot_log_and_summary(spark):
+    samples = mock.approaches(spark, runs=2, seconds=150.0)
+    runs = live.replay_batch(samples).persist()
+    snap = live.touchdown_snapshot(runs, samples, ["airspeed_kt", "roll_deg"]).collect()
+    first = {r.run_id: r.t for r in runs.where("phase = 'TOUCHDOWN_CONFIRMED'").groupBy("run_id").agg(F.min("sim_time").alias("t")).collect()}
+    speed = {(r.run_id, r.sim_time): r.airspeed_kt for r in samples.collect()}
+    assert {r.run_id: (r.sim_time, r.airspeed_kt) for r in snap} == {k: (t, speed[k, t]) for k, t in first.items()} and len(snap) == 2
+    log = [r.new_state for r in live.transition_log(runs).where("run_id = 'run-0'").orderBy("sim_time").collect()]
+    assert log[0] == "FLARE" and log[-1] == "COMPLETE"
+    assert {(r.run_id, r.outcome, r.final_phase) for r in live.run_summary(runs).collect()} == {("run-0", "completed", "COMPLETE"), ("run-1", "completed", "COMPLETE")}
+
+
+def test_manager_equals_its_rules():
+    """Random samples against the rules told in one place: each phase's counter, then the first rule that applies."""
+    rng = random.Random(3)
+    for _ in range(60):
+        m, phase, n = live.Manager(0.1), "FINAL_APPROACH_ESTABLISHED", 0
+        state = [30.0, False, False, False, 60.0]
+        for _ in range(120):
+            if rng.random() < 0.3:
+                state = [rng.choice([5.0, 30.0]), *(rng.random() < 0.6 for _ in range(3)), rng.choice([1.0, 60.0])]
+            agl, nose, left, right, gs = state
+            both, main, touch = left and right, left or right, left or right or nose
+            if phase == "FINAL_APPROACH_ESTABLISHED" and agl <= 20:
+                phase = "FLARE"
+            if phase in ("FLARE", "BOUNCE") and main:
+                phase, n = "CONTACT_CANDIDATE", int(both)
+            elif phase == "CONTACT_CANDIDATE":
+                n = n + 1 if both else 0
+                if n >= 3:
+                    phase = "TOUCHDOWN_CONFIRMED"
+                elif not main:
+                    phase = "FLARE"
+            elif phase == "TOUCHDOWN_CONFIRMED":
+                n += 1
+                if not touch:
+                    phase, n = "BOUNCE", 0
+                elif n >= 8:
+                    phase, n = "ROLLOUT", 0
+            elif phase == "ROLLOUT":
+                n = n + 1 if gs < 5 else 0
+                phase = "COMPLETE" if n >= 20 else phase
+            assert m.step(agl, nose, left, right, gs) == phase
+
+
+def test_stale_stream_row():
+    """A timer without a sample ends a live run as stale; here the state that it leaves."""
+    r = live.Replay(None, 0.1, G.RUNWAYS["02"])
+    r.handle({"sim_time": 1.0, **SAMPLE})
+    late = r.handle({"sim_time": 1.0 + live.STALE_S + 0.1, **SAMPLE})
+    assert late["abort_reason"] == "telemetry_stale" and json.loads(json.dumps(r.s))["abort"] == "telemetry_stale" and math.isfinite(late["along_track_m"])
 
 
 def test_online_geometry_equals_columns(spark):
