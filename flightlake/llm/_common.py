@@ -29,12 +29,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> str:
+    """The new folder in the shared one that ``df`` was written to."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, tag))
 
 
 def drop_written(df: DataFrame) -> None:
@@ -77,19 +81,18 @@ def _forest(batches):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u long, v long) as (node, component = smallest member).
 
-    Alternating large-star and small-star rounds; each partition first contracts its own edges to
-    stars, so a chain of any length inside one partition takes one round.  Every round is written to
-    the shared checkpoint folder.  Minima are pre-aggregated before the shuffle and hubs are met only
+    Alternating large-star and small-star rounds, until no node is tied twice and none that is tied has others tied to it; each
+    partition first contracts its own edges to stars, so a chain of any length inside one partition takes no round.  Every
+    round is written to the shared checkpoint folder.  Minima are pre-aggregated before the shuffle and hubs are met only
     in equi-joins, which Spark can split.  Nodes without an edge do not appear.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e, seen = materialize(e.distinct(), "cc"), None
-    e = materialize(e.mapInPandas(_forest, "u long, v long"), "cc")
+    e = materialize(e.mapInPandas(_forest, "u long, v long").distinct(), "cc")
     for _ in range(max_rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("s")).select("s.*")
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("all")).where("up > 1 OR (up = 1 AND all > 1)")
+        if not open_.limit(1).count():
             break
-        seen = now
         # large star: every larger neighbour of x is tied to the smallest of x and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

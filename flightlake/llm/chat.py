@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_written, materialize, table
+from ._common import materialize, table, written
 
 # Fixed values of the template.
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -57,23 +57,24 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     # up: the ancestor 2^k levels up (null: above the root), levels walked and the scores of the walked messages;
     # a message that has reached its root takes no part in later rounds
     first = m.select("id", "parent", F.lit(1).cast("long").alias("levels"), F.col("score").alias("total"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"))
-    first = materialize(first, "paths")
-    steps, most = [first], first.count()
-    done, climbing = first.where("parent IS NULL"), first.where("parent IS NOT NULL")
-    while (1 << len(steps)) <= 2 * max(1, most) and climbing.limit(1).count():
-        a, b = climbing.alias("a"), done.unionByName(climbing).alias("b")
-        moved = materialize(
-            a.join(b, F.col("a.parent") == F.col("b.id")).select(
-                "a.id",
-                F.col("b.parent").alias("parent"),
-                (F.col("a.levels") + F.col("b.levels")).alias("levels"),
-                (F.col("a.total") + F.col("b.total")).alias("total"),
-                F.col("b.root").alias("root"),
-            ),
-            "paths",
+    spark, folders = m.sparkSession, [written(first, "paths")]
+    step = lambda *k: spark.read.schema(first.schema).parquet(*k)
+    most = step(*folders).count()
+    while (1 << len(folders)) <= 2 * max(1, most):
+        climbing = step(folders[-1]).where("parent IS NOT NULL")
+        if not climbing.limit(1).count():
+            break
+        # finished rows of all rounds and the climbing ones of the last, in one scan each
+        a, b = climbing.alias("a"), step(*folders).where("parent IS NULL").unionByName(climbing).alias("b")
+        moved = a.join(b, F.col("a.parent") == F.col("b.id")).select(
+            "a.id",
+            F.col("b.parent").alias("parent"),
+            (F.col("a.levels") + F.col("b.levels")).alias("levels"),
+            (F.col("a.total") + F.col("b.total")).alias("total"),
+            F.col("b.root").alias("root"),
         )
-        steps.append(moved)
-        done, climbing = done.unionByName(moved.where("parent IS NULL")), moved.where("parent IS NOT NULL")
+        folders.append(written(moved, "paths"))
+    done, first = step(*folders).where("parent IS NULL"), step(folders[0])
     leaves = done.join(first.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     ranked = leaves.select("root", F.struct((-F.col("total")).alias("worse"), F.col("id").alias("leaf"), "levels").alias("x"))
     if per_tree == 1:
@@ -82,13 +83,13 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("x"))).where(F.col("rank") <= per_tree)
     path = best.select(F.col("root").alias("tree"), F.col("x.leaf").alias("leaf"), "rank", (-F.col("x.worse")).alias("path_score"), F.col("x.leaf").alias("id"), F.col("x.levels").alias("left"))
     # down again: a step of 2^k levels from all messages so far doubles the part of each path that is known
-    path = materialize(path, "paths")
-    for k, step in enumerate(steps):
-        hop = step.where("parent IS NOT NULL").select("id", F.col("parent").alias("_up"))
-        more = path.join(hop, "id").select("tree", "leaf", "rank", "path_score", F.col("_up").alias("id"), (F.col("left") - (1 << k)).alias("left"))
-        old, path = path, materialize(path.unionByName(more), "paths")
-        drop_written(old)
-    return path.select("tree", "leaf", "rank", "path_score", "id", (F.col("left") - 1).alias("place"))
+    kind, ways = path.schema, [written(path, "paths")]
+    known = lambda: spark.read.schema(kind).parquet(*ways)
+    for k, folder in enumerate(folders):
+        hop = step(folder).where("parent IS NOT NULL").select("id", F.col("parent").alias("_up"))
+        more = known().join(hop, "id").select("tree", "leaf", "rank", "path_score", F.col("_up").alias("id"), (F.col("left") - (1 << k)).alias("left"))
+        ways.append(written(more, "paths"))
+    return known().select("tree", "leaf", "rank", "path_score", "id", (F.col("left") - 1).alias("place"))
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
@@ -126,22 +127,23 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def digests(conversations: DataFrame) -> DataFrame:
     """(tree, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ``formatted`` and ``spans``."""
-    import pandas as pd
+    import pyarrow as pa
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text, spans in zip(pdf["formatted"], pdf["spans"]):
+            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("spans").to_pylist()):
                 turns = read_turns(text)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                 loss = "".join(unescape_text(text[s["start"] : s["end"]]) for s in spans)
                 rows.append((len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            out = pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield pd.concat([pdf[["tree"]].reset_index(drop=True), out], axis=1)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), *columns], ["tree", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     tree = conversations.schema["tree"].dataType.simpleString()
     kinds = f"tree {tree}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return conversations.select("tree", "formatted", "spans").mapInPandas(run, kinds)
+    return conversations.select("tree", "formatted", "spans").mapInArrow(run, kinds)
 
 
 def thread_messages(conversations: DataFrame) -> DataFrame:

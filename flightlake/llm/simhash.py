@@ -233,7 +233,7 @@ NEAR = {"shingle": 5, "least": 0.8}
 #: Documents that the order of shingles is taken from, and shingles that it names: they set the work, never the result.
 ORDER_SAMPLE, ORDER_NAMED = 10_000, 1 << 17
 #: Buckets of up to SMALL sets are compared by sizes and places alone, larger ones by sketches, those above BUCKET part against part.
-SMALL, BUCKET = 12, 2048
+SMALL, BUCKET = 12, 512
 #: Bits of the least parity sketch, and bits of a sketch for each member of a set.
 SKETCH, SPREAD_BITS = 1024, 4
 
@@ -322,32 +322,31 @@ def _may_match(n, m, apart, least: float):
 def bucket_pairs(keyed: DataFrame, least: float) -> DataFrame:
     """(key, u, v, at): pairs (u, v) of nodes of small buckets that may match, and the rows (key, node, null, at) of larger ones.
 
-    keyed: (key, node, c, n, at), sorted by key in a partition.  A pair of one component c is left out, and so is one
-    that has too few members behind its places in the order: similar sets pass in the bucket of their first common member.
+    keyed: (key, node, n, at), sorted by key in a partition.  A pair that has too few members behind its places in the
+    order is left out: similar sets pass in the bucket of their first common member.
     """
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        for starts, ends, key, node, c, n, at in _whole_buckets(batches, ["node", "c", "n", "at"]):
-            sizes, found, rest = ends - starts, [], n - at
-
+        none = lambda k: pd.array([None] * k, "Int64")
+        for starts, ends, key, node, n, at in _whole_buckets(batches, ["node", "n", "at"]):
+            sizes, found, rest = ends - starts, [np.zeros((0, 2), np.int64)], n - at
             for size in range(2, SMALL + 1):
                 i, j = np.triu_indices(size, 1)
                 first = starts[sizes == size][:, None]
                 for part in np.array_split(first, len(first) * len(i) // 500_000 + 1):
                     a, b = (part + i).ravel(), (part + j).ravel()
-                    ok = (c[a] != c[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
+                    ok = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
                     ok &= np.minimum(rest[a], rest[b]) * (1 + least) >= least * (n[a] + n[b]) - 1e-9
                     found.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], 1))
             pairs = np.unique(np.concatenate(found), axis=0)
-            none = lambda k: pd.array([None] * k, "Int64")
             yield pd.DataFrame({"key": none(len(pairs)), "u": pairs[:, 0], "v": pairs[:, 1], "at": none(len(pairs))})
-            for a, b in zip(starts[sizes > SMALL].tolist(), ends[sizes > SMALL].tolist()):
-                for x in range(a, b, 10_000):
-                    y = min(b, x + 10_000)
-                    yield pd.DataFrame({"key": key[x:y], "u": node[x:y], "v": none(y - x), "at": at[x:y]})
+            large = np.flatnonzero(np.repeat(sizes > SMALL, sizes))
+            for x in range(0, len(large), 10_000):
+                rows = large[x : x + 10_000]
+                yield pd.DataFrame({"key": key[rows], "u": node[rows], "v": none(len(rows)), "at": at[rows]})
 
     return keyed.mapInPandas(run, "key long, u long, v long, at long")
 
@@ -431,11 +430,12 @@ def near_duplicate_classes(df: DataFrame, doc_id: str, text: str, shingle: int,
 
     rows: (doc_id, text_hash, d0, d1), one for each row.  sets: (d0, d1, first, class): first (no_id, doc_id, text_hash) is the row with the
     smallest doc_id (null last), class a number without further meaning, the same for sets linked at a Jaccard similarity of ``least``.
-    1. SimHash: sets whose 64-bit fingerprints share three of six blocks and differ in at most three bits are proposed, and
-       linked if their texts are similar.  That joins most copies.
+    Pairs are proposed in three ways, and linked only if their whole texts are similar:
+    1. SimHash: 64-bit fingerprints that share three of six blocks and differ in at most three bits.  That joins most copies.
     2. Three bits are too few for a similarity of 0.8 (about ten bits), so the rest is found exactly: similar sets share a
-       member of their prefixes (``shingle_sets``), and every pair of different components that does is checked, unless
-       sizes, places or sketches rule it out.  Buckets with many sets are linked by stars first, then searched whole.
+       member of their prefixes (``shingle_sets``).  A small bucket of sets with a common member gives all pairs that sizes and
+       places allow, a larger one a star for each set that no star covers yet.
+    3. Once these are checked and joined, all pairs of a larger bucket that are still in different components.
     """
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("text_hash"), df[text].alias("text"))
     rows = materialize(shingle_sets(docs, shingle, least, common_shingles(docs, shingle, BUCKET)), "sets")
@@ -447,32 +447,34 @@ def near_duplicate_classes(df: DataFrame, doc_id: str, text: str, shingle: int,
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "first", "x.*"), "nodes")
     # 1.
     same = nodes.groupBy("f").agg(F.min("node").alias("lead"))
-    links = fingerprint_links(same.withColumnRenamed("lead", "node"), ["f"], pigeonhole_masks(64, 6, 3), 3)
-    links = links.unionByName(nodes.join(same, "f").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")))
-    links = verified(links, nodes, docs, shingle, least)
-    found = components(links)
+    pairs = fingerprint_links(same.withColumnRenamed("lead", "node"), ["f"], pigeonhole_masks(64, 6, 3), 3)
+    pairs = pairs.unionByName(nodes.join(same, "f").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")))
     # 2.
-    cold, all_of = F.slice("prefix", F.lit(1), F.col("cold")), F.col("prefix")
-    listed = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "n", "cold", "prefix")
-    keyed = listed.select("node", "c", "n", F.posexplode(cold).alias("at", "key")).select("key", "node", "c", "n", F.col("at").cast("long").alias("at"))
-    pairs = materialize(bucket_pairs(keyed.repartition("key").sortWithinPartitions("key"), least), "pairs")
-    hot = nodes.where(F.size("prefix") > F.col("cold")).select("node", "cold", F.posexplode(all_of).alias("at", "key")).where("at >= cold")
-    large = pairs.where("v IS NULL").select("key", F.col("u").alias("node"), "at").unionByName(hot.select("key", "node", F.col("at").cast("long").alias("at")))
-    pairs = pairs.where("v IS NOT NULL").select("u", "v")
-    for stars in (True, False):
-        mine = large.join(found, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("c"))
-        mixed = mine.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-        mixed = materialize(mixed.select("key", "m"), "mixed")
-        some = mixed.limit(1).count()
-        if some:
-            info = mine.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", "n", "small"), "node")
-            more = pairs_between(dealt(info, mixed, BUCKET).repartition("key").sortWithinPartitions("key"), least, stars)
-            pairs = pairs.unionByName(more) if stars else more
-        if some or stars:
-            links = links.unionByName(verified(pairs, nodes, docs, shingle, least))
-            found = components(links)
-        if not some:
-            break
+    keyed = nodes.select("node", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("at", "key"))
+    keyed = keyed.select("key", "node", "n", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key")
+    found = materialize(bucket_pairs(keyed, least), "pairs")
+    pairs = pairs.unionByName(found.where("v IS NOT NULL").select("u", "v"))
+    hot = nodes.where(F.size("prefix") > F.col("cold")).select("node", "cold", F.posexplode("prefix").alias("at", "key")).where("at >= cold")
+    large = found.where("v IS NULL").select("key", F.col("u").alias("node"), "at").unionByName(hot.select("key", "node", F.col("at").cast("long").alias("at")))
+    info = nodes.select("node", "n", "small")
+
+    def larger(c, stars: bool) -> DataFrame | None:
+        """Pairs of the larger buckets; c: the component of each node by a frame (node, component), or none yet."""
+        mine = large.withColumn("c", F.col("node")) if c is None else large.join(c, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("c"))
+        mixed = mine.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key", "m")
+        mixed = materialize(mixed, "mixed")
+        if not mixed.limit(1).count():
+            return None
+        members = mine.join(mixed.select("key"), "key", "left_semi").join(info, "node")
+        return pairs_between(dealt(members, mixed, BUCKET).repartition("key").sortWithinPartitions("key"), least, stars)
+
+    more = larger(None, True)
+    links = verified(pairs if more is None else pairs.unionByName(more), nodes, docs, shingle, least)
+    found = components(links)
+    # 3.
+    more = larger(found, False) if more is not None else None
+    if more is not None:
+        found = components(links.unionByName(verified(more, nodes, docs, shingle, least)))
     sets = nodes.join(found, "node", "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("class"))
     return rows.select("doc_id", "text_hash", "d0", "d1"), sets
 
