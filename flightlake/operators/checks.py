@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,28 @@ def leaking_folds(folds: DataFrame) -> DataFrame:
     return per.groupBy("fold_id").agg(F.max("roles").alias("m"), F.sum("val").alias("v")).where("m > 1 OR v <> 1").select("fold_id")
 
 
-def wheels_swapped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Recordings whose nose wheel touches more often than both main ones together do: the wheel numbers look swapped."""
-    on = lambda c: F.count_if(F.col(c) == 1)
-    return rows.groupBy(*keys).agg(on("nose").alias("n"), (on("left") + on("right")).alias("m")).where("n > m").select(*keys)
+def gear_mapping(nose: int, mains: list[int]) -> None:
+    """The wheels' numbers: two different main ones, neither of them the nose wheel's."""
+    if nose in mains or len(set(mains)) != 2:
+        raise CheckFailed(f"wheels: nose {nose}, main {mains}")
+
+
+def startup_sample(spark, runway, scalers: dict[str, tuple[float, float]], flaps: float = 0.0) -> dict[str, float]:
+    """The features of one made-up sample three kilometres out, scaled and clipped: all must be finite numbers."""
+    from ..functions.geometry import runway_features
+    from ..schema import LATERAL_FEATURES, LONGITUDINAL_FEATURES
+    from .features import RENAMED
+
+    sample = {
+        "lat_deg": runway.lat - 0.03, "lon_deg": runway.lon, "heading_deg": runway.heading_deg, "alt_msl_ft": runway.elevation_ft + 800.0, "alt_agl_ft": 800.0, "airspeed_kt": 65.0, "roll_deg": 0.0,
+        "pitch_deg": 3.0, "alpha_deg": 3.0, "sideslip_rad": 0.0, "roll_rate_degps": 0.0, "pitch_rate_degps": 0.0, "yaw_rate_degps": 0.0, "vertical_speed_fps": -10.0, "vbody_fps": 0.0, "flaps_cmd": float(flaps),
+    }
+    row = runway_features(spark.createDataFrame([tuple(sample.values())], list(sample)), runway).first().asDict()
+    got = {}
+    for f in dict.fromkeys(LATERAL_FEATURES + LONGITUDINAL_FEATURES):
+        mean, std = scalers.get(f, (0.0, 1.0))
+        z = (row[RENAMED.get(f, f)] - mean) / std
+        if not math.isfinite(z):
+            raise CheckFailed(f"{f} of the sample is {z}")
+        got[f] = max(-5.0, min(5.0, z)) if f in scalers else z
+    return got

@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.guards import is_finite
+from ..schema import LATERAL_FEATURES, LATERAL_LABELS, LONGITUDINAL_FEATURES, LONGITUDINAL_LABELS
+from .profile import required_columns
+
 HIDDEN = 64
 # Inputs, outputs and the activation of each output.
 NETWORKS = {"lateral": (11, ("linear", "linear")), "longitudinal": (12, ("linear", "sigmoid"))}
@@ -94,11 +98,40 @@ def train(x, y, xv, yv, activations, epochs: int | None = None, cfg: dict = TRAI
     return list(zip(best[2][::2], best[2][1::2])), best[1], best[0], history
 
 
-def fit(rows: DataFrame, network: str, features: list[str], labels: list[str], epochs: int | None = None) -> DataFrame:
+#: Most rows of each fold and role that a network is fitted on.
+MAX_ROWS = 200_000
+
+
+def bounded(rows: DataFrame, by: list[str], columns: list[str], most: int = MAX_ROWS) -> DataFrame:
+    """All rows of a group of up to ``most``; of a larger one about that many, chosen by a hash of the row."""
+    share = rows.groupBy(*by).agg((F.lit(float(most)) / F.count("*")).alias("_share"))
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(share, by).where((F.col("_share") >= 1) | (place < F.col("_share"))).drop("_share")
+
+
+def split(table: DataFrame, network: str) -> DataFrame:
+    """Rows of a feature table as (meta..., x array<float>, y array<float>) in the network's fixed order of columns.
+
+    A missing column is an error; so is a value that is no finite number, found when the rows are read.
+    """
+    features, labels = (LATERAL_FEATURES, LATERAL_LABELS) if network == "lateral" else (LONGITUDINAL_FEATURES, LONGITUDINAL_LABELS)
+    short = network[:3]
+    named = {"x": [f"{short}__{f}" for f in features], "y": [f"{short}y__{f}" for f in labels]}
+    required_columns(table, [c for cs in named.values() for c in cs])
+
+    def array(columns: list[str]):
+        good = lambda c: F.when(F.coalesce(is_finite(F.col(c).cast("double")), F.lit(False)), F.col(c).cast("float")).otherwise(F.raise_error(F.lit(f"{c} is no finite number")).cast("float"))
+        return F.array(*map(good, columns))
+
+    meta = [c for c in table.columns if "__" not in c]
+    return table.select(*meta, *[array(cs).alias(n) for n, cs in named.items()])
+
+
+def fit(rows: DataFrame, network: str, features: list[str], labels: list[str], epochs: int | None = None, most: int = MAX_ROWS) -> DataFrame:
     """(fold_id, network, best_epoch, best_val_loss, layer, weight, bias): one independent task per fold.
 
-    rows: fold_id, role (train or val), features and labels.  A fold's rows are one task's, as in any
-    training of one model on one machine; folds run side by side.
+    rows: fold_id, role (train or val), features and labels.  A fold is fitted on at most about ``most`` rows of each role,
+    chosen by a hash of the row, so what one task holds is bounded; folds run side by side.
     """
     import pandas as pd
 
@@ -118,7 +151,8 @@ def fit(rows: DataFrame, network: str, features: list[str], labels: list[str], e
         weights, epoch, loss, _ = train(x, y, xv, yv, activations, epochs)
         return pd.DataFrame([(int(pdf["fold_id"].iloc[0]), network, epoch, loss, k, w.tolist(), b.tolist()) for k, (w, b) in enumerate(weights)], columns=["fold_id", "network", "best_epoch", "best_val_loss", "layer", "weight", "bias"])
 
-    return rows.select("fold_id", "role", *features, *labels).groupBy("fold_id").applyInPandas(run, f"fold_id int, network string, best_epoch int, best_val_loss double, {WEIGHTS}")
+    used = bounded(rows.select("fold_id", "role", *features, *labels), ["fold_id", "role"], [*features, *labels], most)
+    return used.groupBy("fold_id").applyInPandas(run, f"fold_id int, network string, best_epoch int, best_val_loss double, {WEIGHTS}")
 
 
 def manifest(epochs: dict[str, int], features: dict[str, list[str]], labels: dict[str, list[str]]) -> str:
@@ -139,8 +173,8 @@ def manifest(epochs: dict[str, int], features: dict[str, list[str]], labels: dic
     return json.dumps({"networks": nets, "training": TRAINING}, indent=2, sort_keys=True)
 
 
-def load_weights(weights: DataFrame, network: str, features: list[str]) -> list:
-    """[(weight, bias), ...] of one network, its shape checked."""
+def load_weights(weights: DataFrame, network: str, features: list[str], labels: list[str] | None = None) -> list:
+    """[(weight, bias), ...] of one network; its shape is checked, and the order of its labels if they are given."""
     import numpy as np
 
     rows = sorted(weights.select("layer", "weight", "bias").collect(), key=lambda r: r.layer)  # three rows of fixed size
@@ -149,6 +183,9 @@ def load_weights(weights: DataFrame, network: str, features: list[str]) -> list:
     shapes = [w.shape for w, _ in out]
     if shapes != [(n, HIDDEN), (HIDDEN, HIDDEN), (HIDDEN, len(activations))] or len(features) != n:
         raise ValueError(f"{network}: unexpected shapes {shapes}")
+    fixed = LATERAL_LABELS if network == "lateral" else LONGITUDINAL_LABELS
+    if labels is not None and list(labels) != fixed:
+        raise ValueError(f"{network}: labels {labels} are not in the order {fixed}")
     return out
 
 

@@ -926,5 +926,5 @@ def model_fit(spark, d):
     cols = [f"f{i}" for i in range(11)]
     rows = e.select(F.pmod("vec_id", F.lit(2)).cast("int").alias("fold"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)], F.col("embedding")[11].cast("double").alias("y0"), F.col("embedding")[12].cast("double").alias("y1"))
     folds = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold_id")).withColumn("role", F.when(F.col("fold") == F.col("fold_id"), "val").otherwise("train"))
-    w = model.fit(folds, "lateral", cols, ["y0", "y1"], epochs=3)
+    w = model.fit(folds, "lateral", cols, ["y0", "y1"])
     return w.groupBy("fold_id", "network").agg(F.max("best_epoch").alias("best_epoch"), r6(F.max("best_val_loss"), 4).alias("best_val_loss"), F.count("*").alias("layers"))

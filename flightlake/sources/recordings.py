@@ -46,7 +46,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     got = got.withColumn("_d", dialect_of(head))
     excluded = is_familiarisation(F.col("source_file"))
     return got.select(
-        "source_file", "path", "sha256", "size_bytes", "encoding", "_d.delimiter", "_d.decimal",
+        "source_file", "path", "sha256", "size_bytes", "encoding", "_d.delimiter", "_d.decimal", head.alias("header"),
         (F.size(F.filter("_lines", lambda x: x != "")) - 1).cast("long").alias("n_rows_incl_header_minus1"),
         F.size(F.split(head, F.when(F.col("_d.delimiter") == ";", ";").otherwise(","))).cast("long").alias("n_cols_header"),
         (~excluded).alias("eligible_for_training"),
@@ -60,37 +60,66 @@ def changed_copies(source: DataFrame, copy: DataFrame) -> DataFrame:
     return source.join(c, "source_file", "left").where("sha256_raw_copy IS NULL OR sha256 <> sha256_raw_copy").select("source_file", "sha256", "sha256_raw_copy")
 
 
+def ingest(spark: SparkSession, source: str, raw: str) -> tuple[DataFrame, str]:
+    """(inventory, action): of the loose files under ``source``, or of the already kept copies under ``raw`` if there are none.
+
+    Loose files are held against their copies: one whose copy has other bytes is an error, one without a copy is "not_copied_yet".
+    """
+    loose, kept = inventory(spark, source), inventory(spark, raw)
+    if not loose.limit(1).count():
+        if not kept.limit(1).count():
+            raise ValueError(f"no recordings in {source} or {raw}")
+        return kept, "source_missing_raw_dir_already_canonical"
+    changed = changed_copies(loose, kept).where("sha256_raw_copy IS NOT NULL").limit(1).collect()
+    if changed:
+        raise ValueError(f"the copy of {changed[0].source_file} has other bytes")
+    copies = kept.select("source_file", F.lit("already_present_verified").alias("copy_action"))
+    return loose.join(copies, "source_file", "left").fillna("not_copied_yet", ["copy_action"]), "source"
+
+
 def scan(spark: SparkSession, files: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All recordings of an inventory as one frame: source_file, input_pos, and the columns as doubles (NaN is null).
 
-    Files are read in groups of equal dialect, encoding and header, each by Spark's CSV reader; a decimal
-    comma is replaced before the cast.  Columns that a file lacks are null.  input_pos keeps the order of the lines.
+    Files are read in groups of equal dialect, encoding and header, each group by one CSV scan; a decimal
+    comma is replaced before the cast.  Columns that a file lacks are null.  A file is one task's and is not split, so input_pos
+    keeps the order of its lines.
     """
-    parts = []
-    for r in files.select("path", "delimiter", "decimal", "encoding").collect():  # one short row per file
-        key = (r.delimiter, r.decimal, r.encoding)
-        parts.append((key, r.path))
+    kinds = files.where(F.length("header") > 0).groupBy("delimiter", "decimal", "encoding", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     frames = []
-    for key in sorted({k for k, _ in parts}):
-        paths = [p for k, p in parts if k == key]
-        headers: dict[tuple[str, ...], list[str]] = {}
-        for p in paths:
-            head = spark.read.option("encoding", key[2]).text(p).limit(1).collect()
-            headers.setdefault(tuple(head[0][0].split(key[0])) if head else (), []).append(p)
-        for head, own in headers.items():
-            if not head:
-                continue
-            names = [column_name(h.strip().strip('"')) for h in head]
-            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-            df = spark.read.csv(own, sep=key[0], header=True, schema=schema, encoding="UTF-8" if key[2] == "utf-8" else "ISO-8859-1", enforceSchema=True)
-            df = df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("input_pos", F.monotonically_increasing_id())
-            keep = [n for n in names if columns is None or n in columns]
-            plain = lambda n: F.replace(F.col(n), F.lit(","), F.lit(".")) if key[1] == "," else F.col(n)  # noqa: E731, B023
-            df = df.select("source_file", "input_pos", *[nan_to_null(plain(n).try_cast("double")).alias(n) for n in keep])
-            frames.append(df)
+    for r in kinds.orderBy("header", "encoding").collect():  # one row for each header, with the names of its files
+        names = [column_name(h.strip().strip('"')) for h in r.header.split(r.delimiter)]
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.csv(r.paths, sep=r.delimiter, header=True, schema=text, encoding="UTF-8" if r.encoding == "utf-8" else "ISO-8859-1", enforceSchema=True, multiLine=True)
+        df = df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("input_pos", F.monotonically_increasing_id())
+        keep = [n for n in names if columns is None or n in columns]
+        plain = lambda n: F.replace(F.col(n), F.lit(","), F.lit(".")) if r.decimal == "," else F.col(n)  # noqa: E731, B023
+        frames.append(df.select("source_file", "input_pos", *[nan_to_null(plain(n).try_cast("double")).alias(n) for n in keep]))
+    if not frames:
+        return spark.createDataFrame([], "source_file string, input_pos long")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Columns of the manifests that stages hand on; ids of runways are text ("02" is no number).
+MANIFESTS = {
+    "episodes": "episode_id string, session_id string, source_file string, scenario_id string, runway_id string, raw_row_start long, raw_row_end long, eligible_for_training boolean",
+    "boundaries": "episode_id string, touchdown_confirmed boolean, contact_candidate_s double, touchdown_confirmed_s double, rollout_s double, complete_s double, complete_reason string, flare_s double",
+    "folds": "fold_id int, val_session string, session_id string, role string",
+}
+
+
+def read_manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A manifest under its explicit schema: nothing is guessed from the values; a malformed row is an error."""
+    return spark.read.csv(path, header=True, schema=MANIFESTS[kind], enforceSchema=False, mode="FAILFAST")
+
+
+def overrides_yaml(segments: DataFrame, key: str) -> str:
+    """Segments of recordings as a YAML document for people to review; one short entry per row."""
+    import yaml
+
+    rows = {str(r[key]): {c: v for c, v in r.asDict(recursive=True).items() if c != key} for r in segments.orderBy(key).collect()}
+    return yaml.safe_dump(rows, sort_keys=False)
+
+
 def write_episodes(df: DataFrame, path: str, key: str = "episode_id") -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
 

@@ -187,6 +187,39 @@ def test_failed_check_raises(spark):
         checks.enforce(order=checks.not_rising(spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0)], "k string, p int, t double"), ["k"], ["p"], "t"))
 
 
+def test_wheels_and_startup_sample(spark):
+    checks.gear_mapping(0, [1, 2])
+    for nose, mains in ((1, [1, 2]), (0, [1, 1]), (0, [1, 2, 3])):
+        with pytest.raises(checks.CheckFailed):
+            checks.gear_mapping(nose, mains)
+    got = checks.startup_sample(spark, G.RUNWAYS["29"], {f: (0.0, 1000.0) for f in schema.SCALED})
+    assert len(got) == 20 and -4 < got["along_track_m"] < 4 and got["heading_error_cos"] == 1.0
+    with pytest.raises(checks.CheckFailed, match="agl_ft"):
+        checks.startup_sample(spark, G.RUNWAYS["29"], {"agl_ft": (0.0, float("nan"))})
+
+
+def test_rules_find_what_breaks_them(spark):
+    bounds = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("b", 2.0, 1.0, 3.0), ("c", 1.0, 2.0, 1.5), ("d", None, None, None)], "ep string, touchdown_confirmed_s double, rollout_s double, complete_s double")
+    assert {r.ep for r in checks.out_of_order(bounds, ["ep"]).collect()} == {"b", "c"}
+    rows = spark.createDataFrame([("a", 0, "BOUNCE", None), ("b", 0, "BOUNCE", 3), ("c", 0, "BOUNCE", None)], "ep string, idx int, phase string, rollout_idx int")
+    flags = spark.createDataFrame([("c", "window_ended")], "ep string, flag string")
+    assert [r.ep for r in checks.bounce_without_rollout(rows, ["ep"], flags).collect()] == ["a"]
+    times = spark.createDataFrame([("a", i, t) for i, t in enumerate((1.0, 2.0, 2.0))] + [("b", i, float(i)) for i in range(3)], "k string, p int, t double")
+    for strictly, want in ((True, {"a": False, "b": True}), (False, {"a": True, "b": True})):
+        assert {r.k: r.increasing for r in ordered.is_increasing(times, ["k"], ["p"], "t", strictly).collect()} == want
+    with pytest.raises(ValueError, match="missing columns: c"):
+        profile.required_columns(times.withColumnRenamed("t", "d"), ["k", "c"])
+
+
+def test_other_runways_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", r, 0.0, 63.95, -22.6, 10.0, 300.0, 65.0, 100.0) for r in ("02", "29", "99", None)], "episode_id string, runway_id string, sim_time double, lat_deg double, lon_deg double, heading_deg double, alt_msl_ft double, airspeed_kt double, alt_agl_ft double")
+    got = {r.runway_id: r for r in features.geometry(df.withColumn("episode_id", F.col("runway_id")), G.RUNWAYS).collect()}
+    assert len(got) == 4 and got["99"].along_track_m is None and got["02"].heading_error_deg != got["29"].heading_error_deg
+    for k in ("02", "29"):
+        want = G.runway_features(df.where(F.col("runway_id") == k), G.RUNWAYS[k]).first()
+        assert abs(want.cross_track_error_m - got[k].cross_track_error_m) < 1e-9 and abs(want.glideslope_error_deg - got[k].glideslope_error_deg) < 1e-9
+
+
 def test_feature_table(spark):
     from flightlake.plans.batch import features_of
     from approach import approaches

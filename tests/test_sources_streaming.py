@@ -35,6 +35,46 @@ def test_inventory_and_scan(spark, files):
     assert got.count() == 5 and "observa_o" in got.columns
 
 
+def test_lines_keep_their_order(spark, tmp_path):
+    """However the files are dealt, input_pos follows the lines of each; a file of another header is read beside them."""
+    for k in range(3):
+        (tmp_path / f"r{k}.csv").write_text("sim_time,x\n" + "\n".join(f"{9000 - i},{i}" for i in range(3000)) + "\n")
+    (tmp_path / "z.csv").write_text("x,sim_time,y\n1,2,3\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = recordings.scan(spark, recordings.inventory(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for k in range(3):
+        assert [r.x for r in sorted((r for r in rows if r.source_file == f"r{k}.csv"), key=lambda r: r.input_pos)] == list(range(3000))
+    assert [(r.x, r.sim_time, r.y) for r in rows if r.source_file == "z.csv"] == [(1.0, 2.0, 3.0)]
+    pruned = recordings.scan(spark, recordings.inventory(spark, str(tmp_path)), ["x"])
+    assert pruned.columns == ["source_file", "input_pos", "x"]
+
+
+def test_ingest_and_manifests(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "src").mkdir()
+    (tmp_path / "raw/a.csv").write_text("sim_time\n1\n")
+    inv, action = recordings.ingest(spark, str(tmp_path / "src"), str(tmp_path / "raw"))
+    assert action == "source_missing_raw_dir_already_canonical" and inv.count() == 1
+    (tmp_path / "src/a.csv").write_text("sim_time\n1\n")
+    (tmp_path / "src/b.csv").write_text("sim_time\n2\n")
+    inv, action = recordings.ingest(spark, str(tmp_path / "src"), str(tmp_path / "raw"))
+    assert action == "source" and {r.source_file: r.copy_action for r in inv.collect()} == {"a.csv": "already_present_verified", "b.csv": "not_copied_yet"}
+    (tmp_path / "src/a.csv").write_text("sim_time\n9\n")
+    with pytest.raises(ValueError, match="a.csv"):
+        recordings.ingest(spark, str(tmp_path / "src"), str(tmp_path / "raw"))
+    (tmp_path / "m.csv").write_text("fold_id,val_session,session_id,role\n0,02,02,val\n0,02,03,train\n")
+    assert [(r.fold_id, r.session_id) for r in recordings.read_manifest(spark, str(tmp_path / "m.csv"), "folds").orderBy("session_id").collect()] == [(0, "02"), (0, "03")]
+    text = recordings.overrides_yaml(spark.createDataFrame([("a", 3, "02"), ("b", None, "29")], "episode_id string, flare_idx int, runway_id string"), "episode_id")
+    assert recordings.read_configs(text, "yaml") == {"a": {"flare_idx": 3, "runway_id": "02"}, "b": {"flare_idx": None, "runway_id": "29"}}
+    assert recordings.read_configs('{"a": 1}', "json") == {"a": 1}
+    rows = spark.createDataFrame([("e1", 1.0), ("e2", 2.0)], "episode_id string, x double")
+    recordings.write_episodes(rows, str(tmp_path / "ep"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "ep")).select("episode_id", "x").collect()} == {("e1", 1.0), ("e2", 2.0)}
+
+
 def test_report_and_manifest(spark, files):
     from flightlake.operators import profile
 
@@ -234,7 +274,10 @@ def test_network_learns_and_loads(spark):
     df = spark.createDataFrame(rows, ["fold_id", "role", *names, "a", "b"]).withColumn("fold_id", F.col("fold_id").cast("int"))
     fitted = model.fit(df, "lateral", names, ["a", "b"], epochs=40).persist()
     assert fitted.first().best_val_loss < 0.1 * float(y.var())
-    w = model.load_weights(fitted, "lateral", names)
+    with pytest.raises(ValueError, match="order"):
+        model.load_weights(fitted, "lateral", names, schema.LATERAL_LABELS[::-1])
+    w = model.load_weights(fitted, "lateral", names, schema.LATERAL_LABELS)
+    assert 150 < model.bounded(df, ["fold_id", "role"], names, 100).count() < 250 and model.bounded(df, ["fold_id", "role"], names, 1000).count() == 600
     got = model.predict(df, w, names, ["p", "q"], ("linear", "linear")).orderBy("f0").collect()
     want = {r[2]: model.forward(np.array([r[2:13]]), w, ("linear", "linear"))[0][0] for r in rows}
     assert all(abs(r.p - want[r.f0][0]) < 1e-9 for r in got)
@@ -257,3 +300,15 @@ def test_gradients_match_differences():
         up, down = ([(a + s * e if i == k else a, b) for i, (a, b) in enumerate(w)] for s in (1, -1))
         diff = (np.mean((model.forward(x, up, act)[0] - y) ** 2) - np.mean((model.forward(x, down, act)[0] - y) ** 2)) / 2e-6
         assert abs(diff - g[k][0][0, 0]) < 1e-6
+
+
+def test_split_has_a_contract(spark):
+    cols = [f"lat__{f}" for f in schema.LATERAL_FEATURES] + [f"laty__{f}" for f in schema.LATERAL_LABELS]
+    rows = spark.createDataFrame([("e", *map(float, range(13)))], ["episode_id", *cols])
+    r = model.split(rows, "lateral").first()
+    assert r.x == list(map(float, range(11))) and r.y == [11.0, 12.0] and r.episode_id == "e"
+    with pytest.raises(ValueError, match="missing columns: laty__rudder_command"):
+        model.split(rows.drop("laty__rudder_command"), "lateral")
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="is no finite number"):
+            model.split(rows.withColumn("lat__agl_ft", F.lit(bad).cast("double")), "lateral").collect()
