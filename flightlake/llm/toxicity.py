@@ -32,6 +32,8 @@ LEAST_ODDS = 1.5
 DRIFT = 0.04
 #: Most labelled rows that the model is fitted on, chosen by a hash of doc_id.
 MAX_TRAINING_ROWS = 50_000
+#: Share of the clean calibration texts with the largest sums (mislabelled ones) that the extreme-value law is not fitted on.
+TRIMMED = 0.01
 TOKEN = re.compile(r"\w+")
 #: A passage is significant if chance gives fewer than this many per text.
 SIGNIFICANT_E = 0.05
@@ -95,6 +97,11 @@ class Model:
     def expected(self, score: float, n: int) -> float:
         return self.k * n * math.exp(-min(700.0, self.rate * score))
 
+    def best(self, text: str) -> tuple[float, float]:
+        """Number of tokens, and the largest sum of a passage."""
+        weights = [self.weight(t) for t in TOKEN.findall(text.lower())]
+        return max(1, len(weights)), max((s for _, _, s in maximal_segments(weights)), default=0.0)
+
     def features(self, text: str) -> tuple[float, float]:
         """Of the best passage, minus log E; and the sum of the same over all significant passages."""
         weights = [self.weight(t) for t in TOKEN.findall(text.lower())]
@@ -182,11 +189,13 @@ def _newton(x, y, rounds: int = 30):
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: str, max_rows: int = MAX_TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: str, max_rows: int = MAX_TRAINING_ROWS, trimmed: float = TRIMMED) -> Model:
     """Fit on the labelled rows of ``docs`` (doc_id, text) that satisfy the SQL condition ``training``.
 
     At most ``max_rows`` labels are used, chosen by a hash of doc_id; four fifths of them give the
-    counts, one fifth the calibration.  Without a row of each class every score is the prior.
+    counts, one fifth the calibration, of which the driver sees a few numbers for each text.  The share ``trimmed`` of the
+    clean calibration texts with the largest sums is left out of the extreme-value law.  Without a row of each class every
+    score is the prior.  Of repeated labels the toxic one counts; null ids and labels do not.
     """
     import numpy as np
 
@@ -199,44 +208,49 @@ def fit(docs: DataFrame, labels: DataFrame, training: str, max_rows: int = MAX_T
     toxic[counts["bucket"]], clean[counts["bucket"]] = counts["toxic"], counts["clean"]
     t, c = float(toxic.sum()), float(clean.sum())
     model = Model(toxic, clean, base=(t + 1) / (t + c + 10))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = rows.where("pmod(h, 5) = 0")
+    best = _of_texts(held, model, lambda m, text: m.best(text), "n double, best double")
+    if best["toxic"].nunique() < 2:
+        rate = (t + 1) / (t + c + 10)
+        model.logistic = (math.log(rate / (1 - rate)), 0.0, 0.0)
+        return model
+    quiet = best[best["toxic"] == 0]
+    model.rate, model.k = extreme_value_law(quiet["best"].to_numpy(), quiet["n"].to_numpy(), trimmed)
+    x = _of_texts(held, model, lambda m, text: m.features(text), "a double, b double")
+    model.logistic = _newton(x[["a", "b"]].to_numpy(), x["toxic"].to_numpy(float))
+    return model
+
+
+def _of_texts(rows: DataFrame, model: Model, numbers, schema: str):
+    """(toxic, numbers...) of each text of ``rows``, on the driver: a fifth of at most max_rows rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def best(batches):
+    def run(batches):
         import pandas as pd
 
-        m = sent.value
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                weights = [m.weight(w) for w in TOKEN.findall((text or "").lower())]
-                sums = sorted((s for _, _, s in maximal_segments(weights)), reverse=True)
-                out.append((max(1, len(weights)), sums))
-            yield pd.DataFrame({"toxic": pdf["toxic"], "n": [n for n, _ in out], "sums": [s for _, s in out]})
-
-    held = rows.where("pmod(h, 5) = 0").mapInPandas(best, "toxic int, n long, sums array<double>").toPandas()
-    if not len(held) or held["toxic"].nunique() < 2:
-        rate = (t + 1) / (t + c + 10)
-        model.logistic = (math.log(rate / (1 - rate)), 0.0, 0.0)
-        return model
-    # Extreme-value law of the best sum on clean texts: S - ln(n) / rate has mean (ln K + gamma) / rate
-    # and standard deviation pi / (rate * sqrt 6).  The most deviant hundredth (mislabelled texts) is left out.
-    quiet = held[held["toxic"] == 0]
-    s = np.array([x[0] if len(x) else 0.0 for x in quiet["sums"]])
-    n = quiet["n"].to_numpy(float)
-    part = s <= np.quantile(s, 0.99)
-    s, n = s[part], n[part]
+            out = pd.DataFrame([numbers(sent.value, text or "") for text in pdf["text"]], columns=names, dtype="float64")
+            out.insert(0, "toxic", pdf["toxic"].array)
+            yield out
+
+    return rows.select("text", "toxic").mapInPandas(run, f"toxic int, {schema}").toPandas()
+
+
+def extreme_value_law(best, n, trimmed: float = 0.0) -> tuple[float, float]:
+    """(rate, K): a text of n tokens has K n exp(-rate s) passages of sum s or more by chance.
+
+    The best sum S of such a text has S - ln(n) / rate with mean (ln K + gamma) / rate and standard deviation
+    pi / (rate sqrt 6); the rate is the fixed point of that.
+    """
+    import numpy as np
+
+    part = best <= np.quantile(best, 1 - trimmed)
+    best, n = best[part], n[part]
     rate = 1.0
     for _ in range(50):
-        rate = math.pi / (math.sqrt(6) * max(0.2, float(np.std(s - np.log(n) / rate))))
-    model.rate = rate
-    model.k = math.exp(min(20.0, max(-20.0, rate * float(np.mean(s - np.log(n) / rate)) - 0.5772156649)))
-    x = []
-    for m, sums in zip(held["n"], held["sums"]):
-        logs = [rate * v - math.log(model.k * m) for v in sums]
-        total = sum(v for v in logs if v > -math.log(SIGNIFICANT_E))
-        x.append((min(max(logs), 60.0) if logs else -math.log(model.k * m) - 1.0, math.log1p(max(0.0, total))))
-    model.logistic = _newton(np.array(x), held["toxic"].to_numpy(float))
-    return model
+        rate = math.pi / (math.sqrt(6) * max(0.2, float(np.std(best - np.log(n) / rate))))
+    return rate, math.exp(min(20.0, max(-20.0, rate * float(np.mean(best - np.log(n) / rate)) - 0.5772156649)))
 
 
 PASSAGES = "array<struct<start: int, end: int, sum: double, expected: double>>"
@@ -276,6 +290,7 @@ TRAINING = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 
 
 def op4_toxicity(spark, sf_dir) -> DataFrame:
+    """One row for each row of ``documents``: a null text is scored as empty, a null doc_id stays null with a null held_out; repeated rows come out repeated."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = score(docs, fit(docs, labels, TRAINING))
     return out.select(

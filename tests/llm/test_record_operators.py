@@ -309,6 +309,52 @@ def test_trees_learn_labelled_urls(spark):
     assert sum(got[i] == ("allow" if i < 100 else "block") for i in got) >= 195
 
 
+def test_features_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(7)
+    cases = ["", None, "http://", "nonsense?a=1", "HTTP://A-b.c1.Example.com:80/x//y-z/?a=1&&b#f?g=1", "x://é.ö/ü?ß", "http://" + "long-label1." * 3000 + "com/" + "p/" * 5000]
+    cases += ["".join(rng.choice("ab1./?&=#-:é") for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["http://" + "".join(rng.choice("ab1./?&=#-") for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(cases)), "i long, url string")
+    host, path = urls.host_and_path(F.col("url"))
+    got = {r.i: r for r in urls.lexical(df.withColumns({"host": host, "path": path})).collect()}
+    share = lambda s: sum(c in "0123456789" for c in s) / max(1, len(s))
+    for i, raw in enumerate(cases):
+        u = raw or ""
+        at = u.find("://")
+        rest = u[at + 3 :] if at >= 0 else ""
+        end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+        host = "".join(c.lower() if c.isascii() else c for c in rest[:end])
+        tail = rest[end:]
+        path = tail[: min((tail.find(c) for c in "?#" if c in tail), default=len(tail))] if at >= 0 else ""
+        before = u.split("#", 1)[0]
+        query = before.split("?", 1)[1] if "?" in before else ""
+        labels = host.split(".")
+        r = got[i]
+        assert (r.host, r.path) == (host, path)
+        assert (r.length, r.host_length, r.depth, r.labels) == (len(u), len(host), len([x for x in path.split("/") if x]), len(labels))
+        assert (r.params, r.hyphens, r.longest_label) == (len([x for x in query.split("&") if x]), u.count("-"), max(map(len, labels)))
+        assert abs(r.digit_ratio - share(u)) < 1e-12 and abs(r.host_digit_ratio - share(host)) < 1e-12
+        assert abs(r.entropy - sum(-n / len(u) * math.log2(n / len(u)) for n in Counter(u).values())) < 1e-9
+        assert r.suffix == ".".join(labels[-2:])
+
+
+def test_verdicts_on_held_out_urls(spark):
+    """Trees fitted on the rules' verdicts of four fifths of the given pages, held against the rules on the last fifth (not asked there).
+
+    Those rules name paths by language, of which the lexical features say little: the trees must do better than the larger class.
+    """
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = urls.host_and_path(F.col("url"))
+    ruled = pages.withColumn("r", urls.rule_for(host, path)["verdict"]).where("r IS NOT NULL")
+    train, test = ruled.where("pmod(xxhash64(url), 5) <> 0"), ruled.where("pmod(xxhash64(url), 5) = 0")
+    got = urls.judge(test.select("page_id", "url"), "page_id", rules=[("nowhere.invalid", "/", "block")], labelled=train.select("url", (F.col("r") == "block").cast("int").alias("blocked")))
+    both = got.join(test.select("page_id", "r"), "page_id").select("verdict", "r").collect()
+    larger = max(sum(x.r == v for x in both) for v in ("allow", "block"))
+    assert len(both) > 50 and sum(x.verdict == x.r for x in both) > larger
+
+
 def test_entropy(spark):
     df = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "s string")
     assert [round(r[0], 6) for r in df.select(urls.entropy(F.col("s"))).collect()] == [1.0, 0.0, 2.0]
@@ -373,6 +419,28 @@ def test_components(spark):
 # ---- pipeline --------------------------------------------------------------------------------------
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path, sf):
+    """Null and repeated ids, rows that are equal, null and empty and very long texts, columns beyond those of documents: each row by its own text."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 9973}x{i}" for i in range(60_000))
+    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, one), (1, one), (1, two), (None, three), (None, None), (None, three + " "), (7, three), (8, ""), (9, None), (10, long), (11, long + " end"), (12, "one word"), (None, "lonely text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, score double")
+    docs = docs.withColumn("n_chars", F.col("n_chars").cast(dict(spark.read.parquet(f"{sf}/documents.parquet").dtypes)["n_chars"]))
+    where = str(tmp_path / "odd")
+    docs.write.parquet(f"{where}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{where}/{t}.parquet")
+    near = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, where)
+    assert near.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (7, three), (8, ""), (10, long), (12, "one word"), (None, "lonely text")], key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, where).count() == (7 if name == "near_duplicates" else len(rows)), name
+    assert corpus_pipeline.run(spark, where).count() == 7
+
+
 def test_pipeline_on_planted_rows(spark, tmp_path, sf):
     import corpus_pipeline
 

@@ -318,6 +318,16 @@ def test_licence_rows(spark, odd, nothing):
     assert licenses.scan(odd, "doc_id", "text").count() == licenses.scan(nothing, "doc_id", "text").count() == 0
 
 
+def test_templates_from_a_table(spark):
+    full = "You may do what you like with it . " * 2 + " ".join(f"clause{i} holds" for i in range(120))
+    table = spark.createDataFrame([("Own-1.0", full, 1), ("Own-1.0", full, 2), (None, "x y", 3), ("Null", None, 4)], "license string, text string, score int")
+    got = licenses.templates_of(table)
+    assert got == {"Own-1.0": [full]} and licenses.templates_of(table.limit(0)) == {}
+    docs = spark.createDataFrame([(1, "Before. " + full.upper() + " After. " + full), (2, "clause1 holds")], "doc_id long, text string")
+    n = len(licenses.words(full))
+    assert [(r.doc_id, r.license, r.dice, r.first_word, r.n_words) for r in licenses.scan(docs, "doc_id", "text", got).collect()] == [(1, "Own-1.0", 1.0, 1, n), (1, "Own-1.0", 1.0, n + 2, n)]
+
+
 def test_repeated_notices_are_all_found():
     s, notice = licenses.Scanner(), "Licensed under the Apache License, Version 2.0. "
     assert s.scan(notice * 1000) == [("Apache-2.0", 0, 1.0, 7 * i, 7) for i in range(1000)]
@@ -366,6 +376,68 @@ def test_segments_equal_definition():
         assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
 
 
+def test_weights_equal_brute_force(spark):
+    """Counts by text, shares drawn from prefix to word, and the odds that count, told again without tables."""
+    import math
+    import re
+
+    rng = random.Random(14)
+    words = [f"{p}{q}" for p in ("harmless", "harmony", "nast", "nastier", "vile", "x") for q in ("", "y", "ily", "ness", "ing")]
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(rng.choice(words[10:25] if rng.random() < (0.6 if toxic else 0.02) else words[:10] + words[25:]) for _ in range(rng.randint(3, 40))), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "true")
+    used = {r.doc_id for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id), 5) AS h").where("h <> 0").collect()}
+
+    def keys(word):
+        return [f"{n}:{word[:n]}" for n in (4, 5, 6) if len(word) > n] + [f"w:{word}"]
+
+    count = {}
+    for i, text, toxic in rows:
+        if i in used:
+            for k in {k for w in re.findall(r"\w+", text) for k in keys(w)}:
+                count.setdefault(k, [0, 0])[toxic] += 1
+    t, c = sum(v[1] for v in count.values()), sum(v[0] for v in count.values())
+    base = (t + 1) / (t + c + 10)
+    assert abs(model.base - base) < 1e-9
+    told = 0
+    for w in [*words, "unseen"]:
+        share = base
+        for k in keys(w):
+            n, y = count.get(k, (0, 0))
+            prior = share
+            share = (y + 6 * prior) / (n + y + 6)
+        odds = math.log(share / (1 - share)) - math.log(base / (1 - base))
+        deviation = math.sqrt(1 / (y + 6 * prior) + 1 / (n + 6 * (1 - prior)))
+        want = (odds if abs(odds) >= 1.5 and abs(odds) >= 2.5 * deviation else 0.0) - 0.04
+        assert abs(model.weight(w) - want) < 1e-6, w
+        told += want > 1
+    assert told >= 3  # some words do count
+    for _, text, _ in rows[:60]:
+        weights = [model.weight(w) for w in text.split()]
+        sums = [s for _, _, s in toxicity.maximal_segments(weights)]
+        logs = [model.rate * s - math.log(model.k * len(weights)) for s in sums]
+        a = min(60.0, max(logs)) if logs else -math.log(model.k * len(weights)) - 1
+        b = math.log1p(max(0.0, sum(x for x in logs if x > -math.log(0.05))))
+        z = model.logistic[0] + model.logistic[1] * a + model.logistic[2] * b
+        assert abs(model.score(text) - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_extreme_value_law_is_found_again():
+    """Best sums drawn from a known law give its rate and K."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(20, 2000, 20_000)
+    rate, k = 0.7, 0.2
+    best = (np.log(k * n) + rng.gumbel(size=len(n))) / rate
+    got = toxicity.extreme_value_law(best, n.astype(float))
+    assert abs(got[0] - rate) < 0.02 and abs(got[1] - k) < 0.02
+
+
 def test_toxicity_ranks_held_out_texts(spark):
     d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
