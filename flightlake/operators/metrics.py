@@ -9,7 +9,7 @@ from ..functions.guards import clip
 
 
 def measures(true: str, pred: str, low: float, high: float) -> list[Column]:
-    """Aggregates of one output: errors, R2 (null for a constant target), Pearson r (null for a constant side), p95, saturation."""
+    """Aggregates of one output: errors, R2 (null for a constant target), Pearson r (null for a constant side), saturation."""
     t, p = F.col(true), F.col(pred)
     e = p - t
     total = F.var_pop(t) * F.count(t)
@@ -21,24 +21,77 @@ def measures(true: str, pred: str, low: float, high: float) -> list[Column]:
         F.when(total >= 1e-12, 1 - F.sum(e * e) / total).alias("r2"),
         F.when(~flat, F.corr(t, p)).alias("pearson_r"),
         F.max(F.abs(e)).alias("max_abs_error"),
-        F.percentile(F.abs(e), F.lit(0.95)).alias("p95_abs_error"),
         F.avg(((p < low) | (p > high)).cast("double")).alias("saturation_rate_after_clip"),
         F.avg(F.pow(clip(p, low, high) - t, F.lit(2.0))).alias("mse_after_saturation"),
         F.count("*").alias("n"),
     ]
 
 
-def by_groupings(df: DataFrame, always: list[str], groups: list[str], aggregates: list[Column]) -> DataFrame:
-    """One row per grouping and group: over everything, and by each of ``groups``, within ``always``; (grouping, group) name them."""
-    sets = [[*map(F.col, always)], *[[*map(F.col, always), F.col(g)] for g in groups]]
-    cols = [*map(F.col, always), *map(F.col, groups)]
-    marks = [F.grouping(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    got = df.groupingSets(sets, *cols).agg(*aggregates, *marks)
-    which, value = F.lit("global"), F.lit("all")
-    for i, g in enumerate(groups):
-        which = F.when(F.col(f"_g{i}") == 0, g).otherwise(which)
-        value = F.when(F.col(f"_g{i}") == 0, F.col(g).cast("string")).otherwise(value)
-    return got.withColumn("grouping", which).withColumn("group", value).drop(*groups, *[f"_g{i}" for i in range(len(groups))])
+#: Values of a group that one task sorts, and bins that a larger group is narrowed down by.
+MOST_SORTED, BINS = 10_000, 1024
+
+
+def _same(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b (by, ...) on ``by``, nulls being equal."""
+    if not by:
+        return a.join(b, F.lit(True), how)  # b is one row
+    named = b.withColumnsRenamed({c: f"_b_{c}" for c in by})
+    return a.join(named, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by], how).drop(*[f"_b_{c}" for c in by])
+
+
+def exact_percentile(df: DataFrame, by: list[str], column: str, p: float, name: str) -> DataFrame:
+    """(by, name): the percentile with linear interpolation, exact, whatever the size of a group.
+
+    No task gathers a group: even bins between the smallest and the largest value are counted (summed before the shuffle), and
+    the bin that holds the wanted place is binned again, until few values or one are left, which are sorted; the next
+    larger value is one more aggregate.  Null and NaN values do not count; a group without others has a null.
+    """
+    v = df.select(*by, F.col(column).cast("double").alias("_v"))
+    good = v.where("_v IS NOT NULL AND NOT isnan(_v)")
+    place = (F.col("_n") - 1) * F.lit(p)
+    state = good.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = state.select(*by, F.floor(place).alias("_k"), (place - F.floor(place)).alias("_share"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside")).persist()
+    kept = ["_k", "_share"]
+    while state.where((F.col("_inside") > MOST_SORTED) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        here = _same(good, state, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        width = (F.col("_hi") - F.col("_lo")) / BINS
+        bins = here.withColumn("_bin", F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0))
+        bins = bins.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), *[F.first(x).alias(x) for x in (*kept, "_below")])
+        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin"))
+        bins = bins.withColumn("_upto", upto).where((F.col("_upto") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_upto")))
+        old, state = state, bins.select(*by, *kept, F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"), (F.col("_upto") - F.col("_c")).alias("_below"), F.col("_c").alias("_inside")).persist()
+        state.count()
+        old.unpersist()
+    few = _same(good, state.where("_lo < _hi"), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    few = few.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *[F.first(x).alias(x) for x in (*kept, "_below")])
+    at = few.select(*by, *kept, F.get("_vs", (F.col("_k") - F.col("_below")).cast("int")).alias("_at"))
+    at = at.where("_at IS NOT NULL").unionByName(state.where("_lo = _hi").select(*by, *kept, F.col("_lo").alias("_at")))
+    # the value at the place before the percentile is known; the one after it is equal, or the next larger one
+    rows = _same(v, at, by, "left")
+    upto, more = F.count_if(F.col("_v") <= F.col("_at")), F.min(F.when((F.col("_v") > F.col("_at")) & ~F.isnan("_v"), F.col("_v")))
+    out = rows.groupBy(*by).agg(*[F.first(x, ignorenulls=True).alias(x) for x in ("_at", *kept)], upto.alias("_upto"), more.alias("_more"))
+    after = F.when(F.col("_upto") > F.col("_k") + 1, F.col("_at")).otherwise(F.coalesce("_more", "_at"))
+    return out.select(*by, (F.col("_at") + (after - F.col("_at")) * F.col("_share")).alias(name))
+
+
+def regression(df: DataFrame, by: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:
+    """(by, measures..., p95_abs_error) of one output per group."""
+    whole = df.groupBy(*by).agg(*measures(true, pred, low, high))
+    p95 = exact_percentile(df.select(*by, F.abs(F.col(pred) - F.col(true)).alias("_e")), by, "_e", 0.95, "p95_abs_error")
+    return _same(whole, p95, by)
+
+
+def by_groupings(df: DataFrame, always: list[str], groups: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:
+    """One row per grouping and group: over everything, and by each of ``groups``, within ``always``; (grouping, group) name them.
+
+    Every row counts in each grouping; sums are taken before the shuffle.
+    """
+    marks = F.array(
+        F.struct(F.lit("global").alias("grouping"), F.lit("all").alias("group")),
+        *[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("group")) for g in groups],
+    )
+    rows = df.select(*always, true, pred, F.explode(marks).alias("_g")).select(*always, true, pred, "_g.*")
+    return regression(rows, [*always, "grouping", "group"], true, pred, low, high)
 
 
 def command_rate_mae(df: DataFrame, groups: list[str], episode: list[str], time: str, true: str, pred: str) -> DataFrame:

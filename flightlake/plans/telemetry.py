@@ -775,7 +775,7 @@ def _rounded(df: DataFrame, keep: list[str]) -> DataFrame:
 
 @query("regression_metrics", f"WITH {_PRED} SELECT fold, {_MEASURES} FROM pr GROUP BY fold")
 def regression_metrics(spark, d):
-    return _rounded(predictions(spark, d).groupBy("fold").agg(*metrics.measures("y", "p", 0.1, 0.9)), ["fold"])
+    return _rounded(metrics.regression(predictions(spark, d), ["fold"], "y", "p", 0.1, 0.9), ["fold"])
 
 
 @query(
@@ -784,7 +784,7 @@ def regression_metrics(spark, d):
 FROM pr GROUP BY GROUPING SETS ((fold), (fold, phase), (fold, scenario))""",
 )
 def metrics_by_group(spark, d):
-    m = metrics.by_groupings(predictions(spark, d), ["fold"], ["phase", "scenario"], metrics.measures("y", "p", 0.1, 0.9))
+    m = metrics.by_groupings(predictions(spark, d), ["fold"], ["phase", "scenario"], "y", "p", 0.1, 0.9)
     return _rounded(m, ["fold", "grouping", "group"])
 
 

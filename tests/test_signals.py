@@ -99,6 +99,26 @@ def test_state_is_carried_over_batches(spark):
     assert all(abs(r.x - 5) < 1e-9 for r in steady)
 
 
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_percentiles_are_exact(spark, most, monkeypatch):
+    """Groups of every size against numpy, narrowed down to three values or sorted at once; ties, equal values, missing ones, a null group."""
+    import numpy as np
+
+    from flightlake.operators import metrics
+
+    monkeypatch.setattr(metrics, "MOST_SORTED", most)
+    monkeypatch.setattr(metrics, "BINS", 4)
+    rng = random.Random(4)
+    groups = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 50, "ties": [rng.choice([1.0, 2.0, 9.0]) for _ in range(80)], "halves": [1.0] * 10 + [9.0] * 10, None: [rng.gauss(0, 1) for _ in range(120)], "odd": [None, float("nan"), -1.0, 7.0], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r.q for r in metrics.exact_percentile(df, ["k"], "v", p, "q").collect()}
+        for k, vs in groups.items():
+            vs = [v for v in vs if v is not None and v == v]
+            assert (got[k] is None) if not vs else abs(got[k] - np.quantile(vs, p)) < 1e-9, (k, p)
+    assert abs(metrics.exact_percentile(df, [], "v", 0.5, "q").first().q - np.quantile([v for vs in groups.values() for v in vs if v is not None and v == v], 0.5)) < 1e-9
+
+
 def test_clip_keeps_missing_values(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (9.0,), (-9.0,)], "x double")
     got = [r[0] for r in df.select(guards.clip(F.col("x"), -5, 5)).collect()]
