@@ -22,6 +22,14 @@ def geometry(df: DataFrame, runways: dict[str, Runway], floor_m: float = 50.0, e
     return hold_where(out, [episode], ["sim_time"], "glideslope_error_deg", -F.col("along_track_m") >= floor_m, "glideslope_error_deg")
 
 
+def episode_bounds(grid: DataFrame, bounds: DataFrame, episode: str = "episode_id", time: str = "sim_time") -> DataFrame:
+    """The landing's boundary times of every episode of ``grid``; one second past the end where there are none, so that nothing is painted."""
+    end = grid.groupBy(episode).agg((F.max(time) + 1).alias("_end"))
+    landing = [c for c in ("flare_s", "contact_candidate_s", "touchdown_confirmed_s", "rollout_s", "complete_s") if c in bounds.columns]
+    joined = end.join(bounds, episode, "left")
+    return joined.select(episode, *[F.coalesce(c, "_end").alias(c) if c in landing else F.col(c) for c in bounds.columns if c != episode])
+
+
 def build(df: DataFrame, bounds: DataFrame, overlay: DataFrame, episode: str = "episode_id", frame: str = "frame_10hz") -> DataFrame:
     """Meta columns, phase, masks, and lat__/laty__/lon__/lony__ columns.
 

@@ -27,10 +27,12 @@ def validated(recordings: DataFrame, episodes: DataFrame) -> DataFrame:
     """Rows of every episode (episode_id, session_id, source_file, scenario_id, runway_id, raw_row_start, raw_row_end) from recordings (source_file, input_pos, sim_time, ...).
 
     Rows are ordered by time with the place in the file as tie-break, the first of equal times is kept, and the slice is taken after that.
+    An episode without a first or last row begins or ends with its recording.
     """
     one = ordered.first_of_time(recordings, ["source_file"], "sim_time", "input_pos")
     joined = one.join(episodes, "source_file")
-    sliced = ordered.row_slice(joined, ["episode_id"], ["sim_time"], F.col("raw_row_start"), F.col("raw_row_end"))
+    first, last = F.coalesce("raw_row_start", F.lit(0)), F.coalesce("raw_row_end", F.lit((1 << 62)))
+    sliced = ordered.row_slice(joined, ["episode_id"], ["sim_time"], first, last)
     return sliced.drop("raw_row_start", "raw_row_end")
 
 
@@ -63,7 +65,7 @@ def features_of(samples: DataFrame, post_rollout_gap: str = "flare") -> DataFram
 def table_of_features(grid: DataFrame, starts: DataFrame | None = None, post_rollout_gap: str = "flare") -> DataFrame:
     """The feature table of rows on the grid; starts: (episode_id, transient_end_s, approach_maneuvering_s, final_approach_established_s)."""
     overlay, bounds = landing_overlay(grid, post_rollout_gap=post_rollout_gap)
-    bounds = bounds.select("episode_id", "flare_s")
+    bounds = features.episode_bounds(grid, bounds.select("episode_id", "flare_s"))
     if starts is not None:
         bounds = bounds.join(starts, "episode_id", "left")
     missing = [c for c in ("transient_end_s", "approach_maneuvering_s", "final_approach_established_s") if c not in bounds.columns]
