@@ -171,3 +171,15 @@ def op5_chat_format(spark, sf_dir) -> DataFrame:
     messages = materialize(thread_messages(rows.unionByName(more)), "messages")
     out = digests(format_paths(reply_paths(messages.select("id", "parent", "score")), messages))
     return out.select(F.col("tree.conv_id").alias("conv_id"), *out.columns[1:])
+
+
+OP5_SQL = r"""
+WITH c AS (SELECT false AS added, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT true, -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
+e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS t_chars, length(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|lf|>')) AS r_chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + r_chars + 1 + t_chars + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY added, conv_id
+"""

@@ -446,3 +446,25 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 def op1_media_sniffing(spark, sf_dir) -> DataFrame:
     return read_back(store_texts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+#: Texts whose payload holds no whole medium, as those of the given tables: every signature inside is a rejected one.
+OP1_SQL = """
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [0,0,0,0,0,0,0,0]::BIGINT[]),
+           lambda a, x: CASE WHEN a % 2 = 1 THEN xor(3988292384::BIGINT, a // 2) ELSE a // 2 END) AS c
+    FROM range(256) r(i))
+), raw AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents),
+sized AS (SELECT *, greatest(64, ((n + 63) // 64) * 64) AS m FROM raw),
+hexed AS (SELECT *, hex(encode(text)) || repeat('00', (m - n)::INTEGER) AS h FROM sized),
+bytes AS (SELECT *, list_transform(range(m), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b,
+  list_transform([m + 36, m], lambda v: array_to_string(list_transform(range(4), lambda i: lpad(hex((v >> (8 * i)) & 255), 2, '0')), '')) AS le FROM hexed),
+stored AS (SELECT *, '52494646' || le[1] || '57415645666D7420' || '10000000' || '01000100' || '401F0000' || '401F0000' || '01000800' || '64617461' || le[2] || h AS w FROM bytes)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b[m - 63:m]), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]))) AS tail_crc32,
+  (m + 44)::BIGINT AS media_bytes, sha256(unhex(w)) AS media_sha256,
+  'audio/wav:44+' || m || ';inside=;rejected=' || list_sum(list_transform(['RIFF', 'GIF87a', 'GIF89a', '%PDF-', 'PK' || chr(3) || chr(4)], lambda x: (length(text) - length(replace(text, x, ''))) // length(x)))::BIGINT
+    || ';mean=' || (list_sum(b)::BIGINT * 1000 // m) || ';peak=' || list_max(b) AS feature
+FROM stored CROSS JOIN crc_table
+"""

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
-from .chat import op5_chat_format
+from .chat import OP5_SQL, op5_chat_format
 from .decontamination import op10_decontamination
 from .licenses import op3_license_scan
-from .media import op1_media_sniffing
+from .media import OP1_SQL, op1_media_sniffing
 from .sharding import OP9_SQL, op9_jump_sharding
 from .simhash import op6_simhash
 from .toxicity import op4_toxicity
 from .urls import op7_url_filter
-from .warc import op2_warc_history
+from .warc import OP2_SQL, op2_warc_history
 
 QUERIES = {
     "op1_media_sniffing": op1_media_sniffing,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_jump_sharding": op9_jump_sharding,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL = {"op9_jump_sharding": OP9_SQL}
+ORACLE_SQL = {"op1_media_sniffing": OP1_SQL, "op2_warc_history": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_jump_sharding": OP9_SQL}

@@ -12,7 +12,7 @@ import base64
 import hashlib
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, scratch, table
@@ -237,11 +237,19 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.mapInPandas(merge, ", ".join(f"{c} {kinds[c]}" for c in data) + ", range int, place int")
 
 
+def with_position(merged: DataFrame) -> DataFrame:
+    """Adds position, the number of a capture in the whole history from 0: the rows of the ranges before its own, and its place."""
+    merged = materialize(merged, "history")
+    per = merged.groupBy("range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("range")) - F.col("_n")  # one row for each range
+    return merged.join(per.select("range", before.alias("_before")), "range").withColumn("position", (F.col("_before") + F.col("place")).cast("long")).drop("_before")
+
+
 def capture_history(pages: DataFrame, captured: Column, least: int = LEAST_REVISIT) -> DataFrame:
     """Write archives of ``pages`` (page_id, url, html), read them back and merge their runs.
 
     One row per page: page_id, payload_bytes, payload_digest (base32 SHA-1), record_type, refers_to, url_key,
-    captured, archive, record_offset, record_length, range, place.  Null html counts as empty, a
+    captured, archive, record_offset, record_length, range, place, position.  Null html counts as empty, a
     null url has an empty key; a page without page_id refers to the page with its payload that has the smallest one, and is a
     response if there is none; repeated rows come out repeated (equal page_ids do not refer to one
     another); an empty table gives an empty result; other columns are not read.
@@ -249,11 +257,27 @@ def capture_history(pages: DataFrame, captured: Column, least: int = LEAST_REVIS
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(mark_revisits(pages, least), path, captured)
-    return merge_runs(read_runs(spark, path))
+    return with_position(merge_runs(read_runs(spark, path)))
 
 
 def op2_warc_history(spark, sf_dir) -> DataFrame:
     # the pages carry no capture time: one second for each page_id from a fixed day on stands for it
     captured = F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)))
     out = capture_history(table(spark, sf_dir, "pages"), captured)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, lower(regexp_replace(coalesce(url, ''), '(?s)#.*$', '')) AS u, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS f FROM p GROUP BY d),
+k AS (SELECT *, regexp_replace(u, '^[a-z][a-z0-9+.-]*://', '') AS v FROM p),
+h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(v, '^([^/?]*)', 1), '^.*@', ''), ':(80|443)?$', ''), '^www[0-9]*\\.', '') AS host, regexp_extract(v, '(?s)^[^/?]*(.*)$', 1) AS rest FROM k),
+o AS (SELECT page_id, n, d, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN f < page_id OR (page_id IS NULL AND f IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f < page_id OR page_id IS NULL THEN f END AS refers_to, url_key, captured,
+  row_number() OVER (ORDER BY encode(url_key), captured, page_id NULLS FIRST) - 1 AS position
+FROM o JOIN f USING (d)
+"""
