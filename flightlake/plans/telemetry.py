@@ -615,7 +615,7 @@ def circuit_segments(spark, d):
 
 
 #: The transient's and the detectors' limits in the time scale and the values of ``events``.
-SETTLED = {"band_kt": (0.0, 90.0), "flaps_min": -1.0, "flaps_std": 0.08, "least_s": 0.2 * DAY, "remaining_s": DAY, "search_s": 20 * DAY}
+SETTLED = {"band_kt": (0.0, 70.0), "flaps_min": -1.0, "flaps_std": 0.08, "least_s": 1.2 * DAY, "remaining_s": DAY, "search_s": 20 * DAY}
 ESTABLISHED = {"heading_deg": 40.0, "cross_m": 90.0, "along_m": -2.0, "sink_fpm": 1500.0, "least_s": 0.4 * DAY}
 PREPARING = {"heading_deg": 45.0, "sink_fps": 10.0, "flaps_more": 0.2, "least_s": 0.3 * DAY}
 
@@ -624,8 +624,8 @@ PREPARING = {"heading_deg": 45.0, "sink_fps": 10.0, "flaps_more": 0.2, "least_s"
     "transient_diagnostics",
     f"""WITH {TEL}, s AS (SELECT user_id, idx, t, value AS airspeed, floor(k / 40) / 10.0 AS flaps, k * 1.0 AS agl, (k - 97)::DOUBLE AS along, lag(t) OVER w AS lt, min(t) OVER (PARTITION BY user_id) AS t0, max(t) OVER (PARTITION BY user_id) AS td,
   CASE WHEN count(*) OVER (w ROWS 1 PRECEDING) = 2 THEN stddev_samp(floor(k / 40) / 10.0) OVER (w ROWS 1 PRECEDING) END AS sd FROM tel WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
-f AS (SELECT *, coalesce(airspeed BETWEEN 0 AND 90 AND flaps > -1 AND sd < 0.08 AND along < 0 AND td - t >= {DAY}, false) AND (lt IS NULL OR (lt <= t0 + {20 * DAY} AND lt < td)) AS ok FROM s),
-g AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f WHERE ok), r AS (SELECT user_id, min(idx) AS i, min(t) AS t FROM g GROUP BY user_id, g HAVING max(t) - min(t) >= {0.2 * DAY}), e AS (SELECT user_id, min(i) AS i, arg_min(t, i) AS t FROM r GROUP BY user_id)
+f AS (SELECT *, coalesce(airspeed BETWEEN 0 AND 70 AND flaps > -1 AND sd < 0.08 AND along < 0 AND td - t >= {DAY}, false) AND (lt IS NULL OR (lt <= t0 + {20 * DAY} AND lt < td)) AS ok FROM s),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f WHERE ok), r AS (SELECT user_id, min(idx) AS i, min(t) AS t FROM g GROUP BY user_id, g HAVING max(t) - min(t) >= {1.2 * DAY}), e AS (SELECT user_id, min(i) AS i, arg_min(t, i) AS t FROM r GROUP BY user_id)
 SELECT s.user_id, bool_or(e.i IS NOT NULL) AS detected, CASE WHEN bool_or(e.i IS NOT NULL) THEN 'auto_detected' ELSE 'not_detected_within_max_search_window_keep_full_episode_REVIEW_NEEDED' END AS reason, round(any_value(e.t), 6) AS t_transient_end_s, round(any_value(e.t) - min(s.t), 6) AS duration_removed_s,
   count(*) FILTER (s.t < e.t) AS n_samples_removed_from_baseline_core, count(*) AS n_samples_total, arg_min(airspeed, s.idx) AS airspeed_kt_before, max(airspeed) FILTER (s.idx = e.i) AS airspeed_kt_after, arg_min(flaps, s.idx) AS flaps_before, max(flaps) FILTER (s.idx = e.i) AS flaps_after,
   -max(along) FILTER (s.idx = e.i) AS distance_to_threshold_m_at_end, (max(agl) FILTER (s.idx = e.i))::DOUBLE AS agl_ft_at_end FROM s LEFT JOIN e USING (user_id) GROUP BY s.user_id""",

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import RUNWAYS, Runway, constants
+from ..functions.protocol import encode
 from ..operators.carry import carried
 from ..operators.safety import ENVELOPE, SATURATED_CYCLES, STALE_S, TRIM, outside
 from ..schema import LANDING
@@ -292,6 +293,15 @@ def run_summary(cycles: DataFrame) -> DataFrame:
     return got.select("run_id", "n_cycles", "t_start_s", "t_end_s", F.col("x.phase").alias("final_phase"), outcome.alias("outcome"), F.col("why").alias("abort_reason"))
 
 
+def command_lines(cycles: DataFrame, trim: float = TRIM) -> DataFrame:
+    """(run_id, sim_time, value): each cycle's commands as a protocol line; a cycle without commands gives none.
+
+    A stream of them is written by ``writeStream`` to whatever sink the controls read, as text or through ``foreach``.
+    """
+    values = {**{c: F.col(c) for c in ("aileron", "rudder", "elevator", "throttle")}, "elevator_trim": F.lit(trim), "brake_left": F.col("brake"), "brake_right": F.col("brake")}
+    return cycles.where("aileron IS NOT NULL").select("run_id", "sim_time", encode(values).alias("value"))
+
+
 def latest_per_trigger(samples: DataFrame, sink) -> object:
     """A writer that hands ``sink`` the newest sample of each run in every micro-batch, as a reader sees that drops its backlog."""
 

@@ -78,5 +78,24 @@ def test_small_streams(spark, tmp_path):
     assert sorted((r.run_id, r.n) for r in spark.table("counts").collect()) == [("r1", 1), ("r1", 2), ("r2", 1)]
 
 
+def test_command_lines(spark):
+    df = spark.createDataFrame([("r", 1.0, 0.2, -0.1, 0.5, 0.8, 0.35), ("r", 2.0, None, None, None, None, None)], "run_id string, sim_time double, aileron double, rudder double, elevator double, throttle double, brake double")
+    # aileron, elevator, rudder, trim, throttle, brakes
+    assert [r.value for r in live.command_lines(df).collect()] == ["0.200000,0.500000,-0.100000,0.031000,0.800000,0.350000,0.350000"]
+
+
+def test_broken_samples_abort_before_anything_else(spark):
+    from flightlake.operators import safety
+
+    base = {"t": 1.0, "cross_track_m": 0.0, "heading_error_deg": 0.0, "roll_deg": 0.0, "pitch_deg": 0.0, "alt_agl_ft": 100.0, "airspeed_kt": 65.0, "rudder": 0.0, "crashed": False}
+    changes = [{}, {"airspeed_kt": float("nan")}, {"roll_deg": None, "crashed": True}, {"airspeed_kt": 30.0, "roll_deg": 60.0}, {"airspeed_kt": 30.0, "crashed": True}, {"rudder": 2.0}, {"rudder": 2.0}, {"rudder": 2.0, "alt_agl_ft": 4000.0}]
+    rows = [("r", *{**base, **c, "t": float(i)}.values()) for i, c in enumerate(changes)]
+    df = spark.createDataFrame(rows, "run string, t double, cross_track_m double, heading_error_deg double, roll_deg double, pitch_deg double, alt_agl_ft double, airspeed_kt double, rudder double, crashed boolean")
+    got = [r.abort_reason for r in safety.abort_reasons(df, ["run"], ["t"], {"rudder": (-1.0, 1.0)}, cycles=2).orderBy("t").collect()]
+    assert got == ["", "telemetry_contains_nan_or_inf", "telemetry_contains_nan_or_inf", "bank_angle_exceeded", "flightgear_reported_crashed", "", "rudder_saturated", "agl_exceeded"]
+    e = spark.createDataFrame([(2.0,), (0.5,), (None,)], "x double").select(safety.elevator_command(F.col("x"))).collect()
+    assert [r[0] for r in e] == [1.0, 0.469, None]
+
+
 def test_fixed_orders():
     assert len(schema.LATERAL_FEATURES) == 11 and len(schema.LONGITUDINAL_FEATURES) == 12 and len(schema.SCALED) == 16
