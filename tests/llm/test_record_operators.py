@@ -142,6 +142,11 @@ def test_stored_texts_come_back(spark):
         g = got[r.doc_id]
         assert bytes(r.media) == media.wav_bytes(payload) and g.media_sha256 == hashlib.sha256(media.wav_bytes(payload)).hexdigest()
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert got[5].feature.split(";")[1:3] == ["inside=", "rejected=12000"]
+    assert media.read_back(media.store_texts(df.limit(0), "doc_id", "text")).count() == 0
+    # what is stored can hold media itself: they are found inside the payload
+    inner = spark.createDataFrame([(1, len(GIF), bytearray(media.wav_bytes(b"ab" + GIF + png())))], "doc_id long, n_bytes long, media binary")
+    assert media.read_back(inner).first().feature.split(";")[1] == f"inside=image/gif:2+{len(GIF)},image/png:{2 + len(GIF)}+{len(png())}"
 
 
 # ---- archives --------------------------------------------------------------------------------------

@@ -279,6 +279,19 @@ def test_leaks(spark, odd, nothing, sf):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_a_very_long_item_is_found(spark):
+    rng = random.Random(15)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(800))
+    text = list(item)
+    for _ in range(60):
+        at = rng.randrange(len(text))
+        text[at : at + 1] = rng.choice(["", "x", "zz"])
+    docs = spark.createDataFrame([(1, "before " + "".join(text) + " after"), (2, item[: len(item) // 2]), (3, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r.distance for r in decontamination.find_leaks(docs, bench).collect()}
+    assert set(got) == {1, 3} and got[3] == 0 and 0 < got[1] <= 120
+
+
 def test_blocks_find_the_same(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in decontamination.find_leaks(docs, bench).collect()}
