@@ -28,10 +28,12 @@ def carried(df: DataFrame, keys: list[str], order: list[str], start: Callable[[]
             rows = [tuple(None if pd.isna(x) else x for x in r) for r in pdf[keys].drop_duplicates(ignore_index=True).itertuples(index=False)]
             code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(pdf)]
+            out = []
             for key, a, b in zip(rows, cuts, cuts[1:]):
                 if step is None or key != last:
                     last, step = key, start()
-                yield step(pdf.iloc[a:b])
+                out.append(step(pdf.iloc[a:b]))
+            yield pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
