@@ -581,39 +581,31 @@ def boundary_rows(spark, d):
     return b.select("user_id", "touchdown_confirmed", *[r6(c).alias(c) for c in ("t_start_s", "t_end_s", "contact_candidate_s", "touchdown_confirmed_s", "rollout_s", "complete_s")], "complete_reason")
 
 
-@query("landing_checks", "SELECT 'x' AS rule, 0 AS user_id WHERE false")
+@query(
+    "landing_checks",
+    f"""{_WALK}, {_LABELS}, mr AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM lab WHERE main), loose AS (SELECT user_id, g, count(*) AS n, bool_or(idx = td.td) AS held, min(idx) AS s FROM mr LEFT JOIN td USING (user_id) GROUP BY user_id, g)
+SELECT DISTINCT 'rising' AS rule, user_id FROM (SELECT user_id, floor(t / {DAY}) - lag(floor(t / {DAY})) OVER (PARTITION BY user_id ORDER BY idx) AS d FROM tel) WHERE d <= 0
+UNION ALL SELECT 'touchdown', bi.user_id FROM bi JOIN td ON bi.user_id = td.user_id AND bi.s = td.td JOIN dt ON dt.user_id = bi.user_id WHERE c < greatest(1, ceil(round_even({2 * SLOW["touchdown_s"]}::DOUBLE / dt, 6)))
+UNION ALL SELECT DISTINCT 'long', user_id FROM loose LEFT JOIN td USING (user_id) JOIN dt USING (user_id) WHERE n * dt >= {SLOW["long_candidate_s"]} AND NOT coalesce(held, false) AND coalesce(s < td.td, true)
+UNION ALL SELECT DISTINCT 'bounce', user_id FROM lab LEFT JOIN ro USING (user_id) WHERE phase = 'BOUNCE' AND ro IS NULL""",
+)
 def landing_checks(spark, d):
-    """The keys that break a rule of the state machine's result: none may."""
+    """The keys that break a rule: times in whole days, touchdowns twice as long, and no flags at all give rules something to find; order and nose hold."""
     rows = phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW)
     keys, records = ["user_id"], phases.contact_records(rows, ["user_id"])
-    flags = phases.review_flags(rows, records, keys, SLOW)
+    none = spark.createDataFrame([], "user_id long, flag string")
     found = {
-        "rising": checks.not_rising(rows, keys, ["idx"], "t"), "order": checks.out_of_order(phases.boundaries(rows, keys), keys), "touchdown": checks.unbacked_touchdown(rows, keys, SLOW),
-        "nose": checks.nose_only_candidate(rows, keys), "long": checks.unflagged_long_contact(records, flags, keys, SLOW), "bounce": checks.bounce_without_rollout(rows, keys, flags),
+        "rising": checks.not_rising(rows.withColumn("day", F.floor(F.col("t") / DAY)), keys, ["idx"], "day"), "order": checks.out_of_order(phases.boundaries(rows, keys), keys),
+        "touchdown": checks.unbacked_touchdown(rows, keys, {**SLOW, "touchdown_s": 2 * SLOW["touchdown_s"]}), "nose": checks.nose_only_candidate(rows, keys),
+        "long": checks.unflagged_long_contact(records, none, keys, SLOW), "bounce": checks.bounce_without_rollout(rows, keys, none),
     }
-    parts = [df.select(F.lit(name).alias("rule"), F.col("user_id").cast("int").alias("user_id")) for name, df in found.items()]
+    parts = [df.select(F.lit(name).alias("rule"), "user_id") for name, df in found.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query(
-    "circuit_segments",
-    f"""WITH {TEL}, fl AS (SELECT *, k % 10 < 5 AS l, k % 10 BETWEEN 2 AND 6 AS r, k % 7 = 0 AS n FROM tel), ca AS (SELECT user_id, min(idx) AS ca FROM fl WHERE l OR r GROUP BY user_id),
-f2 AS (SELECT * FROM fl JOIN ca USING (user_id) WHERE idx >= ca),
-t1 AS (SELECT user_id, min(s) AS a FROM (SELECT user_id, min(idx) AS s, max(t) - min(t) AS d FROM (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f2 WHERE l AND r) GROUP BY user_id, g) WHERE d >= {SLOW["touchdown_s"]} GROUP BY user_id),
-t2 AS (SELECT user_id, min(s) AS a FROM (SELECT user_id, min(idx) AS s, max(t) - min(t) AS d FROM (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f2 WHERE l OR r) GROUP BY user_id, g) WHERE d >= {SLOW["touchdown_s"]} GROUP BY user_id),
-t3 AS (SELECT user_id, min(s) AS a FROM (SELECT user_id, min(idx) AS s, max(t) - min(t) AS d FROM (SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f2 WHERE l OR r OR n) GROUP BY user_id, g) WHERE d >= {SLOW["rollout_s"]} GROUP BY user_id),
-p AS (SELECT ca.user_id, ca.ca, coalesce(t1.a, t2.a, t3.a) AS td, CASE WHEN t1.a IS NOT NULL THEN 'tier1_both_main_gear' WHEN t2.a IS NOT NULL THEN 'tier2_either_main_gear' WHEN t3.a IS NOT NULL THEN 'tier3_rollout_proxy_bouncy_landing' END AS tier FROM ca LEFT JOIN t1 USING (user_id) LEFT JOIN t2 USING (user_id) LEFT JOIN t3 USING (user_id)),
-ro AS (SELECT user_id, min(s) AS a FROM (SELECT user_id, min(idx) AS s, max(t) - min(t) AS d FROM (SELECT fl.*, idx - row_number() OVER (PARTITION BY fl.user_id ORDER BY idx) AS g FROM fl JOIN p USING (user_id) WHERE idx >= td AND (l OR r OR n)) GROUP BY user_id, g) WHERE d >= {SLOW["rollout_s"]} GROUP BY user_id)
-SELECT p.user_id, ca::BIGINT AS candidate_idx, td::BIGINT AS touchdown_idx, tier, coalesce(ro.a, td)::BIGINT AS rollout_idx FROM p LEFT JOIN ro USING (user_id)""",
-)
-def circuit_segments(spark, d):
-    s = phases.circuit_landing(landing_input(spark, d), ["user_id"], SLOW)
-    return s.select("user_id", F.col("candidate_idx").cast("long").alias("candidate_idx"), F.col("touchdown_idx").cast("long").alias("touchdown_idx"), "tier", F.col("rollout_idx").cast("long").alias("rollout_idx"))
-
-
 #: The transient's and the detectors' limits in the time scale and the values of ``events``.
 SETTLED = {"band_kt": (0.0, 70.0), "flaps_min": -1.0, "flaps_std": 0.08, "least_s": 1.2 * DAY, "remaining_s": DAY, "search_s": 20 * DAY}
 ESTABLISHED = {"heading_deg": 40.0, "cross_m": 90.0, "along_m": -2.0, "sink_fpm": 1500.0, "least_s": 0.4 * DAY}
