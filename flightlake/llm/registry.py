@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op8_bpe
 from .chat import OP5_SQL, op5_chat_format
 from .decontamination import op10_decontamination
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
 }
 ORACLE_SQL = {"op1_media_sniffing": OP1_SQL, "op2_warc_history": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_jump_sharding": OP9_SQL}
