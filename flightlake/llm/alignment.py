@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 import sys
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,13 +99,15 @@ class Pair:
         self.memo: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _encode(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
-        import numpy as np
-
-        out = []
-        for w, x, y in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1)):
-            raw, x = f" {w}".encode(), x.ids
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if same else None)
+        xs = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        ys = self.b.encode(words, num_threads=1)
+        out = list(zip(_packed(xs), _packed(ys)))
+        raw = "".join([" " + w for w in words]).encode()
+        flat = (b"".join(map(of.__getitem__, chain.from_iterable(ids))) for of, ids in ((self.bytes_a, xs), (self.bytes_b, ys)))
+        if any(x != raw for x in flat):  # some word is not kept: find which
+            for i, (w, x, y) in enumerate(zip(words, xs, ys)):
+                if not b"".join(map(self.bytes_a.__getitem__, x)) == f" {w}".encode() == b"".join(map(self.bytes_b.__getitem__, y)):
+                    out[i] = None
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -126,6 +129,15 @@ class Pair:
         return out
 
 
+def _packed(lists: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian 32-bit integers."""
+    import numpy as np
+
+    ends = (4 * np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))).tolist()
+    raw = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _loaded(byte_level: bytes, pieces: bytes) -> Pair:
     """One pair of tokenizers for each worker process and pair of files."""
     kept = sys.modules[__name__].__dict__.setdefault("_pairs", {})
