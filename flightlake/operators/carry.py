@@ -6,6 +6,8 @@ rows a key has.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -41,3 +43,17 @@ def carried(df: DataFrame, keys: list[str], order: list[str], start: Callable[[]
 def schema_with(df: DataFrame, more: dict[str, str]) -> str:
     """The columns of ``df`` and further ones, as a schema text."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in more), *(f"`{n}` {k}" for n, k in more.items())])
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the folder in spark.checkpoint.dir: rounds of a loop read it instead of one another.
+
+    Only in local mode, where all tasks share the machine's disk, a missing setting is replaced by a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="flightlake-"))
+    return df.checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import clip
+from .carry import settled
 
 
 def measures(true: str, pred: str, low: float, high: float) -> list[Column]:
@@ -28,7 +29,9 @@ def measures(true: str, pred: str, low: float, high: float) -> list[Column]:
 
 
 #: Values of a group that one task sorts, and bins that a larger group is narrowed down by.
-MOST_SORTED, BINS = 10_000, 1024
+MOST_SORTED, BINS = 50_000, 1024
+#: Bins of the first count in each doubling of a value.
+BINS_A_DOUBLING = 16
 
 
 def _same(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -40,38 +43,48 @@ def _same(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> Data
 
 
 def exact_percentile(df: DataFrame, by: list[str], column: str, p: float, name: str) -> DataFrame:
-    """(by, name): the percentile with linear interpolation, exact, whatever the size of a group.
+    """(by, name): the percentile with linear interpolation, exact, whatever the size of a group and the spread of its values.
 
-    No task gathers a group: even bins between the smallest and the largest value are counted (summed before the shuffle), and
-    the bin that holds the wanted place is binned again, until few values or one are left, which are sorted; the next
-    larger value is one more aggregate.  Null and NaN values do not count; a group without others has a null.
+    No task gathers a group.  Values are counted in bins of a logarithmic scale, both signs apart, summed before the shuffle; where
+    the bin that holds the wanted place has more than MOST_SORTED different values, it is cut into BINS even bins, as often as needed: a
+    bin spans a small part of a doubling, so six times are enough for all bits of a double.  The values of the last bin are sorted;
+    the smallest value past it is known from the bins.  Infinite values take their places by count.  Null and NaN values do not
+    count; a group without others has a null.
     """
     v = df.select(*by, F.col(column).cast("double").alias("_v"))
-    good = v.where("_v IS NOT NULL AND NOT isnan(_v)")
-    place = (F.col("_n") - 1) * F.lit(p)
-    state = good.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    state = state.select(*by, F.floor(place).alias("_k"), (place - F.floor(place)).alias("_share"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside")).persist()
-    kept = ["_k", "_share"]
-    while state.where((F.col("_inside") > MOST_SORTED) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
-        here = _same(good, state, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        width = (F.col("_hi") - F.col("_lo")) / BINS
-        bins = here.withColumn("_bin", F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0))
-        bins = bins.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), *[F.first(x).alias(x) for x in (*kept, "_below")])
-        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin"))
-        bins = bins.withColumn("_upto", upto).where((F.col("_upto") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_upto")))
-        old, state = state, bins.select(*by, *kept, F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"), (F.col("_upto") - F.col("_c")).alias("_below"), F.col("_c").alias("_inside")).persist()
-        state.count()
-        old.unpersist()
-    few = _same(good, state.where("_lo < _hi"), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    few = few.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *[F.first(x).alias(x) for x in (*kept, "_below")])
-    at = few.select(*by, *kept, F.get("_vs", (F.col("_k") - F.col("_below")).cast("int")).alias("_at"))
-    at = at.where("_at IS NOT NULL").unionByName(state.where("_lo = _hi").select(*by, *kept, F.col("_lo").alias("_at")))
-    # the value at the place before the percentile is known; the one after it is equal, or the next larger one
-    rows = _same(v, at, by, "left")
-    upto, more = F.count_if(F.col("_v") <= F.col("_at")), F.min(F.when((F.col("_v") > F.col("_at")) & ~F.isnan("_v"), F.col("_v")))
-    out = rows.groupBy(*by).agg(*[F.first(x, ignorenulls=True).alias(x) for x in ("_at", *kept)], upto.alias("_upto"), more.alias("_more"))
-    after = F.when(F.col("_upto") > F.col("_k") + 1, F.col("_at")).otherwise(F.coalesce("_more", "_at"))
-    return out.select(*by, (F.col("_at") + (after - F.col("_at")) * F.col("_share")).alias(name))
+    infinite = F.abs("_v") == float("inf")
+    # log2 of the smallest double is -1074: the sum is positive
+    scale = F.signum("_v") * F.floor((F.log2(F.abs("_v")) + 1080) * BINS_A_DOUBLING)
+    rank = F.when(F.col("_v").isNull() | F.isnan("_v"), None).when(infinite, F.signum("_v") * 1e9).when(F.col("_v") == 0, 0.0).otherwise(scale)
+    first = v.groupBy(*by, rank.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    valid = F.col("_bin").isNotNull()
+    n = F.coalesce(F.sum(F.when(valid, F.col("_c"))).over(Window.partitionBy(*by)), F.lit(0))
+    place = (n - 1) * F.lit(p)
+    first = first.withColumns({"_k": F.floor(place), "_share": place - F.floor(place), "_below": F.lit(0).cast("long"), "_n": n, "_after": F.lit(None).cast("double")})
+    state = _bin_of_place(first.where(valid), by).transform(settled)
+    wide = (F.col("_inside") > MOST_SORTED) & (F.col("_lo") < F.col("_hi"))
+    while state.where(wide).limit(1).count():
+        here = _same(v, state.where(wide), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        step = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / BINS)))
+        cut = here.groupBy(*by, step.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), *[F.first(x).alias(x) for x in ("_k", "_share", "_below", "_after")])
+        state = _bin_of_place(cut, by).unionByName(state.where(~wide)).transform(settled)
+    few = _same(v, state.where("_lo < _hi"), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    few = few.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *[F.first(x).alias(x) for x in ("_k", "_share", "_below", "_after")])
+    spot = (F.col("_k") - F.col("_below")).cast("int")
+    found = few.select(*by, "_share", F.get("_vs", spot).alias("_at"), F.coalesce(F.get("_vs", spot + 1), "_after").alias("_next"))
+    same = state.where("_lo = _hi").select(*by, "_share", F.col("_lo").alias("_at"), F.when(F.col("_k") + 1 < F.col("_below") + F.col("_inside"), F.col("_lo")).otherwise(F.col("_after")).alias("_next"))
+    at, after, share = F.col("_at"), F.coalesce("_next", "_at"), F.col("_share")
+    between = F.when((share == 0) | (at == after), at).when((F.abs(at) == float("inf")) | (F.abs(after) == float("inf")), at * (1 - share) + after * share).otherwise(at + (after - at) * share)
+    known = found.unionByName(same).select(*by, between.alias(name))
+    return _same(v.select(*by).distinct() if by else df.sparkSession.range(1).select(), known, by, "left")
+
+
+def _bin_of_place(bins: DataFrame, by: list[str]) -> DataFrame:
+    """The bin that holds place _k of each group: its bounds, the number of values below and inside, and the smallest value past it."""
+    w = Window.partitionBy(*by).orderBy("_bin")
+    upto = F.col("_below") + F.sum("_c").over(w)
+    d = bins.withColumns({"_upto": upto, "_after": F.coalesce(F.lead("_mn").over(w), "_after")}).where((F.col("_upto") - F.col("_c") <= F.col("_k")) & (F.col("_k") < F.col("_upto")))
+    return d.select(*by, "_k", "_share", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"), (F.col("_upto") - F.col("_c")).alias("_below"), F.col("_c").alias("_inside"), "_after")
 
 
 def regression(df: DataFrame, by: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:

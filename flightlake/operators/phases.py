@@ -79,8 +79,8 @@ def landing_rows(df: DataFrame, keys: list[str], post_rollout_gap: str = "flare"
     return d.withColumn("phase", phase).drop("_step", "_bf", "_af", "_be", "_ae", "_bs", "_as", "_ro")
 
 
-def _rollout_end(d: DataFrame, w, whole, cfg: dict) -> DataFrame:
-    """Adds complete_idx and complete_reason to rows of episodes with a rollout.
+def _rollout_end(d: DataFrame, w, whole, cfg: dict, by_time: bool = False) -> DataFrame:
+    """Adds complete_idx and complete_reason to rows of episodes with a rollout; runs last by their number of samples, or ``by_time``.
 
     From the rollout's start a run opens on a slow row or, failing that, on one without contact, and goes on while its own
     condition holds.  The first slow run that lasts ends the rollout at its start; so does one without contact that climbs with
@@ -94,10 +94,11 @@ def _rollout_end(d: DataFrame, w, whole, cfg: dict) -> DataFrame:
     last = F.last("_k", ignorenulls=True).over(so_far)
     d = d.withColumn("_m", F.when(F.col("idx") >= F.col("rollout_idx"), F.when(last == "air", F.when(air, "air")).when(slow, "slow")))
     d = d.withColumns({"_opens": F.col("_m").isNotNull() & ~F.col("_m").eqNullSafe(F.lag("_m").over(w)), "_closes": F.col("_m").isNotNull() & ~F.col("_m").eqNullSafe(F.lead("_m").over(w))})
-    d = d.withColumn("_s", F.last(F.when(F.col("_opens"), F.struct("idx", "gs", "agl")), ignorenulls=True).over(so_far))
-    n, dt = F.col("idx") - F.col("_s.idx") + 1, F.col("_dt")
-    lifted = (n >= steps(cfg["liftoff_s"], dt)) & (F.col("agl") > F.col("_s.agl")) & ((F.col("gs") > F.col("_s.gs") + cfg["liftoff_gain_kt"]) | (F.col("thr") >= cfg["liftoff_throttle"]))
-    reason = F.when((F.col("_m") == "slow") & (n >= steps(cfg["complete_s"], dt)), "groundspeed_below_threshold").when((F.col("_m") == "air") & lifted, "liftoff_after_rollout_touch_and_go")
+    d = d.withColumn("_s", F.last(F.when(F.col("_opens"), F.struct("idx", "t", "gs", "agl")), ignorenulls=True).over(so_far))
+    n = F.col("idx") - F.col("_s.idx") + 1
+    lasts = lambda s: F.col("t") - F.col("_s.t") >= s if by_time else n >= steps(s, F.col("_dt"))
+    lifted = lasts(cfg["liftoff_s"]) & (F.col("agl") > F.col("_s.agl")) & ((F.col("gs") > F.col("_s.gs") + cfg["liftoff_gain_kt"]) | (F.col("thr") >= cfg["liftoff_throttle"]))
+    reason = F.when((F.col("_m") == "slow") & lasts(cfg["complete_s"]), "groundspeed_below_threshold").when((F.col("_m") == "air") & lifted, "liftoff_after_rollout_touch_and_go")
     found = F.min(F.when(F.col("_closes") & reason.isNotNull(), F.struct(F.col("_s.idx").alias("idx"), reason.alias("reason")))).over(whole)
     d = d.withColumns({"_e": found, "_z": F.max("idx").over(whole)})
     rolled = F.col("rollout_idx").isNotNull()
@@ -191,12 +192,13 @@ def transitions(rows: DataFrame, keys: list[str], cfg: dict = LANDING, values: t
     return d.select(*keys, "idx", "t", *values, F.explode(found).alias("x")).select(*keys, "x.previous_state", "x.new_state", "idx", "t", *values, "x.reason")
 
 
-def circuit_landing(df: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
-    """The older segmenter, by times: (keys, candidate_idx, touchdown_idx, tier, rollout_idx).
+def circuit_rows(df: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
+    """The older segmenter, by times, on rows (keys, idx, t, agl, gs, thr, left, right, nose, ...) of one window per key.
 
+    Adds candidate_idx, touchdown_idx, tier, rollout_idx, complete_idx and complete_reason, and what ``circuit_events`` needs.
     Touchdown is the first run that lasts of both main wheels, else of one of them, else of any wheel (as long
     as a rollout); the rollout is the first lasting run of any wheel from there, else the touchdown.  Runs that began before the
-    first contact of a main wheel, or for the rollout before the touchdown, are cut there.
+    first contact of a main wheel, or for the rollout before the touchdown, are cut there.  Without a touchdown there is no end.
     """
     w, whole = Window.partitionBy(*keys).orderBy("idx"), Window.partitionBy(*keys)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -206,14 +208,38 @@ def circuit_landing(df: DataFrame, keys: list[str], cfg: dict = LANDING) -> Data
     edge = lambda k, other: F.col(f"_{k}") & ~F.coalesce(other(f"_{k}").over(w), F.lit(False))
     d = d.withColumns({f"_{k}1": edge(k, F.lag) for k in flags} | {f"_{k}2": edge(k, F.lead) for k in flags})
     d = d.withColumns({f"_{k}s": F.last(F.when(F.col(f"_{k}1"), here), ignorenulls=True).over(so_far) for k in flags} | {"_c": F.min(F.when(F.col("_main"), here)).over(whole)})
+    d = d.withColumns({f"_t{n}": F.min(F.when(_lasting(k, cfg[least], "_c"), F.greatest(f"_{k}s", "_c"))).over(whole) for n, (k, least) in enumerate(TIERS)})
+    d = d.withColumns({"_td": F.coalesce("_t0", "_t1", "_t2"), "tier": F.when(F.col("_t0").isNotNull(), TIER_NAMES[0]).when(F.col("_t1").isNotNull(), TIER_NAMES[1]).when(F.col("_t2").isNotNull(), TIER_NAMES[2])})
+    d = d.withColumn("_r", F.coalesce(F.min(F.when(_lasting("any", cfg["rollout_s"], "_td"), F.greatest("_anys", "_td"))).over(whole), "_td"))
+    d = d.withColumns({"candidate_idx": F.col("_c.idx"), "touchdown_idx": F.col("_td.idx"), "rollout_idx": F.col("_r.idx")})
+    short = [F.when(F.col(f"_{k}2") & (F.col("idx") >= F.col("_c.idx")) & ~_lasting(k, cfg[least], "_c") & F.coalesce(F.col("idx") < F.col(f"_t{n}.idx"), F.lit(True)) & F.coalesce(*[F.col(f"_t{m}") for m in range(n)], F.lit(None)).isNull(), TIER_NAMES[n]) for n, (k, least) in enumerate(TIERS)]
+    d = d.withColumn("_bounced", F.array_compact(F.array(*short)))
+    d = _rollout_end(d, w, whole, cfg, by_time=True)
+    return d.drop(*[f"_{k}{x}" for k in flags for x in "12s"], "_c", "_td", "_r", "_t0", "_t1", "_t2", "_both", "_main", "_any")
+
+
+#: The flags of the tiers with the time that a run of each must last, and the published names of the tiers.
+TIERS = (("both", "touchdown_s"), ("main", "touchdown_s"), ("any", "rollout_s"))
+TIER_NAMES = ("tier1_both_main_gear", "tier2_either_main_gear", "tier3_rollout_proxy_bouncy_landing")
+
+
+def _lasting(k: str, least: float, cut: str) -> Column:
+    """Whether a run that ends on this row, cut at ``cut``, lasts."""
+    return F.coalesce(F.col(f"_{k}2") & (F.col("idx") >= F.col(f"{cut}.idx")) & (F.col("t") - F.greatest(f"_{k}s", cut)["t"] >= least), F.lit(False))
 
-    def lasting(k: str, least: float, cut: str) -> Column:
-        """The start of a run that ends on this row, cut at ``cut``, if it lasts."""
-        start = F.greatest(f"_{k}s", cut)
-        return F.when(F.col(f"_{k}2") & (F.col("idx") >= F.col(f"{cut}.idx")) & (F.col("t") - start["t"] >= least), start)
 
-    d = d.withColumns({f"_t{n}": F.min(lasting(k, cfg[least], "_c")).over(whole) for n, (k, least) in enumerate((("both", "touchdown_s"), ("main", "touchdown_s"), ("any", "rollout_s")))})
-    tier = F.when(F.col("_t0").isNotNull(), "tier1_both_main_gear").when(F.col("_t1").isNotNull(), "tier2_either_main_gear").when(F.col("_t2").isNotNull(), "tier3_rollout_proxy_bouncy_landing")
-    d = d.where("_c IS NOT NULL").withColumns({"_td": F.coalesce("_t0", "_t1", "_t2"), "tier": tier})
-    got = d.groupBy(*keys).agg(F.min("_c.idx").alias("candidate_idx"), F.min("_td.idx").alias("touchdown_idx"), F.min("tier").alias("tier"), F.min(lasting("any", cfg["rollout_s"], "_td")).alias("_r"))
-    return got.select(*keys, "candidate_idx", "touchdown_idx", "tier", F.coalesce("_r.idx", "touchdown_idx").alias("rollout_idx"))
+def circuit_landing(df: DataFrame, keys: list[str], cfg: dict = LANDING) -> DataFrame:
+    """(keys, candidate_idx, touchdown_idx, tier, rollout_idx, complete_idx, complete_reason) of every key with a main wheel's contact."""
+    got = circuit_rows(df, keys, cfg).where("candidate_idx IS NOT NULL")
+    return got.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("candidate_idx", "touchdown_idx", "tier", "rollout_idx", "complete_idx", "complete_reason")])
+
+
+def circuit_events(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event, idx, t, tier) of ``circuit_rows``: the boundaries, and a BOUNCE at the end of every run too short for the tier searched.
+
+    A tier is searched up to the run that confirms it; the next one only if none does, so a contact may bounce in several.
+    """
+    at = lambda c, name: F.when(F.col("idx") == F.col(c), F.struct(F.lit(name).alias("event"), F.lit(None).cast("string").alias("tier")))
+    marks = F.array_compact(F.array(at("candidate_idx", "CONTACT_CANDIDATE"), at("touchdown_idx", "TOUCHDOWN_CONFIRMED"), at("rollout_idx", "ROLLOUT"), at("complete_idx", "COMPLETE")))
+    bounces = F.transform("_bounced", lambda x: F.struct(F.lit("BOUNCE").alias("event"), x.alias("tier")))
+    return rows.select(*keys, "idx", "t", F.explode(F.concat(marks, bounces)).alias("x")).select(*keys, "x.event", "idx", "t", "x.tier")

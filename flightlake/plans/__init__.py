@@ -1 +1,3 @@
-"""Queries and pipelines composed of the operators."""
+"""Whole plans: importing this package registers every query of its modules."""
+
+from . import circuit, telemetry  # noqa: F401

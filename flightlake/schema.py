@@ -157,6 +157,7 @@ LANDING = {
 TRANSIENT = {"band_kt": (55.0, 75.0), "flaps_min": 0.05, "flaps_std": 0.01, "least_s": 2.0, "remaining_s": 5.0, "search_s": 30.0}
 FINAL_APPROACH = {"heading_deg": 30.0, "cross_m": 150.0, "along_m": -200.0, "sink_fpm": -100.0, "least_s": 3.0}
 MANEUVERING = {"heading_deg": 90.0, "sink_fps": -0.5, "flaps_more": 0.02, "least_s": 2.0}
+AIRBORNE_GAP = {"least_s": 20.0, "agl_ft": 50.0}
 
 
 def column_name(path: str) -> str:
