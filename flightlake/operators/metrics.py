@@ -75,7 +75,7 @@ def exact_percentile(df: DataFrame, by: list[str], column: str, p: float, name:
     same = state.where("_lo = _hi").select(*by, "_share", F.col("_lo").alias("_at"), F.when(F.col("_k") + 1 < F.col("_below") + F.col("_inside"), F.col("_lo")).otherwise(F.col("_after")).alias("_next"))
     at, after, share = F.col("_at"), F.coalesce("_next", "_at"), F.col("_share")
     between = F.when((share == 0) | (at == after), at).when((F.abs(at) == float("inf")) | (F.abs(after) == float("inf")), at * (1 - share) + after * share).otherwise(at + (after - at) * share)
-    known = found.unionByName(same).select(*by, between.alias(name))
+    known = found.where("_at IS NOT NULL").unionByName(same).select(*by, between.alias(name))
     return _same(v.select(*by).distinct() if by else df.sparkSession.range(1).select(), known, by, "left")
 
 

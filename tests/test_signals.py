@@ -119,6 +119,36 @@ def test_percentiles_are_exact(spark, most, monkeypatch):
     assert abs(metrics.exact_percentile(df, [], "v", 0.5, "q").first().q - np.quantile([v for vs in groups.values() for v in vs if v is not None and v == v], 0.5)) < 1e-9
 
 
+def test_percentiles_with_infinities_and_outliers(spark, monkeypatch):
+    """More values than one task sorts, spread over all magnitudes, with infinite ones: against numpy, in at most seven rounds."""
+    import numpy as np
+
+    from flightlake.operators import metrics
+
+    rounds = []
+    monkeypatch.setattr(metrics, "MOST_SORTED", 20)
+    monkeypatch.setattr(metrics, "settled", lambda df, settle=metrics.settled: rounds.append(0) or settle(df))
+    rng, inf = random.Random(8), float("inf")
+    close = [1.0 + rng.random() * 2e-16 * k for k in range(3000)]  # doubles next to one another
+    wide = [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(5000)] + [5e-324, -5e-324, 0.0, -0.0, 1.7e308]
+    groups = {"inf": close + [inf] * 40 + [1e300], "both": wide + [inf] * 9 + [-inf] * 700, "wide": wide, "all": [inf] * 60, "some": [inf, 1.0], "edge": [1.0] * 19 + [inf]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(4)
+    for p in (0.05, 0.5, 0.95, 0.99):
+        rounds.clear()
+        got = {r.k: r.q for r in metrics.exact_percentile(df, ["k"], "v", p, "q").collect()}
+        assert len(rounds) <= 8
+        for k, vs in groups.items():
+            vs = sorted(vs)
+            at, share = int((len(vs) - 1) * p), (len(vs) - 1) * p % 1
+            low, high = vs[at], vs[min(at + 1, len(vs) - 1)]
+            if low == high or not share:
+                assert got[k] == low, (k, p)
+            elif inf in (abs(low), abs(high)):
+                assert got[k] == (low if abs(low) == inf else high), (k, p)
+            else:
+                assert got[k] == pytest.approx(float(np.quantile(vs, p)), rel=1e-12), (k, p)
+
+
 def test_clip_keeps_missing_values(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (9.0,), (-9.0,)], "x double")
     got = [r[0] for r in df.select(guards.clip(F.col("x"), -5, 5)).collect()]
