@@ -56,16 +56,40 @@ COMMAND_NODES = {
 COMMANDS = list(COMMAND_NODES)
 
 
-def decode(df: DataFrame, line: str = "value", fields: list[str] = TELEMETRY, whole: set[str] = WHOLE) -> DataFrame:
-    """The typed fields of every well-formed line; lines with another number of fields, or one that is no number, give no row.
+def routed(df: DataFrame, line: str = "value", fields: list[str] = TELEMETRY, whole: set[str] = WHOLE) -> DataFrame:
+    """Every line with ``reason`` and ``fields``: one of the two is null.
 
-    A line is split and cast once, to an array that is generated into a row if it is complete, so no later step repeats the split.
+    reason: "no_line" for a null, "field_count" for another number of fields, else "not_a_number:<field>" or, where only a whole number
+    will do, "not_whole:<field>", for the first field that does not parse.  fields: the typed values as a struct.  A line is
+    split and cast once.
     """
+    parts = F.transform(F.split(F.trim(F.col(line)), ","), lambda x: F.trim(x))
+    # generated from an array of one, so that no later step repeats the split
+    d = df.withColumn("_parts", F.explode(F.array(parts)))
+    values = [F.get("_parts", i).try_cast("int" if f in whole else "double").alias(f) for i, f in enumerate(fields)]
+    d = d.withColumn("_values", F.explode(F.array(F.struct(*values))))
+    broken = F.coalesce(*[F.when(F.col("_values")[f].isNull(), F.lit(f"{'not_whole' if f in whole else 'not_a_number'}:{f}")) for f in fields], F.lit(None))
+    reason = F.when(F.col("_parts").isNull(), "no_line").when(F.size("_parts") != len(fields), "field_count").otherwise(broken)
+    d = d.withColumn("reason", reason)
+    return d.withColumn("fields", F.when(F.col("reason").isNull(), F.col("_values"))).drop("_parts", "_values")
+
+
+def decode(df: DataFrame, line: str = "value", fields: list[str] = TELEMETRY, whole: set[str] = WHOLE) -> DataFrame:
+    """The typed fields of every well-formed line; the others give no row, but are found by ``rejected``."""
     rest = [c for c in df.columns if c != line]
-    numbers = F.transform(F.split(F.trim(F.col(line)), ","), lambda x: F.trim(x).try_cast("double"))
-    complete = F.filter(F.array(numbers), lambda a: (F.size(a) == len(fields)) & F.forall(a, lambda x: x.isNotNull()))
-    got = df.select(*rest, F.explode(complete).alias("_p"))
-    return got.select(*rest, *(F.col("_p")[i].cast("int" if f in whole else "double").alias(f) for i, f in enumerate(fields)))
+    return routed(df, line, fields, whole).where("fields IS NOT NULL").select(*rest, "fields.*")
+
+
+def rejected(df: DataFrame, line: str = "value", fields: list[str] = TELEMETRY, whole: set[str] = WHOLE) -> DataFrame:
+    """The lines that ``decode`` leaves out, with their reason."""
+    return routed(df, line, fields, whole).where("reason IS NOT NULL").drop("fields")
+
+
+def error_counts(routed_lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_received, n_decode_errors, by_reason): counts of ``routed`` lines; on a stream these are running counts of each key."""
+    bad = F.col("reason").isNotNull()
+    per = [F.count_if(F.coalesce(F.col("reason").startswith(r), F.lit(False))).alias(r) for r in ("no_line", "field_count", "not_a_number", "not_whole")]
+    return routed_lines.groupBy(*keys).agg(F.count_if(~bad).alias("n_received"), F.count_if(bad).alias("n_decode_errors"), *per)
 
 
 def encode(values: dict[str, Column], fields: list[str] = COMMANDS) -> Column:

@@ -74,14 +74,44 @@ def range_audit(df: DataFrame, ranges: dict[str, tuple[float, float]] = CONTROL_
 def duplicate_columns(df: DataFrame, position: list[str], columns: list[str]) -> DataFrame:
     """(keep_column, drop_column): columns with equal values in every row, rounded to nine digits; constant ones are left out.
 
-    A signature that any partition can add to (sums of two hashes of place and value) groups the
-    columns; the first in column order is kept.
+    A signature that any partition can add to (sums of two hashes of place and value) groups the columns into candidates.  One more pass
+    compares the candidates row by row, and only those, so columns whose signatures happen to agree are not taken for equal; the
+    first in column order is kept.
     """
-    v = F.col("value")
+    candidates = same_signature(df, position, columns)
+    pairs = [(r.keep_column, r.drop_column) for r in candidates.collect()]  # at most one pair for each column
+    return confirmed_duplicates(df, columns, pairs)
+
+
+def _plain(v: Column) -> Column:
+    """A value as it is compared: missing and infinite ones by fixed numbers, rounded to nine digits."""
     plain = F.when(v.isNull() | F.isnan(v), F.lit(-999999.0)).when(F.abs(v) == float("inf"), F.signum(v) * 1e18).otherwise(v)
     plain = F.when(F.abs(plain) < 1e6, F.round(plain, 9)).otherwise(plain)
-    plain = F.when(plain == 0, F.lit(0.0)).otherwise(plain)
-    h = F.xxhash64(*position, plain)
+    return F.when(plain == 0, F.lit(0.0)).otherwise(plain)
+
+
+def confirmed_duplicates(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(keep_column, drop_column): in each group of candidate ``pairs``, columns that equal an earlier one of the group in every row.
+
+    One aggregation of one flag for each pair inside a group.
+    """
+    groups: dict[str, list[str]] = {}
+    for keep, drop in pairs:
+        groups.setdefault(keep, [keep]).append(drop)
+    tests = [(a, b) for g in groups.values() for g in [sorted(g, key=columns.index)] for j, b in enumerate(g) for a in g[:j]]
+    spark = df.sparkSession
+    if not tests:
+        return spark.createDataFrame([], "keep_column string, drop_column string")
+    value = lambda c: _plain(F.col(f"`{c}`").cast("double"))
+    flags = df.agg(F.array(*[F.struct(F.lit(a).alias("keep_column"), F.lit(b).alias("drop_column"), F.lit(columns.index(a)).alias("place"), F.coalesce(F.bool_and(value(a) == value(b)), F.lit(False)).alias("same")) for a, b in tests]).alias("x"))
+    same = flags.select(F.explode("x").alias("x")).select("x.*").where("same")
+    return same.groupBy("drop_column").agg(F.min_by("keep_column", "place").alias("keep_column")).select("keep_column", "drop_column")
+
+
+def same_signature(df: DataFrame, position: list[str], columns: list[str]) -> DataFrame:
+    """(keep_column, drop_column): columns whose signatures agree with that of an earlier one; constant columns are left out."""
+    v = F.col("value")
+    h = F.xxhash64(*position, _plain(v))
     part = lambda n: F.sum(F.shiftright(F.xxhash64(h, F.lit(n)), 24))  # noqa: E731  sums of 40-bit numbers cannot overflow
     sign = values_of(df, position, columns).groupBy("column_name", "position").agg(
         part(1).alias("s1"), part(2).alias("s2"), F.count_distinct(F.when(~F.isnan(v), v)).alias("n")

@@ -77,14 +77,34 @@ def episode_rate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return dt.agg((1 / F.nullif(F.percentile("_dt", F.lit(0.5)), F.lit(0.0))).alias("fs"))
 
 
-def lowpass(df: DataFrame, keys: list[str], order: list[str], columns: list[str], cutoff_hz: float, taps: int = TAPS, init: str = "zero", fs: float | None = None) -> DataFrame:
+def as_unit_vectors(df: DataFrame, angles: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the sine and cosine of every column of ``angles``, which are degrees, and names them."""
+    parts = {f"_{f}_{c}": getattr(F, f)(F.radians(c)) for c in angles for f in ("sin", "cos")}
+    return df.withColumns(parts) if parts else df, list(parts)
+
+
+def as_degrees(df: DataFrame, angles: list[str]) -> DataFrame:
+    """Replaces every column of ``angles`` by the direction, from 0 to below 360, of its sine and cosine; both gone: 0."""
+    turned = {c: F.pmod(F.degrees(F.atan2(f"_sin_{c}", f"_cos_{c}")), F.lit(360.0)) for c in angles}
+    # a direction a hair below 0 is 360 after the addition
+    turned = {c: F.when(x >= 360.0, F.lit(0.0)).otherwise(x) for c, x in turned.items()}
+    return df.withColumns(turned).drop(*[f"_{f}_{c}" for c in angles for f in ("sin", "cos")]) if angles else df
+
+
+def lowpass(df: DataFrame, keys: list[str], order: list[str], columns: list[str], cutoff_hz: float, taps: int = TAPS, init: str = "zero", fs: float | None = None, angles: list[str] | None = None) -> DataFrame:
     """Filters ``columns`` in place, each by a dot product with the last ``taps`` values.
 
+    angles: those of ``columns`` that are degrees and filtered as unit vectors, so that 359.99 and 0.01 are near one another; a missing
+    angle stays missing.  Without them a heading is filtered like any number, as published.
+
     order: the time, then what tells rows of equal time apart.  init="zero" starts from rest, so the first rows of an
     episode are drawn to 0; "steady" starts as if the first value had always been there.  One window collects a struct of all
     columns.  Without ``fs`` the response is made once for each episode.  Suited to a few columns; for many, ``lowpass_many``
     runs the recursion itself.
     """
+    if angles:
+        turned, parts = as_unit_vectors(df, angles)
+        return as_degrees(lowpass(turned, keys, order, [*(c for c in columns if c not in angles), *parts], cutoff_hz, taps, init, fs), angles).select(*df.columns)
     w = Window.partitionBy(*keys).orderBy(*order)
     if init == "steady":
         for c in columns:
@@ -114,11 +134,15 @@ def _weighted(column: str, base: Column):
 BLOCK = 64
 
 
-def lowpass_many(df: DataFrame, keys: list[str], order: list[str], columns: list[str], cutoff_hz: float, init: str = "zero") -> DataFrame:
+def lowpass_many(df: DataFrame, keys: list[str], order: list[str], columns: list[str], cutoff_hz: float, init: str = "zero", angles: list[str] | None = None) -> DataFrame:
     """The same recursion for many columns at once, with its last two inputs and outputs carried along an episode's rows.
 
     Blocks of rows are answered by one product with the response and one with the state, so no row is a step of its own.
+    angles: those of ``columns`` that are degrees and filtered as unit vectors.
     """
+    if angles:
+        turned, parts = as_unit_vectors(df, angles)
+        return as_degrees(lowpass_many(turned, keys, order, [*(c for c in columns if c not in angles), *parts], cutoff_hz, init), angles).select(*df.columns)
     rated = df.join(episode_rate(df, keys, order), keys, "left")
 
     def start():
@@ -159,6 +183,10 @@ def lowpass_many(df: DataFrame, keys: list[str], order: list[str], columns: list
     return carried(rated, keys, order, start, schema_with(df, {c: "double" for c in columns})).select(*df.columns)
 
 
+#: Grid times that one array of ``hold_on_grid`` holds.
+GAP_CHUNK = 65_536
+
+
 def hold_on_grid(df: DataFrame, keys: list[str], order: list[str], step: float, grid: str = "t_grid", frame: str = "grid_idx") -> DataFrame:
     """Every grid time t0 + k * step up to the last time, with the newest row at or before it.
 
@@ -173,15 +201,20 @@ def hold_on_grid(df: DataFrame, keys: list[str], order: list[str], step: float,
     # one step more on either side: the exact test follows
     low = F.greatest(F.lit(0), F.floor((F.col(time) - F.col("_t0")) / F.lit(step)) - 1)
     high = F.least(last, F.ceil((F.coalesce("_next", "_t1") - F.col("_t0")) / F.lit(step)) + 1)
-    df = df.withColumn(frame, F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+    # a long gap is exploded twice, so that no array is longer than a chunk of it
+    none = F.array().cast("array<bigint>")
+    chunks = F.when(low <= high, F.sequence(F.lit(0).cast("long"), F.floor((high - low) / F.lit(GAP_CHUNK)))).otherwise(none)
+    df = df.withColumns({"_low": low, "_high": high, "_chunk": F.explode(chunks)})
+    start = F.col("_low") + F.col("_chunk") * F.lit(GAP_CHUNK)
+    df = df.withColumn(frame, F.explode(F.sequence(start, F.least("_high", start + F.lit(GAP_CHUNK - 1))))).drop("_low", "_high", "_chunk")
     df = df.withColumn(grid, F.col("_t0") + F.col(frame) * F.lit(step))
     df = df.where((F.col(time) <= F.col(grid)) & (F.col("_next").isNull() | (F.col(grid) < F.col("_next"))))
     return df.drop("_next", "_t0", "_t1")
 
 
-def to_rate(df: DataFrame, keys: list[str], order: list[str], smooth: list[str], cutoff_hz: float, step: float, bounds: dict[str, tuple[float, float]] | None = None, init: str = "zero") -> DataFrame:
-    """Low-pass the continuous columns, hold everything on the grid (other columns unfiltered), and clip controls to their bounds."""
+def to_rate(df: DataFrame, keys: list[str], order: list[str], smooth: list[str], cutoff_hz: float, step: float, bounds: dict[str, tuple[float, float]] | None = None, init: str = "zero", angles: list[str] | None = None) -> DataFrame:
+    """Low-pass the continuous columns (``angles`` as unit vectors), hold everything on the grid (other columns unfiltered), and clip controls to their bounds."""
     from ..functions.guards import clip
 
-    out = hold_on_grid(lowpass_many(df, keys, order, smooth, cutoff_hz, init), keys, order, step)
+    out = hold_on_grid(lowpass_many(df, keys, order, smooth, cutoff_hz, init, angles), keys, order, step)
     return out.withColumns({c: clip(F.col(c), *b) for c, b in (bounds or {}).items()}) if bounds else out

@@ -36,13 +36,14 @@ def validated(recordings: DataFrame, episodes: DataFrame) -> DataFrame:
     return sliced.drop("raw_row_start", "raw_row_end")
 
 
-def on_grid(rows: DataFrame, init: str = "zero") -> DataFrame:
+def on_grid(rows: DataFrame, init: str = "zero", angle: str = "plain") -> DataFrame:
     """Ten rows a second: continuous columns low-passed, wheels and flaps held, controls clipped.
 
-    init: the filter's start, "zero" as published or "steady".
+    init: the filter's start, "zero" as published or "steady".  angle: headings are filtered like any number with "plain", as published, or
+    as unit vectors with "sincos".
     """
     order = [c for c in ("sim_time", "input_pos") if c in rows.columns]
-    out = resample.to_rate(rows, ["episode_id"], order, SMOOTHED, CUTOFF_HZ, 1 / RATE_HZ, BOUNDS, init)
+    out = resample.to_rate(rows, ["episode_id"], order, SMOOTHED, CUTOFF_HZ, 1 / RATE_HZ, BOUNDS, init, ["heading_deg"] if angle == "sincos" else None)
     return out.withColumn("sim_time", F.col("t_grid")).withColumnRenamed("grid_idx", "frame_10hz").drop("t_grid")
 
 

@@ -913,10 +913,13 @@ def mlp_forward(spark, d):
 
 @query("model_fit")
 def model_fit(spark, d):
-    """Two folds of the lateral network on ``embeddings``; best epoch and loss depend on the start weights, so there is no SQL."""
-    e = table(spark, d, "embeddings")
-    cols = [f"f{i}" for i in range(11)]
-    rows = e.select(F.pmod("vec_id", F.lit(2)).cast("int").alias("fold"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)], F.col("embedding")[11].cast("double").alias("y0"), F.col("embedding")[12].cast("double").alias("y1"))
-    folds = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold_id")).withColumn("role", F.when(F.col("fold") == F.col("fold_id"), "val").otherwise("train"))
-    w = model.fit(folds, "lateral", cols, ["y0", "y1"])
+    """Two folds of both networks on ``embeddings``, on all rows; best epoch and loss depend on the start weights, so there is no SQL."""
+    values = lambda n: [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)]
+    labels = [F.col("embedding")[12].cast("double").alias("y0"), (1 / (1 + F.exp(-F.col("embedding")[13].cast("double")))).alias("y1")]
+    fold = F.pmod("vec_id", F.lit(2)).cast("int").alias("fold")
+    fits = []
+    for network, (n, _) in model.NETWORKS.items():
+        rows = table(spark, d, "embeddings").select(fold, *values(n), *labels)
+        fits.append(model.fit_shared(rows, network, [f"f{i}" for i in range(n)], ["y0", "y1"], epochs=6, batches=2))
+    w = fits[0].unionByName(fits[1])
     return w.groupBy("fold_id", "network").agg(F.max("best_epoch").alias("best_epoch"), r6(F.max("best_val_loss"), 4).alias("best_val_loss"), F.count("*").alias("layers"))
