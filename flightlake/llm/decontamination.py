@@ -21,8 +21,10 @@ from ._common import table
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
-#: Items shorter than this after normalising are matched without edits (their pieces would be too short to mean anything).
+#: Items shorter than this after normalising are matched without edits (their pieces would be too short to mean anything), from word to word.
 SHORT = 40
+#: Items shorter than this after normalising are not looked for: such words stand in any text.
+LEAST = 20
 #: Characters of items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 4_000_000
 
@@ -144,7 +146,7 @@ class Matcher:
         owners: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
             text = normalise(raw)
-            if not text:
+            if len(text) < LEAST:
                 continue
             k = len(self.items)
             masks = character_masks(text)
@@ -186,6 +188,11 @@ class Matcher:
                 if k in exact or other and not beside(text, end + 1 - length, end + 1, other):
                     continue
                 start = end + 1 - length - offset
+                if not self.items[k][2]:
+                    # a short item is one piece; it may begin and end words, but not lie inside them
+                    if (not start or text[start - 1] == " ") and text[end + 1 : end + 2] in ("", " "):
+                        exact[k] = end + 1
+                    continue
                 if start >= 0 and text.startswith(self.items[k][4], start):
                     exact[k] = start + self.items[k][1]  # hits come in the order of the text: the first is the best
                     continue
@@ -210,7 +217,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, end): every item that occurs in a document within its edit budget.
 
     One row for each pair of a document row and an item; the best occurrence, of equal ones the
-    first; ``end`` counts characters of the normalised text.  Items are looked for in blocks of at most
+    first; ``end`` counts characters of the normalised text.  Items below SHORT characters match whole words without edits, those
+    below LEAST match nothing.  Items are looked for in blocks of at most
     BLOCK_CHARS characters, each block in one pass over all documents; no document text is
     shuffled.  Null or empty texts and items match nothing; a null doc_id or item_id stays null
     in the pairs; repeated document rows give repeated pairs, repeated items one pair; other columns are not read.

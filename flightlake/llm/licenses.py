@@ -129,26 +129,71 @@ class Scanner:
         self.marks = re.compile("|".join(sorted({re.escape(max(g, key=len)) for g in self.owners}, key=len, reverse=True)) or r"(?!)")
 
     def windows(self, grams: list[tuple[str, str]], k: int, around: list[int]):
-        """(dice, start, end) of every window near the marked places that is within the size bounds and reaches the threshold."""
-        from collections import Counter
-
+        """(dice, start, end): of every start near the marked places, the best window within the size bounds, if it reaches the threshold."""
         _, _, want, m, low, high = self.templates[k]
         done = 0
-        for at in around:
-            for a in range(max(done, at - high + 1, 0), at + 1):
-                have: Counter = Counter()
-                shared = 0
-                for b in range(a, min(len(grams), a + high)):
-                    g = grams[b]
-                    have[g] += 1
-                    shared += have[g] <= want.get(g, 0)
-                    n = b - a + 1
-                    if n >= low and (dice := 2 * shared / (m + n)) >= self.t:
-                        yield dice, a, b + 1
-            done = max(done, at + 1)
+        for first, last in _spans(around, high):
+            a = max(done, first)
+            yield from (self._best_long if m > LONG else self._best_short)(grams, k, a, last + 1)
+            done = last + 1
+
+    def best_from(self, grams: list[tuple[str, str]], k: int, a: int, stop: int):
+        """(dice, end) of the best window that starts at a and ends by ``stop``, the shortest of equal ones."""
+        _, _, want, m, low, high = self.templates[k]
+        have: dict[tuple[str, str], int] = {}
+        shared, best = 0, (0.0, 0)
+        for b in range(a, min(stop, a + high)):
+            g = grams[b]
+            if g in want:
+                have[g] = have.get(g, 0) + 1
+                shared += have[g] <= want[g]
+            n = b - a + 1
+            if n >= low and (dice := 2 * shared / (m + n)) > best[0]:
+                best = (dice, b + 1)
+        return best if best[0] >= self.t else None
+
+    def _best_short(self, grams, k, start, stop):
+        for a in range(start, stop):
+            if found := self.best_from(grams, k, a, len(grams)):
+                yield found[0], a, found[1]
+
+    def _best_long(self, grams, k, start, stop):
+        """The same for long templates: the counts of shared bigrams up to every end are kept, and a start that is passed lowers a span of them."""
+        import numpy as np
+
+        _, _, want, m, low, high = self.templates[k]
+        end = min(len(grams), stop - 1 + high)
+        have: dict[tuple[str, str], int] = {}
+        spots: dict[tuple[str, str], list[int]] = {}
+        shared = np.zeros(end - start, np.int64)
+        for b in range(start, end):
+            g = grams[b]
+            if g in want:
+                spots.setdefault(g, []).append(b)
+                have[g] = have.get(g, 0) + 1
+                shared[b - start] = have[g] <= want[g]
+        shared = np.cumsum(shared)
+        passed = dict.fromkeys(spots, 0)
+        sizes = m + np.arange(1, high + 1)
+        for a in range(start, stop):
+            ends = shared[a - start + low - 1 : a - start + high]
+            if len(ends):
+                # shares are compared as they are elsewhere, as quotients of the same integers
+                dice = 2 * ends / sizes[low - 1 : low - 1 + len(ends)]
+                i = int(dice.argmax())
+                if dice[i] >= self.t:
+                    yield float(dice[i]), a, a + low + i
+            g = grams[a]
+            if g in want:
+                # without this one, the next occurrence past the template's own number counts from its place on
+                at, passed[g] = passed[g] + want[g], passed[g] + 1
+                over = spots[g][at] if at < len(spots[g]) else end
+                shared[a - start : over - start] -= 1
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
         """(license, notice, dice, first word, words) of every occurrence: windows that overlap no better one."""
+        import heapq
+
         if not self.marks.search((text or "").lower()):
             return []
         ws = words(text)
@@ -160,15 +205,40 @@ class Scanner:
         hits = []
         for k, around in near.items():
             name, number = self.templates[k][:2]
-            hits += ((-dice, first, name, number, last + 1) for dice, first, last in self.windows(grams, k, around))
+            hits += ((-dice, first, name, number, last + 1, k) for dice, first, last in self.windows(grams, k, around))
         # of windows that overlap, the one with the highest coefficient stays; what it leaves free may hold others
+        heapq.heapify(hits)
         taken: list[tuple] = []
         free = bytearray(b"\1" * len(ws))
-        for hit in sorted(hits):
-            if 0 not in free[hit[1] : hit[4]]:
-                free[hit[1] : hit[4]] = bytes(hit[4] - hit[1])
-                taken.append(hit)
-        return sorted((name, number, -dice, first, last - first) for dice, first, name, number, last in taken)
+        while hits:
+            dice, first, name, number, last, k = heapq.heappop(hits)
+            stop = free.find(0, first, last)
+            if stop < 0:
+                free[first:last] = bytes(last - first)
+                taken.append((name, number, -dice, first, last - first))
+            elif stop - 1 - first >= self.templates[k][4] and (found := self.best_from(grams, k, first, stop - 1)):
+                # a start whose best window is taken in part may have a shorter one before that
+                heapq.heappush(hits, (-found[0], first, name, number, found[1] + 1, k))
+        return sorted(taken)
+
+
+#: Bigrams of a template from which on its windows are counted by spans.
+LONG = 64
+
+
+def _spans(around: list[int], high: int):
+    """(first, last) starts of windows of up to ``high`` that hold one of the sorted places."""
+    first = last = None
+    for at in around:
+        low = max(0, at - high + 1)
+        if first is None:
+            first = low
+        elif low > last + 1:
+            yield first, last
+            first = low
+        last = at
+    if first is not None:
+        yield first, last
 
 
 def scan(df: DataFrame, doc_id: str, text: str, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:

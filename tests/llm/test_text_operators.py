@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -241,6 +242,14 @@ def test_no_pair_at_the_threshold_is_missed(spark):
 # ---- decontamination -------------------------------------------------------------------------------
 
 
+def test_short_items_match_whole_words_only():
+    m = decontamination.Matcher([(1, "yes"), (2, "a"), (3, "the answer is forty two"), (4, "Is it so, yes or no?")])
+    assert not m.matches(decontamination.normalise("yesterday a yes"))
+    assert m.matches(decontamination.normalise("See: the answer is forty-two!")) == {3: (0, 27)}
+    assert not m.matches(decontamination.normalise("bathe answer is forty two")) and not m.matches(decontamination.normalise("the answer is forty twofold"))
+    assert m.matches("is it so yes or no") == {} and m.matches("is it so yes or no " * 2) == {}
+
+
 def edits(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -303,26 +312,57 @@ def test_blocks_find_the_same(spark, sf, monkeypatch):
 
 
 def dice(a, b):
-    from collections import Counter
-
     a, b = Counter(licenses.bigrams(a)), Counter(licenses.bigrams(b))
     return 2 * sum((a & b).values()) / max(1, a.total() + b.total())
 
 
-def test_licences_equal_all_windows():
-    rng, s = random.Random(9), licenses.Scanner()
-    notices = [n for x in licenses.TEMPLATES.values() for n in x]
+def all_windows(s, text):
+    """Every occurrence by brute force: all windows of all templates, the best first, those that overlap no better one."""
+    ws = licenses.words(text)
+    grams = licenses.bigrams(ws)
+    hits = []
+    for name, number, want, m, _, _ in s.templates:
+        for a in range(len(grams)):
+            for b in range(a + 1, min(len(grams), a + 2 * m + 2) + 1):
+                both = Counter(grams[a:b])
+                x = 2 * sum(min(n, want[g]) for g, n in both.items()) / (m + b - a)
+                if x >= s.t:
+                    hits.append((-x, a, name, number, b + 1))
+    out, taken = [], set()
+    for x, a, name, number, b in sorted(hits):
+        if not taken & set(range(a, b)):
+            taken |= set(range(a, b))
+            out.append((name, number, -x, a, b - a))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("long", [0, 64])
+def test_licences_equal_all_windows(long, monkeypatch):
+    """With windows counted one by one, and by spans from the first bigram on."""
+    monkeypatch.setattr(licenses, "LONG", long)
+    rng = random.Random(9)
     filler = "lorem ipsum dolor the license of a version under sit amet".split()
-    for _ in range(40):
-        parts = [rng.choice(filler) for _ in range(rng.randint(0, 12))]
-        notice = licenses.words(rng.choice(notices))[:40]
-        for _ in range(rng.randint(0, 2)):
-            notice[rng.randrange(len(notice))] = rng.choice(filler)
-        text = parts + notice + [rng.choice(filler) for _ in range(rng.randint(0, 12))]
-        best = max((dice(text[a:b], licenses.words(n)) for n in notices for a in range(len(text)) for b in range(a + 2, min(len(text), a + 2 * len(licenses.words(n)) + 2) + 1)), default=0)
-        got = s.scan(" ".join(text))
-        assert bool(got) == (best >= licenses.THRESHOLD), (text, best, got)
-        assert not got or abs(max(x[2] for x in got) - best) < 1e-12
+    for _ in range(60):
+        notices = [" ".join(rng.choice(filler) for _ in range(rng.randint(3, 14))) for _ in range(3)]
+        s = licenses.Scanner({f"L{i}": [n] for i, n in enumerate(notices)})
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            notice = rng.choice(notices).split()
+            for _ in range(rng.randint(0, 2)):
+                notice[rng.randrange(len(notice))] = rng.choice(filler)
+            text += [rng.choice(filler) for _ in range(rng.randint(0, 5))] + notice
+        assert s.scan(" ".join(text)) == all_windows(s, " ".join(text)), (notices, text)
+
+
+def test_a_full_text_is_scanned_in_linear_time():
+    import time
+
+    rng = random.Random(3)
+    full = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(5600))
+    s = licenses.Scanner({"Full": [full]})
+    began = time.perf_counter()
+    assert s.scan("before " + full + " after") == [("Full", 0, 1.0, 1, 5600)]
+    assert time.perf_counter() - began < 1.0
 
 
 def test_licence_rows(spark, odd, nothing):
