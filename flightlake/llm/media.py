@@ -74,7 +74,8 @@ def _png(b: bytes, at: int):
         if p + 12 + n > len(b):
             return None
         kind = b[p + 4 : p + 8]
-        if (kind != b"IHDR" and first) or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
+        # the header has one length, so a false one costs a few bytes and not the rest
+        if first and (kind != b"IHDR" or n != 13) or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
             return None
         first = False
         p += 12 + n
@@ -217,21 +218,43 @@ def _gzip(b: bytes, at: int, zeros: _Zeros):
     return ("application/gzip", end + 8, at, end + 8) if good else None
 
 
-def _ogg(b: bytes, at: int):
-    """Pages follow one another; the first begins a stream, and the last page of the last open stream ends the medium."""
-    p, open_streams = at, set()
-    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
-        n, kind, stream = b[p + 26], b[p + 5], b[p + 14 : p + 18]
-        stop = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if stop > len(b) or (p == at and not kind & 2):
-            return None
-        open_streams.add(stream) if kind & 2 else None
-        p = stop
-        if kind & 4:
-            open_streams.discard(stream)
-            if not open_streams:
+class _Oggs(dict):
+    """{start: end} of Ogg media, None where none begins: pages that follow one another are walked once, from the first of them that is asked for.
+
+    The first page begins a stream, and the last page of the last open stream ends the medium.
+    """
+
+    def __init__(self, b: bytes):
+        super().__init__()
+        self.b = b
+
+    def __missing__(self, at: int):
+        b, pages, p = self.b, [], at
+        while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
+            n = b[p + 26]
+            stop = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+            if stop > len(b) or not pages and not b[p + 5] & 2:
                 break
-    return ("audio/ogg", p, at, p) if p > at and not open_streams else None
+            pages.append((p, stop, b[p + 5], b[p + 14 : p + 18]))
+            p = stop
+        # from the last page back: where each stream that begins is closed together with all that begin before it is
+        last: list[int | None] = [None] * len(pages)
+        begin: list[int | None] = [None] * (len(pages) + 1)  # the first page from here on that begins a stream
+        closing: dict[bytes, int] = {}
+        for i in range(len(pages) - 1, -1, -1):
+            start, _, kind, stream = pages[i]
+            if kind & 4:
+                closing[stream] = i
+            begin[i] = i if kind & 2 else begin[i + 1]
+            if kind & 2 and (j := closing.get(stream)) is not None:
+                t = begin[i + 1]
+                while j is not None and t is not None and t <= j:
+                    inner = last[t]
+                    j = None if inner is None else max(j, inner)
+                    t = None if inner is None else begin[inner + 1]
+                last[i] = j
+            self[start] = None if last[i] is None else pages[last[i]][1]
+        return self.setdefault(at, None)
 
 
 def _crc_table(bits: int, polynomial: int) -> list[int]:
@@ -306,16 +329,17 @@ def _listed(kind: str):
     """A validator that looks a start up in a table made once for all of the bytes."""
 
     def check(b: bytes, at: int, ends: dict[int, int]):
-        return (kind, ends[at], at, ends[at]) if at in ends else None
+        end = ends[at] if at in ends or isinstance(ends, _Oggs) else None
+        return None if end is None else (kind, end, at, end)
 
     return check
 
 
 #: Formats whose end marks are searched once for all starts, so that many false starts cost no more than the bytes.
-TABLES = {"application/pdf": _pdfs, "application/zip": _zips, "application/gzip": _Zeros}
+TABLES = {"application/pdf": _pdfs, "application/zip": _zips, "application/gzip": _Zeros, "audio/ogg": _Oggs}
 VALIDATORS = {
     "riff": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _listed("application/pdf"),
-    "application/zip": _listed("application/zip"), "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac,
+    "application/zip": _listed("application/zip"), "application/gzip": _gzip, "audio/ogg": _listed("audio/ogg"), "audio/flac": _flac,
 }
 
 

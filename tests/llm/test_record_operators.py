@@ -121,6 +121,54 @@ def test_false_signatures_cost_no_more_than_their_bytes(mark):
     assert took[1] < 12 * took[0] + 0.2
 
 
+def ogg_page(kind, stream, body=b"x"):
+    return b"OggS\0" + bytes([kind]) + bytes(8) + stream.to_bytes(4, "little") + bytes(8) + b"\x01" + bytes([len(body)]) + body
+
+
+def one_ogg(b, at):
+    """The end of the medium that begins here, page by page."""
+    p, streams = at, set()
+    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
+        n, kind, stream = b[p + 26], b[p + 5], b[p + 14 : p + 18]
+        stop = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        if stop > len(b) or (p == at and not kind & 2):
+            return None
+        streams |= {stream} if kind & 2 else set()
+        p = stop
+        if kind & 4:
+            streams.discard(stream)
+            if not streams:
+                return p
+    return None
+
+
+def test_ogg_media_equal_a_walk_from_every_page():
+    rng = random.Random(12)
+    for _ in range(300):
+        b = b"".join(ogg_page(rng.choice([0, 2, 2, 4, 4, 6]), rng.randrange(3), bytes(rng.randrange(4))) + rng.choice([b""] * 9 + [b"-"]) for _ in range(rng.randrange(1, 16)))
+        b = b[: len(b) - rng.choice([0, 0, 1, 9])]
+        ends = media._Oggs(b)
+        at = b.find(b"OggS")
+        while at >= 0:
+            assert ends[at] == one_ogg(b, at), (b, at)
+            at = b.find(b"OggS", at + 1)
+
+
+@pytest.mark.parametrize(
+    "part", [ogg_page(2, 1), ogg_page(2, 1) + ogg_page(0, 1), b"\x89PNG\r\n\x1a\n" + (200_000).to_bytes(4, "big") + b"IHDR" + bytes(30), b"".join(ogg_page(2, k) for k in range(40))]
+)
+def test_chains_of_false_media_take_linear_time(part):
+    import time
+
+    s, took = media.Sniffer(), []
+    for n in (400_000, 1_600_000):
+        b = part * (n // len(part))
+        began = time.perf_counter()
+        s.carve(b)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_types_are_corrected(spark):
     rows = [(1, png(), "image/jpeg", "x"), (2, b"GIF89a is only text", "text/plain", "x"), (3, None, None, "x"), (4, png() + GIF, "image/png", "x"), (4, png() + GIF, "image/png", "x")]
     df = spark.createDataFrame(rows, "id long, content binary, declared string, type string")
