@@ -12,7 +12,7 @@ are equal in all columns are copies too.  Columns beyond those of documents are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlake.llm import _common, bpe, decontamination, simhash, toxicity
@@ -35,8 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     number = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
     stay = stay.select(number, F.col("text_hash").alias("_hash"))
     rows = keyed.select("*", number, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")).join(stay, ["_id", "_hash"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("text", "lang", "source", "n_chars"))
-    return rows.withColumn("_n", first).where("_n = 1").select(*COLUMNS)
+    # of rows that share id and text one stays: the least is taken in each task before the shuffle, so a million of them are no hot key
+    rest = [c for c in COLUMNS if c != "text"]
+    return rows.groupBy("_id", "_hash").agg(F.min(F.struct("text", *rest[1:], rest[0])).alias("x")).select(*[F.col(f"x.{c}") for c in COLUMNS])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
