@@ -1,7 +1,7 @@
 """Recursions over the rows of a key: a state is carried along its rows, which arrive in slices of bounded size.
 
 Rows are dealt by key and sorted in their partition, so a task holds one Arrow batch and one state, however many
-rows a key has.
+rows a key has (what the sort and the window keep of them spills).
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Column that numbers the rows of a key; it is there to have them in order.
+PLACE = "_place"
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
@@ -27,6 +31,7 @@ def carried(df: DataFrame, keys: list[str], order: list[str], start: Callable[[]
         for pdf in batches:
             if not len(pdf):
                 continue
+            pdf = pdf.drop(columns=PLACE)
             rows = [tuple(None if pd.isna(x) else x for x in r) for r in pdf[keys].drop_duplicates(ignore_index=True).itertuples(index=False)]
             code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(pdf)]
@@ -37,7 +42,9 @@ def carried(df: DataFrame, keys: list[str], order: list[str], start: Callable[[]
                 out.append(step(pdf.iloc[a:b]))
             yield pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # a window asks for rows dealt by the keys and sorted, and takes them as they lie where they are so already
+    ready = df.withColumn(PLACE, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ready.mapInPandas(run, schema)
 
 
 def schema_with(df: DataFrame, more: dict[str, str]) -> str:
