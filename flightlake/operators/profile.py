@@ -187,10 +187,19 @@ def apply_duplicates(catalog: DataFrame, confirmed: DataFrame) -> DataFrame:
     ).drop("d")
 
 
+def carried(catalog: DataFrame) -> DataFrame:
+    """(column_name): what goes on to the regular grid, by its role; the time and the frame are made anew there."""
+    return catalog.where(F.col("role").isin(*KEPT_ROLES) & ~F.col("column_name").isin(*METADATA)).select("column_name")
+
+
 def carried_columns(catalog: DataFrame) -> list[str]:
-    """The columns that go on to the regular grid, by their role; the time and the frame are made anew there."""
-    rows = catalog.where(F.col("role").isin(*KEPT_ROLES) & ~F.col("column_name").isin(*METADATA)).select("column_name").orderBy("column_name")
-    return [r.column_name for r in rows.collect()]  # one short row per column
+    """The names of ``carried``, to select by: one short row per column."""
+    return [r.column_name for r in carried(catalog).orderBy("column_name").collect()]
+
+
+def pruned(df: DataFrame, catalog: DataFrame, always: list[str]) -> DataFrame:
+    """``df`` with the columns ``always`` and those that the catalogue carries."""
+    return df.select(*always, *[f"`{c}`" for c in carried_columns(catalog) if c in df.columns])
 
 
 def scenario_signals(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

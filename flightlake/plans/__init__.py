@@ -1,3 +1,3 @@
 """Whole plans: importing this package registers every query of its modules."""
 
-from . import circuit, signals, telemetry  # noqa: F401
+from . import circuit, signals, telemetry, whole  # noqa: F401

@@ -151,10 +151,8 @@ def column_roles(spark, d):
 
 @query("role_pruning", f"WITH {_NAMED} SELECT name AS column_name FROM roles WHERE role <> 'excluded' AND name NOT IN ('frame', 'sim_time')")
 def role_pruning(spark, d):
-    """The columns of a frame that carries one of each, after pruning to the kept roles."""
-    cat = catalog(spark, d)
-    wide = table(spark, d, "part").select(*[F.lit(0.0).alias(n) for n in NAMES]).select(*[f"`{c}`" for c in profile.carried_columns(cat)])
-    return spark.createDataFrame([(c,) for c in wide.columns], "column_name string")
+    """The columns of the catalogue that are carried on."""
+    return profile.carried(catalog(spark, d))
 
 
 @query(
@@ -475,9 +473,14 @@ def landing_input(spark, d) -> DataFrame:
 
 
 COMPRESSION = {"left": 10, "right": 9, "nose": 7}
-_FLAGS = f"""{TEL}, fl AS (SELECT *, k % 10 < 5 AS l, k % 10 BETWEEN 2 AND 6 AS r, k % 7 = 0 AS n, t - lag(t) OVER (PARTITION BY user_id ORDER BY idx) AS d FROM tel),
-dt AS (SELECT user_id, quantile_cont(d, 0.5) AS dt FROM fl GROUP BY user_id),
-steps AS (SELECT user_id, greatest(1, ceil(round_even({SLOW["touchdown_s"]}::DOUBLE / dt, 6))) AS nt, greatest(1, ceil(round_even({SLOW["rollout_s"]}::DOUBLE / dt, 6))) AS nr FROM dt),
+_WHEELS = "k % 10 < 5 AS l, k % 10 BETWEEN 2 AND 6 AS r, k % 7 = 0 AS n"
+
+
+def landing_flags(tel: str, cfg: dict = SLOW, wheels: str = _WHEELS) -> str:
+    """CTEs of runs of contact, by numbers of samples, of the rows ``tel`` (user_id, idx, t, ...)."""
+    return f"""{tel}, fl AS (SELECT *, {wheels}, t - lag(t) OVER (PARTITION BY user_id ORDER BY idx) AS d FROM tel),
+dt AS (SELECT user_id, coalesce(quantile_cont(d, 0.5), 0.1) AS dt FROM fl GROUP BY user_id),
+steps AS (SELECT user_id, greatest(1, ceil(round_even({cfg["touchdown_s"]}::DOUBLE / dt, 6))) AS nt, greatest(1, ceil(round_even({cfg["rollout_s"]}::DOUBLE / dt, 6))) AS nr FROM dt),
 bi AS (SELECT user_id, min(idx) AS s, count(*) AS c FROM (SELECT user_id, idx, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM fl WHERE l AND r) GROUP BY user_id, g),
 td AS (SELECT user_id, min(s) AS td FROM bi JOIN steps USING (user_id) WHERE c >= nt GROUP BY user_id),
 ai AS (SELECT user_id, min(idx) AS s, max(idx) AS e, count(*) AS c FROM (SELECT user_id, idx, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM fl JOIN td USING (user_id) WHERE (l OR r OR n) AND idx >= td) GROUP BY user_id, g),
@@ -485,6 +488,9 @@ ro AS (SELECT user_id, min(s) AS ro, arg_min(e, s) AS re FROM ai JOIN steps USIN
 ca AS (SELECT user_id, min(idx) AS ca FROM fl WHERE l OR r GROUP BY user_id)"""
 
 
+_FLAGS = landing_flags(TEL)
+
+
 @query("landing_touchdown_rollout", f"WITH {_FLAGS} SELECT u.user_id, coalesce(ca, -1)::BIGINT AS candidate_idx, coalesce(td, -1)::BIGINT AS touchdown_idx, coalesce(ro, -1)::BIGINT AS rollout_idx FROM (SELECT DISTINCT user_id FROM tel) u LEFT JOIN ca USING (user_id) LEFT JOIN td USING (user_id) LEFT JOIN ro USING (user_id)")
 def landing_touchdown_rollout(spark, d):
     rows = phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW)
@@ -492,9 +498,11 @@ def landing_touchdown_rollout(spark, d):
 
 
 # the end of a rollout depends on runs that exclude one another: the recursion walks row by row
-_WALK = f"""WITH RECURSIVE {_FLAGS},
-lim AS (SELECT user_id, greatest(1, ceil(round_even({SLOW["complete_s"]}::DOUBLE / dt, 6))) AS nc, greatest(1, ceil(round_even({SLOW["liftoff_s"]}::DOUBLE / dt, 6))) AS nl FROM dt),
-x AS (SELECT f.user_id, f.idx, f.k::DOUBLE AS agl, value AS gs, value / 100.0 AS thr, value < {SLOW["complete_kt"]} AS slow, NOT (l OR r OR n) AS air, nc, nl FROM fl f JOIN ro USING (user_id) JOIN lim USING (user_id) WHERE f.idx >= ro),
+def landing_walk(flags: str, cfg: dict = SLOW, agl: str = "f.k::DOUBLE", gs: str = "value", thr: str = "value / 100.0") -> str:
+    """A query's beginning up to the end of each rollout, told row by row."""
+    return f"""WITH RECURSIVE {flags},
+lim AS (SELECT user_id, greatest(1, ceil(round_even({cfg["complete_s"]}::DOUBLE / dt, 6))) AS nc, greatest(1, ceil(round_even({cfg["liftoff_s"]}::DOUBLE / dt, 6))) AS nl FROM dt),
+x AS (SELECT f.user_id, f.idx, {agl} AS agl, {gs} AS gs, {thr} AS thr, {gs} < {cfg["complete_kt"]} AS slow, NOT (l OR r OR n) AS air, nc, nl FROM fl f JOIN ro USING (user_id) JOIN lim USING (user_id) WHERE f.idx >= ro),
 lastrow AS (SELECT user_id, max(idx) AS z FROM x GROUP BY user_id),
 w AS (SELECT x.user_id, idx, CASE WHEN slow THEN 's' WHEN air THEN 'a' ELSE '' END AS m, idx AS f0, 1 AS c, gs AS g0, agl AS a0, gs AS g1, agl AS a1, thr AS t1, nc, nl, NULL::BIGINT AS done, '' AS why FROM x JOIN ro ON x.user_id = ro.user_id AND x.idx = ro.ro
   UNION ALL
@@ -509,6 +517,9 @@ e AS (SELECT user_id, CASE WHEN why <> '' THEN done WHEN m = 's' AND c >= nc THE
 """
 
 
+_WALK = landing_walk(_FLAGS)
+
+
 @query("landing_complete", f"{_WALK} SELECT user_id, done::BIGINT AS complete_idx, why AS complete_reason FROM e")
 def landing_complete(spark, d):
     rows = phases.landing_rows(landing_input(spark, d), ["user_id"], cfg=SLOW)

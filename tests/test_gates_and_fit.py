@@ -144,3 +144,11 @@ def test_signatures_that_clash_are_not_duplicates(spark):
     got = profile.confirmed_duplicates(df, list("abcd"), [("a", "b"), ("a", "c"), ("a", "d")]).collect()
     assert [tuple(r) for r in got] == [("a", "b")]
     assert profile.confirmed_duplicates(df, list("abcd"), [("c", "d")]).count() == 0
+
+
+def test_pruning_keeps_what_the_catalogue_carries(spark):
+    roles = [("a", "neural_input"), ("b", "excluded"), ("c", "label"), ("d", "qa_only"), ("frame", "metadata"), ("sim_time", "metadata"), ("gone", "label")]
+    catalog = spark.createDataFrame(roles, "column_name string, role string")
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0, 5.0, 6.0)], "frame long, sim_time double, a double, b double, c double, d double")
+    kept = set(profile.pruned(df, catalog, ["sim_time"]).columns)
+    assert {"sim_time", "a", "c"} <= kept and not {"frame", "b", "gone"} & kept
