@@ -20,7 +20,8 @@ def measures(true: str, pred: str, low: float, high: float) -> list[Column]:
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.when(total >= 1e-12, 1 - F.sum(e * e) / total).alias("r2"),
-        F.when(~flat, F.corr(t, p)).alias("pearson_r"),
+        # corr() itself is an error for a constant side, whatever stands around it
+        F.when(~flat, F.covar_pop(t, p) / F.nullif(F.stddev_pop(t) * F.stddev_pop(p), F.lit(0.0))).alias("pearson_r"),
         F.max(F.abs(e)).alias("max_abs_error"),
         F.avg(((p < low) | (p > high)).cast("double")).alias("saturation_rate_after_clip"),
         F.avg(F.pow(clip(p, low, high) - t, F.lit(2.0))).alias("mse_after_saturation"),
@@ -99,17 +100,32 @@ def by_groupings(df: DataFrame, always: list[str], groups: list[str], true: str,
 
     Every row counts in each grouping; sums are taken before the shuffle.
     """
+    return regression(_in_groupings(df, always, groups, [true, pred]), [*always, "grouping", "group"], true, pred, low, high)
+
+
+def _in_groupings(df: DataFrame, always: list[str], groups: list[str], columns: list[str]) -> DataFrame:
+    """Every row once for each grouping, with (grouping, group)."""
     marks = F.array(
         F.struct(F.lit("global").alias("grouping"), F.lit("all").alias("group")),
         *[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("group")) for g in groups],
     )
-    rows = df.select(*always, true, pred, F.explode(marks).alias("_g")).select(*always, true, pred, "_g.*")
-    return regression(rows, [*always, "grouping", "group"], true, pred, low, high)
+    return df.select(*always, *columns, F.explode(marks).alias("_g")).select(*always, *columns, "_g.*")
+
+
+def report(df: DataFrame, always: list[str], groups: list[str], episode: str, order: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:
+    """``by_groupings`` with command_rate_mae: steps are taken inside a group and episode, so rows that a group leaves out lie between none.
+
+    groups may name the episode itself.  order: the time, then what tells rows of equal time apart.
+    """
+    by = [*always, "grouping", "group"]
+    rows = df.withColumn("_episode", F.col(episode))
+    rates = command_rate_mae(_in_groupings(rows, always, groups, ["_episode", *order, true, pred]), by, ["_episode"], order, true, pred)
+    return _same(by_groupings(df, always, groups, true, pred, low, high), rates, by, "left")
 
 
-def command_rate_mae(df: DataFrame, groups: list[str], episode: list[str], time: str, true: str, pred: str) -> DataFrame:
+def command_rate_mae(df: DataFrame, groups: list[str], episode: list[str], time: str | list[str], true: str, pred: str) -> DataFrame:
     """Mean difference between the steps of target and prediction, per group; steps are taken inside a group and episode."""
-    w = Window.partitionBy(*groups, *[e for e in episode if e not in groups]).orderBy(time)
+    w = Window.partitionBy(*groups, *[e for e in episode if e not in groups]).orderBy(*([time] if isinstance(time, str) else time))
     step = (F.col(true) - F.lag(true).over(w)) - (F.col(pred) - F.lag(pred).over(w))
     return df.select(*groups, F.abs(step).alias("_e")).groupBy(*groups).agg(F.avg("_e").alias("command_rate_mae"))
 

@@ -791,6 +791,20 @@ def metrics_by_group(spark, d):
     return _rounded(m, ["fold", "grouping", "group"])
 
 
+@query(
+    "metrics_report",
+    f"""WITH {_PRED}, m AS (SELECT fold, CASE WHEN grouping(phase) = 0 THEN 'phase' WHEN grouping(scenario) = 0 THEN 'scenario' WHEN grouping(episode) = 0 THEN 'episode' ELSE 'global' END AS "grouping",
+  CASE WHEN grouping(phase) = 0 THEN phase WHEN grouping(scenario) = 0 THEN scenario WHEN grouping(episode) = 0 THEN episode::VARCHAR ELSE 'all' END AS "group", {_MEASURES} FROM pr GROUP BY GROUPING SETS ((fold), (fold, phase), (fold, scenario), (fold, episode))),
+g AS (SELECT fold, unnest(['global', 'phase', 'scenario', 'episode']) AS "grouping", unnest(['all', phase, scenario, episode::VARCHAR]) AS "group", episode, time, y, p FROM pr),
+s AS (SELECT fold, "grouping", "group", abs((y - lag(y) OVER w) - (p - lag(p) OVER w)) AS e FROM g WINDOW w AS (PARTITION BY fold, "grouping", "group", episode ORDER BY time)),
+r AS (SELECT fold, "grouping", "group", round(avg(e), 6) AS command_rate_mae FROM s GROUP BY ALL) SELECT m.*, command_rate_mae FROM m LEFT JOIN r USING (fold, "grouping", "group")""",
+)
+def metrics_report(spark, d):
+    """The measures and the command rate's error over everything, by phase, by scenario and by episode, in each fold."""
+    m = metrics.report(predictions(spark, d), ["fold"], ["phase", "scenario", "episode"], "episode", ["time"], "y", "p", 0.1, 0.9)
+    return _rounded(m, ["fold", "grouping", "group"])
+
+
 @query(
     "command_rate_mae",
     f"""WITH {_PRED}, s AS (SELECT phase, abs((y - lag(y) OVER w) - (p - lag(p) OVER w)) AS e FROM pr WINDOW w AS (PARTITION BY phase, episode ORDER BY time)) SELECT phase, round(avg(e), 6) AS command_rate_mae FROM s GROUP BY phase""",

@@ -10,7 +10,7 @@ NAMES = """
     control_range_audit cv_summary dedup_keep_first dialect_detect duplicate_catalogue duplicate_columns elevator_split envelope_abort episode_slice epochs_to_train
     feature_table file_hash_manifest final_approach first_crossing first_sustained_run_count first_sustained_run_time flight_manager_batch gate_counts grid_summary
     heading_error_wrap holdout_pick islands lag_duplicate_verify landing_bounces landing_checks landing_complete landing_phases landing_review_flags
-    landing_touchdown_rollout landing_transitions latest_only longest_run loso_folds lower_bound_lookup lowpass_fir lowpass_heading metric_flatten metrics_by_group
+    landing_touchdown_rollout landing_transitions latest_only longest_run loso_folds lower_bound_lookup lowpass_fir lowpass_heading metric_flatten metrics_by_group metrics_report
     mlp_forward model_fit most_frequent phase_painting phase_spans predicate_ffill rate_limiter regression_metrics report_join residual_histogram role_pruning
     rolling_std_stable runway_geometry saturation_counter scaler_apply scaler_fit scenario_of_name scenario_signals semi_anti_union set_operations signal_decimation
     telemetry_decode telemetry_error_counts telemetry_rejects timing_audit transient_diagnostics value_counts variant_masks
