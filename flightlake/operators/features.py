@@ -9,7 +9,7 @@ from ..functions.geometry import FPM_PER_FPS, Runway, runway_features
 from ..schema import FINAL_APPROACH, LATERAL_FEATURES, LONGITUDINAL_FEATURES, MANEUVERING, TRANSIENT
 from .ordered import hold_where, rolling_std
 from .phases import paint, variant_masks
-from .runs import first_run_by_time, islands, numbered
+from .runs import first_run_by_time, islands, numbered, with_first_lasting
 
 META = ["episode_id", "session_id", "source_file", "scenario_id", "runway_id", "sim_time"]
 # Columns that only change their name.
@@ -92,12 +92,26 @@ def transients(df: DataFrame, keys: list[str], order: list[str], rate_hz: float,
     return got.withColumn("reason", why)
 
 
-def _first_lasting(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, condition, least_s: float) -> DataFrame:
-    """(keys, idx, t): where the first run begins that lasts, among rows low..high."""
+def _established(cfg: dict):
+    ok = (F.abs("heading_error_deg") <= cfg["heading_deg"]) & (F.abs("cross_track_error_m") <= cfg["cross_m"]) & (F.col("along_track_m") <= cfg["along_m"])
+    return ok & (F.col("vertical_speed_fps") * FPM_PER_FPS <= cfg["sink_fpm"])
+
+
+def _prepares(cfg: dict):
+    return (F.abs("heading_error_deg") <= cfg["heading_deg"]) & ((F.col("vertical_speed_fps") < cfg["sink_fps"]) | (F.col("flaps") > F.col("_low.flaps") + cfg["flaps_more"]))
+
+
+def _searched(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, found: dict) -> DataFrame:
+    """Rows with idx, t, _low (flaps and t of row ``low``), and for each name: (condition, seconds) where its first run begins that lasts among rows low..high."""
     d = numbered(df.withColumn("t", F.col(order[0])), keys, *order)
-    flag = condition(d.withColumn("_low", F.max(F.when(F.col("idx") == F.col(low), F.struct("flaps"))).over(Window.partitionBy(*keys))))
-    inside = flag.where(F.col("idx").between(F.col(low), F.col(high)))
-    return first_run_by_time(islands(inside, keys, "t", F.col("_ok")), keys, least_s).select(*keys, F.col("start_idx").alias("idx"), F.col("start_t").alias("t"))
+    d = d.withColumn("_low", F.max(F.when(F.col("idx") == F.col(low), F.struct("flaps", "t"))).over(Window.partitionBy(*keys)))
+    inside = F.col("idx").between(F.col(low), F.col(high))
+    d = d.withColumns({f"_ok_{n}": F.coalesce(inside & ok, F.lit(False)) for n, (ok, _) in found.items()})
+    return with_first_lasting(d, keys, {n: (f"_ok_{n}", s) for n, (_, s) in found.items()})
+
+
+def _one(d: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return d.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min(name).alias("x")).select(*keys, "x.idx", "x.t")
 
 
 def final_approach(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, cfg: dict = FINAL_APPROACH) -> DataFrame:
@@ -105,34 +119,21 @@ def final_approach(df: DataFrame, keys: list[str], order: list[str], low: str, h
 
     df: keys, order (the time first), heading_error_deg, cross_track_error_m, along_track_m, vertical_speed_fps, flaps.
     """
-
-    def condition(d: DataFrame) -> DataFrame:
-        ok = (F.abs("heading_error_deg") <= cfg["heading_deg"]) & (F.abs("cross_track_error_m") <= cfg["cross_m"]) & (F.col("along_track_m") <= cfg["along_m"])
-        return d.withColumn("_ok", F.coalesce(ok & (F.col("vertical_speed_fps") * FPM_PER_FPS <= cfg["sink_fpm"]), F.lit(False)))
-
-    return _first_lasting(df, keys, order, low, high, condition, cfg["least_s"])
+    return _one(_searched(df, keys, order, low, high, {"_fa": (_established(cfg), cfg["least_s"])}), keys, "_fa")
 
 
 def approach_maneuvering(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, cfg: dict = MANEUVERING) -> DataFrame:
     """(keys, idx, t): where the preparation of the approach begins: turned to the runway, and sinking or with more flaps than on row ``low``."""
-
-    def condition(d: DataFrame) -> DataFrame:
-        ok = (F.abs("heading_error_deg") <= cfg["heading_deg"]) & ((F.col("vertical_speed_fps") < cfg["sink_fps"]) | (F.col("flaps") > F.col("_low.flaps") + cfg["flaps_more"]))
-        return d.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-
-    return _first_lasting(df, keys, order, low, high, condition, cfg["least_s"])
+    return _one(_searched(df, keys, order, low, high, {"_am": (_prepares(cfg), cfg["least_s"])}), keys, "_am")
 
 
 def approach_starts(df: DataFrame, keys: list[str], order: list[str], low: str, high: str, preparing: dict = MANEUVERING, established: dict = FINAL_APPROACH) -> DataFrame:
-    """(keys, approach_maneuvering_s, final_approach_established_s, ..._detection): both starts with the published fallbacks.
+    """(keys, approach_maneuvering_s, final_approach_established_s, ..._detection): both starts with the published fallbacks, in one pass.
 
     Without a detected preparation it begins on row ``low``; without a detected final approach that begins with the preparation.
     """
-    both = [f(df, keys, order, low, high, cfg).select(*keys, F.col("t").alias(n)) for f, cfg, n in ((approach_maneuvering, preparing, "_am"), (final_approach, established, "_fa"))]
-    d = numbered(df.withColumn("t", F.col(order[0])), keys, *order)
-    base = d.groupBy(*keys).agg(F.max(F.when(F.col("idx") == F.col(low), F.col("t"))).alias("_low"))
-    for b in both:
-        base = base.join(b, keys, "left")
+    d = _searched(df, keys, order, low, high, {"_am": (_prepares(preparing), preparing["least_s"]), "_fa": (_established(established), established["least_s"])})
+    base = d.groupBy(*keys).agg(F.max("_low.t").alias("_low"), F.min("_am.t").alias("_am"), F.min("_fa.t").alias("_fa"))
     am = F.coalesce("_am", "_low")
     how = lambda c, other: F.when(F.col(c).isNotNull(), "auto_detected").otherwise(f"not_detected_automatically_defaulted_to_{other}_REVIEW_NEEDED")
     return base.select(

@@ -65,3 +65,16 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], flag: Column
     marked = mark_runs(df, keys, order, flag, "_r")
     w = Window.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn(name, F.when(F.col("_r").isNull(), F.lit(0)).otherwise(F.count("*").over(w)).cast("long")).drop("_r")
+
+
+def with_first_lasting(df: DataFrame, keys: list[str], flags: dict[str, tuple[str, float]]) -> DataFrame:
+    """Adds, for each name: (flag, seconds), where the key's first run of rows with the flag begins that lasts, as a struct (idx, t), on every row.
+
+    df has keys, idx and t.  All flags share one window, so any number of them costs one sort.
+    """
+    w, whole = Window.partitionBy(*keys).orderBy("idx"), Window.partitionBy(*keys)
+    so_far, here = w.rowsBetween(Window.unboundedPreceding, 0), F.struct("idx", "t")
+    d = df.withColumns({f"_from_{n}": F.when(F.col(f) & ~F.coalesce(F.lag(f).over(w), F.lit(False)), here) for n, (f, _) in flags.items()} | {f"_ends_{n}": F.col(f) & ~F.coalesce(F.lead(f).over(w), F.lit(False)) for n, (f, _) in flags.items()})
+    d = d.withColumns({f"_from_{n}": F.last(f"_from_{n}", ignorenulls=True).over(so_far) for n in flags})
+    d = d.withColumns({n: F.min(F.when(F.col(f"_ends_{n}") & (F.col("t") - F.col(f"_from_{n}.t") >= s), F.col(f"_from_{n}"))).over(whole) for n, (_, s) in flags.items()})
+    return d.drop(*[f"_{x}_{n}" for x in ("from", "ends") for n in flags])

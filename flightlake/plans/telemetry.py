@@ -866,7 +866,8 @@ FILES = [x for k in sorted(text.SCENARIOS) for x in (f"/data/{k[:3]}_{k[3:6]}-{k
 @query(
     "scenario_of_name",
     f"""WITH f AS (SELECT p_partkey, [{_quoted(FILES)}][(p_partkey % {len(FILES)})::INTEGER + 1] AS path FROM part), n AS (SELECT p_partkey, regexp_replace(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')), '[_\\- ]', '', 'g') AS name FROM f)
-SELECT p_partkey, name, coalesce(m.scenario, 'unknown') AS scenario FROM n LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in text.SCENARIOS.items())}) m(key, scenario) ON m.key = n.name""",
+SELECT p_partkey, name, CASE WHEN name = 'circuitocompleto' THEN 'circuit' WHEN name LIKE 'turbulencia0_' THEN 'turbulence_' || right(name, 2) WHEN name LIKE '%16nos' THEN 'wind_16kt' WHEN name LIKE '%8nos' THEN 'wind_8kt'
+  WHEN name LIKE '%rajada' THEN 'gust' WHEN name LIKE '%rajadavindodadireita' THEN 'gust_direction_variant' WHEN name LIKE 'voonormal_' OR name = 'voocondicoesnormais' THEN 'normal' ELSE 'unknown' END AS scenario FROM n""",
 )
 def scenario_of_name(spark, d):
     path = F.get(F.array(*map(F.lit, FILES)), F.pmod("p_partkey", F.lit(len(FILES))).cast("int"))

@@ -152,3 +152,19 @@ def test_pruning_keeps_what_the_catalogue_carries(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, 4.0, 5.0, 6.0)], "frame long, sim_time double, a double, b double, c double, d double")
     kept = set(profile.pruned(df, catalog, ["sim_time"]).columns)
     assert {"sim_time", "a", "c"} <= kept and not {"frame", "b", "gone"} & kept
+
+
+def test_roles_and_units_as_published(spark):
+    """Written out by hand, so that a changed constant shows."""
+    want = {
+        "sim_time": ("metadata", "s"), "frame": ("metadata", "count"), "/controls[0]/flight[0]/aileron[0]": ("label", ""), "/controls[0]/engines[0]/engine[0]/throttle[0]": ("label", ""),
+        "/controls[0]/flight[0]/elevator-trim[0]": ("derived_feature_source", ""), "/position[0]/latitude-deg[0]": ("derived_feature_source", "deg"), "/gear[0]/gear[1]/wow[0]": ("flight_manager_only", ""),
+        "/gear[0]/gear[2]/compression-norm[0]": ("flight_manager_only", "norm[0..1 or -1..1]"), "/gear[0]/gear[0]/rollspeed-ms[0]": ("flight_manager_only", "m/s"), "/velocities[0]/groundspeed-kt[0]": ("flight_manager_only", "kt"),
+        "/environment[0]/wind-speed-kt[0]": ("qa_only", "kt"), "/position[0]/altitude-agl-m[0]": ("qa_only", "m"), "/surface-positions[0]/rudder-pos-norm[0]": ("qa_only", "norm[0..1 or -1..1]"),
+        "/position[0]/altitude-agl-ft[0]": ("neural_input", "ft"), "/orientation[0]/roll-rate-degps[0]": ("neural_input", "deg/s"), "/orientation[0]/side-slip-rad[0]": ("neural_input", "rad"),
+        "/velocities[0]/vertical-speed-fps[0]": ("neural_input", "ft/s"), "/controls[0]/flight[0]/flaps[0]": ("neural_input", ""), "/gear[0]/gear[1]/steering-norm[0]": ("excluded", "norm[0..1 or -1..1]"), "/gear[0]/wheel-m[0]": ("excluded", ""),
+        "/engines[0]/engine[0]/rpm[0]": ("excluded", ""),
+    }
+    rows = profile.assign_roles(spark.createDataFrame([(n, False) for n in want], "column_name string, is_constant boolean")).collect()
+    assert {r.column_name: (r.role, r.unit) for r in rows} == want
+    assert {r.exclusion_reason for r in rows if r.column_name.endswith(("steering-norm[0]", "rpm[0]"))} == {"forbidden_input_family_section10"}
