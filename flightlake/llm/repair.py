@@ -146,7 +146,7 @@ def audits(messages: DataFrame) -> DataFrame:
         F.coalesce(~F.substring(kept, -1, 1).isin(".", "!", "?"), F.lit(False)).alias("cut"),
     )
     again = F.row_number().over(Window.partitionBy("conv_id", "digest").orderBy(F.col("turn").asc_nulls_first())) > 1
-    facts = facts.repartition("conv_id").withColumn("again", again).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "digest")
+    facts = facts.repartition("conv_id").withColumn("again", again).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "digest", "again")
     names = [c.split()[0] for c in AUDIT.split(", ")]
     kinds = [pa.string() if c.endswith("string") else pa.int64() for c in AUDIT.split(", ")]
 
@@ -311,12 +311,12 @@ WITH RECURSIVE crc_table AS (
   FROM hashed JOIN ids ON hashed.conv_id IS NOT DISTINCT FROM ids.conv_id
 ), told AS (
   SELECT c, turn, role, text, left(role, 1) AS initial, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS trimmed,
-    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS n,
-    row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS n FROM damaged
+), seen AS (SELECT *, n > min(n) OVER (PARTITION BY c, role, text) AS again FROM told
 ), m AS (
   SELECT c, n, turn, role, text, initial, trimmed = '' AS blank, trimmed <> '' AND again AS duplicate, trimmed = '' OR again AS must,
     trimmed <> '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') AS cut, CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS k,
-    lag(initial) OVER (PARTITION BY c ORDER BY n) AS before FROM told
+    lag(initial) OVER (PARTITION BY c ORDER BY n) AS before FROM seen
 ), counts AS (
   SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
     count(*) FILTER (cut) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY c

@@ -157,6 +157,14 @@ def test_repeated_rows_and_tables_without_rows(spark, tmp_path):
     assert of(spark, [], tmp_path).count() == 0
 
 
+def test_the_first_of_equal_messages_stays(spark):
+    """Many messages repeated in the same turn: the later copy is the duplicate, whatever order the rows come in."""
+    rows = [(c, t, role, f"{t} {role} {c}.") for c in range(80) for t, role in enumerate(["user", "assistant"] * 3) for _ in range(3)]
+    random.Random(5).shuffle(rows)
+    found, _ = repair.repair(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(7))
+    assert {(r.audit, r.cost, r.duplicate) for r in found.collect()} == {("KDD" * 6, 48, 12)}
+
+
 def test_one_conversation_over_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
