@@ -16,7 +16,7 @@ _STEP = lambda x, c: f"{_B[0]!r} * {x} + {_B[1]!r} * f.x1{c} + {_B[2]!r} * f.x2{
     f"""WITH RECURSIVE {TEL}, h AS (SELECT user_id, idx, event_id, sin(radians(k * 3.6)) AS s, cos(radians(k * 3.6)) AS c FROM tel),
 f AS (SELECT user_id, idx, event_id, s AS x1s, 0::DOUBLE AS x2s, {_B[0]!r} * s AS y1s, 0::DOUBLE AS y2s, c AS x1c, 0::DOUBLE AS x2c, {_B[0]!r} * c AS y1c, 0::DOUBLE AS y2c FROM h WHERE idx = 0
   UNION ALL SELECT h.user_id, h.idx, h.event_id, h.s, f.x1s, {_STEP("h.s", "s")}, f.y1s, h.c, f.x1c, {_STEP("h.c", "c")}, f.y1c FROM f JOIN h ON h.user_id = f.user_id AND h.idx = f.idx + 1)
-SELECT user_id, event_id, round(sqrt(y1s * y1s + y1c * y1c), 4) AS length, CASE WHEN sqrt(y1s * y1s + y1c * y1c) > 0.01 THEN round(sin(atan2(y1s, y1c)), 4) END AS sine, CASE WHEN sqrt(y1s * y1s + y1c * y1c) > 0.01 THEN round(cos(atan2(y1s, y1c)), 4) END AS cosine FROM f""",
+SELECT user_id, event_id, round(sqrt(y1s * y1s + y1c * y1c), 4) AS length, CASE WHEN sqrt(y1s * y1s + y1c * y1c) > 0.01 THEN round(sin(atan2(y1s, y1c)), 4) + 0.0 END AS sine, CASE WHEN sqrt(y1s * y1s + y1c * y1c) > 0.01 THEN round(cos(atan2(y1s, y1c)), 4) + 0.0 END AS cosine FROM f""",
 )
 def lowpass_heading(spark, d):
     """A heading filtered as a unit vector; where the filtered vector is almost gone its direction means nothing and is left out."""
@@ -24,7 +24,7 @@ def lowpass_heading(spark, d):
     e = e.withColumns({"s": F.sin(F.radians("heading")), "c": F.cos(F.radians("heading"))})
     f = resample.lowpass_many(_at_60_hz(e), ["user_id"], ["at", "event_id"], ["heading", "s", "c"], 4.0, angles=["heading"])
     length = F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c"))
-    told = lambda x: F.when(length > 0.01, r6(x, 4))
+    told = lambda x: F.when(length > 0.01, r6(x, 4) + F.lit(0.0))
     return f.select("user_id", "event_id", r6(length, 4).alias("length"), told(F.sin(F.radians("heading"))).alias("sine"), told(F.cos(F.radians("heading"))).alias("cosine"))
 
 

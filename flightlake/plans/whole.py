@@ -10,14 +10,14 @@ from ..schema import CORE_PHASES, FULL_APPROACH_PHASES, LANDING, LATERAL_FEATURE
 from . import batch
 from .telemetry import _LABELS, TEL, indexed, landing_flags, landing_walk, query
 
-#: Every signal of the plan from k and value of a row, as an expression that Spark and DuckDB read alike.
+#: Every signal of the plan from k and value of a row, as an expression that Spark and DuckDB read alike (literals with an exponent are doubles in both).
 SIGNALS = {
-    "lat_deg": "63.96 + k / 10000.0", "lon_deg": "-22.6 + value / 5000.0", "alt_msl_ft": "200.0 + value * 3.0", "alt_agl_ft": "k * 1.0 + 5.0", "heading_deg": "k * 3.6", "roll_deg": "(k - 50) / 10.0",
-    "pitch_deg": "value / 20.0", "alpha_deg": "k / 29.0", "sideslip_rad": "value / 977.0", "roll_rate_degps": "k / 100.0", "pitch_rate_degps": "value / 100.0", "yaw_rate_degps": "(k - value) / 100.0",
-    "airspeed_kt": "40.0 + value / 2.0", "vertical_speed_fps": "(k - 50) / 4.0", "vbody_fps": "k / 20.0", "groundspeed_kt": "value * 1.0", "aileron_cmd": "(k - 50) / 40.0", "elevator_cmd": "(value - 50) / 37.0",
-    "rudder_cmd": "(k - value) / 59.0", "elevator_trim": "k / 400.0", "throttle0": "value / 77.0",
+    "lat_deg": "63.96e0 + k / 10000.0e0", "lon_deg": "-22.6e0 + value / 5000.0e0", "alt_msl_ft": "200.0e0 + value * 3.0e0", "alt_agl_ft": "k * 1.0e0 + 5.0e0", "heading_deg": "k * 3.6e0", "roll_deg": "(k - 50) / 10.0e0",
+    "pitch_deg": "value / 20.0e0", "alpha_deg": "k / 29.0e0", "sideslip_rad": "value / 977.0e0", "roll_rate_degps": "k / 100.0e0", "pitch_rate_degps": "value / 100.0e0", "yaw_rate_degps": "(k - value) / 100.0e0",
+    "airspeed_kt": "40.0e0 + value / 2.0e0", "vertical_speed_fps": "(k - 50) / 4.0e0", "vbody_fps": "k / 20.0e0", "groundspeed_kt": "value * 1.0e0", "aileron_cmd": "(k - 50) / 40.0e0", "elevator_cmd": "(value - 50) / 37.0e0",
+    "rudder_cmd": "(k - value) / 59.0e0", "elevator_trim": "k / 400.0e0", "throttle0": "value / 77.0e0",
 }
-HELD = {"wow_nose": "CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END", "wow_left": "CASE WHEN k % 10 < 5 THEN 1 ELSE 0 END", "wow_right": "CASE WHEN k % 10 BETWEEN 2 AND 6 THEN 1 ELSE 0 END", "flaps_cmd": "floor(k / 25.0) / 5.0"}
+HELD = {"wow_nose": "CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END", "wow_left": "CASE WHEN k % 10 < 5 THEN 1 ELSE 0 END", "wow_right": "CASE WHEN k % 10 BETWEEN 2 AND 6 THEN 1 ELSE 0 END", "flaps_cmd": "floor(k / 25.0e0) / 5.0e0"}
 #: Digits that doubles are rounded to: metres have fewer, as degrees times their length leave a rest of 1e-9.
 DIGITS = {"along_track_m": 2, "cross_track_error_m": 2, "glideslope_error_deg": 3, "height_above_threshold_ft": 3}
 
