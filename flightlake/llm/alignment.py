@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, table
-from .bpe import byte_alphabet, read_vocabulary
+from .bpe import PATTERN, byte_alphabet, read_vocabulary
 
 #: Parts that each run's records are dealt into, by first id.
 RADIX = 64
@@ -82,7 +82,8 @@ class Pair:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         alphabet = byte_alphabet()
-        vocab = json.loads(byte_level)["model"]["vocab"]
+        model = json.loads(byte_level)["model"]
+        vocab = model["vocab"]
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for word, i in vocab.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in word) if all(c in alphabet for c in word) else word.encode()
@@ -94,12 +95,26 @@ class Pair:
         self.size_b = np.array([*map(len, self.bytes_b)], np.int64)
         # what the group texts are joined of: an id before a comma, and before the mark that ends its side of a group
         self.texts = np.array([f"{i}{m}" for m in ",|;" for i in range(1 << ID_BITS)], object)
+        self.fast = self._by_ranks(model)
         # texts may be cut at spaces only if no piece holds a space after something else and the model leaves spaces as they are
         self.cut = not any(re.search("[^▁]▁", p) for p in names) and self.b.normalize("a  b ") == "▁a▁▁b▁"
         self.memo: dict[str, tuple[bytes, bytes] | None] = {}
 
+    def _by_ranks(self, model: dict):
+        """The same vocabulary in the form of ranks, which takes less time a word, if the file's ids are in the order of its merges."""
+        import tiktoken
+
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or sorted(map(len, self.bytes_a[:256])) != [1] * 256:
+            return None
+        ranks = {x: i for i, x in enumerate(self.bytes_a[: 256 + len(merges)])}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _encode(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
-        xs = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        if self.fast:
+            xs = [self.fast.encode_ordinary(" " + w) for w in words]
+        else:
+            xs = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         ys = self.b.encode(words, num_threads=1)
         out = list(zip(_packed(xs), _packed(ys)))
         raw = "".join([" " + w for w in words]).encode()
@@ -120,9 +135,9 @@ class Pair:
         memo.update(zip(miss, self._encode(miss)))
         out = []
         for words in cuts:
-            found = [memo[w] for w in words]
-            whole = None not in found
-            out.append((b"".join([x for x, _ in found]), b"".join([y for _, y in found])) if whole else (b"", b""))
+            found = [*map(memo.__getitem__, words)]
+            xs, ys = zip(*found) if found and None not in found else ((), ())
+            out.append((b"".join(xs), b"".join(ys)))
         for w in miss:
             if len(w) > MEMO_CHARS:
                 del memo[w]
@@ -168,11 +183,13 @@ class Groups:
         self.n_b = np.array([len(y) // 4 for _, y in encoded], np.int64)
         # both sides hold the same bytes, so ends counted over all texts agree at the ends of texts too
         ends_a, ends_b = np.cumsum(pair.size_a[self.a]), np.cumsum(pair.size_b[self.b])
-        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = np.zeros(1 + (int(ends_a[-1]) if len(ends_a) else 0), np.uint8)
+        both[ends_a] = 1
+        both[ends_b] += 1
+        last_a, last_b = np.flatnonzero(both[ends_a] == 2), np.flatnonzero(both[ends_b] == 2)
         self.in_a, self.in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         self.from_a, self.from_b = last_a + 1 - self.in_a, last_b + 1 - self.in_b
-        self.doc = np.searchsorted(np.cumsum(self.n_a), last_a, side="right")
+        self.doc = np.repeat(np.arange(n), self.n_a)[last_a]
         self.n_groups = np.bincount(self.doc, minlength=n).astype(np.int64)
         self.links = self.in_a * self.in_b
         self.n_links = np.zeros(n, np.int64)
