@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch that a task works on at once: Spark sends up to 10,000, whose whole texts would stand in memory several times.
+SLICE_ROWS = 500
+
+
+def slices(batches):
+    """Arrow batches in parts of at most SLICE_ROWS rows, in order."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from any store that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

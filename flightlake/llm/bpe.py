@@ -315,6 +315,7 @@ def encode(df: DataFrame, doc_id: str, text: str, vocabulary: str, with_ids: boo
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
+        v.memo.clear()  # the worker and its vocabulary outlive the stage
 
     cols = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     return cols.mapInPandas(run, schema)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import slices, table
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
@@ -267,7 +267,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def clean(block):
         def run(batches):
             m = Matcher(block.value)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not m.matches(normalise(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return run

@@ -294,7 +294,8 @@ def shingle_sets(docs: DataFrame, shingle: int, least: float, last) -> DataFrame
                     order, cold = h[by], int(n - (hit & very[at]).sum())
                 k = n - math.ceil(least * n - 1e-9) + 1 if n else 0
                 first = order[:k].view(np.int64)
-                rows.append((*d.tolist(), n, _votes(h, 1)[0], small.tobytes(), whole.tobytes() if bits > SKETCH else None, first, min(cold, k)))
+                # a copy: a view would keep the whole set
+                rows.append((*d.tolist(), n, _votes(h, 1)[0], small.tobytes(), whole.tobytes() if bits > SKETCH else None, first.copy(), min(cold, k)))
             out = pd.DataFrame(rows, columns=["d0", "d1", "n", "f", "small", "sketch", "prefix", "cold"])
             out.insert(0, "doc_id", pdf["doc_id"].array)
             out.insert(1, "text_hash", pdf["text_hash"].array)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import slices, table
 
 #: Buckets of the hashed token table: its size is fixed, whatever the corpus holds.
 BUCKETS = 1 << 19
@@ -166,6 +166,8 @@ def _counts(labelled: DataFrame) -> DataFrame:
                 at: set[int] = set()
                 for w in set(TOKEN.findall((text or "").lower())):
                     if w not in memo:
+                        if len(memo) >= _MEMO:
+                            memo.clear()
                         memo[w] = _chain(w)
                     at.update(memo[w])
                 sums[0 if toxic else 1, list(at)] += 1
@@ -267,14 +269,16 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, with_pa
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
     carry = carry or ["doc_id"]
-    rows = docs.select(*carry, docs["text"].alias("_text"))
+    # a text that is carried anyway is not sent twice
+    text = "text" if "text" in carry else "_text"
+    rows = docs.select(*carry) if text == "text" else docs.select(*carry, docs["text"].alias(text))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry) + ", score double"
     schema += f", passages {PASSAGES}" if with_passages else ""
 
     def run(batches):
         m = sent.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             columns = [batch.column(c) for c in carry] + [pa.array([m.score(t) for t in texts], pa.float64())]
             names = [*carry, "score"]
             if with_passages:

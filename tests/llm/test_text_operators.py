@@ -510,3 +510,24 @@ def test_toxicity_edge_cases(spark, odd, nothing):
     assert got.count() == len(EDGE) and got.where(F.col("score").between(0, 1)).count() == len(EDGE)
     assert toxicity.score(nothing, model).count() == 0
     assert toxicity.score(odd, toxicity.fit(odd, labels, "true")).count() == len(EDGE)
+
+
+def test_stages_send_each_text_once_in_small_batches(spark):
+    """What a task holds of its texts at once: one column of them, worked on in parts, with the rows and their order unchanged."""
+    import pyarrow as pa
+
+    from flightlake.llm import _common
+
+    rows = [(i, f"word{i} some text " * (i % 7), "en", "web", i) for i in range(3 * _common.SLICE_ROWS + 1)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r[0], "text": r[1]} for r in rows])
+    parts = list(_common.slices([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) == _common.SLICE_ROWS and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+
+    carry = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "true")
+    got = toxicity.score(docs, model, carry=carry)
+    assert [tuple(r)[:5] for r in got.collect()] == rows
+    assert [r.score for r in got.collect()] == [r.score for r in toxicity.score(docs, model).collect()] == [model.score(r[1]) for r in rows]
+    sent = got._jdf.queryExecution().optimizedPlan().children().apply(0).output()
+    assert sent.size() == len(carry)
