@@ -230,20 +230,21 @@ def simhash_groups(df: DataFrame, doc_id: str, text: str, shingle: int = 3, dist
 
 #: The form of the pipeline: pairs at a Jaccard similarity of 0.8 or more on sets of five-word shingles.
 NEAR = {"shingle": 5, "least": 0.8}
-#: Documents that the order of shingles is taken from, and shingles that it names: they set the work, never the result.
+#: Documents that the order of the commonest shingles is taken from, and shingles that it names: they set the work, never the result.
 ORDER_SAMPLE, ORDER_NAMED = 10_000, 1 << 17
+#: Shingles of all documents are counted by the upper PART_BITS + 10 + 16 bits of their hashes, in a part for each value of the first; a task
+#: hands on COUNTED members at a time.  What is in more than SMALL documents is marked in a table of PART_BITS + 16 bits (8 MiB).
+PART_BITS, COUNTED = 10, 1 << 21
 #: Buckets of up to SMALL sets are compared by sizes and places alone, larger ones by sketches, those above BUCKET part against part.
 SMALL, BUCKET = 12, 512
 #: Bits of the least parity sketch, and bits of a sketch for each member of a set.
 SKETCH, SPREAD_BITS = 1024, 4
 
 
-def common_shingles(docs: DataFrame, shingle: int, hot: int):
-    """(sorted hashes, ranks, whether more than ``hot`` documents are likely to hold it) of the shingles that most documents of a bounded sample hold."""
+def common_shingles(docs: DataFrame, shingle: int, hot: int, share: int):
+    """(sorted hashes, ranks, whether more than ``hot`` documents are likely to hold it) of the shingles that most documents of a sample, one of ``share``, hold."""
     import numpy as np
 
-    share = max(1, docs.count() // ORDER_SAMPLE)
-
     def run(batches):
         import pandas as pd
 
@@ -258,16 +259,70 @@ def common_shingles(docs: DataFrame, shingle: int, hot: int):
     return h[order], count[order], count[order] * share > hot
 
 
-def shingle_sets(docs: DataFrame, shingle: int, least: float, last) -> DataFrame:
+def frequent_shingles(docs: DataFrame, shingle: int, above: int):
+    """A table of bits by the upper bits of a shingle's hash: 1 for every shingle that more than ``above`` of all documents hold, and for few others.
+
+    A sample does not see what a few dozen of very many documents hold.  All documents are counted here: what is
+    shuffled are sorted 36-bit hashes in two bytes each and counts of their upper bits, and each part is counted by itself.
+    """
+    import numpy as np
+
+    parts = 1 << PART_BITS
+
+    def cut(held):
+        import pandas as pd
+
+        x = np.sort(np.concatenate(held) >> np.uint64(64 - PART_BITS - 26))
+        keep = np.ones(len(x), bool)  # of equal ones no more than decide
+        keep[above + 1 :] = x[above + 1 :] != x[: -above - 1]
+        x = x[keep]
+        edges = np.searchsorted(x, np.arange(parts + 1, dtype=np.uint64) << np.uint64(26))
+        upper = np.bincount((x >> np.uint64(16)).astype(np.int64), minlength=parts << 10).astype(np.uint32).reshape(parts, -1)
+        lower = (x & np.uint64(0xFFFF)).astype(np.uint16)
+        some = np.flatnonzero(np.diff(edges))
+        blobs = [lower[a:b].tobytes() for a, b in zip(edges[some].tolist(), edges[some + 1].tolist())]
+        return pd.DataFrame({"part": some, "upper": [upper[k].tobytes() for k in some], "lower": blobs})
+
+    def deal(batches):
+        held, size = [], 0
+        for pdf in batches:
+            for t in pdf["text"]:
+                held.append(np.unique(_hashes(t, shingle)))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield cut(held)
+                    held, size = [], 0
+        if size:
+            yield cut(held)
+
+    def count(pdf):
+        import pandas as pd
+
+        upper = np.arange(1 << 10, dtype=np.uint32) << np.uint32(16)
+        x = [np.repeat(upper, np.frombuffer(a, np.uint32)) | np.frombuffer(b, np.uint16) for a, b in zip(pdf["upper"], pdf["lower"])]
+        x = np.sort(np.concatenate(x))
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[x[above:][x[above:] == x[:-above]] >> np.uint32(10)] = 1
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    dealt_out = docs.select("text").mapInPandas(deal, "part long, upper binary, lower binary")
+    bits = np.zeros((parts, 1 << 13), np.uint8)
+    for part, found in dealt_out.groupBy("part").applyInPandas(count, "part long, bits binary").collect():
+        bits[part] = np.frombuffer(found, np.uint8)
+    return bits.ravel()
+
+
+def shingle_sets(docs: DataFrame, shingle: int, least: float, last, frequent=None) -> DataFrame:
     """(doc_id, text_hash, d0, d1, n, f, small, sketch, prefix, cold) of every text's set of word shingles.
 
     d0, d1: digest; n: size; f: 64-bit SimHash of the set; sketch: bit b is the parity of the members that hash to b, of
     a power of two of bits (small: folded to SKETCH bits; sketch is null if that is all).  prefix: the first
-    n - ceil(least n) + 1 members in an order by frequency in a sample, rarest first; sets of which one holds at
+    n - ceil(least n) + 1 members in an order by frequency, rarest first: those not marked in the table ``frequent``, those
+    marked, those of ``last`` by their ranks; sets of which one holds at
     least the share ``least`` of the other's members have one of them in common.  cold: members of the prefix
     that are not known to be in very many sets.
     """
-    named, rank, hot = last
+    named, ranks, hot = last
 
     def run(batches):
         import math
@@ -275,7 +330,7 @@ def shingle_sets(docs: DataFrame, shingle: int, least: float, last) -> DataFrame
         import numpy as np
         import pandas as pd
 
-        known, place, very = np.array(named, np.uint64), np.array(rank, np.int64), np.array(hot, bool)
+        known, place, very = np.array(named, np.uint64), np.array(ranks, np.int64), np.array(hot, bool)
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
@@ -286,12 +341,16 @@ def shingle_sets(docs: DataFrame, shingle: int, least: float, last) -> DataFrame
                 odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 whole = np.packbits(odd.astype(np.uint8), bitorder="little")
                 small = _fold(whole.view(np.uint64), SKETCH // 64)
-                order, cold = h, n
+                rank, cold = np.zeros(n, np.int64), n
+                if frequent is not None:
+                    slot = (h >> np.uint64(48 - PART_BITS)).astype(np.int64)
+                    rank = (frequent[slot >> 3] >> (slot & 7)).astype(np.int64) & 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hit = known[at] == h
-                    by = np.argsort(np.where(hit, place[at], 0), kind="stable")
-                    order, cold = h[by], int(n - (hit & very[at]).sum())
+                    rank = np.where(hit, place[at], rank)
+                    cold = int(n - (hit & very[at]).sum())
+                order = h[np.argsort(rank, kind="stable")]
                 k = n - math.ceil(least * n - 1e-9) + 1 if n else 0
                 first = order[:k].view(np.int64)
                 # a copy: a view would keep the whole set
@@ -439,7 +498,9 @@ def near_duplicate_classes(df: DataFrame, doc_id: str, text: str, shingle: int,
     3. Once these are checked and joined, all pairs of a larger bucket that are still in different components.
     """
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("text_hash"), df[text].alias("text"))
-    rows = materialize(shingle_sets(docs, shingle, least, common_shingles(docs, shingle, BUCKET)), "sets")
+    share = max(1, docs.count() // ORDER_SAMPLE)
+    frequent = frequent_shingles(docs, shingle, SMALL) if share > 1 else None  # else the sample is all
+    rows = materialize(shingle_sets(docs, shingle, least, common_shingles(docs, shingle, BUCKET, share), frequent), "sets")
     # copies meet first, so each set's prefix is dealt once
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     kept = ["n", "f", "small", "sketch", "prefix", "cold"]

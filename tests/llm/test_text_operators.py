@@ -225,6 +225,43 @@ def test_families_equal_all_pairs(spark, small, bucket, monkeypatch):
     assert 6 < len(set(want.values())) < 110 and exact_groups(spark, texts) == want
 
 
+def test_frequent_shingles_are_all_marked(spark, monkeypatch):
+    """Every shingle that more than 12 documents hold, whichever tasks hold them; of the others next to none, whatever one document repeats."""
+    monkeypatch.setattr(simhash, "COUNTED", 3000)
+    rng, texts = random.Random(14), ["", None, "again " * 400]
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(40)]
+    for i in range(300):
+        mine = [lines[k] for k in range(40) if i < k]  # line k is in k documents
+        texts.append(" ".join([*mine, *(f"u{rng.randrange(10**9)}" for _ in range(60))]))
+    held = Counter(h for t in texts for h in set(simhash._hashes(t, 5).tolist()))
+    table = simhash.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 5, 12)
+    slots = {h: h >> (48 - simhash.PART_BITS) for h in held}
+    marked = {h for h, s in slots.items() if table[s >> 3] >> (s & 7) & 1}
+    often = {h for h, n in held.items() if n > 12}
+    assert len(often) > 100 and often <= marked and len(marked - often) < 0.001 * len(held)
+
+
+def test_shingles_that_a_sample_misses_come_last(spark, monkeypatch):
+    """Lines of 30 documents each, of which a sample of one document in 60 sees next to nothing, make no large buckets where texts hold enough of their own."""
+    monkeypatch.setattr(simhash, "ORDER_SAMPLE", 10)
+    real, large = simhash.bucket_pairs, []
+
+    def watched(keyed, least):
+        large.append(real(keyed, least).where("v IS NULL").count())
+        return real(keyed, least)
+
+    monkeypatch.setattr(simhash, "bucket_pairs", watched)
+    rng, texts = random.Random(15), {}
+    for i in range(600):
+        line = [f"line{i // 30}w{k}" for k in range(60)]
+        texts[i] = " ".join(line + [f"u{rng.randrange(10**9)}" for _ in range(60)])
+    for i in range(5):
+        texts[600 + i] = texts[100 * i] + f" end{i}"
+    got = exact_groups(spark, texts)
+    assert got == {**{i: i for i in range(600)}, **{600 + i: 100 * i for i in range(5)}}
+    assert large == [0]
+
+
 def test_no_pair_at_the_threshold_is_missed(spark):
     """Isolated pairs of 100 shingles a text with 0.8 to 0.85 of their union shared, each found."""
     texts = {}
