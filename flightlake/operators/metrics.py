@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guards import clip
+from ..functions.guards import clip, nan_to_null
 from .carry import settled
 
 
@@ -31,6 +31,8 @@ def measures(true: str, pred: str, low: float, high: float) -> list[Column]:
 
 #: Values of a group that one task sorts, and bins that a larger group is narrowed down by.
 MOST_SORTED, BINS = 50_000, 1024
+#: Groups whose bins are sent to every executor, so that the rows stay where they are.
+MOST_SENT = 10_000
 #: Bins of the first count in each doubling of a value.
 BINS_A_DOUBLING = 16
 
@@ -52,6 +54,11 @@ def exact_percentile(df: DataFrame, by: list[str], column: str, p: float, name:
     the smallest value past it is known from the bins.  Infinite values take their places by count.  Null and NaN values do not
     count; a group without others has a null.
     """
+    return _same(df.select(*by).distinct() if by else df.sparkSession.range(1).select(), _known_percentile(df, by, column, p, name), by, "left")
+
+
+def _known_percentile(df: DataFrame, by: list[str], column: str, p: float, name: str) -> DataFrame:
+    """``exact_percentile`` of the groups that have a value."""
     v = df.select(*by, F.col(column).cast("double").alias("_v"))
     infinite = F.abs("_v") == float("inf")
     # log2 of the smallest double is -1074: the sum is positive
@@ -64,20 +71,25 @@ def exact_percentile(df: DataFrame, by: list[str], column: str, p: float, name:
     first = first.withColumns({"_k": F.floor(place), "_share": place - F.floor(place), "_below": F.lit(0).cast("long"), "_n": n, "_after": F.lit(None).cast("double")})
     state = _bin_of_place(first.where(valid), by).transform(settled)
     wide = (F.col("_inside") > MOST_SORTED) & (F.col("_lo") < F.col("_hi"))
+    # a bounded number of rows, known as they are written: Spark takes them for as large as what they were made of
+    sent = F.broadcast if state.count() <= MOST_SENT else lambda x: x
     while state.where(wide).limit(1).count():
-        here = _same(v, state.where(wide), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        here = _same(v, sent(state.where(wide)), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         step = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / BINS)))
         cut = here.groupBy(*by, step.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), *[F.first(x).alias(x) for x in ("_k", "_share", "_below", "_after")])
         state = _bin_of_place(cut, by).unionByName(state.where(~wide)).transform(settled)
-    few = _same(v, state.where("_lo < _hi"), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    few = _same(v, sent(state.where("_lo < _hi")), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     few = few.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *[F.first(x).alias(x) for x in ("_k", "_share", "_below", "_after")])
     spot = (F.col("_k") - F.col("_below")).cast("int")
     found = few.select(*by, "_share", F.get("_vs", spot).alias("_at"), F.coalesce(F.get("_vs", spot + 1), "_after").alias("_next"))
     same = state.where("_lo = _hi").select(*by, "_share", F.col("_lo").alias("_at"), F.when(F.col("_k") + 1 < F.col("_below") + F.col("_inside"), F.col("_lo")).otherwise(F.col("_after")).alias("_next"))
-    at, after, share = F.col("_at"), F.coalesce("_next", "_at"), F.col("_share")
-    between = F.when((share == 0) | (at == after), at).when((F.abs(at) == float("inf")) | (F.abs(after) == float("inf")), at * (1 - share) + after * share).otherwise(at + (after - at) * share)
-    known = found.where("_at IS NOT NULL").unionByName(same).select(*by, between.alias(name))
-    return _same(v.select(*by).distinct() if by else df.sparkSession.range(1).select(), known, by, "left")
+    return found.where("_at IS NOT NULL").unionByName(same).select(*by, _between("_at", "_next", "_share").alias(name))
+
+
+def _between(at: str, after: str, share: str) -> Column:
+    """What lies at a share of the way from a value to the next one, which may be missing."""
+    at, after, share = F.col(at), F.coalesce(after, at), F.col(share)
+    return F.when((share == 0) | (at == after), at).when((F.abs(at) == float("inf")) | (F.abs(after) == float("inf")), at * (1 - share) + after * share).otherwise(at + (after - at) * share)
 
 
 def _bin_of_place(bins: DataFrame, by: list[str]) -> DataFrame:
@@ -91,8 +103,8 @@ def _bin_of_place(bins: DataFrame, by: list[str]) -> DataFrame:
 def regression(df: DataFrame, by: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:
     """(by, measures..., p95_abs_error) of one output per group."""
     whole = df.groupBy(*by).agg(*measures(true, pred, low, high))
-    p95 = exact_percentile(df.select(*by, F.abs(F.col(pred) - F.col(true)).alias("_e")), by, "_e", 0.95, "p95_abs_error")
-    return _same(whole, p95, by)
+    p95 = _known_percentile(df.select(*by, F.abs(F.col(pred) - F.col(true)).alias("_e")), by, "_e", 0.95, "p95_abs_error")
+    return _same(whole, p95, by, "left")
 
 
 def by_groupings(df: DataFrame, always: list[str], groups: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:
@@ -116,18 +128,62 @@ def report(df: DataFrame, always: list[str], groups: list[str], episode: str, or
     """``by_groupings`` with command_rate_mae: steps are taken inside a group and episode, so rows that a group leaves out lie between none.
 
     groups may name the episode itself.  order: the time, then what tells rows of equal time apart.
+
+    Rows are dealt once, by episode: steps lie inside one in every grouping, and what an episode has of its own comes from its rows as they
+    lie.  The other groupings' measures are sums and counts taken before the shuffle.
     """
-    by = [*always, "grouping", "group"]
-    rows = df.withColumn("_episode", F.col(episode))
-    rates = command_rate_mae(_in_groupings(rows, always, groups, ["_episode", *order, true, pred]), by, ["_episode"], order, true, pred)
-    return _same(by_groupings(df, always, groups, true, pred, low, high), rates, by, "left")
+    by, others = [*always, "grouping", "group"], [g for g in groups if g != episode]
+    rates = _rates(df, always, others, episode, order, true, pred)
+    got = _same(by_groupings(df, always, others, true, pred, low, high), rates, by, "left")
+    return got.unionByName(_by_episode(df, always, others, episode, order, true, pred, low, high)) if episode in groups else got
+
+
+def _dealt(df: DataFrame, always: list[str], groups: list[str], episode: str, order: list[str], true: str, pred: str) -> DataFrame:
+    """The columns that both parts of ``report`` deal by episode; Spark makes one exchange of equal ones only."""
+    return df.select(*dict.fromkeys([*always, episode, *groups, *order, true, pred]))
+
+
+def _rates(df: DataFrame, always: list[str], groups: list[str], episode: str, order: list[str], true: str, pred: str) -> DataFrame:
+    """(always, grouping, group, command_rate_mae) over everything and by each of ``groups``."""
+    d = _dealt(df, always, groups, episode, order, true, pred)
+    for i, g in enumerate([[], *([g] for g in groups)]):
+        # the window of the whole episode comes first: the others, with one column more, take its rows as they lie; the episode tells
+        # rows apart at the first look of a sort
+        d = d.withColumn(f"_e{i}", _step_error([episode, *always, *g], order, true, pred))
+    marks = F.array(
+        F.struct(F.lit("global").alias("grouping"), F.lit("all").alias("group"), F.col("_e0").alias("_e")),
+        *[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("group"), F.col(f"_e{i}").alias("_e")) for i, g in enumerate(groups, 1)],
+    )
+    return d.select(*always, F.explode(marks).alias("_g")).select(*always, "_g.*").groupBy(*always, "grouping", "group").agg(F.avg("_e").alias("command_rate_mae"))
+
+
+def _by_episode(df: DataFrame, always: list[str], others: list[str], episode: str, order: list[str], true: str, pred: str, low: float, high: float) -> DataFrame:
+    """The rows of ``report`` that stand for one episode each: the percentile from places in the sorted errors, so no task gathers a group."""
+    keys = [episode, *always]
+    d = _dealt(df, always, others, episode, order, true, pred)
+    d = d.withColumn("_step", _step_error(keys, order, true, pred)).withColumn("_v", nan_to_null(F.abs(F.col(pred) - F.col(true)).cast("double")))
+    sizes = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+    d = d.withColumns({"_place": F.row_number().over(sizes) - 1, "_n": F.count("_v").over(sizes.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    place = (F.col("_n") - 1) * F.lit(0.95)
+    d = d.withColumns({"_k": F.floor(place), "_share": place - F.floor(place)})
+    spot = lambda k: F.max(F.when(F.col("_place") == k, F.col("_v")))
+    # _kept, never null, keeps the other groupings' columns in the exchange, so that Spark makes one for both parts
+    found = [spot(F.col("_k")).alias("_at"), spot(F.col("_k") + 1).alias("_next"), F.max("_share").alias("_share"), F.max(F.hash(F.lit(0), *others)).alias("_kept")]
+    got = d.groupBy(*keys).agg(*measures(true, pred, low, high), *found, F.avg("_step").alias("command_rate_mae")).where("_kept IS NOT NULL")
+    names = [F.lit(episode).alias("grouping"), F.col(episode).cast("string").alias("group")]
+    return got.select(*always, *names, *[c for c in got.columns if c not in (*keys, "_at", "_next", "_share", "_kept")], _between("_at", "_next", "_share").alias("p95_abs_error"))
+
+
+def _step_error(keys: list[str], order: list[str], true: str, pred: str) -> Column:
+    """Difference between the steps of target and prediction from the row before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return F.abs((F.col(true) - F.lag(true).over(w)) - (F.col(pred) - F.lag(pred).over(w)))
 
 
 def command_rate_mae(df: DataFrame, groups: list[str], episode: list[str], time: str | list[str], true: str, pred: str) -> DataFrame:
     """Mean difference between the steps of target and prediction, per group; steps are taken inside a group and episode."""
-    w = Window.partitionBy(*groups, *[e for e in episode if e not in groups]).orderBy(*([time] if isinstance(time, str) else time))
-    step = (F.col(true) - F.lag(true).over(w)) - (F.col(pred) - F.lag(pred).over(w))
-    return df.select(*groups, F.abs(step).alias("_e")).groupBy(*groups).agg(F.avg("_e").alias("command_rate_mae"))
+    step = _step_error([*groups, *[e for e in episode if e not in groups]], [time] if isinstance(time, str) else time, true, pred)
+    return df.select(*groups, step.alias("_e")).groupBy(*groups).agg(F.avg("_e").alias("command_rate_mae"))
 
 
 def over_folds(per_fold: DataFrame, metrics: list[str]) -> DataFrame:
